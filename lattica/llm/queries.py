@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import packing, sharding, topk, warc
+from lattica.llm import decontaminate, licenses, packing, sharding, topk, toxicity, warc
 from lattica.llm.common import shared_folder, table
 
 
@@ -18,6 +18,13 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    scored = toxicity.score_frame(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "clauses")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer(), capacity=4096, end=2)
 
@@ -33,18 +40,35 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_rows(warc.records(spark, archive)).drop("url")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+    ids = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = topk.integer_rows(table(spark, sf_dir, "embeddings"))
     return topk.top_k(rows.where("vec_id % 20 = 0"), rows, k=20)
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op3_sharding": op3_sharding,
     "op4_warc": op4_warc,
+    "op5_decontamination": op5_decontamination,
     "op8_topk": op8_topk,
+    "op9_licenses": op9_licenses,
 }
 
+#: The words of ``text`` in DuckDB.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_TEMPLATES = ", ".join(f"({i}, '{label}', {i < len(licenses.PHRASES)}, '{words}')" for i, (label, words) in enumerate([*licenses.PHRASES, *licenses.NOTICES]))
+
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
@@ -54,6 +78,17 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN n >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to
         FROM f""",
+    "op5_decontamination": f"""
+        WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents), bw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+        bs AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS s FROM bw WHERE len(w) > 0),
+        win AS (SELECT DISTINCT item_id, w[s : s + 9] AS g FROM bs), sizes AS (SELECT DISTINCT len(g) AS n FROM win),
+        ds AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM dw, sizes WHERE len(w) >= n),
+        occ AS (SELECT d.doc_id, d.s, d.n, win.item_id FROM (SELECT doc_id, s, n, w[s : s + n - 1] AS g FROM ds) d JOIN win ON d.g = win.g),
+        pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM occ) GROUP BY 1),
+        its AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM occ) GROUP BY 1)
+        SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
     "op8_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -62,4 +97,21 @@ ORACLE_SQL: dict[str, str] = {
               WHERE q.vec_id % 20 = 0 GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 20""",
+    "op9_licenses": f"""
+        WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        t AS (SELECT * FROM (VALUES {_TEMPLATES}) AS t(template, label, base, words)),
+        tp AS (SELECT template, label, base, len(string_split(words, ' ')) - 1 AS pairs, string_split(words, ' ') AS w FROM t),
+        tg AS (SELECT template, label, base, pairs, p - 1 AS place, w[p] AS a, w[p + 1] AS b FROM (SELECT *, unnest(range(1, pairs + 1)) AS p FROM tp)),
+        dg AS (SELECT doc_id, p - 1 AS spot, w[p] AS a, w[p + 1] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS p FROM dw WHERE len(w) > 1)),
+        v AS (SELECT doc_id, template, label, base, pairs, spot - place AS diagonal, count(*) AS votes FROM dg JOIN tg USING (a, b) GROUP BY ALL),
+        i AS (SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER o, {licenses.DRIFT} + 1) > {licenses.DRIFT} THEN 1 ELSE 0 END AS apart FROM v WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+        j AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS island FROM i),
+        s AS (SELECT doc_id, template, label, base, pairs, island, sum(votes) AS votes, min(diagonal) AS start FROM j GROUP BY ALL),
+        f AS (SELECT *, least(1.0, round(votes / CAST(pairs AS DOUBLE), 6)) AS share FROM s),
+        g AS (SELECT *, CASE WHEN base THEN votes = pairs ELSE share >= {licenses.COVER} END AS found FROM f),
+        a AS (SELECT doc_id, count(*) FILTER (base AND found) AS n_base, min(start) FILTER (base AND found) AS first_word, max(start) FILTER (base AND found) AS last_word,
+                     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND found) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (found) AS labels, max(share) AS score FROM g GROUP BY 1)
+        SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+               coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+        FROM dw LEFT JOIN a USING (doc_id)""",
 }
