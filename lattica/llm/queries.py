@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import decontaminate, licenses, packing, sharding, topk, toxicity, warc
+from lattica.llm import chosenpath, decontaminate, licenses, packing, sharding, topk, toxicity, warc
 from lattica.llm.common import shared_folder, table
 
 
@@ -55,6 +55,10 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosenpath.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op8_topk": op8_topk,
     "op9_licenses": op9_licenses,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 #: The words of ``text`` in DuckDB.
