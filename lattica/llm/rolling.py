@@ -97,7 +97,7 @@ def shingles(texts: list[bytes], k: int = 5) -> tuple[np.ndarray, np.ndarray, np
     n = np.bincount(of, minlength=len(texts))
     p = powers(BASE, k)
     h = np.zeros(max(0, len(words) - k + 1), U64)
-    for i in range(k):
+    for i in range(k if len(h) else 0):
         h += words[i : len(words) - k + 1 + i] * p[i]
     whole = of[: len(h)] == of[k - 1 :] if len(h) else np.zeros(0, bool)
     h, doc = mix(h[whole]), of[: len(h)][whole]
