@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import chosenpath, decontaminate, licenses, packing, sharding, topk, toxicity, warc
+from lattica.llm import chosenpath, compactwindows, decontaminate, licenses, packing, sharding, suffixes, topk, toxicity, warc
 from lattica.llm.common import shared_folder, table
 
 
@@ -46,6 +46,16 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compactwindows.substring_duplicates(table(spark, sf_dir, "documents"), words=50, k=5, threshold=0.8)
+    return found.select("doc_id", "class_id", "n_links", compactwindows.covered_words(F.col("spans")).cast("long").alias("n_repeated_words"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.repeated_bytes(table(spark, sf_dir, "documents"), width=100)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = topk.integer_rows(table(spark, sf_dir, "embeddings"))
     return topk.top_k(rows.where("vec_id % 20 = 0"), rows, k=20)
@@ -65,6 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_warc": op4_warc,
     "op5_decontamination": op5_decontamination,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_topk": op8_topk,
     "op9_licenses": op9_licenses,
     "op10_jaccard_join": op10_jaccard_join,
