@@ -20,20 +20,48 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from lattica.llm.common import settle
 
-#: Words whose ids a worker remembers; past that it forgets all and starts anew.
-REMEMBER = 400_000
+#: Words whose ids a worker remembers, some 200 bytes each; past that it forgets all and starts anew.
+REMEMBER = 1_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "part"]
 
 
 @lru_cache(maxsize=1)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path), {}
+def _tokenizer(path: str) -> tuple[Tokenizer, np.ndarray, dict[str, bytes]]:
+    """The tokenizer, which ids end a word, and the words known so far."""
+    tokenizer = Tokenizer.from_file(path)
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+    return tokenizer, ends, {}
+
+
+def _plain(word: str) -> tuple[str, str]:
+    """(word in lower case, comma or full stop after it): the tokenizer lower-cases and splits those itself."""
+    low = word.lower() if word and max(word) < "\u0130" else word
+    return (low[:-1], low[-1]) if low[-1:] in (".", ",") and low[:-1].isalpha() else (low, "")
+
+
+def _learn(words: list[str], tokenizer: Tokenizer, ends: np.ndarray, known: dict[str, bytes]) -> None:
+    """Add the ids of ``words`` to ``known``. Words of letters alone are encoded in one go and cut where an id ends a word."""
+    plain = {w: _plain(w) for w in words}
+    new = {x for x, _ in plain.values() if x not in known} | {x for _, x in plain.values() if x and x not in known}
+    letters = [x for x in new if x.isalpha()]
+    for i in range(0, len(letters), 4096):
+        ids = np.array(tokenizer.encode(" ".join(letters[i : i + 4096]), add_special_tokens=False).ids, "<u4")
+        cut = np.flatnonzero(ends[ids]) + 1
+        if len(cut) == len(letters[i : i + 4096]):
+            for x, start, end in zip(letters[i : i + 4096], [0, *cut[:-1]], cut, strict=True):
+                known[x] = ids[start:end].tobytes()
+    rest = [x for x in new if x not in known]
+    for i in range(0, len(rest), 4096):
+        for x, e in zip(rest[i : i + 4096], tokenizer.encode_batch_fast(rest[i : i + 4096], add_special_tokens=False), strict=True):
+            known[x] = np.array(e.ids, "<u4").tobytes()
+    for w, (x, tail) in plain.items():
+        known[w] = known[x] + known[tail] if tail else known[x]
 
 
 def tokenize(texts: list[str], path: str, end: int) -> list[np.ndarray]:
@@ -42,15 +70,13 @@ def tokenize(texts: list[str], path: str, end: int) -> list[np.ndarray]:
     The tokenizer never joins across white space, so each blank-separated word is encoded once and
     remembered; a text's ids are those of its words, one after another.
     """
-    tokenizer, known = _tokenizer(path)
+    tokenizer, ends, known = _tokenizer(path)
     split = [t.replace("\n", " ").split(" ") for t in texts]
     new = list({w for ws in split for w in ws if w not in known})
     if len(known) + len(new) > REMEMBER:
         known.clear()
         new = list({w for ws in split for w in ws})
-    for i in range(0, len(new), 4096):
-        for w, e in zip(new[i : i + 4096], tokenizer.encode_batch_fast(new[i : i + 4096], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+    _learn(new, tokenizer, ends, known)
     last = np.array([end], "<u4").tobytes()
     return [np.frombuffer(b"".join([*map(known.__getitem__, ws), last]), "<u4") for ws in split]
 
