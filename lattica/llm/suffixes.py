@@ -242,11 +242,12 @@ def _compare(contexts: DataFrame, width: int) -> DataFrame:
     return ordered.mapInArrow(run, "doc_id long, first int, last int")
 
 
-CUT = "doc_id long, n_bytes long, n_removed long, spans array<struct<first:int,last:int>>, kept binary"
+CUT = "doc_id long, n_bytes long, n_removed long, spans array<struct<first:int,last:int>>, kept binary, kept_text string"
 
 
 def repeated_bytes(docs: DataFrame, width: int = 100) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, spans (maximal removed runs, [first, last) in bytes), kept (the other bytes).
+    """One row per document: doc_id, n_bytes, n_removed, spans (maximal removed runs, [first, last) in bytes), kept (the other bytes),
+    kept_text (those as text, without characters of which a part was cut; null for a null text).
 
     A byte goes if a string of ``width`` bytes that covers it also starts earlier: in a document of
     smaller doc_id or at an earlier place of the same one. Strings never cross documents and are
@@ -273,10 +274,11 @@ def repeated_bytes(docs: DataFrame, width: int = 100) -> DataFrame:
                     else:
                         merged.append([c["first"], c["last"]])
                 edges = [0, *(x for m in merged for x in m), len(body)]
-                kept = b"".join(body[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))
-                rows.append((len(body), len(body) - len(kept), [{"first": a, "last": z} for a, z in merged], kept))
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+                pieces = [body[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)]
+                kept = b"".join(pieces)
+                rows.append((len(body), len(body) - len(kept), [{"first": a, "last": z} for a, z in merged], kept, None if text is None else "".join(x.decode(errors="ignore") for x in pieces)))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])), pa.binary(), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "spans", "kept", "kept_text"])
 
     return texts.join(spans, "doc_id", "left").mapInArrow(cut, CUT)
