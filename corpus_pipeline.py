@@ -1,12 +1,73 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and reread by the next."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and reread by the next.
+
+Every stage but the last returns the columns of its input.  Nulls: a document with a null or empty
+text passes all filters; one with a null doc_id takes part where its text alone decides (toxicity,
+decontamination, packing) and is left as it is where an order of documents is needed.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lattica.llm import chosenpath, decontaminate, packing, suffixes, toxicity
+from lattica.llm.common import shared_folder, table
+from lattica.llm.queries import word_tokenizer
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5."""
+    model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    scored = toxicity.score_frame(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")), model, keep=("row",))
+    return scored.where("score < 0.5").select("row.*")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest doc_id of each group of near copies; of repeated rows one."""
+    first = chosenpath.near_duplicates(docs).where("doc_id = class_id").select("doc_id")
+    known = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return known.unionByName(docs.where("doc_id is null")).select(docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that repeat an earlier string of 100 bytes; ``n_chars``, where there is one, follows the text."""
+    kept = suffixes.repeated_bytes(docs.where("doc_id is not null")).dropDuplicates(["doc_id"]).select("doc_id", "kept_text")
+    known = docs.where("doc_id is not null").drop("text").join(kept, "doc_id").withColumnRenamed("kept_text", "text")
+    if "n_chars" in docs.columns:
+        known = known.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return known.select(docs.columns).unionByName(docs.where("doc_id is null").select(docs.columns))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an occurrence of ten consecutive words of a benchmark item."""
+    key = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))), 256)
+    found = decontaminate.contamination(docs.select(key.alias("__key"), "text"), table(spark, sf_dir, "benchmark"), width=10, doc_id="__key")
+    hit = found.where("n_hit > 0").select(F.col("doc_id").alias("__key")).distinct()
+    return docs.withColumn("__key", key).join(hit, "__key", "left_anti").select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 4096 tokens."""
+    return packing.pack(docs, word_tokenizer(), capacity=4096, end=2)
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("jaccard_join", drop_near_copies),
+    ("suffix_dedup", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
+#: SQL cannot express the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply all stages to ``documents``."""
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for i, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{i}-{name}")
+        docs = spark.read.parquet(path)
+    return docs
