@@ -105,8 +105,8 @@ def detokenize(rows: DataFrame, v: Vocabulary, default_shape: int | None = None)
         out = out.withColumns({"shape": F.coalesce(whole("SHAPE"), F.array(*[F.lit(default_shape)] * 3)), "offset": F.array(*[F.lit(0)] * 3)}).withColumn("_hi", high_corner(F.col("grid"), F.col("offset"), F.col("shape")))
     product = lambda c: reduce(lambda a, b: a * b, [F.get(c, F.lit(i)) for i in range(3)])
     faults = [
-        (F.get(ids, F.lit(0)) != v.special("BOS"), "no BOS"),
-        (F.element_at(ids, -1) != v.special("EOS"), "no EOS"),
+        (F.coalesce(F.get(ids, F.lit(0)), F.lit(-1)) != v.special("BOS"), "no BOS"),
+        (F.coalesce(F.try_element_at(ids, F.lit(-1)), F.lit(-1)) != v.special("EOS"), "no EOS"),
         (F.coalesce(F.size("grid"), F.lit(-1)) != 3, "grid"),
         (F.coalesce(F.size("lattice"), F.lit(-1)) != 6, "lattice"),
         (F.col("atoms").isNull() | ~F.forall("atoms", lambda z: z.between(1, 118)), "atoms"),
