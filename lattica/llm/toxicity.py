@@ -28,6 +28,7 @@ TARGETS = "you your yours he she him her they them their tu toi vous il elle ils
 NEGATIONS = "not never no isn aren wasn don doesn without pas jamais sans ni nunca sin nicht kein keine nie ohne".split()
 REPORTS = "said says wrote writes called quoted claimed reports dit disait écrit dijo dice escribió sagte sagt schrieb nannte".split()
 
+STEM_LENGTHS = (4, 5, 6, 7, 8)
 SYMBOLS = ("word", "insult", "threat", "target", "negation", "report")
 WORD_RE = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 CLAUSE_RE = re.compile(r"[.!?;:\n]+")
@@ -114,17 +115,18 @@ class Lexicon:
         return "word", 0.0
 
 
-def features(text: str | None, lexicon: Lexicon, grammar: Grammar) -> tuple[float, float, int]:
-    """(sum of clause weights, largest clause weight, number of matched clauses) of a whole text."""
+def features(text: str | None, lexicon: Lexicon, grammar: Grammar) -> tuple[float, float, float, int]:
+    """(sum of clause weights, largest clause weight, sum per hundred words, number of matched clauses) of a whole text."""
     low = (text or "").encode().lower()  # bytes.lower touches A-Z alone
     if not any(cue in low for cue in lexicon.cues):
-        return 0.0, 0.0, 0
-    total, most, n = 0.0, 0.0, 0
+        return 0.0, 0.0, 0.0, 0
+    total, most, n, words = 0.0, 0.0, 0, 0
     for clause in CLAUSE_RE.split(low.decode()):
         read = [lexicon.read(w) for w in WORD_RE.findall(clause)]
+        words += len(read)
         if any(weight for _, weight in read) and (score := grammar.clause(read)) > 0:
             total, most, n = total + score, max(most, score), n + 1
-    return total, most, n
+    return total, most, 100 * total / max(1, words), n
 
 
 def held_out(doc_id: Column) -> Column:
@@ -135,29 +137,35 @@ def held_out(doc_id: Column) -> Column:
 @dataclass
 class Model:
     lexicon: Lexicon
-    coefficients: tuple[float, float, float] = (-2.0, 1.5, 0.5)
+    coefficients: tuple[float, ...] = (-3.0, 1.5, 0.5, 0.5)
 
-    def score(self, total: float, most: float) -> float:
-        a, b, c = self.coefficients
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, a + b * math.log1p(total) + c * math.log1p(most)))))
+    def score(self, total: float, most: float, rate: float) -> float:
+        z = sum(c * x for c, x in zip(self.coefficients, (1.0, math.log1p(total), math.log1p(most), math.log1p(rate)), strict=True))
+        return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float, float]:
+def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
     """Ridge logistic regression by Newton's method."""
     a = np.column_stack((np.ones(len(x)), np.log1p(x)))
-    w = np.zeros(3)
+    w, penalty = np.zeros(a.shape[1]), ridge * np.diag([1e-3] + [1.0] * x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        w -= np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + ridge * np.diag([1e-3, 1, 1]), a.T @ (p - y) + ridge * np.array([0, 1, 1]) * w)
+        w -= np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + penalty, a.T @ (p - y) + penalty @ w)
     return tuple(map(float, w))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, entries: int = 100) -> Model:
+def _starts(words: Column, n: int) -> Column:
+    """The first ``n`` letters of every word that has as many."""
+    return F.transform(F.filter(words, lambda w: F.length(w) >= n), lambda w: F.substring(w, 1, n))
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, entries: int = 100, surprise: float = 6.0) -> Model:
     """Learn the lexicon's weights and the calibration from at most ``sample`` labelled rows that are not held out.
 
-    The sample is the rows whose hashed ids are smallest. Words and beginnings of four or five letters
-    are counted by document; those seen almost only in toxic documents join the lexicon (``entries``
-    at most). Labels other than 0 and 1 and null ids are left out; with one class or none only the seeds and
+    The sample is the rows whose hashed ids are smallest. Beginnings of words, of four to eight
+    letters, are counted by document; those whose toxic documents exceed the expected number by
+    ``surprise`` standard deviations join the lexicon, the most surprising first (``entries`` at
+    most), weighted by their log odds. Labels other than 0 and 1 and null ids are left out; with one class or none only the seeds and
     default coefficients remain.
     """
     spark = docs.sparkSession
@@ -166,7 +174,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, entries: int =
     train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` ids at most
     size = {r.toxic: r.n for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     stems: dict[str, float] = {}
-    learned: dict[str, float] = {}
     bad, good = size.get(1, 0), size.get(0, 0)
     weigh = lambda b, n: math.log((b + 0.5) / (bad + 1)) - math.log((n - b + 0.5) / (good + 1))
     seen = {}
@@ -175,34 +182,39 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, entries: int =
         per_doc = train.select("doc_id", "toxic", F.array_distinct(words_of(F.col("text"))).alias("ws"))
         seed_rows = per_doc.select("toxic", F.explode(F.array_intersect("ws", seeds)).alias("w")).groupBy("w").agg(F.sum("toxic").alias("b"), F.count("*").alias("n")).collect()  # the seeds at most
         seen = {r.w: (r.b, r.n) for r in seed_rows}
-        short = F.filter("ws", lambda w: F.length(w) >= 5)
-        parts = F.array_distinct(F.concat(F.transform(short, lambda w: F.substring(w, 1, 4)), F.transform(short, lambda w: F.substring(w, 1, 5)), F.filter("ws", lambda w: F.length(w) >= 4)))
-        counted = per_doc.select("toxic", F.explode(parts).alias("w")).groupBy("w").agg(F.sum("toxic").alias("b"), F.count("*").alias("n"))
-        sure = counted.where((F.col("b") >= max(5, 0.01 * bad)) & (F.col("b") >= 0.97 * F.col("n"))).orderBy(F.desc("b"), F.length("w"), "w").limit(entries)
-        for r in sure.collect():  # `entries` rows at most
-            if not any(r.w.startswith(s) for s in stems):
-                (stems if len(r.w) in (4, 5) else learned)[r.w] = weigh(r.b, r.n)
+        starts = F.array_distinct(F.flatten(F.array(*[_starts(F.col("ws"), n) for n in STEM_LENGTHS])))
+        counted = per_doc.select("toxic", F.explode(starts).alias("w")).groupBy("w").agg(F.sum("toxic").alias("b"), F.count("*").alias("n"))
+        base = bad / (bad + good)
+        z = (F.col("b") - F.col("n") * base) / F.sqrt(F.col("n") * (base * (1 - base)))
+        sure = counted.where("b >= 3").withColumn("z", z).where(F.col("z") >= surprise).orderBy(F.desc("z"), F.length("w"), "w").limit(8 * entries)
+        for r in sure.collect():  # 8 * `entries` rows at most
+            if len(stems) < entries and weigh(r.b, r.n) >= 1.5 and not any(r.w.startswith(x) or x.startswith(r.w) for x in stems):
+                stems[r.w] = weigh(r.b, r.n)
     seeds_kept = {w: (weigh(*seen[w]) if w in seen else SEED_WEIGHT) for w in (*INSULTS, *THREATS)}
-    lexicon = Lexicon(learned | {w: x for w, x in seeds_kept.items() if x >= 1}, stems)
+    lexicon = Lexicon({w: x for w, x in seeds_kept.items() if x >= 1}, stems)
     model = Model(lexicon)
     if bad and good:
-        rows = score_frame(train, model, keep=("toxic",)).select("total", "most", "toxic").toPandas()  # `sample` rows at most
+        rows = score_frame(train, model, keep=("toxic",)).select("total", "most", "rate", "toxic").toPandas()  # `sample` rows at most
         if rows["toxic"].nunique() == 2:
-            model.coefficients = _calibrate(rows[["total", "most"]].to_numpy(float), rows["toxic"].to_numpy(float))
+            model.coefficients = _calibrate(rows[["total", "most", "rate"]].to_numpy(float), rows["toxic"].to_numpy(float))
     return model
 
 
 def score_frame(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Score every whole text: (doc_id, kept columns, score, total, most, clauses). Null and empty texts score as one without matches."""
+    """Score every whole text: (doc_id, kept columns, score, total, most, rate, clauses). Null and empty texts score as one without matches."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("__text"))
     fields = [f for f in rows.schema.fields if f.name != "__text"]
-    schema = type(rows.schema)(fields).add("score", "double").add("total", "double").add("most", "double").add("clauses", "integer")
+    schema = type(rows.schema)(fields)
+    for name in ("score", "total", "most", "rate"):
+        schema = schema.add(name, "double")
+    schema = schema.add("clauses", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar()
         for b in batches:
             found = [features(t, model.lexicon, grammar) for t in b.column(b.num_columns - 1).to_pylist()]
-            columns = [pa.array([model.score(t, m) for t, m, _ in found], pa.float64()), pa.array([t for t, _, _ in found], pa.float64()), pa.array([m for _, m, _ in found], pa.float64()), pa.array([n for _, _, n in found], pa.int32())]
+            scores = [model.score(*f[:3]) for f in found]
+            columns = [pa.array(scores, pa.float64()), *(pa.array([f[i] for f in found], pa.float64()) for i in range(3)), pa.array([f[3] for f in found], pa.int32())]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], names=schema.names)
 
     return rows.mapInArrow(run, schema)
