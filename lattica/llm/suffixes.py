@@ -257,9 +257,10 @@ def repeated_bytes(docs: DataFrame, width: int = 100) -> DataFrame:
     table gives no rows; other columns are not read.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = settle(_induce(_sampled(texts.where("doc_id is not null"), width), width))
+    known = texts.where("doc_id is not null")
+    found = settle(_induce(_sampled(known, width), width))
     heads = found.where("held > 0").groupBy("doc_id").agg(F.collect_list(F.struct("key", "first", "last", "held")).alias("heads"))
-    compared = _compare(_contexts(texts.join(heads, "doc_id").select("doc_id", "text", "heads"), width), width)
+    compared = _compare(_contexts(known.join(heads, "doc_id").select("doc_id", "text", "heads"), width), width)
     cuts = found.where("held = 0").select("doc_id", "first", "last").union(compared)
     spans = cuts.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("cuts"))
 
@@ -281,4 +282,6 @@ def repeated_bytes(docs: DataFrame, width: int = 100) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "spans", "kept", "kept_text"])
 
-    return texts.join(spans, "doc_id", "left").mapInArrow(cut, CUT)
+    # `known` meets `heads` and `spans` under the same plan, so its texts are shuffled once for both.
+    alone = texts.where("doc_id is null").withColumn("cuts", F.lit(None).cast("array<struct<first:int,last:int>>"))
+    return known.join(spans, "doc_id", "left").unionByName(alone).mapInArrow(cut, CUT)
