@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lattica.functions import formulas
 from lattica.functions.quantize import LogCodec
 from lattica.functions.vocabulary import Vocabulary
-from lattica.operators import etl, evaluation, grids, lmq, materials, patches, telemetry
+from lattica.operators import etl, evaluation, grids, lmq, materials, patches, series, telemetry
 from lattica.sources import chgcar, listings, zarr
 from lattica.streaming import counters
 
@@ -300,3 +300,19 @@ def test_stream_equals_batch_over_several_triggers(spark, tmp_path):
     for u in range(3):
         v = [r[4] for r in rows if r[2] == u]
         assert (last[u].polls, last[u].total, last[u].last_delta) == (10, v[-1], max(0.0, v[-1] - v[-2]))
+
+
+def test_integrity_scan_and_tree(spark, tmp_path):
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "p"))
+    (tmp_path / "p" / "bad.parquet").write_bytes(b"PAR1 not a file")
+    got = {r.path: r for r in series.parquet_integrity(spark, str(tmp_path / "p")).collect()}
+    assert got["bad.parquet"].error and got["bad.parquet"].rows == 0
+    assert sum(r.rows for r in got.values()) == 10 and all(r.bad_groups == 0 for r in got.values())
+    doc = json.dumps({"name": "a", "children": [{"name": "b"}, {"name": "c", "children": [{"name": "d"}]}]})
+    rows = series.walk_tree(spark.createDataFrame([(1, doc), (2, None)], "key long, doc string"), "doc").collect()
+    assert [(r.depth, r.name, r.leaf) for r in rows] == [(0, "a", False), (1, "b", True), (1, "c", False), (2, "d", True)]
+
+
+def test_gaps_are_clamped_at_the_ends(spark):
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate([None, 2.0, None, None, 5.0, None])], "s int, i int, v double")
+    assert [r.filled for r in series.fill_gaps(df, "s", "i", "v").orderBy("i").collect()] == [2, 2, 3, 4, 5, 5]
