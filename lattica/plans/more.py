@@ -30,10 +30,10 @@ def final_value_baseline(spark, d):
     WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 3 <> 0 THEN value END AS v FROM events),
     w AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN event_id END IGNORE NULLS) OVER b AS x0, first_value(CASE WHEN v IS NOT NULL THEN event_id END IGNORE NULLS) OVER a AS x1, last_value(v IGNORE NULLS) OVER b AS y0, first_value(v IGNORE NULLS) OVER a AS y1
       FROM e WINDOW b AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-    SELECT user_id, event_id, round(coalesce(v, y0 + (y1 - y0) * ((event_id - x0) / nullif(CAST(x1 - x0 AS DOUBLE), 0)), y0, y1), 5) AS filled FROM w""")
+    SELECT user_id, event_id, round(coalesce(v, y0 + (y1 - y0) * ((event_id - x0) / nullif(CAST(x1 - x0 AS DOUBLE), 0)), y0, y1), 9) AS filled FROM w""")
 def gap_fill(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("v"))
-    return series.fill_gaps(e, "user_id", "event_id", "v").select("user_id", "event_id", F.round("filled", 5).alias("filled"))
+    return series.fill_gaps(e, "user_id", "event_id", "v").select("user_id", "event_id", F.round("filled", 9).alias("filled"))
 
 
 @query(f"""
