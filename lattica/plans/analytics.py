@@ -73,7 +73,7 @@ def config_label_parse(spark, d):
 # ---- evaluation: embeddings as logits over 64 ids, of which 8 to 55 are density ids ------------------
 
 _DIST = f"""{VOX}, l AS (SELECT task_id AS pos, flat AS token, rho * 20 AS logit FROM vox), r AS (SELECT pos, token - 8 AS bin, exp(logit - max(logit) OVER (PARTITION BY pos)) AS e FROM l WHERE token >= 8 AND token < 56),
-dist AS (SELECT pos, bin, e / (sum(e) OVER (PARTITION BY pos) + 1e-12) AS p, bin * 0.5 AS recon FROM r)"""
+dist AS (SELECT pos, bin, e / (sum(e) OVER (PARTITION BY pos) + 1e-12) AS p, bin * CAST(0.5 AS DOUBLE) AS recon FROM r)"""
 
 
 def _dist(spark, d):

@@ -196,7 +196,7 @@ def tile_full_coverage(spark, d):
     return cells.join(G.unpack(grids(spark, d)), ["task_id", "ix", "iy", "iz"]).groupBy("task_id").agg(F.count("*").alias("n_cells"), r6(F.sum("rho")).alias("total"))
 
 
-@query("SELECT vec_id AS task_id, CAST(64 AS BIGINT) AS n_cells, CAST(1 AS BIGINT) AS most, 0.0 AS nmae FROM embeddings")
+@query("SELECT vec_id AS task_id, CAST(64 AS BIGINT) AS n_cells, CAST(1 AS BIGINT) AS most, CAST(0.0 AS DOUBLE) AS nmae FROM embeddings")
 def stitch_nmae(spark, d):
     p, g = 3, grids(spark, d)
     t = patches.tiles(g.select("task_id", "nx", "ny", "nz", "density"), p)
