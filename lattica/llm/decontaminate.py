@@ -54,7 +54,8 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, shingle: i
     """One row per document: doc_id, n_words, n_hit, items (sorted array of item ids), hits (array of struct(start, length)).
 
     A word is hit if it lies inside any occurrence of any window.  Null and empty texts have no words
-    and no hits; repeated rows and null doc_ids get a row each; items without words have no windows;
+    and no hits; repeated rows and null doc_ids get a row each; items without words have no windows, an
+    item with a null id hits words but is not listed;
     an empty benchmark hits nothing; other columns are not read.  A long document is one row of
     work, in which every window costs one comparison.
     """
@@ -64,15 +65,14 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, shingle: i
     sentinel = docs.sparkSession.range(1).select(F.lit("").alias("item_id"), F.array().cast("array<string>").alias("window"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("hash"), F.lit(0).alias("place"))
     wanted = windows.unionByName(sentinel)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), words_of(F.col(text)).alias("w")).withColumn("n_words", F.size("w"))
-    zero = F.array(F.lit(0).cast("long"))
-    marks = [F.posexplode(zero)] if not sizes else None
-    tagged = rows.select("*", F.lit(0).alias("of"), *(marks or [F.posexplode(F.concat(zero, _shingles(F.col("w"), sizes[-1])))]))
-    parts = [tagged] + [rows.select("*", F.lit(s).alias("of"), F.posexplode(_shingles(F.col("w"), s))) for s in sizes[:-1]]
-    places = reduce(DataFrame.unionByName, parts)
-    shift = F.when(F.col("of") == 0, 1).otherwise(0) if sizes else F.lit(0)
-    start = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("pos") - shift - F.col("place"))
+    places = rows.select("*", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), *[_shingles(F.col("w"), s) for s in sizes])))
+    before, ahead = F.lit(0), F.lit(0)  # entries in front of those of a shingle size
+    for s in sizes:
+        before = F.when(F.col("size") == s, ahead).otherwise(before)
+        ahead = ahead + F.greatest(F.lit(0), F.col("n_words") - (s - 1))
+    start = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("pos") - 1 - before - F.col("place"))
     length = F.size("window")
-    fits = (start >= 0) & (start + length <= F.col("n_words")) & (F.slice("w", start + 1, length) == F.col("window"))
+    fits = (start >= 0) & (start + length <= F.col("n_words")) & (F.slice("w", F.greatest(F.lit(1), start + 1), length) == F.col("window"))
     if windows.count() <= BROADCAST_WINDOWS:
         wanted = F.broadcast(wanted)
     found = places.join(wanted, (F.col("col") == F.col("hash")) & fits).select("row", "doc_id", "n_words", start.alias("start"), length.alias("length"), "item_id")
