@@ -19,11 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which all executors share; only where that is unset, as in tests, a new one."""
-    if configured := spark.conf.get("spark.checkpoint.dir", None):
-        return configured
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return spark.sparkContext.getCheckpointDir()
+        spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
+    return configured or spark.sparkContext.getCheckpointDir()
 
 
 def settle(df: DataFrame) -> DataFrame:
