@@ -25,7 +25,7 @@ from tokenizers import Tokenizer
 from lattica.llm.common import settle
 
 #: Words whose ids a worker remembers, some 200 bytes each; past that it forgets all and starts anew.
-REMEMBER = 1_000_000
+REMEMBER = 800_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "part"]
 
