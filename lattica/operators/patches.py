@@ -79,25 +79,34 @@ def block(ids: Column, v: Vocabulary, name: str) -> Column:
     return F.when((start > 0) & (end > start), F.slice(ids, start + 1, end - start - 1))
 
 
+def _with_blocks(rows: DataFrame, v: Vocabulary, names) -> DataFrame:
+    """Add the ids without padding and each block as columns of their own, so that lambdas over them do not find them anew for each element."""
+    return rows.withColumn("_ids", F.filter("input_ids", lambda t: t != v.special("PAD"))).withColumns({f"_{n}": block(F.col("_ids"), v, n) for n in names})
+
+
+def _coded_block(name: str, codec, offset: int) -> Column:
+    """Values of a block of coded numbers; empty for an empty block, null for a missing one."""
+    body, k = F.col(f"_{name}"), len(codec.bits)
+    value = F.transform(F.sequence(F.lit(0), F.floor(F.size(body) / k).cast("int") - 1), lambda i: codec.from_tokens([F.get(body, i * k + j) for j in range(k)], offset))
+    return F.when(F.size(body) > 0, value).when(F.size(body) == 0, F.array().cast("array<double>"))
+
+
 def detokenize(rows: DataFrame, v: Vocabulary, default_shape: int | None = None) -> DataFrame:
     """Add grid, lattice, atoms, coords, shape, offset, patch and ``error`` (null if the row is well formed).
 
     Padding at the end is ignored. A malformed row keeps its place, with the first fault that is found.
     """
-    ids = F.filter("input_ids", lambda t: t != v.special("PAD"))
-    whole = lambda name: F.transform(block(ids, v, name), lambda t: t - v.int_offset)
-
-    def coded(name: str, codec, offset: int) -> Column:
-        body, k = block(ids, v, name), len(codec.bits)
-        return F.transform(F.sequence(F.lit(0), F.floor(F.size(body) / k).cast("int") - 1), lambda i: codec.from_tokens([F.get(body, i * k + j) for j in range(k)], offset))
-
-    some = lambda name, value: F.when(F.size(block(ids, v, name)) > 0, value).otherwise(F.array().cast("array<double>"))
+    names = ("GRID", "LATTICE", "ATOMS", "POS", "SHAPE", "OFFSET", "HI", "DENS")
+    rows = _with_blocks(rows, v, names if default_shape is None else [n for n in names if n not in ("OFFSET", "HI")])
+    ids = F.col("_ids")
+    whole = lambda name: F.transform(f"_{name}", lambda t: t - v.int_offset)
+    coded = _coded_block
     out = rows.withColumns({
         "grid": whole("GRID"),
         "lattice": F.transform(whole("LATTICE"), lambda b, i: b * F.when(i < 3, 0.05).otherwise(0.2)),
-        "atoms": F.transform(block(ids, v, "ATOMS"), lambda t: t - v.atom_offset + 1),
-        "coords": some("POS", coded("POS", v.position, v.position_offset)),
-        "patch": some("DENS", coded("DENS", v.density, v.density_offset)),
+        "atoms": F.transform("_ATOMS", lambda t: t - v.atom_offset + 1),
+        "coords": coded("POS", v.position, v.position_offset),
+        "patch": coded("DENS", v.density, v.density_offset),
     })
     if default_shape is None:
         out = out.withColumns({"shape": whole("SHAPE"), "offset": whole("OFFSET"), "_hi": whole("HI")})
@@ -110,14 +119,14 @@ def detokenize(rows: DataFrame, v: Vocabulary, default_shape: int | None = None)
         (F.coalesce(F.size("grid"), F.lit(-1)) != 3, "grid"),
         (F.coalesce(F.size("lattice"), F.lit(-1)) != 6, "lattice"),
         (F.col("atoms").isNull() | ~F.forall("atoms", lambda z: z.between(1, 118)), "atoms"),
-        (F.size("coords") != 3 * F.size("atoms"), "positions"),
+        (F.col("coords").isNull() | (F.size("coords") != 3 * F.size("atoms")), "positions"),
         (F.coalesce(F.size("shape"), F.lit(-1)) != 3, "shape"),
         (F.coalesce(F.size("offset"), F.lit(-1)) != 3, "offset"),
         (~F.coalesce(F.col("_hi") == high_corner(F.col("grid"), F.col("offset"), F.col("shape")), F.lit(False)), "high corner"),
-        (F.size("patch") != product(F.col("shape")), "density"),
+        (F.col("patch").isNull() | (F.size("patch") != product(F.col("shape"))), "density"),
     ]
     error = reduce(lambda c, f: c.when(f[0], f[1]), faults, F)
-    return out.withColumn("error", error).drop("_hi")
+    return out.withColumn("error", error).drop("_hi", "_ids", *[f"_{n}" for n in names])
 
 
 def pad_right(ids: Column, length: int) -> Column:
@@ -196,12 +205,15 @@ def tokenize_ball(samples: DataFrame, v: Vocabulary) -> DataFrame:
 
 def detokenize_ball(rows: DataFrame, v: Vocabulary) -> DataFrame:
     """Add grid, atoms, coords, r2_max, center, bounds and patch of ball rows."""
-    ids = F.filter("input_ids", lambda t: t != v.special("PAD"))
-    whole = lambda name: F.transform(block(ids, v, name), lambda t: t - v.int_offset)
-
-    def coded(name: str, codec, offset: int) -> Column:
-        body, k = block(ids, v, name), len(codec.bits)
-        value = F.transform(F.sequence(F.lit(0), F.floor(F.size(body) / k).cast("int") - 1), lambda i: codec.from_tokens([F.get(body, i * k + j) for j in range(k)], offset))
-        return F.when(F.size(body) > 0, value).otherwise(F.array().cast("array<double>"))
-
-    return rows.withColumns({"grid": whole("GRID"), "atoms": F.transform(block(ids, v, "ATOMS"), lambda t: t - v.atom_offset + 1), "coords": coded("POS", v.position, v.position_offset), "r2_max": F.get(whole("RADIUS"), F.lit(0)), "center": whole("CENTER"), "bounds": whole("BOUNDS"), "patch": coded("DENS", v.density, v.density_offset)})
+    names = ("GRID", "ATOMS", "POS", "RADIUS", "CENTER", "BOUNDS", "DENS")
+    whole = lambda name: F.transform(f"_{name}", lambda t: t - v.int_offset)
+    out = _with_blocks(rows, v, names).withColumns({
+        "grid": whole("GRID"),
+        "atoms": F.transform("_ATOMS", lambda t: t - v.atom_offset + 1),
+        "coords": _coded_block("POS", v.position, v.position_offset),
+        "r2_max": F.get(whole("RADIUS"), F.lit(0)),
+        "center": whole("CENTER"),
+        "bounds": whole("BOUNDS"),
+        "patch": _coded_block("DENS", v.density, v.density_offset),
+    })
+    return out.drop("_ids", *[f"_{n}" for n in names])
