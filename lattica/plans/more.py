@@ -80,10 +80,10 @@ def summary_line_parse(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", part(1).alias("failures"), part(2).alias("preemptions"))
 
 
-@query("WITH u AS (SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'gs://marin-eu-west4/x' ELSE 'gs://marin-us-central2/y' END AS u FROM nation) SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, replace(regexp_extract(u, 'gs://marin-([^/]+)/', 1), 'eu-', 'europe-') AS region FROM u")
+@query("WITH u AS (SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'gs://data-eu-west4/x' ELSE 'gs://data-us-central2/y' END AS u FROM nation) SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, replace(regexp_extract(u, 'gs://data-([^/]+)/', 1), 'eu-', 'europe-') AS region FROM u")
 def region_parse(spark, d):
-    u = F.when(F.col("n_nationkey") % 2 == 0, "gs://marin-eu-west4/x").otherwise("gs://marin-us-central2/y")
-    return table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), F.replace(F.regexp_extract(u, "gs://marin-([^/]+)/", 1), F.lit("eu-"), F.lit("europe-")).alias("region"))
+    u = F.when(F.col("n_nationkey") % 2 == 0, "gs://data-eu-west4/x").otherwise("gs://data-us-central2/y")
+    return table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), F.replace(F.regexp_extract(u, "gs://data-([^/]+)/", 1), F.lit("eu-"), F.lit("europe-")).alias("region"))
 
 
 @query("SELECT doc_id, md5(text) AS digest, base64(unhex(md5(text))) AS packed FROM documents")
