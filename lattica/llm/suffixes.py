@@ -256,7 +256,9 @@ def repeated_bytes(docs: DataFrame, width: int = 100) -> DataFrame:
     each row is returned. Rows with a null doc_id have no place in the order and stay whole. An empty
     table gives no rows; other columns are not read.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Without a cast where none is needed: a renamed column would keep the two scans of `known` from sharing a shuffle.
+    is_long = dict(docs.dtypes)["doc_id"] == "bigint"
+    texts = docs.select("doc_id", "text") if is_long else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = texts.where("doc_id is not null")
     found = settle(_induce(_sampled(known, width), width))
     heads = found.where("held > 0").groupBy("doc_id").agg(F.collect_list(F.struct("key", "first", "last", "held")).alias("heads"))
