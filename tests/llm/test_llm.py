@@ -275,6 +275,19 @@ def test_passage_edges(spark, edge_docs, no_docs):
     assert compactwindows.substring_duplicates(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("limit", [2_000_000, 10])
+def test_passages_meet_at_every_occurrence(limit):
+    one, two, line = words(30, 21), words(30, 22), words(10, 23)
+    fifty = f"{words(20, 24)} {line} {words(20, 25)}"
+    for a, b in ((f"{one} {words(40, 26)} {one} {two}", f"{one} {two}"), (f"{line} {words(70, 27)} {fifty}", fifty)):
+        n, m = len(a.split()), len(b.split())
+        for x, y, want in ((a, b, (n - m, n, 0, m)), (b, a, (0, m, n - m, n))):
+            h = [shingles([t.encode()], 5)[0] for t in (x, y)]
+            got = compactwindows._aligned(compactwindows._places(h[0]), h[1], 46, 5, 0.8, limit=limit)
+            assert any(all(abs(g - w) <= 5 for g, w in zip(p, want, strict=True)) for p in got)  # at most 5 of 46 shingles miss
+    assert compactwindows.passages((one + " ").encode() * 40, (one + " ").encode() * 30, 46, 5, 0.8)
+
+
 # ---- 7 repeated bytes
 
 
