@@ -288,6 +288,20 @@ def test_passages_meet_at_every_occurrence(limit):
     assert compactwindows.passages((one + " ").encode() * 40, (one + " ").encode() * 30, 46, 5, 0.8)
 
 
+@pytest.mark.parametrize(("few", "rest", "parts"), [(32, 5_000_000, 1), (1, 0, 5)])
+def test_whole_passages_meet_behind_holders_of_a_part(spark, monkeypatch, few, rest, parts):
+    monkeypatch.setattr(compactwindows, "FEW", few)
+    monkeypatch.setattr(compactwindows, "REST", rest)
+    rows = []
+    for c in range(12):
+        passage = words(50, 100 + c).split()
+        held = [passage[:40], passage] * 3
+        rows += [(10 * c + i, f"{words(60, 1000 + 10 * c + i)} {' '.join(p)} {words(60, 2000 + 10 * c + i)}") for i, p in enumerate(held)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = {r.doc_id: r.class_id for r in compactwindows.substring_duplicates(docs).collect()}
+    assert got == {d: 10 * (d // 10) + 1 if d % 10 in (1, 3, 5) else d for d, _ in rows}
+
+
 # ---- 7 repeated bytes
 
 
