@@ -16,27 +16,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import settle
-from lattica.llm.groups import components, matrix, star_labels, whole_groups
+from lattica.llm.groups import components, forest, matrix, whole_groups
 from lattica.llm.rolling import U64, chunks, mix, shingle_sets
 
 TOKENS = 64
-#: Chance to meet a pair at the threshold in one run; a tree's first split gives 1 - 1/e, and deeper ones less.
-MET = 0.4
-SKETCHED = "doc_id long, n int, s1 long, s2 long, tokens binary, sketch binary"
+SKETCHED = "doc_id long, digest long, n int, s1 long, s2 long, tokens binary, sketch binary"
+
+
+def runs_needed(threshold: float, target: float, levels: int) -> int:
+    """Runs after which a pair at the threshold has met in one node at the deepest of ``levels`` splits with probability ``target``.
+
+    Each of its shared tokens is sampled with probability 1 / (threshold * 64), so a path that lives
+    one level more must find a child that lives all the rest.
+    """
+    shared, lives = threshold * TOKENS, 1.0
+    for _ in range(levels):
+        lives = 1 - (1 - lives / shared) ** shared
+    return math.ceil(math.log(1 - target) / math.log(1 - lives))
 
 
 def sketch(docs: DataFrame, k: int = 5) -> DataFrame:
-    """(doc_id, n, s1, s2, tokens, sketch): size and two 64-bit sums of each shingle set, 64 min-hashes, and one byte of each."""
+    """(doc_id, digest, n, s1, s2, tokens, sketch): hash of the text, size and two 64-bit sums of its shingle set, 64 min-hashes, and one byte of each."""
     rng = np.random.default_rng(7)
     factors = (rng.integers(0, 1 << 32, TOKENS, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, TOKENS, dtype=np.uint32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [(t or "").encode() for t in b.column(1).to_pylist()]
+            texts = [(t or "").encode() for t in b.column(2).to_pylist()]
             n, s1, s2 = np.zeros(len(texts), np.int32), np.zeros(len(texts), U64), np.zeros(len(texts), U64)
             tokens = np.zeros((len(texts), TOKENS), np.uint32)
             for i, j in chunks(texts):
@@ -56,9 +66,19 @@ def sketch(docs: DataFrame, k: int = 5) -> DataFrame:
                     tokens[i + full, t] = np.minimum.reduceat(x, starts)
             low = (tokens * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
             rows = lambda m: pa.array([x.tobytes() for x in m], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), rows(tokens), rows(low)], names=["doc_id", "n", "s1", "s2", "tokens", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), rows(tokens), rows(low)], names=["doc_id", "digest", "n", "s1", "s2", "tokens", "sketch"])
+
+    return identified(docs).mapInArrow(run, SKETCHED)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCHED)
+
+def identified(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, text): an id may stand for several texts, so both together name a document."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"), "text")
+
+
+def text_digest(text: Column) -> Column:
+    """64-bit hash of a text; a null counts as an empty one."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _descend(classes: DataFrame, runs: int, threshold: float) -> DataFrame:
@@ -105,25 +125,23 @@ def _bucket_pairs(buckets: DataFrame, threshold: float, slack: float = 0.18, few
                 b.append(reps[ok + d])
             for g in np.flatnonzero(size > few):
                 i, j = starts[g], starts[g] + size[g]
-                linked = np.zeros((j - i, j - i), bool)
-                for x in range(i, j):
-                    linked[x - i] = like(n[x], n[i:j], (sk[i:j] == sk[x]).sum(axis=1))
-                label = star_labels(linked)
+                near = lambda x, others, i=i: like(n[i + x], n[i + others], (sk[i + others] == sk[i + x]).sum(axis=1))
                 a.append(reps[i:j])
-                b.append(reps[i + label])
+                b.append(reps[i + forest(j - i, near)])
             cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([cat(a), cat(b)], names=["a", "b"])
 
     return buckets.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def candidates(classes: DataFrame, threshold: float = 0.8, target: float = 0.999, bucket: int = 4096, levels: int = 6) -> DataFrame:
+def candidates(classes: DataFrame, threshold: float = 0.8, target: float = 0.999, bucket: int = 4096, levels: int = 3) -> DataFrame:
     """Candidate edges (a, b) between classes (rep, n, tokens, sketch).
 
-    Nodes of more than ``bucket`` classes are split again, ``levels`` times at most; what is larger
-    still is dealt into blocks, and all blocks of such a node are compared with each other.
+    Nodes of more than ``bucket`` classes are split again, ``levels`` splits in all; what is larger
+    still is dealt into blocks, and all blocks of such a node are compared with each other. A pair at
+    the threshold meets with probability ``target``, and passes the sketches with 0.9998.
     """
-    runs = math.ceil(math.log(1 - target) / math.log(1 - MET))
+    runs = runs_needed(threshold, target, levels)
     nodes, found = _descend(classes.select("rep", "n", "tokens", "sketch"), runs, threshold), []
     for level in range(1, levels + 1):
         large = settle(nodes.groupBy("path").agg(F.count("*").alias("held")).where(F.col("held") > bucket))
@@ -146,10 +164,11 @@ def candidates(classes: DataFrame, threshold: float = 0.8, target: float = 0.999
     return out.distinct()
 
 
-def verify(docs: DataFrame, members: DataFrame, threshold: float = 0.8, k: int = 5, block: int = 384) -> DataFrame:
+def verify(docs: DataFrame, members: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
     """Exact links among the classes of each candidate component: (rep, links, root).
 
-    ``members``: (rep, copies, component, held, blocks).  Every pair of a component is compared once, in the task of
+    ``members``: (rep, doc_id, digest, copies, component, blocks), the second and third naming a document that has the
+    class's set. Every pair of a component is compared once, in the task of
     its pair of blocks; ``links`` adds up, over a rep's rows, the documents it is linked to, and
     (rep, root) are edges that span the linked classes.
     """
@@ -173,12 +192,13 @@ def verify(docs: DataFrame, members: DataFrame, threshold: float = 0.8, k: int =
                 linked = _linked(held, over, under) & (reps[i:j, None] != reps[None, i:j])
                 if b1[i] != b2[i]:
                     linked &= own[i:j, None] != own[None, i:j]
-                label = star_labels(linked)
-                for o, x in zip(out, (reps[i:j], linked @ copies[i:j], reps[i + label]), strict=True):
+                parent = forest(j - i, lambda x, others, linked=linked: linked[x, others])
+                for o, x in zip(out, (reps[i:j], linked @ copies[i:j], reps[i + parent]), strict=True):
                     o.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o), pa.int64()) for o in out], names=["rep", "links", "root"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members, "rep").dropDuplicates(["rep"])
+    texts = identified(docs)
+    found = texts.join(members, texts["doc_id"].eqNullSafe(members["doc_id"]) & (texts["digest"] == members["digest"])).dropDuplicates(["rep"])
     rows = found.select("text", "rep", "copies", "component", "blocks").mapInArrow(sets, "rep long, copies long, component long, blocks long, tokens binary")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
@@ -211,35 +231,47 @@ def _linked(held: list[np.ndarray], over: int, under: int, width: int = 8192) ->
     return linked
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, target: float = 0.999, block: int = 384) -> DataFrame:
-    """One row per document: doc_id, class_id, set_id, n_copies, n_links.
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, target: float = 0.999, block: int = 384, shingles: int = 250_000) -> DataFrame:
+    """One row per document: doc_id, digest, class_id, set_id, n_copies, n_links, first.
 
     ``set_id``: smallest doc_id with the same shingle set, of which there are ``n_copies``.
     ``n_links``: other documents, copies included, whose sets have at least the threshold.
-    ``class_id``: smallest doc_id of the component that these links make.
+    ``class_id``: smallest doc_id of the component that these links make. ``first``: whether the
+    document is the one of its class with the smallest doc_id, and among texts that share that id the
+    smallest ``digest``.
 
     A text of fewer than ``k`` words has one shingle; null texts and those without words stand alone,
-    with no links.  doc_id is the identity of a document: repeated rows count as copies.  Rows with a
-    null doc_id are linked through their copies only.  An empty table gives no rows; other columns are
-    not read.
+    with no links. A doc_id may repeat, with one text or several: every row counts as a document, and
+    texts are linked by what they hold, not by their id. Null ids come after all others; a class of
+    such rows alone has a null class_id. An empty table gives no rows; other columns are not read.
+
+    Blocks of a component hold about ``block`` classes or ``shingles`` shingles, which bounds a task's memory.
     """
     each = settle(sketch(docs, k))
+    name = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc_id"), F.col("digest").alias("digest"))
     classes = settle(
-        each.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
+        each.where("n > 0")
+        .groupBy("s1", "s2")
+        .agg(F.min(name).alias("name"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
+        .withColumn("rep", F.xxhash64("s1", "s2"))
     )
-    usable = classes.where("rep is not null")
-    parts = components(candidates(usable, threshold, target))
-    size = parts.groupBy("component").agg(F.count("*").alias("held"))
-    members = parts.join(size, "component").join(usable.select("rep", "copies"), parts["node"] == F.col("rep")).select("rep", "copies", "component", F.ceil(F.col("held") / block).alias("blocks"))
-    links = settle(verify(docs.where("doc_id is not null"), members, threshold, k, block))
+    parts = components(candidates(classes, threshold, target))
+    own = classes.select("rep", "name.doc_id", "name.digest", "copies", "n")
+    of = settle(parts.join(own, parts["node"] == F.col("rep")).select("rep", "doc_id", "digest", "copies", "n", "component"))
+    size = of.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / shingles)).alias("blocks"))
+    links = settle(verify(docs, of.drop("n").join(size, "component"), threshold, k))
     roots = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counted = links.groupBy("rep").agg(F.sum("links").alias("links")).join(roots, F.col("rep") == roots["node"], "left").select("rep", "links", "component")
-    known = classes.select("s1", "s2", "rep", "copies").join(counted, "rep", "left").select("s1", "s2", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))
+    linked = classes.select("s1", "s2", "rep", "name", "copies").join(counted, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    heads = linked.groupBy("component").agg(F.min("name").alias("head"))
+    known = linked.join(heads, "component").select("s1", "s2", "name", "copies", F.coalesce("links", F.lit(0)).alias("links"), "head")
     alone = F.col("n") == 0
-    return each.select("doc_id", "n", "s1", "s2").join(known, ["s1", "s2"], "left").select(
+    return each.select("doc_id", "digest", "n", "s1", "s2").join(known, ["s1", "s2"], "left").select(
         "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("class_id"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("rep")).alias("set_id"),
+        "digest",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("name.doc_id")).alias("set_id"),
         F.when(alone, F.lit(1)).otherwise(F.col("copies")).cast("long").alias("n_copies"),
         F.when(alone, F.lit(0)).otherwise(F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"),
+        (alone | (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("digest") == F.col("head.digest")))).alias("first"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,16 +51,22 @@ def matrix(column: pa.ChunkedArray, kind: str, width: int) -> np.ndarray:
     return np.frombuffer(a.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind).reshape(len(a), width)
 
 
-def star_labels(linked: np.ndarray) -> np.ndarray:
-    """Smallest index reachable from each row of a symmetric boolean matrix."""
-    label = np.arange(len(linked))
-    while True:
-        new = np.where(linked, label, len(linked)).min(axis=1, initial=len(linked))
-        new = np.minimum(label, new)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
+def forest(m: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """For each of ``m`` rows a row to which it is linked, or itself, so that these links span the components.
+
+    ``linked(x, others)`` says which others row x is linked to. A row that is reached is not asked for
+    again, so rows that hang together cost few calls; memory grows with ``m`` alone.
+    """
+    parent, unseen = np.arange(m), np.arange(m)
+    while len(unseen):
+        queue, unseen = [int(unseen[0])], unseen[1:]
+        while queue and len(unseen):
+            x = queue.pop()
+            hit = linked(x, unseen)
+            parent[unseen[hit]] = x
+            queue += unseen[hit].tolist()
+            unseen = unseen[~hit]
+    return parent
 
 
 def components(edges: DataFrame) -> DataFrame:

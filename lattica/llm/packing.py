@@ -3,13 +3,15 @@
 Each partition keeps a fixed number of open windows.  A document is placed where it fits best; if it
 fits nowhere, the fullest window is emitted, topped up first by a cut of the document where its gap
 is large.  What stays open at a partition's end is merged: the pieces of a few dozen partitions are
-placed anew by best fit in decreasing order.  Memory per task: one Arrow batch, the open windows, and
-in the merge ``open_windows * merge_width`` windows, whatever the input's size.
+placed anew by best fit in decreasing order.  Memory per task, whatever the input's size: one Arrow
+batch, the open windows, the ids of about a megabyte of text or of one longer text, the remembered
+words (300,000 of at most 32 letters, some 60 MB) and in the merge ``open_windows * merge_width`` windows.
 """
 
 from __future__ import annotations
 
 import bisect
+import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,68 +19,99 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lattica.llm.common import settle
+from lattica.llm.rolling import ranges
 
-#: Words whose ids a worker remembers, some 200 bytes each; past that it forgets all and starts anew.
-REMEMBER = 800_000
+#: Words whose ids a task remembers, and their greatest length in letters: at most some 300 bytes each. Past that it forgets
+#: those that it has not met among the last half of them.
+REMEMBER, LONG = 300_000, 32
+#: Characters of text that are tokenized together, beyond one text.
+TOGETHER = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "part"]
 
 
 @lru_cache(maxsize=1)
-def _tokenizer(path: str) -> tuple[Tokenizer, np.ndarray, dict[str, bytes]]:
-    """The tokenizer, which ids end a word, and the words known so far."""
+def _tokenizer(path: str) -> tuple[Tokenizer, np.ndarray, list[dict[str, bytes]]]:
+    """The tokenizer, which ids end a piece, and the words met of late and before that."""
     tokenizer = Tokenizer.from_file(path)
     ends = np.zeros(tokenizer.get_vocab_size(), bool)
     ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-    return tokenizer, ends, {}
+    return tokenizer, ends, [{}, {}]
 
 
-def _plain(word: str) -> tuple[str, str]:
-    """(word in lower case, comma or full stop after it): the tokenizer lower-cases and splits those itself."""
-    low = word.lower() if word and max(word) < "\u0130" else word
-    return (low[:-1], low[-1]) if low[-1:] in (".", ",") and low[:-1].isalpha() else (low, "")
+def _pieces(word: str) -> int:
+    """How many pieces the tokenizer cuts a plain word into: 1 for letters or marks, 2 for letters with marks after them; 0 for all that is not plainly that."""
+    letters = word.rstrip(MARKS)
+    if not letters:
+        return int(word != "")
+    return (1 + (len(letters) < len(word))) * (letters.isalpha() and max(letters) < PLAIN)
+
+
+#: Up to here letters keep their number and stay letters when they are lower-cased and composed.
+PLAIN = "\u0130"
+#: ASCII marks, of which the tokenizer keeps each run together.
+MARKS = string.punctuation
 
 
 def _learn(words: list[str], tokenizer: Tokenizer, ends: np.ndarray, known: dict[str, bytes]) -> None:
-    """Add the ids of ``words`` to ``known``. Words of letters alone are encoded in one go and cut where an id ends a word."""
-    plain = {w: _plain(w) for w in words}
-    new = {x for x, _ in plain.values() if x not in known} | {x for _, x in plain.values() if x and x not in known}
-    letters = [x for x in new if x.isalpha()]
-    for i in range(0, len(letters), 4096):
-        ids = np.array(tokenizer.encode(" ".join(letters[i : i + 4096]), add_special_tokens=False).ids, "<u4")
-        cut = np.flatnonzero(ends[ids]) + 1
-        if len(cut) == len(letters[i : i + 4096]):
-            for x, start, end in zip(letters[i : i + 4096], [0, *cut[:-1]], cut, strict=True):
-                known[x] = ids[start:end].tobytes()
-    rest = [x for x in new if x not in known]
-    for i in range(0, len(rest), 4096):
-        for x, e in zip(rest[i : i + 4096], tokenizer.encode_batch_fast(rest[i : i + 4096], add_special_tokens=False), strict=True):
-            known[x] = np.array(e.ids, "<u4").tobytes()
-    for w, (x, tail) in plain.items():
-        known[w] = known[x] + known[tail] if tail else known[x]
+    """Add the ids of ``words`` to ``known``. Plain words are encoded together and cut where ids end their pieces; all others go to the tokenizer whole."""
+    counts = [_pieces(w) for w in words]
+    plain, expected = [w for w, n in zip(words, counts, strict=True) if n], np.array([n for n in counts if n], np.int64)
+    rest = [w for w, n in zip(words, counts, strict=True) if not n]
+    groups = [" ".join(plain[i : i + 256]) for i in range(0, len(plain), 256)]
+    for i, e in zip(range(0, len(plain), 256), tokenizer.encode_batch_fast(groups, add_special_tokens=False), strict=True):
+        ids = np.array(e.ids, "<u4")
+        cut, last = np.flatnonzero(ends[ids]) + 1, np.cumsum(expected[i : i + 256])
+        if len(cut) != last[-1]:
+            rest += plain[i : i + 256]
+            continue
+        body, at = ids.tobytes(), 0
+        for w, to in zip(plain[i : i + 256], (4 * cut[last - 1]).tolist(), strict=True):
+            known[w] = body[at:to]
+            at = to
+    for i in range(0, len(rest), 256):
+        for w, e in zip(rest[i : i + 256], tokenizer.encode_batch_fast(rest[i : i + 256], add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, "<u4").tobytes()
 
 
 def tokenize(texts: list[str], path: str, end: int) -> list[np.ndarray]:
     """Ids of each text, then ``end``.
 
     The tokenizer never joins across white space, so each blank-separated word is encoded once and
-    remembered; a text's ids are those of its words, one after another.
+    remembered, unless it is long; a text's ids are those of its words, one after another.
     """
-    tokenizer, ends, known = _tokenizer(path)
+    tokenizer, ends, memory = _tokenizer(path)
+    known, before = memory
     split = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list({w for ws in split for w in ws if w not in known})
-    if len(known) + len(new) > REMEMBER:
-        known.clear()
-        new = list({w for ws in split for w in ws})
-    _learn(new, tokenizer, ends, known)
+    words = set().union(*split)
+    if len(known) + len(words) > REMEMBER // 2:
+        before, known = memory[:] = known, {}
+    here, new = {}, []
+    for w in words:
+        if (ids := known.get(w) or before.get(w)) is None:
+            new.append(w)
+        else:
+            here[w] = ids
+    _learn(new, tokenizer, ends, here)
+    known.update(here)
     last = np.array([end], "<u4").tobytes()
-    return [np.frombuffer(b"".join([*map(known.__getitem__, ws), last]), "<u4") for ws in split]
+    out = [np.frombuffer(b"".join([*map(here.__getitem__, ws), last]), "<u4") for ws in split]
+    for w in new:
+        if len(w) > LONG:
+            del known[w]
+    return out
+
+
+def forget(path: str) -> None:
+    """Drop what this worker remembers, which outlives its task."""
+    _tokenizer(path)[2][:] = {}, {}
 
 
 class OpenWindows:
@@ -177,13 +210,15 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 2, op
             return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array([part if is_open else -1] * len(pieces), pa.int32())], names=NAMES)
 
         for b in batches:
-            for i in range(0, len(b), 256):
-                ids, texts = (b.column(c).slice(i, 256).to_pylist() for c in (0, 1))
+            sizes = [n or 0 for n in pc.binary_length(b.column(1)).to_pylist()]
+            for i, j in ranges(sizes, TOGETHER):
+                ids, texts = (b.column(c).slice(i, j - i).to_pylist() for c in (0, 1))
                 for doc, tokens in zip(ids, tokenize([t or "" for t in texts], tokenizer, end), strict=True):
                     windows.add(doc, tokens)
             if windows.out:
                 yield rows(windows.out, False)
                 windows.out = []
+        forget(tokenizer)
         yield rows(windows.rest(), True)
 
     def merge(pieces: pa.Table) -> pa.Table:

@@ -66,7 +66,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chosenpath.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, k=5)
+    return chosenpath.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, k=5).drop("digest")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

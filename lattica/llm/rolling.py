@@ -44,16 +44,21 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def chunks(texts: list[bytes], limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts of about ``limit`` bytes together; a longer text stands alone."""
+def ranges(sizes: list[int], limit: int, most: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive entries, ``most`` at most, of about ``limit`` together; a larger one stands alone."""
     start = total = 0
-    for i, t in enumerate(texts):
-        if total and total + len(t) > limit:
+    for i, n in enumerate(sizes):
+        if i > start and (total + n > limit or i - start == most):
             yield start, i
             start, total = i, 0
-        total += len(t) + 1
-    if start < len(texts):
-        yield start, len(texts)
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def chunks(texts: list[bytes], limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts, 65,536 at most, of about ``limit`` bytes together; a longer text stands alone."""
+    return ranges([len(t) + 1 for t in texts], limit)
 
 
 def buffer_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

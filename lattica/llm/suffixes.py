@@ -1,13 +1,12 @@
-"""Removal of repeated byte strings by induced sorting of sampled suffixes.
+"""Removal of repeated byte strings by hashed samples of suffixes.
 
-A string of ``width`` bytes is repeated if it also starts earlier.  Sorting every suffix would move an
-order of magnitude more than the texts, so only sampled suffixes are sorted: in every window of
-``width`` bytes the 32-byte word of smallest hash marks one, so equal windows mark the same place, as
-local minima do in induced sorting.  Each sample carries a tuple (name of its word, name of its
-context, document, first and last window that it stands for); Spark's spilling sort is the
-disk-backed queue that brings equal names together.  The order of the unsampled starts is then induced
-from their sample: where the whole contexts agree all windows are settled at once, and only where
-contexts of one name differ are the windows themselves compared, byte by byte.
+A string of ``width`` bytes is repeated if it also starts earlier.  A suffix order of every byte would
+move some thirty times the (compressed) texts, so no suffix array is built: in every window of
+``width`` bytes the 32-byte word of smallest hash marks one place, so equal windows mark the same
+place, as local minima do in induced sorting.  Each sample carries a tuple (hash of its word, hash of
+its context, document, first and last window that it stands for); Spark's spilling sort brings equal
+words together.  Where whole contexts agree all their windows are settled at once, and only where
+contexts of one word differ are the windows themselves compared, byte by byte.
 
 Every task drops what it can decide alone (a later copy of something it holds) before the shuffle,
 so a passage in a third of all documents costs one tuple a task.
@@ -21,13 +20,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lattica.llm.common import settle
 from lattica.llm.groups import whole_groups
 from lattica.llm.rolling import BASE, INVERSE, U64, buffer_of, chunks, mix, powers
 
-#: Bytes of the word at a sample, and contexts of one name that a task compares together; more are compared window by window.
+#: Bytes of the word at a sample, and contexts of one name that are compared in one group; the windows of more go in groups of their own.
 WORD_BYTES, TOGETHER = 32, 512
+#: Longer texts are read in parts of so many bytes, which overlap so that each window lies in one part.
+PART = 1 << 22
+#: The lower bits of a sample's key hold its place, the upper ones its hash, whatever the size of the batch: words that tie
+#: there mark the first of them in every copy alike.
+PLACE = U64((1 << 32) - 1)
 _BYTE = mix(np.arange(256, dtype=U64) + U64(0x1234567))
 
 
@@ -52,8 +57,7 @@ def samples(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
         h = h[: n - 2 * size + 1] * U64(pow(BASE, size, 1 << 64)) + h[size : n - size + 1]
         size *= 2
     h = mix(h)
-    bits = U64((1 << n.bit_length()) - 1)
-    key = (h & ~bits) | np.arange(len(h), dtype=U64)
+    key = (h & ~PLACE) | np.arange(len(h), dtype=U64)
     low, size = key, 1
     while 2 * size <= span:
         low = np.minimum(low[: len(low) - size], low[size:])
@@ -63,7 +67,7 @@ def samples(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     valid = np.flatnonzero(np.arange(len(low)) + width <= np.repeat(starts + lengths, lengths + 1)[: len(low)])
     if not len(valid):
         return tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, U64, U64))
-    at = (low[valid] & bits).astype(np.int64)
+    at = (low[valid] & PLACE).astype(np.int64)
     new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (np.diff(valid) != 1))))
     first, last, at = valid[new], valid[np.append(new[1:], len(valid)) - 1], at[new]
     of = np.searchsorted(starts, first, side="right") - 1
@@ -125,11 +129,14 @@ def _sampled(docs: DataFrame, width: int, hold: int = 500_000) -> DataFrame:
 
         for b in batches:
             texts = [(t or "").encode() for t in b.column(1).to_pylist()]
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for i, j in chunks(texts, 1 << 18):
-                of, *rest = samples(texts[i:j], width)
+            parts = [(i, at, t[at : at + PART + width - 1]) for i, t in enumerate(texts) for at in range(0, max(1, len(t) - width + 1), PART)]
+            which, base = (np.array([p[c] for p in parts], np.int64) for c in (0, 1))
+            ids = b.column(0).to_numpy(zero_copy_only=False)[which]
+            bodies = [p[2] for p in parts]
+            for i, j in chunks(bodies, 1 << 18):
+                of, first, last, word, context = samples(bodies[i:j], width)
                 if len(of):
-                    held.append((ids[i:j][of], *rest))
+                    held.append((ids[i:j][of], first + base[i:j][of], last + base[i:j][of], word, context))
                 if sum(len(x[0]) for x in held) > hold:
                     yield from flush()
         if held:
@@ -138,6 +145,23 @@ def _sampled(docs: DataFrame, width: int, hold: int = 500_000) -> DataFrame:
     return docs.mapInArrow(run, TUPLES)
 
 
+def _same_bytes(data: np.ndarray, width: int, group: np.ndarray, place: np.ndarray, name: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which windows also start earlier in their group: equal in name to the first of that name, and byte for byte."""
+    order = np.lexsort((start, doc, name, group))
+    same = np.zeros(len(order), bool)
+    same[1:] = (group[order][1:] == group[order][:-1]) & (name[order][1:] == name[order][:-1])
+    head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+    x, y = order[same], head[same]
+    later = (doc[x] != doc[y]) | (start[x] != start[y])
+    x, y = x[later], y[later]
+    views = np.lib.stride_tricks.sliding_window_view(data, width)
+    found = np.zeros(len(order), bool)
+    for low in range(0, len(x), 1 << 16):
+        p, q = x[low : low + (1 << 16)], y[low : low + (1 << 16)]
+        found[p] = (views[place[p]] == views[place[q]]).all(axis=1)
+    return found
+
+
 def _induce(tuples: DataFrame, width: int) -> DataFrame:
     """Over tuples sorted by name: cuts of contexts that also start earlier, and, where one name has several contexts, each one's first for comparison (``held``: how many)."""
 
@@ -188,7 +212,7 @@ def _contexts(rows: DataFrame, width: int) -> DataFrame:
                 at = starts[of] + shift
                 name = _hash(_prefix_sums(data), at, at + width)
                 doc, first = np.array([m[0] for m in many])[of], np.array([m[1] for m in many])[of] + shift
-                later = _later([name], doc, first)
+                later = _same_bytes(data, width, np.zeros(len(of), np.int64), at, name, doc, first)
                 out += [(True, int(d), int(d), int(a), int(z), b"") for d, a, z in zip(*_merged(doc[later], first[later], first[later] + width), strict=True)]
                 for x in np.flatnonzero(~later):
                     out.append((False, int(name[x].view(np.int64)), int(doc[x]), int(first[x]), int(first[x]), many[of[x]][3][shift[x] : shift[x] + width]))
@@ -223,18 +247,8 @@ def _compare(contexts: DataFrame, width: int) -> DataFrame:
                 shift = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
                 place = starts[of] + shift
                 name, g, d, s = _hash(_prefix_sums(data), place, place + width), group[r][of], doc[r][of], first[r][of] + shift
-                order = np.lexsort((s, d, name, g))
-                same = np.zeros(len(order), bool)
-                same[1:] = (g[order][1:] == g[order][:-1]) & (name[order][1:] == name[order][:-1])
-                head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-                x, y = order[same], head[same]
-                later = (d[x] != d[y]) | (s[x] != s[y])
-                x, y = x[later], y[later]
-                views = np.lib.stride_tricks.sliding_window_view(data, width)
-                for low in range(0, len(x), 1 << 16):
-                    p, q = x[low : low + (1 << 16)], y[low : low + (1 << 16)]
-                    ok = p[(views[place[p]] == views[place[q]]).all(axis=1)]
-                    kept.append((d[ok], s[ok], s[ok] + width))
+                ok = _same_bytes(data, width, g, place, name, d, s)
+                kept.append((d[ok], s[ok], s[ok] + width))
             d, a, z = _merged(*(np.concatenate(x) for x in zip(*kept, strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))], names=["doc_id", "first", "last"])
 
@@ -245,26 +259,35 @@ def _compare(contexts: DataFrame, width: int) -> DataFrame:
 CUT = "doc_id long, n_bytes long, n_removed long, spans array<struct<first:int,last:int>>, kept binary, kept_text string"
 
 
-def repeated_bytes(docs: DataFrame, width: int = 100) -> DataFrame:
+def repeated_bytes(docs: DataFrame, width: int = 100, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, spans (maximal removed runs, [first, last) in bytes), kept (the other bytes),
-    kept_text (those as text, without characters of which a part was cut; null for a null text).
+    kept_text (those as text, without characters of which a part was cut; null for a null text), and the columns in ``keep``.
 
     A byte goes if a string of ``width`` bytes that covers it also starts earlier: in a document of
     smaller doc_id or at an earlier place of the same one. Strings never cross documents and are
-    judged on the input. Null texts count as empty; texts of fewer than ``width`` bytes stay whole.
-    Rows that share a doc_id count as one document, so a repeated row does not remove itself, and
-    each row is returned. Rows with a null doc_id have no place in the order and stay whole. An empty
-    table gives no rows; other columns are not read.
+    judged on the input. Whole contexts of one word are equal if their 64-bit hashes are, all else is
+    compared byte by byte. Null texts count as empty; texts of fewer than ``width`` bytes stay whole.
+    Rows that repeat a doc_id and its text count as one document, so a repeated row does not remove
+    itself, and each row is returned. Rows with a null doc_id, or one that stands for several texts,
+    have no place in the order: they stay whole and remove nothing. An empty table gives no rows;
+    other columns are not read.
     """
     # Without a cast where none is needed: a renamed column would keep the two scans of `known` from sharing a shuffle.
     is_long = dict(docs.dtypes)["doc_id"] == "bigint"
-    texts = docs.select("doc_id", "text") if is_long else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = texts.where("doc_id is not null")
-    found = settle(_induce(_sampled(known, width), width))
+    texts = docs.select("doc_id", "text", *keep) if is_long else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
+    known, alone = texts.where("doc_id is not null"), texts.where("doc_id is null")
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = settle(known.groupBy("doc_id").agg(F.min(hashed).alias("a"), F.max(hashed).alias("b")).where("a <> b").select("doc_id"))
+    if not several.isEmpty():
+        alone = alone.union(known.join(several, "doc_id", "left_semi").select(texts.columns))
+        known = known.join(several, "doc_id", "left_anti").select(texts.columns)
+    found = settle(_induce(_sampled(known.select("doc_id", "text"), width), width))
     heads = found.where("held > 0").groupBy("doc_id").agg(F.collect_list(F.struct("key", "first", "last", "held")).alias("heads"))
     compared = _compare(_contexts(known.join(heads, "doc_id").select("doc_id", "text", "heads"), width), width)
     cuts = found.where("held = 0").select("doc_id", "first", "last").union(compared)
     spans = cuts.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("cuts"))
+    schema = StructType.fromDDL(CUT)
+    kept_fields = [f for f in texts.schema.fields if f.name in keep]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -282,8 +305,9 @@ def repeated_bytes(docs: DataFrame, width: int = 100) -> DataFrame:
                 rows.append((len(body), len(body) - len(kept), [{"first": a, "last": z} for a, z in merged], kept, None if text is None else "".join(x.decode(errors="ignore") for x in pieces)))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "spans", "kept", "kept_text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), *b.columns[3:]], names=[*schema.names, *(f.name for f in kept_fields)])
 
     # `known` meets `heads` and `spans` under the same plan, so its texts are shuffled once for both.
-    alone = texts.where("doc_id is null").withColumn("cuts", F.lit(None).cast("array<struct<first:int,last:int>>"))
-    return known.join(spans, "doc_id", "left").unionByName(alone).mapInArrow(cut, CUT)
+    rest = alone.withColumn("cuts", F.lit(None).cast("array<struct<first:int,last:int>>"))
+    rows = known.join(spans, "doc_id", "left").unionByName(rest).select("doc_id", "text", "cuts", *(f.name for f in kept_fields))
+    return rows.mapInArrow(cut, StructType([*schema.fields, *kept_fields]))

@@ -326,7 +326,7 @@ def test_repeated_bytes_exactly(spark, monkeypatch, together):
 
 
 def test_repeated_bytes_edges(spark, edge_docs, no_docs):
-    docs = edge_docs.select("doc_id", F.substring("text", 1, 40_000).alias("text")).unionByName(spark.createDataFrame([(20, "a" * 5000), (21, "ab" * 60), (22, "a" * 99)], "doc_id long, text string"))
+    docs = edge_docs.select("doc_id", "text").unionByName(spark.createDataFrame([(20, "a" * 5000), (21, "ab" * 60), (22, "a" * 99)], "doc_id long, text string"))
     want = brute_repeats([(r.doc_id, r.text) for r in docs.collect()])
     rows = suffixes.repeated_bytes(docs).collect()
     assert len(rows) == docs.count()
@@ -338,6 +338,26 @@ def test_repeated_bytes_edges(spark, edge_docs, no_docs):
     assert suffixes.repeated_bytes(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("part", [1 << 22, 300])
+def test_repeated_bytes_under_ties(spark, monkeypatch, part):
+    """Hashes that tie in nearly all bits, parts far shorter than the texts, tasks of one text and of all."""
+    monkeypatch.setattr(suffixes, "PART", part)
+    monkeypatch.setattr(suffixes, "PLACE", suffixes.U64((1 << 62) - 1))
+    base = words(400, 80)
+    docs = spark.createDataFrame([(i, base[7 * i : 900 + 11 * i] + words(60, 200 + i)) for i in range(30)], "doc_id long, text string")
+    want = brute_repeats([(r.doc_id, r.text) for r in docs.collect()])
+    for tasks in (1, 30):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffixes.repeated_bytes(docs.repartition(tasks)).collect()}
+        assert got == want
+
+
+def test_an_id_with_several_texts_stays_whole(spark):
+    a, b = words(80, 81), words(80, 82)
+    docs = spark.createDataFrame([(1, a, "x"), (1, b, "y"), (2, a, "z"), (3, a, "w")], "doc_id long, text string, spans string")
+    got = sorted((r.doc_id, r.n_removed) for r in suffixes.repeated_bytes(docs).collect())
+    assert got == [(1, 0), (1, 0), (2, 0), (3, len(a))]
+
+
 # ---- 8 top-k
 
 
@@ -404,18 +424,51 @@ def test_similarity_join_exactly(spark, monkeypatch, bucket):
     near = [(1000 + i, " ".join([*base[: 3 * i], "x" * (i + 1), *base[3 * i + 1 :]])) for i in range(20)]
     docs = docs.unionByName(spark.createDataFrame(near, "doc_id long, text string")).coalesce(2)
     whole = chosenpath.candidates
-    monkeypatch.setattr(chosenpath, "candidates", lambda c, t, g: whole(c, t, 0.99999, bucket=bucket, levels=2))
+    monkeypatch.setattr(chosenpath, "candidates", lambda c, t, g: whole(c, t, g, bucket=bucket))
     got = {r.doc_id: (r.class_id, r.n_links) for r in chosenpath.near_duplicates(docs, block=8).collect()}
     assert got == brute_join([(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()])
 
 
+def test_similarity_join_recall_at_the_threshold(spark):
+    """Pairs of 0.80 to 0.86, each alone, at the registered parameters; nodes split down to the last level."""
+    rng, docs, wanted = np.random.default_rng(3), [], 0
+    for i in range(400):
+        a = words(100, 5000 + i).split()
+        b = list(a)
+        for j in rng.choice(20, 2, replace=False):
+            b[5 * int(j)] = f"new{j}"
+        x, y = (set(zip(*(t[n:] for n in range(5)), strict=False)) for t in (a, b))
+        wanted += 0.8 <= len(x & y) / len(x | y) <= 0.87
+        docs += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    classes = chosenpath.sketch(frame).withColumnRenamed("doc_id", "rep")
+    for bucket in (4096, 8):
+        pairs = {(min(r.a, r.b), max(r.a, r.b)) for r in chosenpath.candidates(classes, bucket=bucket).collect()}
+        assert wanted > 300 and sum((2 * i, 2 * i + 1) in pairs for i in range(400)) >= 0.995 * 400
+    brute = brute_join(docs)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in chosenpath.near_duplicates(frame).collect()}
+    assert sum(got[d] == brute[d] for d in brute) >= 0.995 * len(brute)
+
+
+def test_runs_meet_the_target_at_every_depth():
+    assert [chosenpath.runs_needed(0.8, 0.999, n) for n in (1, 2, 3)] == [7, 11, 15]
+
+
 def test_similarity_join_edges(spark, edge_docs, no_docs):
     got = [(r.doc_id, r.class_id, r.n_links) for r in chosenpath.near_duplicates(edge_docs).collect()]
     assert len(got) == edge_docs.count()
-    assert {(1, 1, 3), (2, 1, 3), (3, 1, 3), (None, 1, 3), (4, 4, 0), (5, 5, 0), (6, 6, 0), (7, 7, 1), (8, 7, 1), (9, 9, 1), (13, 13, 0)} <= set(got)
+    assert {(1, 1, 3), (2, 1, 3), (3, 1, 3), (None, 1, 3), (4, 4, 0), (5, 5, 0), (6, 6, 0), (7, 7, 1), (8, 7, 1), (9, 9, 1), (13, 13, 0), (None, None, 0)} <= set(got)
     assert chosenpath.near_duplicates(no_docs).count() == 0
 
 
+def test_one_id_with_several_texts_links_neither(spark):
+    a, b = words(80, 70), words(80, 71)
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b), (None, words(50, 72)), (None, words(50, 72))], "doc_id long, text string")
+    got = chosenpath.near_duplicates(docs).collect()
+    assert sorted((r.doc_id or 0, r.class_id or 0, r.n_links, r["first"]) for r in got) == [(0, 0, 1, True), (0, 0, 1, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+    assert len({r.digest for r in got if r["first"]}) == 3
+
+
 # ---- contract
 
 

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from test_llm import brute_contamination, brute_join, check_pieces
+from test_llm import brute_contamination, brute_join, check_pieces, words
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
@@ -57,6 +57,14 @@ def test_stage_edges(spark, edge_docs, no_docs, name, stage):
     assert stage(spark, no_docs, SMALL).count() == 0
 
 
+def test_texts_that_share_an_id_stay(spark):
+    docs = spark.createDataFrame([(1, words(80, 1)), (1, words(80, 2)), (2, words(80, 1)), (3, words(80, 2)), (1, words(80, 1))], "doc_id long, text string")
+    kept = P.drop_near_copies(spark, docs, SMALL)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, words(80, 1)), (1, words(80, 2))])
+    cut = P.cut_repeats(spark, kept, SMALL)
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, kept.collect()))
+
+
 def test_last_stage_edges(spark, edge_docs, no_docs):
     assert P.pack(spark, edge_docs, SMALL).agg(F.sum("length")).first()[0] > 0
     assert P.pack(spark, no_docs, SMALL).count() == 0
