@@ -361,19 +361,51 @@ def test_an_id_with_several_texts_stays_whole(spark):
 # ---- 8 top-k
 
 
-def test_top_k_edges(spark):
+def brute_top_k(rows, k, every=20):
+    """Rows (query_id, rank, vec_id, score) by Python's integers, each query row for itself."""
+    vec = [(i, [int(np.floor(64 * float(x))) for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
+    out = []
+    for q, x in vec:
+        if q % every == 0:
+            found = sorted((-sum(a * b for a, b in zip(x, y, strict=False)), c) for c, y in vec if c != q)[:k]
+            out += [(q, i + 1, c, -s) for i, (s, c) in enumerate(found)]
+    return sorted(out)
+
+
+def run_top_k(spark, rows, k, kind="double", **blocks):
+    v = topk.integer_rows(spark.createDataFrame([(*r, "x", 1) for r in rows], f"vec_id long, embedding array<{kind}>, terms string, score int"))
+    return sorted(tuple(r) for r in topk.top_k(v.where("vec_id % 20 = 0"), v, k=k, **blocks).collect())
+
+
+@pytest.mark.parametrize("blocks", [{}, {"query_block": 1, "candidate_block": 2}])
+def test_top_k_edges(spark, blocks):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, -0.5, 0.0]), (1, [1.0, -0.5, 0.0]), (20, [0.02, 0.5, -1.0]), (3, None), (4, [1.0, None, 0.0]), (5, [nan, 0.0, 0.0]), (6, [inf, 0.0, 0.0]), (None, [1.0, 1.0, 1.0]), (40, [0.0, 0.0, 0.0]), (7, [2.0, -1.0, 3.0]), (8, [1e30, 0.0, 0.0]), (9, [])]
-    v = topk.integer_rows(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-    vec = {i: [max(-topk.CLAMP, min(topk.CLAMP, int(np.floor(64 * float(np.float32(x)))))) for x in e] for i, e in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)}
-    want = []
-    for q in vec:
-        if q % 20 == 0:
-            s = sorted((-sum(a * b for a, b in zip(vec[q], vec[c], strict=False)), c) for c in vec if c != q)[:3]
-            want += [(q, i + 1, c, -x) for i, (x, c) in enumerate(s)]
-    got = [tuple(r) for r in topk.top_k(v.where("vec_id % 20 = 0"), v, k=3, query_block=1, candidate_block=2).collect()]
-    assert sorted(got) == sorted(want)
-    assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
+    rows = [(0, [1.0, -0.5, 0.0]), (1, [1.0, -0.5, 0.0]), (20, [0.02, 0.5, -1.0]), (3, None), (4, [1.0, None, 0.0]), (5, [nan, 0.0, 0.0]), (6, [inf, 0.0, 0.0]), (None, [1.0, 1.0, 1.0]), (40, [0.0, 0.0, 0.0]), (7, [2.0, -1.0, 3.0]), (9, [])]
+    assert run_top_k(spark, rows, 3, **blocks) == brute_top_k(rows, 3)
+    assert run_top_k(spark, rows[3:4], 3, **blocks) == []
+
+
+def test_top_k_is_exact_for_large_components(spark):
+    for one in (8388608.0, 2.0**40):
+        rows = [(0, [1.0, 2.0]), (1, [one, 0.0]), (2, [5000000.0, 0.0]), (3, [4194304.0, 0.1]), (4, [-one, one]), (20, [0.5, 300.0])]
+        assert run_top_k(spark, rows, 5) == brute_top_k(rows, 5)
+    beside = [(0, [0.0, 1.0]), (1, [1e30, 2.0]), (2, [-1e30, 3.0])]  # a weight that no long holds, met by none
+    assert run_top_k(spark, beside, 5) == brute_top_k(beside, 5) == [(0, 1, 2, 12288), (0, 2, 1, 8192)]
+    with pytest.raises(Exception, match="range of a long"):
+        run_top_k(spark, [(0, [1e30]), (1, [1e30])], 5)
+
+
+def test_top_k_with_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    rows = [(20, [1.0, 0.0])] * 25 + [(i, rng.normal(size=2).tolist()) for i in range(1, 20)] + [(7, [9.0, 9.0])] * 3 + [(40, [1.0, 1.0]), (40, [-1.0, 0.5])]
+    assert run_top_k(spark, rows, 5) == brute_top_k(rows, 5)
+    assert run_top_k(spark, rows, 5, query_block=4, candidate_block=8) == brute_top_k(rows, 5)
+
+
+def test_top_k_of_long_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=5000) * (rng.random(5000) < 0.1)).tolist()) for i in range(0, 60, 3)]
+    assert run_top_k(spark, rows, 4) == brute_top_k(rows, 4)
 
 
 # ---- 9 licences
