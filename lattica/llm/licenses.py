@@ -1,9 +1,12 @@
 """Licence scan by diagonal voting; DataFrame functions only.
 
-Every pair of neighbouring words of a document is hashed and joined to its places in the templates.
-A match votes for the diagonal (document place minus template place).  Neighbouring diagonals of one
-template merge, so that a few inserted or lost words do not split a span, and a span counts if it
-covers enough of its template.  The pairs themselves are compared word by word in the join.
+Every pair of neighbouring words of a document is hashed and joined to its places in the templates;
+the join also compares the words.  A match votes for the diagonal (document place minus template
+place).  Neighbouring diagonals of one template merge: around each diagonal a band of ``DRIFT`` to
+either side counts as one span, so that a few inserted or lost words do not split it and no span
+drifts further.  A span is then verified: of each template place only the first match in the band
+counts, and only if it stands behind those of all places before it.  A notice is found where enough
+of its places are verified so and no overlapping notice has a larger share.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ NOTICES = [
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
-#: Diagonals at most this far apart merge; share of a notice's pairs that a span must have.
+#: Diagonals at most this far from a span's own merge into it; share of a notice's places that must be verified.
 DRIFT, COVER = 3, 0.8
 
 
@@ -59,34 +62,50 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases=PH
 
     Columns: doc_id, n_words, n_base (places of all phrases), first_word, last_word (smallest and
     largest start of a phrase, from 0; null if none), base_labels, labels (distinct, sorted, joined by
-    commas), score (the best share of a template's pairs in one span, 0 to 1), spans (array of
-    struct(label, start, end, share) of what was found).
+    commas), score (the largest share of a template's places in what was found, 0 to 1; 0 if nothing),
+    spans (array of struct(label, start, end, share) of what was found).
 
-    Null and empty texts have no words and score 0. Repeated rows and null doc_ids get a row each; an
-    empty table gives no rows; other columns are not read.
+    Of overlapping notices that with the larger share stays, then the longer, the one listed first,
+    the earlier; phrases all count. Null and empty texts have no words and score 0. Repeated rows and
+    null doc_ids get a row each; an empty table gives no rows; other columns are not read.
     """
     known = templates(docs.sparkSession, phrases, notices)
-    sentinel = docs.sparkSession.range(1).select(F.lit(-1).alias("template"), F.lit("").alias("label"), F.lit(False).alias("base"), F.lit(1).alias("pairs"), F.lit(0).alias("place"), F.lit("").alias("first"), F.lit("").alias("second"), F.lit(0).cast("long").alias("hash"))
+    sentinel = docs.sparkSession.range(1).select(F.lit(-1).alias("template"), F.lit("").alias("label"), F.lit(True).alias("base"), F.lit(1).alias("pairs"), F.lit(0).alias("place"), F.lit("").alias("first"), F.lit("").alias("second"), F.lit(0).cast("long").alias("hash"))
     known = F.broadcast(known.unionByName(sentinel))  # a few hundred rows, from constants
+    reach = max(len(text.split(" ")) for _, text in [*phrases, *notices]) + 2 * DRIFT
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), words_of(F.col(text)).alias("w")).withColumn("n_words", F.size("w"))
     pairs = rows.select("*", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), _pair_hashes(F.col("w")))).alias("at", "pair"))
     same = (F.col("template") < 0) | ((F.get("w", F.col("at") - 1) == F.col("first")) & (F.get("w", F.col("at")) == F.col("second")))
-    key = ["row", "doc_id", "n_words"]
-    votes = pairs.join(known, (F.col("pair") == F.col("hash")) & same).groupBy(*key, "template", "label", "base", "pairs", (F.col("at") - 1 - F.col("place")).alias("diagonal")).agg(F.count("*").alias("votes"))
-    # A phrase must be whole, on one diagonal; for a notice, neighbouring diagonals merge.
-    order = Window.partitionBy(*key, "template").orderBy("diagonal")
-    apart = (F.col("base") | (F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order), F.lit(DRIFT + 1)) > DRIFT)).cast("int")
-    spans = votes.withColumn("apart", apart).withColumn("island", F.sum("apart").over(order)).groupBy(*key, "template", "label", "base", "pairs", "island").agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("start"), F.max("diagonal").alias("last"))
-    share = F.least(F.lit(1.0), F.round(F.col("votes") / F.col("pairs"), 6))
-    spans = spans.withColumn("share", F.when(F.col("template") < 0, 0.0).otherwise(share)).withColumn("found", F.when(F.col("base"), F.col("votes") == F.col("pairs")).otherwise(F.col("share") >= COVER))
-    place = F.col("base") & F.col("found")
+    key, span = ["row", "doc_id", "n_words"], ["template", "label", "base", "pairs"]
+    votes = pairs.join(known, (F.col("pair") == F.col("hash")) & same).select(*key, *span, "place", (F.col("at") - 1).alias("spot"))
+    # A phrase must be whole, on one diagonal; a vote for a notice counts in all bands that hold its diagonal. All that follows stays in one row's partition.
+    band = F.when(F.col("base"), F.array(F.lit(0))).otherwise(F.sequence(F.lit(-DRIFT), F.lit(DRIFT)))
+    banded = votes.repartition("row").select("*", F.explode(band).alias("shift")).withColumn("diagonal", F.col("spot") - F.col("place") + F.col("shift"))
+    first = banded.groupBy(*key, *span, "diagonal", "place").agg(F.min("spot").alias("spot"))
+    before = Window.partitionBy(*key, *span, "diagonal").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = first.withColumn("fits", F.col("spot") > F.coalesce(F.max("spot").over(before), F.lit(-2)))
+    verified = ordered.where("fits").groupBy(*key, *span, "diagonal").agg(F.count("*").alias("matched"), F.min("spot").alias("start"), (F.max("spot") + 2).alias("end"))
+    share = F.round(F.col("matched") / F.col("pairs"), 6)
+    found = F.when(F.col("template") < 0, True).when(F.col("base"), F.col("matched") == F.col("pairs")).otherwise(share >= COVER)
+    best = verified.where(found).groupBy(*key, *span, "start").agg(F.max(F.struct("matched", -F.col("end"))).alias("m")).select(*key, *span, "start", F.col("m.matched").alias("matched"), (-F.col("m.col2")).alias("end"))
+    rank = F.struct(share.alias("share"), "pairs", (-F.col("template")).alias("template"), (-F.col("start")).alias("start"))
+    near = Window.partitionBy(*key).orderBy("start").rangeBetween(-reach, reach)
+    notice = ~F.col("base")
+    rivals = best.withColumn("share", F.when(F.col("template") < 0, 0.0).otherwise(share)).withColumn("rank", rank).withColumn("rivals", F.collect_list(F.when(notice, F.struct("start", "end", "rank"))).over(near))
+    beaten = F.exists("rivals", lambda o: (o["start"] < F.col("end")) & (F.col("start") < o["end"]) & (o["rank"] > F.col("rank")))
+    place, real = F.col("base") & (F.col("template") >= 0), F.col("template") >= 0
     joined = lambda cond: F.array_join(F.array_sort(F.collect_set(F.when(cond, F.col("label")))), ",")
-    return spans.groupBy(*key).agg(
-        F.count(F.when(place, 1)).alias("n_base"),
-        F.min(F.when(place, F.col("start"))).cast("long").alias("first_word"),
-        F.max(F.when(place, F.col("start"))).cast("long").alias("last_word"),
-        joined(place).alias("base_labels"),
-        joined(F.col("found") & (F.col("template") >= 0)).alias("labels"),
-        F.max("share").alias("score"),
-        F.array_sort(F.collect_list(F.when(F.col("found") & (F.col("template") >= 0), F.struct("label", "start", (F.col("last") + F.col("pairs") + 1).alias("end"), "share")))).alias("spans"),
-    ).select("doc_id", F.col("n_words").cast("long").alias("n_words"), "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
+    return (
+        rivals.where(~(notice & beaten))
+        .groupBy(*key)
+        .agg(
+            F.count(F.when(place, 1)).alias("n_base"),
+            F.min(F.when(place, F.col("start"))).cast("long").alias("first_word"),
+            F.max(F.when(place, F.col("start"))).cast("long").alias("last_word"),
+            joined(place).alias("base_labels"),
+            joined(real).alias("labels"),
+            F.max("share").alias("score"),
+            F.array_sort(F.collect_list(F.when(real, F.struct("label", "start", "end", "share")))).alias("spans"),
+        )
+        .select("doc_id", F.col("n_words").cast("long").alias("n_words"), "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
+    )

@@ -120,14 +120,17 @@ ORACLE_SQL: dict[str, str] = {
         tp AS (SELECT template, label, base, len(string_split(words, ' ')) - 1 AS pairs, string_split(words, ' ') AS w FROM t),
         tg AS (SELECT template, label, base, pairs, p - 1 AS place, w[p] AS a, w[p + 1] AS b FROM (SELECT *, unnest(range(1, pairs + 1)) AS p FROM tp)),
         dg AS (SELECT doc_id, p - 1 AS spot, w[p] AS a, w[p + 1] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS p FROM dw WHERE len(w) > 1)),
-        v AS (SELECT doc_id, template, label, base, pairs, spot - place AS diagonal, count(*) AS votes FROM dg JOIN tg USING (a, b) GROUP BY ALL),
-        i AS (SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER o, {licenses.DRIFT} + 1) > {licenses.DRIFT} THEN 1 ELSE 0 END AS apart FROM v WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
-        j AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS island FROM i),
-        s AS (SELECT doc_id, template, label, base, pairs, island, sum(votes) AS votes, min(diagonal) AS start FROM j GROUP BY ALL),
-        f AS (SELECT *, least(1.0, round(votes / CAST(pairs AS DOUBLE), 6)) AS share FROM s),
-        g AS (SELECT *, CASE WHEN base THEN votes = pairs ELSE share >= {licenses.COVER} END AS found FROM f),
-        a AS (SELECT doc_id, count(*) FILTER (base AND found) AS n_base, min(start) FILTER (base AND found) AS first_word, max(start) FILTER (base AND found) AS last_word,
-                     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND found) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (found) AS labels, max(share) AS score FROM g GROUP BY 1)
+        v AS (SELECT doc_id, template, label, base, pairs, place, spot, unnest(CASE WHEN base THEN [0] ELSE range(-{licenses.DRIFT}, {licenses.DRIFT} + 1) END) AS shift FROM dg JOIN tg USING (a, b)),
+        f AS (SELECT doc_id, template, label, base, pairs, spot - place + shift AS diagonal, place, min(spot) AS spot FROM v GROUP BY ALL),
+        o AS (SELECT *, coalesce(max(spot) OVER (PARTITION BY doc_id, template, diagonal ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS behind FROM f),
+        s AS (SELECT doc_id, template, label, base, pairs, diagonal, count(*) AS matched, min(spot) AS start, max(spot) + 2 AS fin FROM o WHERE spot > behind GROUP BY ALL),
+        m AS (SELECT doc_id, template, label, base, pairs, start, max({{'matched': matched, 'neg': -fin}}) AS m FROM s
+              WHERE CASE WHEN base THEN matched = pairs ELSE round(matched / CAST(pairs AS DOUBLE), 6) >= {licenses.COVER} END GROUP BY ALL),
+        b AS (SELECT doc_id, template, label, base, pairs, start, -m.neg AS fin, round(m.matched / CAST(pairs AS DOUBLE), 6) AS share FROM m),
+        g AS (SELECT * FROM b WHERE base OR NOT EXISTS (SELECT 1 FROM b o WHERE o.doc_id = b.doc_id AND NOT o.base AND o.start < b.fin AND b.start < o.fin
+              AND (o.share > b.share OR o.share = b.share AND (o.pairs > b.pairs OR o.pairs = b.pairs AND (o.template < b.template OR o.template = b.template AND o.start < b.start))))),
+        a AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+                     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM g GROUP BY 1)
         SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
                coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
         FROM dw LEFT JOIN a USING (doc_id)""",

@@ -421,6 +421,54 @@ def test_license_edges(spark, edge_docs, no_docs):
     assert licenses.scan(gap).first().labels == "mit"
 
 
+def brute_licenses(text):
+    """(n_base, first, last, base labels, labels, score) by loops over places, bands and templates."""
+    w = split_words(text)
+    base, notices = [], []
+    for label, phrase in licenses.PHRASES:
+        p = phrase.split()
+        base += [(label, i) for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
+    for number, (label, notice) in enumerate(licenses.NOTICES):
+        t = notice.split()
+        places = list(zip(t, t[1:], strict=False))
+        hits = [(i, j) for i in range(len(w) - 1) for j, pair in enumerate(places) if pair == (w[i], w[i + 1])]
+        for d in {i - j + x for i, j in hits for x in range(-licenses.DRIFT, licenses.DRIFT + 1)}:
+            last, chain = -1, []
+            for j in range(len(places)):
+                spots = [i for i, q in hits if q == j and abs(i - j - d) <= licenses.DRIFT]
+                if spots:
+                    chain += [min(spots)] if min(spots) > last else []
+                    last = max(last, min(spots))
+            if round(len(chain) / len(places), 6) >= licenses.COVER:
+                notices.append((round(len(chain) / len(places), 6), len(places), -number, -chain[0], -(chain[-1] + 2), label))
+    best = {}
+    for n in notices:
+        best[n[2], n[3]] = max(n, best.get((n[2], n[3]), n))
+    kept = [n for n in best.values() if not any(o[:4] > n[:4] and -o[3] < -n[4] and -n[3] < -o[4] for o in best.values())]
+    starts = [i for _, i in base]
+    names = lambda x: ",".join(sorted(set(x)))
+    return len(base), min(starts, default=None), max(starts, default=None), names(x for x, _ in base), names([x for x, _ in base] + [n[5] for n in kept]), max([1.0] * bool(base) + [n[0] for n in kept], default=0.0)
+
+
+def test_license_spans_are_verified(spark):
+    rng = np.random.default_rng(6)
+    apache, bsd, cc, mit = licenses.NOTICES[1][1], licenses.NOTICES[2][1], licenses.NOTICES[3][1], licenses.NOTICES[12][1]
+    texts = [
+        "by 4 by 4 by 4 by 4 by 4 by 4", "under the under the under the under the gnu", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY 4.0 and licensed under CC BY-SA 4.0", cc, "apache license " * 6, "mit license " * 50,
+        apache.replace("software", "software program and code"), apache.replace(" or agreed to in writing", ""), " ".join(reversed(bsd.split())), mit + " " + bsd, bsd[:60] + " x y z u v w " + bsd[60:], None, "", *licenses.PHRASES[0], *[t for _, t in licenses.NOTICES],
+    ]
+    for i in range(200):  # notices with words lost, added, doubled and moved
+        t = licenses.NOTICES[int(rng.integers(len(licenses.NOTICES)))][1].split()
+        for _ in range(int(rng.integers(0, 4))):
+            at = int(rng.integers(len(t)))
+            t[at : at + 1] = [[], ["word", t[at]], [t[at], t[at]], [str(rng.choice(t))]][int(rng.integers(4))]
+        texts.append(" ".join([*words(5, i).split(), *t, *licenses.NOTICES[int(rng.integers(len(licenses.NOTICES)))][1].split()[:6]]))
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, label string")
+    got = {r.doc_id: tuple(r)[2:8] for r in licenses.scan(docs).collect()}
+    assert got == {i: brute_licenses(t) for i, t in enumerate(texts)}
+    assert [got[i][4] for i in range(5)] == ["", "", "cc-by-nc", "cc-by,cc-by-sa", "cc-by"]
+
+
 # ---- 10 similarity join
 
 
