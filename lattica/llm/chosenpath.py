@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import settle
 from lattica.llm.groups import components, forest, matrix, whole_groups
-from lattica.llm.rolling import U64, chunks, mix, shingle_sets
+from lattica.llm.rolling import U64, chunks, mix, portions, shingle_sets
 
 TOKENS = 64
 SKETCHED = "doc_id long, digest long, n int, s1 long, s2 long, tokens binary, sketch binary"
@@ -45,7 +45,7 @@ def sketch(docs: DataFrame, k: int = 5) -> DataFrame:
     factors = (rng.integers(0, 1 << 32, TOKENS, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, TOKENS, dtype=np.uint32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches, "text"):
             texts = [(t or "").encode() for t in b.column(2).to_pylist()]
             n, s1, s2 = np.zeros(len(texts), np.int32), np.zeros(len(texts), U64), np.zeros(len(texts), U64)
             tokens = np.zeros((len(texts), TOKENS), np.uint32)
@@ -175,7 +175,7 @@ def verify(docs: DataFrame, members: DataFrame, threshold: float = 0.8, k: int =
     over, under = round(threshold * 1000), 1000
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches, "text"):
             texts = [(t or "").encode() for t in b.column(0).to_pylist()]
             for i, j in chunks(texts):
                 found, at = shingle_sets(texts[i:j], k)
@@ -207,7 +207,7 @@ def verify(docs: DataFrame, members: DataFrame, threshold: float = 0.8, k: int =
     return rows.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(compare, "rep long, links long, root long")
 
 
-def _linked(held: list[np.ndarray], over: int, under: int, width: int = 8192) -> np.ndarray:
+def _linked(held: list[np.ndarray], over: int, under: int, width: int = 4096) -> np.ndarray:
     """Which sets have a Jaccard similarity of at least over / under; exact, in integers."""
     m = len(held)
     size = np.array([len(h) for h in held], np.int64)

@@ -19,19 +19,18 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lattica.llm.common import settle
-from lattica.llm.rolling import ranges
+from lattica.llm.rolling import portions
 
 #: Words whose ids a task remembers, and their greatest length in letters: at most some 300 bytes each. Past that it forgets
 #: those that it has not met among the last half of them.
 REMEMBER, LONG = 300_000, 32
-#: Characters of text that are tokenized together, beyond one text.
+#: Bytes of text that are tokenized together, beyond one text.
 TOGETHER = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "part"]
@@ -209,15 +208,14 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 2, op
             columns = list(zip(*pieces, strict=True)) or [[]] * 7
             return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array([part if is_open else -1] * len(pieces), pa.int32())], names=NAMES)
 
-        for b in batches:
-            sizes = [n or 0 for n in pc.binary_length(b.column(1)).to_pylist()]
-            for i, j in ranges(sizes, TOGETHER):
-                ids, texts = (b.column(c).slice(i, j - i).to_pylist() for c in (0, 1))
-                for doc, tokens in zip(ids, tokenize([t or "" for t in texts], tokenizer, end), strict=True):
-                    windows.add(doc, tokens)
-            if windows.out:
+        for b in portions(batches, "text", TOGETHER):
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for doc, tokens in zip(ids, tokenize([t or "" for t in texts], tokenizer, end), strict=True):
+                windows.add(doc, tokens)
+            if len(windows.out) > 4096:
                 yield rows(windows.out, False)
                 windows.out = []
+        yield rows(windows.out, False)
         forget(tokenizer)
         yield rows(windows.rest(), True)
 

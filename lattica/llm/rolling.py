@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Odd multiplier of the polynomial hashes and its inverse modulo 2**64.
@@ -56,6 +58,14 @@ def ranges(sizes: list[int], limit: int, most: int = 1 << 16) -> Iterator[tuple[
         yield start, len(sizes)
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``limit`` bytes of a text column: Spark's may hold 64 MB, and Python's strings take several times their bytes."""
+    for b in batches:
+        sizes = [n or 0 for n in pc.binary_length(b.column(b.schema.get_field_index(column))).to_pylist()]
+        for i, j in ranges(sizes, limit):
+            yield b.slice(i, j - i)
+
+
 def chunks(texts: list[bytes], limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts, 65,536 at most, of about ``limit`` bytes together; a longer text stands alone."""
     return ranges([len(t) + 1 for t in texts], limit)

@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 
 from lattica.llm.common import settle
 from lattica.llm.groups import whole_groups
-from lattica.llm.rolling import BASE, INVERSE, U64, buffer_of, chunks, mix, powers
+from lattica.llm.rolling import BASE, INVERSE, U64, buffer_of, chunks, mix, portions, powers
 
 #: Bytes of the word at a sample, and contexts of one name that are compared in one group; the windows of more go in groups of their own.
 WORD_BYTES, TOGETHER = 32, 512
@@ -105,7 +105,7 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 TUPLES = "cut boolean, key long, context long, doc_id long, first int, last int"
 
 
-def _sampled(docs: DataFrame, width: int, hold: int = 500_000) -> DataFrame:
+def _sampled(docs: DataFrame, width: int, hold: int = 250_000) -> DataFrame:
     """Tuples of the samples that are first in their task, and intervals [first, last) to cut (``cut``) of all others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +127,7 @@ def _sampled(docs: DataFrame, width: int, hold: int = 500_000) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["cut", "key", "context", "doc_id", "first", "last"])
 
-        for b in batches:
+        for b in portions(batches, "text"):
             texts = [(t or "").encode() for t in b.column(1).to_pylist()]
             parts = [(i, at, t[at : at + PART + width - 1]) for i, t in enumerate(texts) for at in range(0, max(1, len(t) - width + 1), PART)]
             which, base = (np.array([p[c] for p in parts], np.int64) for c in (0, 1))
@@ -194,7 +194,7 @@ def _contexts(rows: DataFrame, width: int) -> DataFrame:
     """The bytes of the contexts to compare. Where one name has very many, their windows go each under its own hash, and those that come later in the task are cut at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches, "text"):
             out: list[tuple] = []
             many: list[tuple] = []
             for doc, text, heads in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -290,7 +290,7 @@ def repeated_bytes(docs: DataFrame, width: int = 100, keep: tuple[str, ...] = ()
     kept_fields = [f for f in texts.schema.fields if f.name in keep]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches, "text"):
             rows = []
             for text, cuts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 body, merged = (text or "").encode(), []

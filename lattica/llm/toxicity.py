@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import words_of
+from lattica.llm.rolling import portions
 
 # Seed words in the four languages of the corpus.
 INSULTS = "idiot moron stupid loser trash scum worthless pathetic disgusting clown imbecile dumb crétin imbécile débile ordure idiota imbécil estúpido basura escoria dummkopf trottel abschaum".split()
@@ -211,7 +212,7 @@ def score_frame(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar()
-        for b in batches:
+        for b in portions(batches, "__text"):
             found = [features(t, model.lexicon, grammar) for t in b.column(b.num_columns - 1).to_pylist()]
             scores = [model.score(*f[:3]) for f in found]
             columns = [pa.array(scores, pa.float64()), *(pa.array([f[i] for f in found], pa.float64()) for i in range(3)), pa.array([f[3] for f in found], pa.int32())]

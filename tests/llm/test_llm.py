@@ -256,52 +256,109 @@ def test_compact_windows_by_definition():
     assert want == set(zip(of.tolist(), f.tolist(), left.tolist(), centre.tolist(), right.tolist(), strict=True))
 
 
-def test_verbatim_passages_are_all_linked(spark):
-    docs = table(spark, "/root/testdata/sf0.01", "documents")
-    cls = {r.doc_id: r.class_id for r in compactwindows.substring_duplicates(docs).collect()}
-    first, seen = {}, 0
-    for r in docs.orderBy("doc_id").collect():
-        h, _, n = shingles([r.text.encode()], 50)
-        for v in set(h.tolist()) if n[0] >= 50 else ():
-            o = first.setdefault(v, r.doc_id)
-            seen += o != r.doc_id
-            assert cls[o] == cls[r.doc_id]
-    assert seen > 100
-
+def test_intervals_are_those_of_the_compact_windows(spark):
+    texts = [words(n, 300 + n) for n in (49, 60, 300, 55)] + [words(60, 360)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    of, _, key, left, centre, right = compactwindows.compact_windows([t.encode() for t in texts], 46, 5)
+    marks = spark.createDataFrame([(int(o), int(k.view(np.int64)), 0, int(c), False) for o, k, c in zip(of, key, centre, strict=True)], "doc long, key long, task int, at int, many boolean")
+    marked = docs.join(marks.groupBy("doc").agg(F.collect_list(F.struct("key", "task", "at", "many")).alias("marks")), "doc").select("doc", "text", "marks")
+    got = {(r.doc, r.key, r.at, r.at + r.low, r.at + r.low + len(r.tokens) // 4 - 1) for r in compactwindows.intervals(marked, 50, 5).collect()}
+    assert got == {(int(o), int(k.view(np.int64)), int(c), max(int(x), int(c) - 45), min(int(y), int(c) + 45)) for o, k, c, x, y in zip(of, key, centre, left, right, strict=True)}
+
+
+def verbatim_pairs(docs):
+    """Pairs of documents that share 50 consecutive words, and the words of each that such passages cover."""
+    where = defaultdict(set)
+    for d, t in docs:
+        w = split_words(t)
+        for i in range(len(w) - 49):
+            where[tuple(w[i : i + 50])].add((d, i))
+    pairs, covered = set(), defaultdict(set)
+    for held in where.values():
+        ids = {d for d, _ in held}
+        if len(ids) > 1:
+            pairs |= {(x, y) for x in ids for y in ids if x < y}
+            for d, i in held:
+                covered[d].update(range(i, i + 50))
+    return pairs, covered
+
+
+def run_passages(spark, docs, tasks=3):
+    frame = spark.createDataFrame([(*d, "clash") for d in docs], "doc_id long, text string, key string").repartition(tasks)
+    return {r.doc_id: r for r in compactwindows.substring_duplicates(frame).withColumn("n", compactwindows.covered_words(F.col("spans"))).collect()}
 
-def test_passage_edges(spark, edge_docs, no_docs):
-    got = {(r.doc_id, r.class_id) for r in compactwindows.substring_duplicates(edge_docs).collect()}
-    assert {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 6), (7, 7), (8, 7), (10, 10), (11, 10), (12, 12), (None, None)} <= got
-    assert compactwindows.substring_duplicates(no_docs).count() == 0
 
-
-@pytest.mark.parametrize("limit", [2_000_000, 10])
-def test_passages_meet_at_every_occurrence(limit):
-    one, two, line = words(30, 21), words(30, 22), words(10, 23)
-    fifty = f"{words(20, 24)} {line} {words(20, 25)}"
-    for a, b in ((f"{one} {words(40, 26)} {one} {two}", f"{one} {two}"), (f"{line} {words(70, 27)} {fifty}", fifty)):
-        n, m = len(a.split()), len(b.split())
-        for x, y, want in ((a, b, (n - m, n, 0, m)), (b, a, (0, m, n - m, n))):
-            h = [shingles([t.encode()], 5)[0] for t in (x, y)]
-            got = compactwindows._aligned(compactwindows._places(h[0]), h[1], 46, 5, 0.8, limit=limit)
-            assert any(all(abs(g - w) <= 5 for g, w in zip(p, want, strict=True)) for p in got)  # at most 5 of 46 shingles miss
-    assert compactwindows.passages((one + " ").encode() * 40, (one + " ").encode() * 30, 46, 5, 0.8)
-
-
-@pytest.mark.parametrize(("few", "rest", "parts"), [(32, 5_000_000, 1), (1, 0, 5)])
-def test_whole_passages_meet_behind_holders_of_a_part(spark, monkeypatch, few, rest, parts):
-    monkeypatch.setattr(compactwindows, "FEW", few)
-    monkeypatch.setattr(compactwindows, "REST", rest)
+def test_verbatim_passages_are_all_linked(spark):
+    docs = [(r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.01", "documents").collect()]
+    got = {r.doc_id: r for r in compactwindows.substring_duplicates(table(spark, "/root/testdata/sf0.01", "documents")).collect()}
+    pairs, covered = verbatim_pairs(docs)
+    assert len(pairs) > 100 and all(got[x].class_id == got[y].class_id for x, y in pairs)
+    for d, places in covered.items():
+        assert places <= {i for s in got[d].spans for i in range(s.start, s.end)}
+
+
+@pytest.mark.parametrize(("crowd", "common"), [(8192, 1024), (16, 2)])
+def test_overlapping_slices_of_one_text_are_one_class(spark, monkeypatch, crowd, common):
+    monkeypatch.setattr(compactwindows, "CROWD", crowd)
+    monkeypatch.setattr(compactwindows, "COMMON", common)
+    rng, text = np.random.default_rng(8), words(400, 400).split()
+    docs = []
+    for i in range(300):
+        at, n = int(rng.integers(0, 330)), int(rng.integers(50, 71))
+        docs.append((i, f"{words(40, 4000 + i)} {' '.join(text[at : at + n])} {words(40, 5000 + i)}"))
+    pairs, covered = verbatim_pairs(docs)
+    got = run_passages(spark, docs)
+    assert len(pairs) > 2000 and all(got[x].class_id == got[y].class_id for x, y in pairs)
+    assert all((got[d].n_links > 0) == (d in covered) for d, _ in docs)
+    assert all(len(covered[d]) <= got[d].n <= len(t.split()) - 70 for d, t in docs)  # a near window reaches a few words beyond the slice
+
+
+def test_near_passages(spark):
+    """One word of 70 changed, put in or left out; what differs more stays apart."""
+    docs, kinds = [], ("changed", "put in", "left out", "apart")
+    for i in range(400):
+        a = words(70, 6000 + i).split()
+        b, at, kind = list(a), 20 + i % 30, kinds[i % 4]
+        b[at : at + (kind != "put in")] = [] if kind == "left out" else ["new"]
+        if kind == "apart":
+            b[at - 20 :: 12] = [f"x{j}" for j in range(len(b[at - 20 :: 12]))]
+        docs += [(2 * i, f"{words(30, 7000 + i)} {' '.join(a)} {words(30, 8000 + i)}"), (2 * i + 1, f"{words(30, 9000 + i)} {' '.join(b)}")]
+    got = run_passages(spark, docs)
+    linked = [[got[2 * i].class_id == got[2 * i + 1].class_id for i in range(400) if i % 4 == k] for k in range(4)]
+    assert min(map(sum, linked[:3])) >= 95 and sum(linked[3]) == 0
+    assert len({r.class_id for r in got.values()}) == 800 - sum(map(sum, linked[:3]))
+
+
+@pytest.mark.parametrize("crowd", [8192, 1])
+def test_whole_passages_meet_behind_holders_of_a_part(spark, monkeypatch, crowd):
+    monkeypatch.setattr(compactwindows, "CROWD", crowd)
     rows = []
     for c in range(12):
         passage = words(50, 100 + c).split()
         held = [passage[:40], passage] * 3
         rows += [(10 * c + i, f"{words(60, 1000 + 10 * c + i)} {' '.join(p)} {words(60, 2000 + 10 * c + i)}") for i, p in enumerate(held)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
-    got = {r.doc_id: r.class_id for r in compactwindows.substring_duplicates(docs).collect()}
+    got = {d: r.class_id for d, r in run_passages(spark, rows).items()}
     assert got == {d: 10 * (d // 10) + 1 if d % 10 in (1, 3, 5) else d for d, _ in rows}
 
 
+def test_repeats_inside_a_text_do_not_hide_a_passage(spark):
+    one, two, line = words(30, 21), words(30, 22), words(10, 23)
+    fifty = f"{words(20, 24)} {line} {words(20, 25)}"
+    docs = [(1, f"{one} {words(40, 26)} {one} {two}"), (2, f"{one} {two}"), (3, f"{line} {words(70, 27)} {fifty}"), (4, fifty), (5, f"{one} " * 40), (6, f"{one} " * 30)]
+    got = run_passages(spark, docs)
+    assert [got[d].class_id for d in range(1, 7)] == [1, 1, 3, 3, 5, 5]
+
+
+def test_passage_edges(spark, edge_docs, no_docs):
+    got = {(r.doc_id, r.class_id) for r in compactwindows.substring_duplicates(edge_docs).collect()}
+    assert {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 6), (7, 7), (8, 7), (10, 10), (11, 10), (12, 12), (None, None)} <= got
+    rows = compactwindows.substring_duplicates(edge_docs).collect()
+    assert len(rows) == edge_docs.count() and {r.doc_id: r.n_links for r in rows}[1] == 2
+    assert compactwindows.substring_duplicates(no_docs).count() == 0
+    same = run_passages(spark, [(1, words(60, 31)), (1, words(60, 32)), (2, words(60, 31)), (3, words(60, 32)), (2, words(60, 31))])
+    assert {d: (r.class_id, r.n) for d, r in same.items()} == {1: (1, 60), 2: (1, 60), 3: (1, 60)}
+
+
 # ---- 7 repeated bytes
 
 
