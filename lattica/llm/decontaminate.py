@@ -4,7 +4,8 @@ Each benchmark item is cut into windows of consecutive words, and each window in
 The shingles of a window are ordered by rarity in the documents.  Exact containment asks for all of
 them, so the necessary prefix is the rarest one: documents are joined on that alone, a candidate must
 leave room for the window's length on both sides of the shingle's place, and what remains is verified
-word by word against the document.
+word by word against the document.  Up to a counted number of windows they are sent to every task;
+more are joined by shuffling hashes and places alone.
 """
 
 from __future__ import annotations
@@ -50,44 +51,61 @@ def prefixes(windows: DataFrame, docs: DataFrame, shingle: int = 3, text: str =
     return ranked.select("item_id", "window", "size", "rarest.hash", "rarest.place")
 
 
-def contamination(docs: DataFrame, items: DataFrame, width: int = 10, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _places(rows: DataFrame, sizes: list[int]) -> tuple[DataFrame, Column]:
+    """One row for each shingle of the given sizes (``col``, its hash), and the place where it starts, given the column ``size``."""
+    before, ahead = F.lit(0), F.lit(0)  # entries in front of those of a shingle size
+    for s in sizes:
+        before = F.when(F.col("size") == s, ahead).otherwise(before)
+        ahead = ahead + F.greatest(F.lit(0), F.col("n_words") - (s - 1))
+    each = [_shingles(F.col("w"), s) for s in sizes] or [F.array().cast("array<long>")]
+    return rows.select("*", F.posexplode(F.concat(*each))), F.col("pos") - before
+
+
+def _in_place(rows: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """(key, start, length, item_id) of all occurrences; the windows, counted before, go to every task."""
+    places, at = _places(rows, sizes)
+    start, length = at - F.col("place"), F.size("window")
+    fits = (start >= 0) & (start + length <= F.col("n_words")) & (F.slice("w", F.greatest(F.lit(1), start + 1), length) == F.col("window"))
+    return places.join(F.broadcast(windows), (F.col("col") == F.col("hash")) & fits).select("key", start.alias("start"), length.alias("length"), "item_id")
+
+
+def _by_shuffle(rows: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """The same with any number of windows: only places and hashes meet the windows; words are fetched afterwards, for what is left."""
+    places, at = _places(rows, sizes)
+    found = places.select("key", "n_words", "pos", "col").join(windows, F.col("col") == F.col("hash"))
+    left = found.select("key", "n_words", (at - F.col("place")).alias("start"), F.size("window").alias("length"), "window", "item_id")
+    left = settle(left.where("start >= 0 and start + length <= n_words").drop("n_words").distinct())
+    words = rows.join(left.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("w").alias("w"))
+    return left.join(words, "key").where(F.slice("w", F.col("start") + 1, F.col("length")) == F.col("window")).select("key", "start", "length", "item_id")
+
+
+def contamination(docs: DataFrame, items: DataFrame, width: int = 10, shingle: int = 3, doc_id: str = "doc_id", text: str = "text", broadcast: int = BROADCAST_WINDOWS) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, items (sorted array of item ids), hits (array of struct(start, length)).
 
     A word is hit if it lies inside any occurrence of any window.  Null and empty texts have no words
     and no hits; repeated rows and null doc_ids get a row each; items without words have no windows, an
     item with a null id hits words but is not listed;
     an empty benchmark hits nothing; other columns are not read.  A long document is one row of
-    work, in which every window costs one comparison.
+    work, in which every window costs one comparison.  Hits are found once for each text and joined
+    to the documents that have it.
     """
     windows = settle(prefixes(item_windows(items, width), docs, shingle, text))
-    sizes = sorted(r.size for r in windows.select("size").distinct().collect())
-    # A sentinel (hash 0 at place 0) carries every document through the join, so one scan serves all.
-    sentinel = docs.sparkSession.range(1).select(F.lit("").alias("item_id"), F.array().cast("array<string>").alias("window"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("hash"), F.lit(0).alias("place"))
-    wanted = windows.unionByName(sentinel)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), words_of(F.col(text)).alias("w")).withColumn("n_words", F.size("w"))
-    places = rows.select("*", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), *[_shingles(F.col("w"), s) for s in sizes])))
-    before, ahead = F.lit(0), F.lit(0)  # entries in front of those of a shingle size
-    for s in sizes:
-        before = F.when(F.col("size") == s, ahead).otherwise(before)
-        ahead = ahead + F.greatest(F.lit(0), F.col("n_words") - (s - 1))
-    start = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("pos") - 1 - before - F.col("place"))
-    length = F.size("window")
-    fits = (start >= 0) & (start + length <= F.col("n_words")) & (F.slice("w", F.greatest(F.lit(1), start + 1), length) == F.col("window"))
-    if windows.count() <= BROADCAST_WINDOWS:
-        wanted = F.broadcast(wanted)
-    found = places.join(wanted, (F.col("col") == F.col("hash")) & fits).select("row", "doc_id", "n_words", start.alias("start"), length.alias("length"), "item_id")
-    real = F.col("length") > 0
-    by_doc = found.groupBy("row", "doc_id", "n_words").agg(
-        F.array_sort(F.collect_set(F.when(real, F.struct("start", "length")))).alias("hits"),
-        F.array_sort(F.collect_set(F.when(real, F.col("item_id")))).alias("items"),
-    )
+    sizes = sorted(r.size for r in windows.select("size").distinct().collect())  # at most `shingle` rows
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.unhex(F.md5(body.cast("binary"))).alias("key"), words_of(body).alias("w")).withColumn("n_words", F.size("w"))
+    search = _in_place if windows.count() <= broadcast else _by_shuffle
+    found = search(rows, windows, sizes)
+    by_text = found.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("hits"), F.array_sort(F.collect_set("item_id")).alias("items"))
     covered = F.aggregate(
         "hits",
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["start"] + x["length"] - F.greatest(a["end"], x["start"]))).alias("n"), F.greatest(a["end"], x["start"] + x["length"]).alias("end")),
         lambda a: a["n"],
     )
-    return by_doc.select("doc_id", F.col("n_words").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), "items", "hits")
+    counted = docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.md5(body.cast("binary"))).alias("key"), F.size(words_of(body)).cast("long").alias("n_words"))
+    none = F.coalesce("hits", F.array().cast("array<struct<start:int,length:int>>")).alias("hits")
+    hit = settle(by_text.select("key", covered.cast("long").alias("n_hit"), "items", "hits"))
+    return counted.join(hit, "key", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), none)
 
 
 def cut_hits(text: Column, hits: Column) -> Column:

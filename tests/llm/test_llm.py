@@ -222,16 +222,28 @@ def brute_contamination(docs, items, width=10):
     return sorted(out, key=str)
 
 
-def test_decontamination_edges(spark, edge_docs, no_docs):
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_decontamination_edges(spark, edge_docs, no_docs, broadcast):
     items = [(1, words(60, 3)), (2, "one"), (3, None), (4, "THE mit"), (5, "..."), (10, " ".join(words(200, 1).split()[20:31])), (11, " ".join(words(200, 1).split()[25:36]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted(((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.contamination(edge_docs, bench).collect()), key=str)
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.contamination(edge_docs, bench, broadcast=broadcast).collect()), key=str)
     assert got == brute_contamination([(r.doc_id, r.text) for r in edge_docs.collect()], items)
-    assert decontaminate.contamination(no_docs, bench).count() == 0
-    none = decontaminate.contamination(edge_docs, bench.limit(0)).collect()
+    assert decontaminate.contamination(no_docs, bench, broadcast=broadcast).count() == 0
+    none = decontaminate.contamination(edge_docs, bench.limit(0), broadcast=broadcast).collect()
     assert len(none) == edge_docs.count() and not any(r.n_hit for r in none)
 
 
+def test_decontamination_ships_no_words_with_the_places(spark):
+    docs, bench = (table(spark, SMALL, t) for t in ("documents", "benchmark"))
+    rows = [sorted(map(str, decontaminate.contamination(docs, bench, broadcast=n).collect())) for n in (200_000, 0)]
+    assert rows[0] == rows[1] and any("n_hit=0" not in r for r in rows[0])
+    windows = decontaminate.settle(decontaminate.prefixes(decontaminate.item_windows(bench), docs))
+    body = docs.select(F.md5("text").alias("key"), decontaminate.words_of(F.col("text")).alias("w")).withColumn("n_words", F.size("w"))
+    places, _ = decontaminate._places(body, [3])
+    plan = places.select("key", "n_words", "pos", "col").join(windows.hint("merge"), F.col("col") == F.col("hash"))._jdf.queryExecution().optimizedPlan()
+    assert re.sub(r"#\d+L?", "", plan.children().head().output().toString()) == "List(key, n_words, pos, col)"  # what the join shuffles
+
+
 # ---- 6 passages
 
 
