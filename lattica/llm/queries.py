@@ -30,7 +30,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed, _ = sharding.shard(table(spark, sf_dir, "documents"), shards=16)
+    placed = sharding.shard(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/slots-{uuid.uuid4().hex}", shards=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 

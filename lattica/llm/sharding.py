@@ -17,8 +17,8 @@ SLOTS = 4096
 
 
 def virtual_slot(key: Column, slots: int = SLOTS) -> Column:
-    """Slot of a record, by the first 28 bits of its key's md5; a null key counts as an empty string."""
-    return (F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 7), 16, 10).cast("long") % slots).cast("int")
+    """Slot of a record, by the first 28 bits of its key's md5."""
+    return (F.conv(F.substring(F.md5(key.cast("string")), 1, 7), 16, 10).cast("long") % slots).cast("int")
 
 
 @dataclass
@@ -96,6 +96,17 @@ class SlotMap:
                     self.move(slot, new)
         return self
 
+    def save(self, path: str, spark: SparkSession) -> None:
+        """Write this version beside the earlier ones: ``path/version-N`` (version, virtual_slot, shard) and ``path/edits-N``."""
+        self.frame(spark).coalesce(1).write.parquet(f"{path}/version-{self.version}")
+        self.history(spark).where(F.col("version") == self.version).coalesce(1).write.parquet(f"{path}/edits-{self.version}")
+
+    @classmethod
+    def load(cls, path: str, spark: SparkSession, version: int) -> SlotMap:
+        """A stored version, to be edited further; its rows are as many as there are slots."""
+        rows = spark.read.parquet(f"{path}/version-{version}").orderBy("virtual_slot").collect()
+        return cls(max(r.shard for r in rows) + 1, [r.shard for r in rows], version)
+
     def frame(self, spark: SparkSession) -> DataFrame:
         """The map as a table (version, slot, shard), to be stored beside the shards."""
         return spark.createDataFrame([(self.version, s, o) for s, o in enumerate(self.owner)], "version int, virtual_slot int, shard int")
@@ -104,34 +115,48 @@ class SlotMap:
         return spark.createDataFrame(self.edits, "version int, virtual_slot int, from_shard int, to_shard int")
 
 
-def slot_sums(rows: DataFrame, slots: int = SLOTS) -> list[tuple[int, int]]:
-    """(bytes, rows) of each slot; ``slots`` rows at most reach the driver."""
-    sums = [(0, 0)] * slots
-    for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect():
-        sums[r.virtual_slot] = (r.b, r.n)
-    return sums
+def slotted(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
+    """(key, size, text_crc32, virtual_slot) of every record; those without a key are dealt by their text."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    named = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text "), F.md5(body.cast("binary"))))
+    return docs.select(F.col(key), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), virtual_slot(named, slots).alias("virtual_slot"))
 
 
-def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", slots: int = SLOTS, slot_map: SlotMap | None = None) -> tuple[DataFrame, SlotMap]:
-    """Assign every row to a shard so that the shards' bytes are near equal.
+def slot_sums(rows: DataFrame) -> DataFrame:
+    """(virtual_slot, bytes, records); as many rows as slots in use."""
+    return rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("records"))
 
-    Returns (key, size, text_crc32, virtual_slot, shard, slot) and the map.  ``size``: UTF-8 bytes of
+
+def shard(docs: DataFrame, path: str, shards: int = 16, key: str = "doc_id", text: str = "text", slots: int = SLOTS, version: int | None = None) -> DataFrame:
+    """Assign every row to a shard so that the shards' bytes are near equal, by the slot map stored under ``path``.
+
+    Returns (key, size, text_crc32, virtual_slot, shard, slot).  ``size``: UTF-8 bytes of
     the text plus 1, 1 for a null.  ``slot``: place in the shard, gapless from 0, in order of virtual
-    slot and then key.  Repeated rows and rows with a null key all get places of their own; an empty
+    slot and then key, hash of the text and size.  Repeated rows all get places of their own; rows
+    with a null key are dealt by their text; an empty
     table gives no rows.  Other columns of ``docs`` are not read.  One record larger than an even
-    share stays whole, so it alone can unbalance a shard.
+    share stays whole, so it alone can unbalance a shard, and so do records that share one key.
 
-    Given ``slot_map``, that map is edited; else a first version is made and then edited.
+    Without ``version`` a first version is stored, else that one is read; the edits that even out
+    these records are stored as the next version, which is read back and joined to the records.
     """
     spark = docs.sparkSession
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), virtual_slot(F.col(key), slots).alias("virtual_slot"))
-    sums = slot_sums(rows, slots)
-    slot_map = (slot_map or SlotMap.initial(shards, slots)).rebalance([b for b, _ in sums])
-    first, filled = [0] * slots, [0] * slot_map.shards
-    for s, o in enumerate(slot_map.owner):
-        first[s], filled[o] = filled[o], filled[o] + sums[s][1]
-    places = spark.createDataFrame([(s, o, first[s]) for s, o in enumerate(slot_map.owner)], "virtual_slot int, shard int, first long")
+    rows = slotted(docs, key, text, slots)
+    if version is None:
+        first = SlotMap.initial(shards, slots)
+        first.save(path, spark)
+    slot_map = SlotMap.load(path, spark, version or 1)
+    weight = [0] * slots
+    for r in slot_sums(rows).collect():  # `slots` rows at most
+        weight[r.virtual_slot] = r.bytes
+    slot_map.rebalance(weight).save(path, spark)
+    return place(rows, spark.read.parquet(f"{path}/version-{slot_map.version}"), key)
+
+
+def place(rows: DataFrame, slot_map: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Join records, as ``slotted`` gives them, to a stored version of the map, and number them in their shards."""
+    ahead = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
+    places = slot_map.join(slot_sums(rows), "virtual_slot").select("virtual_slot", "shard", F.coalesce(F.sum("records").over(ahead), F.lit(0)).alias("first"))
     within = Window.partitionBy("virtual_slot").orderBy(key, "text_crc32", "size")
-    out = rows.join(F.broadcast(places), "virtual_slot").withColumn("slot", F.col("first") + F.row_number().over(within) - 1)  # broadcast: `slots` rows
-    return out.select(key, "size", "text_crc32", "virtual_slot", "shard", "slot"), slot_map
+    out = rows.join(F.broadcast(places), "virtual_slot").withColumn("slot", F.col("first") + F.row_number().over(within) - 1)  # broadcast: a row for each slot
+    return out.select(key, "size", "text_crc32", "virtual_slot", "shard", "slot")

@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols (insult, threat, target, negation, report, other).  Small transducers rewrite
-the symbols of a clause one after another: negation weakens an insult in its scope, reported speech
-weakens what follows it, a target strengthens an insult or makes a threat count.  Their composition is
-a single deterministic machine whose transitions are built once and remembered; it scores clauses, not
-isolated words.  The insult lexicon's weights and the final calibration are learned from labels.
+Words become symbols (insult, threat, target, negation, report, other).  Five small transducers rewrite
+the symbols of a clause one after another: negation weakens an insult or threat in its scope, reported
+speech weakens what follows it, a target turns what follows it into something aimed, an insult matches
+by itself, more if aimed or heaped upon another, and a threat matches only if it is aimed or a target
+follows.  Their composition is a single deterministic machine whose transitions are built once and
+remembered; it scores clauses, not isolated words.  The lexicon's weights and the final calibration are
+learned from labels.
 """
 
 from __future__ import annotations
@@ -30,11 +32,10 @@ NEGATIONS = "not never no isn aren wasn don doesn without pas jamais sans ni nun
 REPORTS = "said says wrote writes called quoted claimed reports dit disait écrit dijo dice escribió sagte sagt schrieb nannte".split()
 
 STEM_LENGTHS = (4, 5, 6, 7, 8)
-SYMBOLS = ("word", "insult", "threat", "target", "negation", "report")
 WORD_RE = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 CLAUSE_RE = re.compile(r"[.!?;:\n]+")
 #: Weight of a seed word that the labels do not hold, and of the scopes.
-SEED_WEIGHT, NEGATED, REPORTED, TARGETED, SCOPE = 2.0, 0.35, 0.6, 1.5, 4
+SEED_WEIGHT, NEGATED, REPORTED, TARGETED, HEAPED, SCOPE = 2.0, 0.35, 0.6, 1.5, 1.25, 4
 
 
 @dataclass(frozen=True)
@@ -57,13 +58,29 @@ def scoped(name: str, opener: str, touched: dict[str, float], scope: int) -> Tra
 
 
 def targets(scope: int) -> Transducer:
-    """A threat counts only near a target, so it leaves as a plain word unless a target came shortly before; an insult near one counts more."""
+    """For ``scope`` words after a target, insults and threats are aimed."""
     arcs: dict = {(s, "target"): (scope, "target", 1.0) for s in range(scope + 1)}
-    arcs |= {(s, "insult"): (max(0, s - 1), "insult", TARGETED if s else 1.0) for s in range(scope + 1)}
-    arcs |= {(0, "threat"): (0, "word", 0.0)} | {(s, "threat"): (s - 1, "threat", TARGETED) for s in range(1, scope + 1)}
+    arcs |= {(s, x): (s - 1, f"aimed {x}", 1.0) for s in range(1, scope + 1) for x in ("insult", "threat")}
     return Transducer("target", arcs, {s: s - 1 for s in range(1, scope + 1)})
 
 
+def insults(scope: int) -> Transducer:
+    """An insult matches; one that is aimed counts more, and so does one within ``scope`` words of another."""
+    arcs: dict = {}
+    for s in range(scope + 1):
+        heaped = HEAPED if s else 1.0
+        arcs |= {(s, "insult"): (scope, "match", heaped), (s, "aimed insult"): (scope, "match", heaped * TARGETED)}
+    return Transducer("insult", arcs, {s: s - 1 for s in range(1, scope + 1)})
+
+
+def threats(scope: int) -> Transducer:
+    """An aimed threat matches; another waits ``scope`` words for a target, which then brings the threat's weight."""
+    arcs: dict = {(s, "threat"): (scope, "waiting", 1.0) for s in range(scope + 1)}
+    arcs |= {(s, "aimed threat"): (0, "match", TARGETED) for s in range(scope + 1)}
+    arcs |= {(s, "target"): (0, "late match", TARGETED) for s in range(1, scope + 1)}
+    return Transducer("threat", arcs, {s: s - 1 for s in range(1, scope + 1)})
+
+
 @dataclass
 class Grammar:
     """The composition of transducers, in order; its transition table grows as symbols are met and stays finite."""
@@ -72,32 +89,39 @@ class Grammar:
         scoped("negation", "negation", {"insult": NEGATED, "threat": NEGATED}, SCOPE),
         scoped("reported speech", "report", {"insult": REPORTED, "threat": REPORTED}, 3 * SCOPE),
         targets(SCOPE),
+        insults(SCOPE),
+        threats(SCOPE // 2),
     )
     table: dict = field(default_factory=dict)
 
-    def step(self, state: tuple, symbol: str) -> tuple[tuple, float]:
-        """(next state, factor of the weight of the word read)."""
+    def step(self, state: tuple, symbol: str) -> tuple[tuple, str, float]:
+        """(next state, symbol out, factor)."""
         if (hit := self.table.get((state, symbol))) is None:
             states, out, factor = [], symbol, 1.0
             for part, s in zip(self.parts, state, strict=True):
                 s, out, f = part.step(s, out)
                 states.append(s)
                 factor *= f
-            hit = self.table[state, symbol] = (tuple(states), factor if out in ("insult", "threat") else 0.0)
+            hit = self.table[state, symbol] = (tuple(states), out, factor)
         return hit
 
     def clause(self, read: list[tuple[str, float]]) -> float:
         """Weight of a clause given (symbol, weight) of its words."""
-        state, total = (0,) * len(self.parts), 0.0
+        state, total, waiting = (0,) * len(self.parts), 0.0, 0.0
         for symbol, weight in read:
-            state, factor = self.step(state, symbol)
-            total += factor * weight
+            state, out, factor = self.step(state, symbol)
+            if out == "match":
+                total += factor * weight
+            elif out == "waiting":
+                waiting = factor * weight
+            elif out == "late match":
+                total += factor * waiting
         return total
 
 
 @dataclass
 class Lexicon:
-    """Weights of words and of stems (beginnings of words); at most a few hundred entries."""
+    """Weights of words and of stems (beginnings of words), as many as the labels single out."""
 
     words: dict[str, float]
     stems: dict[str, float]
@@ -160,19 +184,20 @@ def _starts(words: Column, n: int) -> Column:
     return F.transform(F.filter(words, lambda w: F.length(w) >= n), lambda w: F.substring(w, 1, n))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, entries: int = 100, surprise: float = 6.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, surprise: float = 6.0) -> Model:
     """Learn the lexicon's weights and the calibration from at most ``sample`` labelled rows that are not held out.
 
-    The sample is the rows whose hashed ids are smallest. Beginnings of words, of four to eight
-    letters, are counted by document; those whose toxic documents exceed the expected number by
-    ``surprise`` standard deviations join the lexicon, the most surprising first (``entries`` at
-    most), weighted by their log odds. Labels other than 0 and 1 and null ids are left out; with one class or none only the seeds and
-    default coefficients remain.
+    The sample is the rows whose hashed ids are smallest; of texts that share an id the first in
+    order counts. Beginnings of words, of four to eight letters, are counted by document; all whose
+    toxic documents exceed the expected number by ``surprise`` standard deviations join the lexicon,
+    the most surprising first and none that another begins, weighted by their log odds. Labels other
+    than 0 and 1 and null ids are left out; with one class or none, or an empty table, only the seeds
+    and default coefficients remain.
     """
     spark = docs.sparkSession
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` ids at most
+    train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))  # `sample` ids at most
     size = {r.toxic: r.n for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     stems: dict[str, float] = {}
     bad, good = size.get(1, 0), size.get(0, 0)
@@ -187,10 +212,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, entries: int =
         counted = per_doc.select("toxic", F.explode(starts).alias("w")).groupBy("w").agg(F.sum("toxic").alias("b"), F.count("*").alias("n"))
         base = bad / (bad + good)
         z = (F.col("b") - F.col("n") * base) / F.sqrt(F.col("n") * (base * (1 - base)))
-        sure = counted.where("b >= 3").withColumn("z", z).where(F.col("z") >= surprise).orderBy(F.desc("z"), F.length("w"), "w").limit(8 * entries)
-        for r in sure.collect():  # 8 * `entries` rows at most
-            if len(stems) < entries and weigh(r.b, r.n) >= 1.5 and not any(r.w.startswith(x) or x.startswith(r.w) for x in stems):
+        sure = counted.where("b >= 3").withColumn("z", z).where(F.col("z") >= surprise).orderBy(F.desc("z"), F.length("w"), "w")
+        begun: set[str] = set()
+        for r in sure.collect():  # of the sample's words alone
+            starts_of = {r.w[:n] for n in STEM_LENGTHS if n <= len(r.w)}
+            if weigh(r.b, r.n) >= 1.5 and r.w not in begun and not any(x in stems for x in starts_of):
                 stems[r.w] = weigh(r.b, r.n)
+                begun |= starts_of
     seeds_kept = {w: (weigh(*seen[w]) if w in seen else SEED_WEIGHT) for w in (*INSULTS, *THREATS)}
     lexicon = Lexicon({w: x for w, x in seeds_kept.items() if x >= 1}, stems)
     model = Model(lexicon)
@@ -202,7 +230,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, entries: int =
 
 
 def score_frame(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Score every whole text: (doc_id, kept columns, score, total, most, rate, clauses). Null and empty texts score as one without matches."""
+    """Score every whole text: (doc_id, kept columns, score, total, most, rate, clauses).
+
+    Null and empty texts score as one without matches. Every row is scored for itself, repeated ones
+    and those with a null id too; an empty table gives no rows; columns not in ``keep`` are not read.
+    """
     rows = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("__text"))
     fields = [f for f in rows.schema.fields if f.name != "__text"]
     schema = type(rows.schema)(fields)

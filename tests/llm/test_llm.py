@@ -52,6 +52,28 @@ def test_toxicity_grammar():
     assert total("kill time") == 0 and total("you will kill") == pytest.approx(3.0)
     assert total("you. kill time") == 0
     assert total("LOWEIX") == pytest.approx(3.0) and total(None) == total("") == 0
+    assert total("kill you") == pytest.approx(3.0) and total("kill all of those") == 0 and total("not kill you") == pytest.approx(3.0 * toxicity.NEGATED)
+    assert total("idiot idiot") == pytest.approx(4.0 + 4.0 * toxicity.HEAPED) and total("idiot. idiot") == pytest.approx(8.0)
+
+
+def test_toxicity_machine_equals_its_parts():
+    """The composed machine against the transducers run one after another over whole clauses."""
+    rng, symbols = np.random.default_rng(2), ("word", "insult", "threat", "target", "negation", "report")
+    grammar = toxicity.Grammar()
+    for _ in range(500):
+        read = [(symbols[i], float(w)) for i, w in zip(rng.integers(0, 6, 15), rng.integers(1, 5, 15), strict=True)]
+        tape = [(s, 1.0) for s, _ in read]
+        for part in grammar.parts:
+            state, new = 0, []
+            for symbol, factor in tape:
+                state, symbol, f = part.step(state, symbol)
+                new.append((symbol, factor * f))
+            tape = new
+        total = waiting = 0.0
+        for (_, weight), (out, factor) in zip(read, tape, strict=True):
+            total += factor * weight if out == "match" else factor * waiting if out == "late match" else 0.0
+            waiting = factor * weight if out == "waiting" else waiting
+        assert grammar.clause(read) == pytest.approx(total)
 
 
 def test_toxicity_edges(spark, edge_docs, no_docs):
@@ -164,11 +186,37 @@ def test_slot_map_edits_are_few_and_versioned(spark):
     assert m.frame(spark).count() == 512 and m.history(spark).count() == len(m.edits)
 
 
-def test_sharding_edges(spark, edge_docs, no_docs):
-    rows, _ = sharding.shard(edge_docs)
-    got = rows.collect()
-    assert len(got) == edge_docs.count() and {r["size"] for r in got if r.doc_id in (4, 5)} == {1}
-    assert sharding.shard(no_docs)[0].count() == 0
+def check_shards(got, docs):
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in docs)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_sharding_edges(spark, edge_docs, no_docs, tmp_path):
+    got = sharding.shard(edge_docs, str(tmp_path / "a")).collect()
+    check_shards(got, [(r.doc_id, r.text) for r in edge_docs.collect()])
+    assert sharding.shard(no_docs, str(tmp_path / "b")).count() == 0
+    rows = [(None, words(20, i)) for i in range(400)] + [(i, words(20, 900 + i)) for i in range(200)] + [(7, "same")] * 30
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "c")).collect()
+    check_shards(got, rows)
+    assert max(Counter(r["shard"] for r in got if r.doc_id is None).values()) < 60
+
+
+def test_slot_map_is_stored_and_read_again(spark, tmp_path):
+    path, docs = str(tmp_path / "m"), table(spark, "/root/testdata/sf0.01", "documents")
+    first = sharding.shard(docs, path).collect()
+    owner = {r.virtual_slot: r.shard for r in spark.read.parquet(f"{path}/version-2").collect()}
+    assert len(owner) == sharding.SLOTS and all(owner[r.virtual_slot] == r.shard for r in first)
+    start = {r.virtual_slot: r.shard for r in spark.read.parquet(f"{path}/version-1").collect()}
+    for r in spark.read.parquet(f"{path}/edits-2").orderBy(F.monotonically_increasing_id()).collect():
+        assert start[r.virtual_slot] == r.from_shard
+        start[r.virtual_slot] = r.to_shard
+    assert start == owner
+    more = docs.unionByName(docs.where("doc_id < 40").withColumn("doc_id", F.col("doc_id") + 10**6))
+    again = {r.doc_id: r.shard for r in sharding.shard(more, path, version=2).collect()}
+    assert sum(again[r.doc_id] != r.shard for r in first) < 0.3 * len(first)
 
 
 # ---- 4 archive
