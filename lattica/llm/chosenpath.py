@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import settle
+from lattica.llm.common import map_batches, settle
 from lattica.llm.groups import components, forest, matrix, whole_groups
 from lattica.llm.rolling import U64, chunks, mix, portions, shingle_sets
 
@@ -68,7 +68,7 @@ def sketch(docs: DataFrame, k: int = 5) -> DataFrame:
             rows = lambda m: pa.array([x.tobytes() for x in m], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), rows(tokens), rows(low)], names=["doc_id", "digest", "n", "s1", "s2", "tokens", "sketch"])
 
-    return identified(docs).mapInArrow(run, SKETCHED)
+    return map_batches(identified(docs), run, SKETCHED)
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def _descend(classes: DataFrame, runs: int, threshold: float) -> DataFrame:
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), *(b.column(b.schema.get_field_index(c)).take(take) for c in ("rep", "n", "sketch"))], names=["path", "rep", "n", "sketch"])
 
-    return classes.mapInArrow(run, "path long, rep long, n int, sketch binary")
+    return map_batches(classes, run, "path long, rep long, n int, sketch binary")
 
 
 def _bucket_pairs(buckets: DataFrame, threshold: float, slack: float = 0.18, few: int = 12) -> DataFrame:
@@ -131,7 +131,7 @@ def _bucket_pairs(buckets: DataFrame, threshold: float, slack: float = 0.18, few
             cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([cat(a), cat(b)], names=["a", "b"])
 
-    return buckets.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return map_batches(buckets, run, "a long, b long").where("a <> b").distinct()
 
 
 def candidates(classes: DataFrame, threshold: float = 0.8, target: float = 0.999, bucket: int = 4096, levels: int = 3) -> DataFrame:
@@ -170,7 +170,7 @@ def verify(docs: DataFrame, members: DataFrame, threshold: float = 0.8, k: int =
     ``members``: (rep, doc_id, digest, copies, component, blocks), the second and third naming a document that has the
     class's set. Every pair of a component is compared once, in the task of
     its pair of blocks; ``links`` adds up, over a rep's rows, the documents it is linked to, and
-    (rep, root) are edges that span the linked classes.
+    (rep, root) are edges that join the linked classes.
     """
     over, under = round(threshold * 1000), 1000
 
@@ -192,19 +192,19 @@ def verify(docs: DataFrame, members: DataFrame, threshold: float = 0.8, k: int =
                 linked = _linked(held, over, under) & (reps[i:j, None] != reps[None, i:j])
                 if b1[i] != b2[i]:
                     linked &= own[i:j, None] != own[None, i:j]
-                parent = forest(j - i, lambda x, others, linked=linked: linked[x, others])
-                for o, x in zip(out, (reps[i:j], linked @ copies[i:j], reps[i + parent]), strict=True):
+                first = forest(j - i, lambda x, others, linked=linked: linked[x, others])
+                for o, x in zip(out, (reps[i:j], linked @ copies[i:j], reps[i + first]), strict=True):
                     o.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o), pa.int64()) for o in out], names=["rep", "links", "root"])
 
     texts = identified(docs)
     found = texts.join(members, texts["doc_id"].eqNullSafe(members["doc_id"]) & (texts["digest"] == members["digest"])).dropDuplicates(["rep"])
-    rows = found.select("text", "rep", "copies", "component", "blocks").mapInArrow(sets, "rep long, copies long, component long, blocks long, tokens binary")
+    rows = map_batches(found.select("text", "rep", "copies", "component", "blocks"), sets, "rep long, copies long, component long, blocks long, tokens binary")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("rep", "copies", "component", "own", "tokens", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"))
     keys = ["component", "b1", "b2"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(compare, "rep long, links long, root long")
+    return map_batches(rows.repartition(*keys).sortWithinPartitions(*keys, "rep"), compare, "rep long, links long, root long")
 
 
 def _linked(held: list[np.ndarray], over: int, under: int, width: int = 4096) -> np.ndarray:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word, after A-Z is lower-cased, as Java and RE2 patterns write it; and what lies between words.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -40,6 +43,18 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker; Spark's own limit, 64 MB, takes several times that on both sides.
+BATCH = 8 << 20
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``BATCH`` bytes; lowers the session's setting to that where it is higher."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name, "67108864").rstrip("b")) > BATCH:
+        conf.set(name, str(BATCH))
+    return df.mapInArrow(run, schema)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z alone. Pure ASCII texts take the faster ``lower``."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import settle
+from lattica.llm.common import map_batches, settle
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -52,21 +52,59 @@ def matrix(column: pa.ChunkedArray, kind: str, width: int) -> np.ndarray:
 
 
 def forest(m: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
-    """For each of ``m`` rows a row to which it is linked, or itself, so that these links span the components.
+    """For each of ``m`` rows the first row of its component.
 
     ``linked(x, others)`` says which others row x is linked to. A row that is reached is not asked for
     again, so rows that hang together cost few calls; memory grows with ``m`` alone.
     """
-    parent, unseen = np.arange(m), np.arange(m)
+    root, unseen = np.arange(m), np.arange(m)
     while len(unseen):
-        queue, unseen = [int(unseen[0])], unseen[1:]
+        first, unseen = int(unseen[0]), unseen[1:]
+        queue = [first]
         while queue and len(unseen):
-            x = queue.pop()
-            hit = linked(x, unseen)
-            parent[unseen[hit]] = x
+            hit = linked(queue.pop(), unseen)
+            root[unseen[hit]] = first
             queue += unseen[hit].tolist()
             unseen = unseen[~hit]
-    return parent
+    return root
+
+
+def contract(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (the smallest row of each component so far) after the rows a and b are linked."""
+    while True:
+        low = np.minimum(label[a], label[b])
+        if (label[a] == low).all() and (label[b] == low).all():
+            return label
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        label = new[label]
+
+
+def _stars(edges: DataFrame, hold: int = 500_000) -> DataFrame:
+    """The same components by fewer edges (u, v): each task links what it holds to the smallest node of each component that it sees."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            a, b = np.concatenate(held, axis=1)
+            held.clear()
+            nodes, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+            label = contract(np.arange(len(nodes)), place[: len(a)], place[len(a) :])
+            far = np.flatnonzero(label != np.arange(len(nodes)))
+            return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[label[far]])], names=["u", "v"])
+
+        for batch in batches:
+            held.append(np.stack([c.to_numpy() for c in batch.columns]))
+            if sum(x.shape[1] for x in held) > hold:
+                yield flush()
+        if held:
+            yield flush()
+
+    return map_batches(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), run, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -75,7 +113,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large and small stars: each round is joins and aggregations of the edges alone, and
     their number never grows. Loops and repeated edges are harmless; no edges give no rows.
     """
-    pairs = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    pairs = settle(_stars(edges.where("a <> b")).distinct())
     before = None
     while True:
         state = tuple(pairs.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lattica.llm.common import settle
+from lattica.llm.common import map_batches, settle
 from lattica.llm.rolling import portions
 
 #: Words whose ids a task remembers, and their greatest length in letters: at most some 300 bytes each. Past that it forgets
@@ -224,7 +224,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 2, op
         first = (1 << 62) + (int(frame["merged_by"].iloc[0]) << 32)
         return pa.Table.from_pandas(merge_pieces(frame, capacity, first)[NAMES[:7]], preserve_index=False, schema=pa.schema([(n, pa.int64()) for n in NAMES[:7]]))
 
-    placed = settle(docs.select("doc_id", "text").mapInArrow(place, PIECES + ", part int"))
+    placed = settle(map_batches(docs.select("doc_id", "text"), place, PIECES + ", part int"))
     closed = placed.where("part < 0").drop("part")
     left = placed.where("part >= 0").withColumn("merged_by", F.floor(F.col("part") / merge_width))
     return closed.unionByName(left.groupBy("merged_by").applyInArrow(merge, PIECES))

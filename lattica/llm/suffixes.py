@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lattica.llm.common import settle
+from lattica.llm.common import map_batches, settle
 from lattica.llm.groups import whole_groups
 from lattica.llm.rolling import BASE, INVERSE, U64, buffer_of, chunks, mix, portions, powers
 
@@ -142,7 +142,7 @@ def _sampled(docs: DataFrame, width: int, hold: int = 250_000) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.mapInArrow(run, TUPLES)
+    return map_batches(docs, run, TUPLES)
 
 
 def _same_bytes(data: np.ndarray, width: int, group: np.ndarray, place: np.ndarray, name: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -184,7 +184,7 @@ def _induce(tuples: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (counts, key[rows], doc[rows], first[rows], ends.astype(np.int32))], names=["held", "key", "doc_id", "first", "last"])
 
     ordered = tuples.repartition("key").sortWithinPartitions("key", "context", "doc_id", "first")
-    return ordered.mapInArrow(run, "held long, key long, doc_id long, first int, last int")
+    return map_batches(ordered, run, "held long, key long, doc_id long, first int, last int")
 
 
 CONTEXTS = "cut boolean, key long, doc_id long, first int, last int, bytes binary"
@@ -220,7 +220,7 @@ def _contexts(rows: DataFrame, width: int) -> DataFrame:
             kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["cut", "key", "doc_id", "first", "last", "bytes"])
 
-    return rows.mapInArrow(run, CONTEXTS)
+    return map_batches(rows, run, CONTEXTS)
 
 
 def _compare(contexts: DataFrame, width: int) -> DataFrame:
@@ -253,7 +253,7 @@ def _compare(contexts: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))], names=["doc_id", "first", "last"])
 
     ordered = contexts.repartition("key").sortWithinPartitions("key", "doc_id", "first")
-    return ordered.mapInArrow(run, "doc_id long, first int, last int")
+    return map_batches(ordered, run, "doc_id long, first int, last int")
 
 
 CUT = "doc_id long, n_bytes long, n_removed long, spans array<struct<first:int,last:int>>, kept binary, kept_text string"
@@ -310,4 +310,4 @@ def repeated_bytes(docs: DataFrame, width: int = 100, keep: tuple[str, ...] = ()
     # `known` meets `heads` and `spans` under the same plan, so its texts are shuffled once for both.
     rest = alone.withColumn("cuts", F.lit(None).cast("array<struct<first:int,last:int>>"))
     rows = known.join(spans, "doc_id", "left").unionByName(rest).select("doc_id", "text", "cuts", *(f.name for f in kept_fields))
-    return rows.mapInArrow(cut, StructType([*schema.fields, *kept_fields]))
+    return map_batches(rows, cut, StructType([*schema.fields, *kept_fields]))

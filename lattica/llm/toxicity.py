@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import words_of
+from lattica.llm.common import map_batches, words_of
 from lattica.llm.rolling import portions
 
 # Seed words in the four languages of the corpus.
@@ -250,4 +250,4 @@ def score_frame(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), doc_i
             columns = [pa.array(scores, pa.float64()), *(pa.array([f[i] for f in found], pa.float64()) for i in range(3)), pa.array([f[3] for f in found], pa.int32())]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
