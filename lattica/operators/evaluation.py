@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,76 @@ def earth_mover(dist: DataFrame, keys: list[str], recon: Column, target: Column)
     return dist.groupBy(*keys).agg(F.sum(F.col("p") * F.abs(recon - target)).alias("emd"))
 
 
+def next_tokens(tokens: DataFrame, keys: list[str], position: str = "pos", token: str = "token") -> DataFrame:
+    """Add ``target``, the token at the next position of the sequence, which is what a position predicts; null at the last one."""
+    return tokens.withColumn("target", F.lead(token).over(Window.partitionBy(*keys).orderBy(position)))
+
+
+def shifted_earth_mover(dist: DataFrame, tokens: DataFrame, keys: list[str], recon: Callable[[Column], Column], first: int, count: int) -> DataFrame:
+    """Earth mover's distance of (keys, pos, bin, p) to the value of the next position's token, its bin clipped to the range; none at the last position."""
+    ahead = next_tokens(tokens, keys).where("target is not null").withColumn("_bin", F.greatest(F.lit(0), F.least(F.lit(count - 1), F.col("target") - first)))
+    both = dist.join(ahead.select(*keys, "pos", "_bin"), [*keys, "pos"])
+    return earth_mover(both, [*keys, "pos"], recon(F.col("bin")), recon(F.col("_bin")))
+
+
+def voxel_pairs(tokens: DataFrame, predicted: DataFrame, keys: list[str], a: tuple[int, int], b: tuple[int, int]) -> DataFrame:
+    """(keys, pos, true_a, true_b, pred_a, pred_b) wherever the two tokens after a position are a pair of ranges ``a`` and ``b`` ([low, high) each).
+
+    ``tokens``: (keys, pos, token); ``predicted``: (keys, pos, pred), what each position predicts for the next one.
+    """
+    own = Window.partitionBy(*keys).orderBy("pos")
+    rows = tokens.join(predicted, [*keys, "pos"])
+    ahead = rows.select(*keys, "pos", F.lead("token", 1).over(own).alias("true_a"), F.lead("token", 2).over(own).alias("true_b"), F.col("pred").alias("pred_a"), F.lead("pred").over(own).alias("pred_b"))
+    inside = lambda c, r: (F.col(c) >= r[0]) & (F.col(c) < r[1])
+    return ahead.where(inside("true_a", a) & inside("true_b", b))
+
+
+def pair_errors(pairs: DataFrame, value: Callable[[Column, Column], Column], a: tuple[int, int], b: tuple[int, int], *by: str) -> DataFrame:
+    """Mean, median and 99th percentile of the absolute error over the mean magnitude, and the pairs predicted outside their ranges, which count as zero."""
+    inside = lambda c, r: (F.col(c) >= r[0]) & (F.col(c) < r[1])
+    good = inside("pred_a", a) & inside("pred_b", b)
+    true = value(F.col("true_a") - a[0], F.col("true_b") - b[0])
+    pred = F.when(good, value(F.col("pred_a") - a[0], F.col("pred_b") - b[0])).otherwise(0.0)
+    rows = pairs.select(*by, F.abs(true).alias("_size"), F.abs(pred - true).alias("_off"), (~good).alias("_bad"))
+    scale = F.avg("_size")
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("n_voxels"),
+        scale.alias("mean_abs_true"),
+        F.try_divide(F.avg("_off"), scale).alias("nmae_mean"),
+        F.try_divide(F.percentile("_off", F.lit(0.5)), scale).alias("nmae_median"),
+        F.try_divide(F.percentile("_off", F.lit(0.99)), scale).alias("nmae_p99"),
+        F.count_if("_bad").alias("n_bad"),
+    )
+
+
+def density_aware_loss(
+    logits: DataFrame, tokens: DataFrame, keys: list[str], recon: Callable[[Column], Column], first: int, count: int, *, weight: float, penalty: float, mode: str = "add", kind: str = "l1", density_only: bool = False, by: tuple[str, ...] = ()
+) -> DataFrame:
+    """Cross entropy plus ``weight`` times the density error of each position, averaged over weighted positions.
+
+    ``logits``: (keys, pos, token, logit); ``tokens``: (keys, pos, token, weight), weight null counts as 1. A position's target is
+    the next token, so a sequence's last position takes no part. ``kind``: ``l1`` compares the expected value
+    with the target's, ``emd`` takes the expected distance to it; ids outside [first, first + count) have the value ``penalty``. ``mode``
+    ``replace`` drops the cross entropy where the target is a density id, ``density_only`` everywhere, and then divides by the weight of density positions.
+    """
+    if mode not in ("add", "replace") or kind not in ("l1", "emd"):
+        raise ValueError("mode is add or replace, kind is l1 or emd")
+    value = lambda t: F.when((t >= first) & (t < first + count), recon(t - first)).otherwise(F.lit(float(penalty)))
+    ahead = next_tokens(tokens, keys).where("target is not null").select(*keys, "pos", "target", F.coalesce("weight", F.lit(1.0)).alias("_w"))
+    own = Window.partitionBy(*keys, "pos")
+    rows = logits.join(ahead, [*keys, "pos"]).withColumn("_e", F.exp(F.col("logit") - F.max("logit").over(own))).withColumn("_top", F.max("logit").over(own))
+    here, there = value(F.col("token")), value(F.col("target"))
+    mean = F.sum(F.col("_e") * here) / F.sum("_e")
+    off = F.abs(mean - F.first(there)) if kind == "l1" else F.sum(F.col("_e") * F.abs(here - there)) / F.sum("_e")
+    ce = F.ln(F.sum("_e")) + F.first("_top") - F.max(F.when(F.col("token") == F.col("target"), F.col("logit")))
+    dense = (F.first("target") >= first) & (F.first("target") < first + count)
+    each = rows.groupBy(*keys, "pos").agg(ce.alias("_ce"), off.alias("_off"), dense.alias("_dense"), F.first("_w").alias("_w"))
+    kept = F.lit(0.0) if density_only else F.when(F.col("_dense"), 0.0).otherwise(F.col("_ce")) if mode == "replace" else F.col("_ce")
+    loss = kept + weight * F.when(F.col("_dense"), F.col("_off")).otherwise(0.0)
+    share = F.when(F.col("_dense"), F.col("_w")).otherwise(0.0) if density_only else F.col("_w")
+    return each.groupBy(*by).agg((F.sum(loss * F.col("_w")) / F.greatest(F.sum(share), F.lit(1.0))).alias("loss"), F.count("*").alias("positions"))
+
+
 def cross_entropy(logits: DataFrame, keys: list[str], token: str = "token", logit: str = "logit", target: str = "target") -> DataFrame:
     """Log-sum-exp minus the target's logit, by position."""
     own = Window.partitionBy(*keys)
@@ -60,7 +132,7 @@ def summary(rows: DataFrame, column: str, *by: str) -> DataFrame:
 
 
 def bootstrap(rows: DataFrame, column: str, key: str, resamples: int, seed: int, by: str) -> DataFrame:
-    """Standard errors (population) of mean and median over resamples drawn by hashing, so any partitioning gives the same.
+    """Standard errors (population) of mean, median and 99th percentile over resamples drawn by hashing, so any partitioning gives the same.
 
     Each group's values are numbered once; every resample draws as many numbers as the group has rows.
     Rows: ``resamples`` times the input's, by design.
@@ -70,8 +142,8 @@ def bootstrap(rows: DataFrame, column: str, key: str, resamples: int, seed: int,
     draws = numbered.select(by, "_n", "_i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_rep"))
     draws = draws.withColumn("_pick", draw(F.col("_n"), F.lit(seed), F.col(by), F.col("_rep"), F.col("_i")))
     picked = draws.join(numbered.select(by, F.col("_i").alias("_pick"), "_v"), [by, "_pick"])
-    stats = picked.groupBy(by, "_rep").agg(F.avg("_v").alias("mean"), F.percentile("_v", F.lit(0.5)).alias("median"))
-    return stats.groupBy(by).agg(F.stddev_pop("mean").alias("se_mean"), F.stddev_pop("median").alias("se_median"))
+    stats = picked.groupBy(by, "_rep").agg(F.avg("_v").alias("mean"), F.percentile("_v", F.lit(0.5)).alias("median"), F.percentile("_v", F.lit(0.99)).alias("p99"))
+    return stats.groupBy(by).agg(*[F.stddev_pop(c).alias(f"se_{c}") for c in ("mean", "median", "p99")])
 
 
 def two_sample(a: Column, se_a: Column, b: Column, se_b: Column) -> dict[str, Column]:

@@ -89,12 +89,6 @@ def decode_argmax_mean_median(spark, d):
     return out.select("pos", r6(F.col("argmax_value")).alias("argmax_value"), F.col("median_bin").cast("long").alias("median_bin"), r6(F.col("mean_value")).alias("mean_value"))
 
 
-@query(f"WITH {_DIST} SELECT pos, {sql_r6('sum(p * abs(recon - (pos % 24)))')} AS emd FROM dist GROUP BY 1")
-def emd_per_voxel(spark, d):
-    _, dist = _dist(spark, d)
-    return evaluation.earth_mover(dist, ["pos"], F.col("bin") * 0.5, F.col("pos") % 24).withColumn("emd", r6(F.col("emd")))
-
-
 @query(f"""WITH {VOX}, l AS (SELECT task_id AS pos, label, flat AS token, rho * 20 AS logit FROM vox), m AS (SELECT *, max(logit) OVER (PARTITION BY pos) AS top FROM l),
     c AS (SELECT pos, label, ln(sum(exp(logit - top))) + max(top) - max(logit) FILTER (token = pos % 64) AS loss FROM m GROUP BY 1, 2)
     SELECT CAST(label AS BIGINT) AS label, round(sum(loss * w) / greatest(sum(w), 1), 5) AS loss FROM (SELECT *, CASE WHEN pos % 64 >= 8 AND pos % 64 < 56 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS w FROM c) GROUP BY 1""")
@@ -130,11 +124,11 @@ def eval_summary(spark, d):
 @query("""
     WITH v AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL),
     p AS (SELECT event_type, rep, CAST('0x' || substr(md5('5:' || event_type || ':' || rep || ':' || i), 1, 7) AS BIGINT) % n AS pick FROM v, range(8) AS r(rep)),
-    s AS (SELECT p.event_type, rep, avg(v.value) AS mean, quantile_cont(v.value, 0.5) AS median FROM p JOIN v ON v.event_type = p.event_type AND v.i = p.pick GROUP BY 1, 2)
-    SELECT event_type, round(stddev_pop(mean), 5) AS se_mean, round(stddev_pop(median), 5) AS se_median FROM s GROUP BY 1""")
+    s AS (SELECT p.event_type, rep, avg(v.value) AS mean, quantile_cont(v.value, 0.5) AS median, quantile_cont(v.value, 0.99) AS p99 FROM p JOIN v ON v.event_type = p.event_type AND v.i = p.pick GROUP BY 1, 2)
+    SELECT event_type, round(stddev_pop(mean), 5) AS se_mean, round(stddev_pop(median), 5) AS se_median, round(stddev_pop(p99), 5) AS se_p99 FROM s GROUP BY 1""")
 def bootstrap_se(spark, d):
     b = evaluation.bootstrap(table(spark, d, "events"), "value", "event_id", 8, 5, "event_type")
-    return b.select("event_type", F.round("se_mean", 5).alias("se_mean"), F.round("se_median", 5).alias("se_median"))
+    return b.select("event_type", *[F.round(c, 5).alias(c) for c in ("se_mean", "se_median", "se_p99")])
 
 
 @query("""
@@ -228,11 +222,9 @@ def run_state_lookup(spark, d):
     return runs.join(jobs, F.concat(F.lit("/team/"), F.col("name")) == F.col("job"), "left").select("c_custkey", "state")
 
 
-@query("WITH e AS (SELECT user_id, event_type, event_id, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS r FROM events) SELECT user_id, event_type, array_to_string(list(event_id ORDER BY event_id), ',') AS steps, count(value) AS n FROM e WHERE r <= 5 GROUP BY 1, 2")
+@query("SELECT user_id, event_type, array_to_string(list(event_id ORDER BY event_id), ',') AS steps, count(value) AS n FROM events GROUP BY 1, 2")
 def trajectory_arrays(spark, d):
-    w = Window.partitionBy("user_id", "event_type").orderBy("event_id")
-    rows = table(spark, d, "events").withColumn("r", F.row_number().over(w)).where("r <= 5")
-    t = telemetry.trajectories(rows, ["user_id", "event_type"], "event_id", ["value"])
+    t = telemetry.trajectories(table(spark, d, "events"), ["user_id", "event_type"], "event_id", ["value"])
     return t.select("user_id", "event_type", F.array_join("event_ids", ",").alias("steps"), F.size(F.filter("values", lambda v: v.isNotNull())).cast("long").alias("n"))
 
 

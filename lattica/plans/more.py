@@ -6,7 +6,6 @@ import math
 
 from pyspark.sql import functions as F
 
-from lattica.functions.quantize import LogCodec
 from lattica.operators import grids as G
 from lattica.operators import lmq, series
 from lattica.plans.numeric import _HIST, _hist
@@ -119,15 +118,6 @@ def delta_density(spark, d):
     return rows.groupBy("task_id").agg(r6(F.sum(F.abs("delta"))).alias("delta_mass"), r6(F.sum("delta")).alias("delta_total"))
 
 
-@query()
-def fourier_coded(spark, d):
-    """Coefficients of the low-pass spectrum through the codec: relative error of their power."""
-    codec = LogCodec.two_tokens(-6.0, 3.0)
-    s = G.lowest_frequencies(G.dft(G.unpack(grids(spark, d)), 4, 4, 4), 8)
-    off = F.abs(F.col("re") - codec.round_trip(F.col("re"))) + F.abs(F.col("im") - codec.round_trip(F.col("im")))
-    return s.groupBy("task_id").agg(F.round(F.sum(off) / F.sum(F.abs("re") + F.abs("im")), 6).alias("error"))
-
-
 @query("SELECT CAST(l_quantity AS BIGINT) AS q, count(*) AS n, round(avg(CASE WHEN CAST(floor((ln(greatest(1e-6, least(1e5, l_extendedprice))) - ln(1e-6)) / (ln(1e5) - ln(1e-6)) * 100) AS BIGINT) > 95 THEN 1.0 ELSE 0.0 END), 6) AS share FROM lineitem GROUP BY 1")
 def fine_bin_share(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_quantity").cast("long").alias("q"), lmq.fine_bin(F.col("l_extendedprice"), bins=100).alias("b"))

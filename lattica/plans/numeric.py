@@ -198,13 +198,6 @@ def dft_magnitude_lowg(spark, d):
     return low.select("task_id", *[F.col(k).cast("long").alias(k) for k in ("kx", "ky", "kz")], "g2", (F.round(F.col("re") * F.col("re") + F.col("im") * F.col("im"), 4) + 0.0).alias("power"))
 
 
-@query()
-def fourier_lowpass(spark, d):
-    rows = G.fourier(grids(spark, d), 0.25)
-    pairs = rows.select("task_id", "n_kept", F.posexplode(F.arrays_zip("density", "approx")).alias("i", "z")).select("task_id", "n_kept", F.col("z.density").alias("rho"), F.col("z.approx").alias("approx"))
-    return G.error_metrics(pairs, ["task_id"]).select("task_id", F.round("nmae", 4).alias("nmae"))
-
-
 @query("""
     WITH n AS (SELECT vec_id AS task_id, CAST(len(embedding) AS BIGINT) AS n FROM embeddings), k AS (SELECT *, greatest(1, CAST(round_even(n * 0.05, 0) AS BIGINT)) AS k FROM n)
     SELECT task_id, n * 3 AS direct, k * 6 AS cutoff, k * 9 AS fourier, n * 10 AS delta FROM k""")
