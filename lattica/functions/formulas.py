@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 HALOGENS = ("F", "Cl", "Br", "I")
 CHALCOGENS = ("S", "Se", "Te")
 NON_METALS = ("H", "He", "B", "C", "N", "O", "F", "Ne", "Si", "P", "S", "Cl", "Ar", "Ge", "As", "Se", "Br", "Kr", "Sb", "Te", "I", "Xe", "At", "Rn", "Ts", "Og")
-#: Job states by code; a code without a name becomes UNKNOWN_<code>.
+# Job states by code; a code without a name becomes UNKNOWN_<code>.
 JOB_STATES = {1: "PENDING", 2: "BUILDING", 3: "RUNNING", 4: "SUCCEEDED", 5: "FAILED", 6: "KILLED", 7: "WORKER_FAILED", 8: "UNSCHEDULABLE"}
 
 
@@ -64,6 +64,16 @@ def parse_config_label(label: Column) -> tuple[Column, Column]:
     return F.when(label.rlike(pattern), F.regexp_extract(label, pattern, 1)).otherwise(label), share
 
 
+def config_label(scheme: str, fraction: Column) -> Column:
+    """A label such as ``cutoff-top-2.5pct``: the percentage in its shortest form."""
+    return F.concat(F.lit(f"{scheme}-"), F.regexp_replace(F.regexp_replace(F.format_string("%.6f", F.round(fraction * 100, 4)), "0+$", ""), r"\.$", ""), F.lit("pct"))
+
+
+def expand_label(short: Column, prefix: str, plain: str, whole: str = "train-") -> Column:
+    """A short label in full: whole ones stay, ``plain`` is the prefix alone, others follow it."""
+    return F.when(short.startswith(whole), short).when(short == plain, F.lit(prefix)).otherwise(F.concat(F.lit(f"{prefix}-"), short))
+
+
 def category(symbols: Column) -> Column:
     """Material category of an array of element symbols; the first rule that holds decides, and an empty set counts as all metals."""
     among = lambda names: F.arrays_overlap(symbols, F.array(*map(F.lit, names)))

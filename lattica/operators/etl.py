@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators.order import numbered
+
 
 def reject_reason(missing: Column, dims: list[Column], lattice_ok: Column, longest: Column, limit: int, grid_limit: int = 1024) -> Column:
     """The first of missing, oversized, lattice and overflow that holds; null for an accepted material."""
@@ -33,21 +38,36 @@ def stripe(rows: DataFrame, index: str, worker: int, workers: int) -> DataFrame:
 def shard_bins(rows: DataFrame, task: str, per_shard: int, worker: str | None = None) -> DataFrame:
     """(task, rows, shard): shards of at most ``per_shard`` rows by running count, where a task never straddles two.
 
-    A shard is closed when its rows and the next task's would exceed the limit. The fold runs per worker over
-    task sizes, so give ``worker`` to spread it.
+    A shard is closed when its rows and the next task's would exceed the limit. Tasks are numbered in
+    order within a worker, or, without ``worker``, within ranges of tasks; each partition carries the
+    running count over its sorted stream, so no list of tasks is held. Shards are numbered within their worker or range.
     """
-    keys = [worker] if worker else []
-    sizes = rows.groupBy(*keys, task).agg(F.count("*").alias("rows"))
-    lists = sizes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(task).alias("t"), F.col("rows").alias("n")))).alias("s"))
-    empty = F.array().cast("array<struct<t:bigint,n:bigint,shard:bigint>>")
-    start = F.struct(F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("fill"), empty.alias("out"))
-
-    def place(a: Column, x: Column) -> Column:
-        roll = (a["fill"] > 0) & (a["fill"] + x["n"] > per_shard)
-        shard = a["shard"] + F.when(roll, 1).otherwise(0)
-        return F.struct(shard.alias("shard"), (F.when(roll, 0).otherwise(a["fill"]) + x["n"]).alias("fill"), F.concat(a["out"], F.array(F.struct(x["t"].cast("long").alias("t"), x["n"].alias("n"), shard.alias("shard")))).alias("out"))
-
-    return lists.select(*keys, F.explode(F.aggregate("s", start, place, lambda a: a["out"])).alias("o")).select(*keys, F.col("o.t").alias(task), F.col("o.n").alias("rows"), F.col("o.shard").alias("shard"))
+    by = worker or "_range"
+    sizes = rows.groupBy(*([worker] if worker else []), F.col(task).cast("long").alias("_t")).agg(F.count("*").alias("_n"))
+    if worker:
+        sorted_ = sizes.select(F.col(worker).cast("long").alias(by), "_t", "_n").repartition(by).sortWithinPartitions(by, "_t")
+    else:
+        sorted_ = sizes.repartitionByRange("_t").sortWithinPartitions("_t").select(F.spark_partition_id().cast("long").alias(by), "_t", "_n")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, shard, fill = None, 0, 0
+        for b in batches:
+            out = []
+            for k, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if k != key:
+                    key, shard, fill = k, 0, 0
+                elif fill + n > per_shard:
+                    shard, fill = shard + 1, 0
+                fill += n
+                out.append(shard)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[by, task, "rows", "shard"])
+
+    return sorted_.mapInArrow(fold, f"{by} long, {task} long, rows long, shard long")
+
+
+def fitting(rows: DataFrame, task: str, length: Column, limit: int) -> DataFrame:
+    """Rows of the tasks of which no row is longer than ``limit``: one that overflows drops its whole task."""
+    return rows.withColumn("_longest", F.max(length).over(Window.partitionBy(task))).where(F.col("_longest") <= limit).drop("_longest")
 
 
 def every_nth_shard(files: DataFrame, folder: str, path: str, per_folder: int, nth: int) -> DataFrame:
@@ -70,8 +90,7 @@ def block_shuffle(rows: DataFrame, index: str, io_block: int, window_blocks: int
     Reading in (window, mark) order needs ``window_blocks`` blocks in memory.
     """
     blocks = rows.select(F.floor(F.col(index) / io_block).alias("block")).distinct()
-    order = F.row_number().over(Window.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("block").cast("string"))), "block"))
-    placed = blocks.withColumn("window", F.floor((order - 1) / window_blocks))
+    placed = numbered(blocks, F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("block").cast("string"))), "block").select("block", F.floor((F.col("place") - 1) / window_blocks).alias("window"))
     mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("row"), F.col(index).cast("string")))
     return rows.withColumn("block", F.floor(F.col(index) / io_block)).join(placed, "block").withColumn("mark", mark)
 
@@ -83,6 +102,8 @@ def compare_manifests(local: DataFrame, remote: DataFrame) -> DataFrame:
     return local.join(there, "path", "left").select("path", status.alias("status"))
 
 
-def write_shards(rows: DataFrame, path: str, worker: str = "worker", rows_per_file: int = 10_000) -> None:
-    """Zstandard Parquet files under a folder for each worker."""
-    rows.repartition(worker).write.mode("overwrite").partitionBy(worker).option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
+def write_shards(rows: DataFrame, path: str, task: str, worker: str = "worker", rows_per_file: int = 10_000) -> None:
+    """Zstandard Parquet files under a folder for each worker: a file for each shard of ``shard_bins``, so none splits a task."""
+    bins = shard_bins(rows, task, rows_per_file, worker).select(F.col(worker).alias("_w"), F.col(task).alias("_t"), F.col("shard").alias("_shard"))
+    placed = rows.join(bins, (rows[worker].cast("long") == bins["_w"]) & (rows[task].cast("long") == bins["_t"])).drop("_w", "_t")
+    placed.repartition(worker, "_shard").sortWithinPartitions(worker, "_shard").write.mode("overwrite").partitionBy(worker, "_shard").option("compression", "zstd").parquet(path)

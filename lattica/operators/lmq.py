@@ -32,9 +32,11 @@ def equal_mass(hist: DataFrame, n_bins: int) -> DataFrame:
 
     The window runs over the histogram, whose size is a parameter, not over the data.
     """
-    shares = hist.withColumn("cdf", F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(Window.partitionBy()))
-    marks = hist.sparkSession.range(1, n_bins).select(F.col("id").alias("q"))
-    return marks.join(F.broadcast(shares), shares["cdf"] >= F.col("q") / F.lit(float(n_bins))).groupBy("q").agg(F.min("centre").alias("boundary"))  # broadcast: the histogram
+    order = Window.orderBy("bin")
+    shares = hist.withColumn("cdf", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(Window.partitionBy()))
+    reached = shares.withColumn("upto", F.floor(F.col("cdf") * n_bins + 1e-9)).withColumn("before", F.coalesce(F.lag("upto").over(order), F.lit(0)))
+    first = reached.where("upto > before").select(F.explode(F.sequence(F.col("before") + 1, F.col("upto"))).alias("q"), F.col("centre").alias("boundary"))
+    return first.where(F.col("q") < n_bins)
 
 
 def assign(values: DataFrame, column: str, boundaries: list[float], out: str = "bin") -> DataFrame:
@@ -91,24 +93,69 @@ class LloydMax:
         return F.get(F.array(*map(F.lit, self.recon)), at.cast("int"))
 
 
-def fit(hist: DataFrame, n_bins: int, clip_max: float, iterations: int = 30, tolerance: float = 1e-8) -> LloydMax:
-    """Lloyd's iterations from an equal-mass start.
-
-    The histogram, of at most its fixed number of bins, comes to the driver; the data does not.
-    """
-    rows = hist.orderBy("bin").select("centre", "n").toPandas()
-    x, w = rows["centre"].to_numpy(), rows["n"].to_numpy(float)
-    cdf = np.cumsum(w) / w.sum()
-    bounds = np.interp(np.arange(1, n_bins) / n_bins, cdf, x)
-    recon = None
+def _iterate(x: np.ndarray, w: np.ndarray, n_bins: int, iterations: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """(boundaries, points) of Lloyd's iterations from an equal-mass start; empty bins get points between their neighbours'."""
+    bounds, points = np.interp(np.arange(1, n_bins) / n_bins, np.cumsum(w) / w.sum(), x), x[:0]
     for _ in range(iterations):
-        at = np.searchsorted(bounds, x, side="left")
-        weight = np.bincount(at, w, n_bins)
-        filled = weight > 0
-        points = np.interp(np.arange(n_bins), np.flatnonzero(filled), np.bincount(at, w * x, n_bins)[filled] / weight[filled])
+        points = _points(np.searchsorted(bounds, x, side="left"), x, w, n_bins)
         new = (points[1:] + points[:-1]) / 2
         moved = np.abs(new - bounds).max(initial=0)
-        bounds, recon = new, points
+        bounds = new
         if moved < tolerance:
             break
-    return LloydMax(bounds.tolist(), recon.tolist(), clip_max)
+    return bounds, points
+
+
+def _points(at: np.ndarray, x: np.ndarray, w: np.ndarray, n_bins: int) -> np.ndarray:
+    """Weighted mean of each bin."""
+    weight = np.bincount(at, w, n_bins)
+    held = np.flatnonzero(weight)
+    return np.interp(np.arange(n_bins), held, np.bincount(at, w * x, n_bins)[held] / weight[held])
+
+
+def _middles(at: np.ndarray, x: np.ndarray, w: np.ndarray, n_bins: int) -> np.ndarray:
+    """First centre of each bin at which half of its weight is reached."""
+    run = np.cumsum(w)
+    ends = np.searchsorted(at, np.arange(n_bins), side="right")
+    starts = np.searchsorted(at, np.arange(n_bins))
+    held = np.flatnonzero(ends > starts)
+    before = np.concatenate(([0.0], run))[starts[held]]
+    half = before + (run[ends[held] - 1] - before) / 2
+    return np.interp(np.arange(n_bins), held, x[np.minimum(np.searchsorted(run, half), ends[held] - 1)])
+
+
+def _weights(hist: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    rows = hist.orderBy("bin").select("centre", "n").toPandas()  # at most the histogram's fixed number of bins
+    return rows["centre"].to_numpy(float), rows["n"].to_numpy(float)
+
+
+def fit(hist: DataFrame, n_bins: int, clip_max: float, iterations: int = 30, tolerance: float = 1e-8) -> LloydMax:
+    """Lloyd's iterations from an equal-mass start.
+
+    The histogram, of at most its fixed number of bins, comes to the driver; the data does not.
+    """
+    bounds, points = _iterate(*_weights(hist), n_bins, iterations, tolerance)
+    return LloydMax(bounds.tolist(), points.tolist(), clip_max)
+
+
+def fit_report(hist: DataFrame, n_bins: int, clip_max: float, iterations: int = 30, tolerance: float = 1e-8) -> tuple[DataFrame, dict[str, float]]:
+    """What a fit gives beside its boundaries: (bin, n, low, mean, median) of each bin, and the expected absolute error with means
+    (``mae``), with medians (``mae_median``), the mean value, and the errors over it (``nmae``, ``nmae_median``), which bound a model's."""
+    x, w = _weights(hist)
+    bounds, _ = _iterate(x, w, n_bins, iterations, tolerance)
+    at = np.searchsorted(bounds, x, side="left")
+    mean, median = _points(at, x, w, n_bins), _middles(at, x, w, n_bins)
+    rho = float((x * w).sum() / w.sum())
+    off = lambda p: float((np.abs(x - p[at]) * w).sum() / w.sum())
+    totals = {"mae": off(mean), "mae_median": off(median), "mean": rho, "nmae": off(mean) / max(rho, 1e-30), "nmae_median": off(median) / max(rho, 1e-30)}
+    low = np.concatenate(([0.0], bounds))
+    rows = [(int(i), int(n), *map(float, v)) for i, n, *v in zip(range(n_bins), np.bincount(at, w, n_bins), low, mean, median, strict=True)]
+    return hist.sparkSession.createDataFrame(rows, "bin long, n long, low double, mean double, median double"), totals
+
+
+def quantizer_errors(hist: DataFrame, boundaries: list[float]) -> DataFrame:
+    """Expected absolute and root mean square error of a histogram quantized at boundaries to its bins' means."""
+    placed = assign(hist, "centre", boundaries)
+    points = placed.groupBy("bin").agg((F.sum(F.col("centre") * F.col("n")) / F.sum("n")).alias("_p"))
+    off = placed.select(F.col("bin"), "centre", "n").join(points, "bin").withColumn("_d", F.abs(F.col("centre") - F.col("_p")))
+    return off.agg((F.sum(F.col("_d") * F.col("n")) / F.sum("n")).alias("mae"), F.sqrt(F.sum(F.col("_d") * F.col("_d") * F.col("n")) / F.sum("n")).alias("rmse"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.formulas import ball_length, cube_length, shell_counts
+from lattica.operators.order import numbered
 
 BALL_RADII = (75, 86, 100, 138, 153)
 
@@ -42,12 +43,31 @@ def fit_fraction(mats: DataFrame, lengths: list[str], budgets: list[int]) -> Dat
 def nearest_rank(df: DataFrame, column: str, percents: list[int]) -> DataFrame:
     """(p, value) at row floor(n p / 100), from 0 and at most n - 1, of the sorted non-null values.
 
-    Values are counted before they are ordered, so the running sum is over distinct values.
+    Places come from ranges of the sorted values, so no task holds them all.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("c"))
-    run = counts.withColumn("upto", F.sum("c").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(Window.partitionBy()))
-    asked = run.select("*", F.explode(F.array(*[F.lit(p) for p in percents])).alias("p"))
-    return asked.where(F.col("upto") > F.least(F.floor(F.col("n") * F.col("p") / 100), F.col("n") - 1)).groupBy("p").agg(F.min("value").alias("value"))
+    known = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value"))
+    asked = known.agg(F.count("*").alias("n")).select(F.explode(F.array(*[F.struct(F.lit(p).alias("p"), (F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1) + 1).alias("at")) for p in percents])).alias("a")).select("a.p", "a.at")
+    return numbered(known, "value").join(F.broadcast(asked), F.col("place") == F.col("at")).select("p", "value")  # broadcast: a row for each percentage
+
+
+def corpus_totals(shapes: DataFrame, patch: int) -> DataFrame:
+    """Totals of grids (nx, ny, nz): voxels (sum, mean, median, largest), disjoint tiles and all offsets of a patch, and the share of grids no larger than it."""
+    v = F.col("nx") * F.col("ny") * F.col("nz")
+    tiles = F.floor(F.col("nx") / patch) * F.floor(F.col("ny") / patch) * F.floor(F.col("nz") / patch)
+    room = lambda c: F.greatest(F.col(c) - patch + 1, F.lit(0))
+    offsets = room("nx") * room("ny") * room("nz")
+    return shapes.agg(
+        F.count("*").alias("n"),
+        F.sum(v).alias("voxels"),
+        F.avg(v).alias("mean"),
+        F.percentile(v, F.lit(0.5)).alias("median"),
+        F.max(v).alias("largest"),
+        F.sum(tiles).alias("disjoint"),
+        F.max(tiles).alias("most_disjoint"),
+        F.sum(offsets).alias("offsets"),
+        F.max(offsets).alias("most_offsets"),
+        F.avg((v <= patch**3).cast("double")).alias("small"),
+    )
 
 
 def upsert(current: DataFrame, incoming: DataFrame, key: str, replace_split: str | None = None) -> DataFrame:

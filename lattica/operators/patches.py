@@ -38,6 +38,12 @@ def random_offsets(grids: DataFrame, m: int, seed: int = 0) -> DataFrame:
     return rows.withColumn("offset", F.array(*[draw(F.get("grid", F.lit(a)), F.lit(seed), F.col("task_id"), F.col("k"), F.lit(a)).cast("int") for a in range(3)]))
 
 
+def random_centres(grids: DataFrame, m: int, seed: int = 0) -> DataFrame:
+    """``m`` centres a grid, each axis drawn over the whole side: (…, k, cx, cy, cz), decided by seed, grid and k alone."""
+    rows = grids.select("*", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("k"))
+    return rows.withColumns({f"c{a}": draw(F.col(f"n{a}"), F.lit(seed), F.col("task_id"), F.col("k"), F.lit(a)) for a in "xyz"})
+
+
 def high_corner(grid: Column, offset: Column, shape: Column) -> Column:
     """The wrapped last cell on each axis; below the offset where the patch crosses the boundary."""
     return F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.pmod(F.get(offset, i) + F.get(shape, i) - 1, F.get(grid, i)))

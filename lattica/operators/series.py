@@ -40,6 +40,13 @@ def log_histogram(values: Column, weight: Column, low: float, high: float, bins:
     return F.greatest(F.lit(0), F.least(F.lit(bins - 1), at)).cast("long"), weight
 
 
+def segments(rows: DataFrame, series: str, order: list[str], value: str) -> DataFrame:
+    """Add ``starts`` (the value differs from the one before, or there is none) and ``segment``, the run's number from 1, in the order of each series."""
+    own = Window.partitionBy(series).orderBy(*order)
+    marked = rows.withColumn("starts", F.row_number().over(own).eqNullSafe(F.lit(1)) | ~F.col(value).eqNullSafe(F.lag(value).over(own)))
+    return marked.withColumn("segment", F.count_if("starts").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def ends(array: Column, k: int) -> tuple[Column, Column]:
     """The first and last ``k`` items of an array; the whole array where it is shorter."""
     return F.slice(array, 1, k), F.when(F.size(array) <= k, array).otherwise(F.slice(array, -k, k))

@@ -76,6 +76,24 @@ def curves(rows: DataFrame, metric: str) -> DataFrame:
     return rows.where(finite(F.col(metric))).groupBy("scheme", "fraction").agg(F.count("*").alias("n"), F.avg("tokens").alias("mean_tokens"), F.avg(metric).alias("mean"), F.percentile(metric, F.lit(0.5)).alias("median"), F.min(metric).alias("low"), F.max(metric).alias("high"))
 
 
+def ordered_categories(rows: DataFrame) -> DataFrame:
+    """(category, samples, place): materials of each category, the largest first, ties by name. The order runs over categories alone."""
+    n = rows.groupBy("category").agg(F.countDistinct("task_id").alias("samples"))
+    return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("samples"), "category")).cast("long"))
+
+
+def category_medians(rows: DataFrame, metric: str) -> DataFrame:
+    """(category, samples, place, median) of a metric."""
+    medians = rows.groupBy("category").agg(F.percentile(metric, F.lit(0.5)).alias("median"))
+    return ordered_categories(rows).join(medians, "category")
+
+
+def by_category(rows: DataFrame, metrics: list[str]) -> DataFrame:
+    """Means of several metrics by category and configuration, with the categories' sizes and order."""
+    means = rows.groupBy("category", "scheme", "fraction").agg(*[F.avg(m).alias(f"mean_{m}") for m in metrics])
+    return means.join(ordered_categories(rows), "category")
+
+
 def cost(chips: Column, hours: Column, preemptible: Column) -> Column:
     """Chip-hours at the published rates per chip: 1.15 preemptible, 2.83 on demand."""
     return chips * hours * F.when(preemptible, 1.15).otherwise(2.83)

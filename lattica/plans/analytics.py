@@ -9,6 +9,7 @@ from lattica.functions import formulas
 from lattica.functions.quantize import LogCodec
 from lattica.operators import evaluation, grids as G, telemetry
 from lattica.plans.registry import VOX, grids, query, r6, sql_bin, sql_r6, sql_unbin, table
+from lattica.sources.scratch import new_path, rename_only_file
 from lattica.streaming import counters
 
 # ---- sweeps ---------------------------------------------------------------------------------------
@@ -70,6 +71,25 @@ def config_label_parse(spark, d):
     return table(spark, d, "documents").select("doc_id", scheme.alias("scheme"), F.round(fraction, 8).alias("fraction"))
 
 
+@query(f"WITH {_SWEEP} SELECT scheme, fraction, {sql_r6('avg(nmae)')} AS mean, {sql_r6('quantile_cont(nmae, 0.5)')} AS median, {sql_r6('min(nmae)')} AS low, {sql_r6('max(nmae)')} AS high FROM sw GROUP BY 1, 2")
+def fraction_curves(spark, d):
+    c = telemetry.curves(_sweep(spark, d), "nmae")
+    return c.select("scheme", "fraction", *[r6(F.col(x)).alias(x) for x in ("mean", "median", "low", "high")])
+
+
+@query(f"WITH {_SWEEP}, m AS (SELECT category, count(DISTINCT task_id) AS samples, quantile_cont(nmae, 0.5) AS median FROM sw WHERE fraction = 0.05 GROUP BY 1) SELECT CAST(category AS BIGINT) AS category, samples, {sql_r6('median')} AS median, row_number() OVER (ORDER BY samples DESC, category) AS place FROM m")
+def category_medians(spark, d):
+    m = telemetry.category_medians(_sweep(spark, d).where("fraction = 0.05"), "nmae")
+    return m.select(F.col("category").cast("long").alias("category"), "samples", r6(F.col("median")).alias("median"), "place")
+
+
+@query(f"""WITH {_SWEEP}, n AS (SELECT category, count(DISTINCT task_id) AS samples FROM sw GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY samples DESC, category) AS place FROM n)
+    SELECT CAST(category AS BIGINT) AS category, any_value(samples) AS samples, any_value(place) AS place, scheme, fraction, {sql_r6('avg(nmae)')} AS mean_nmae, {sql_r6('avg(tokens)')} AS mean_tokens FROM sw JOIN o USING (category) GROUP BY category, scheme, fraction""")
+def sweep_by_category(spark, d):
+    out = telemetry.by_category(_sweep(spark, d), ["nmae", "tokens"])
+    return out.select(F.col("category").cast("long").alias("category"), "samples", "place", "scheme", "fraction", r6(F.col("mean_nmae")).alias("mean_nmae"), r6(F.col("mean_tokens")).alias("mean_tokens"))
+
+
 # ---- evaluation: embeddings as logits over 64 ids, of which 8 to 55 are density ids ------------------
 
 _DIST = f"""{VOX}, l AS (SELECT task_id AS pos, flat AS token, rho * 20 AS logit FROM vox), r AS (SELECT pos, token - 8 AS bin, exp(logit - max(logit) OVER (PARTITION BY pos)) AS e FROM l WHERE token >= 8 AND token < 56),
@@ -273,12 +293,30 @@ def json_family(spark, d):
 # ---- streams ------------------------------------------------------------------------------------------
 
 
-@query("""WITH e AS (SELECT user_id, ts, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY user_id) AS polls FROM events)
-    SELECT user_id, polls, value AS total, round(greatest(0, value - coalesce(before, value)), 6) AS last_delta FROM e WHERE r = 1""")
+@query("""WITH e AS (SELECT *, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 3.6e9::DOUBLE AS hours, lag(value) OVER w AS before, row_number() OVER w AS poll FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    SELECT user_id, poll, event_id, value AS total, round(greatest(0, value - coalesce(before, value)), 6) AS delta, round(CASE WHEN hours * 60 > 0.5 THEN value / hours ELSE 0 END, 5) AS per_hour FROM e""")
 def stream_counter_deltas(spark, d):
     out = counters.run_to_table(counters.counter_deltas(counters.events_stream(spark, d)), "update", "deltas")
-    latest = Window.partitionBy("user_id").orderBy(F.desc("batch"))
-    return out.withColumn("r", F.row_number().over(latest)).where("r = 1").select("user_id", "polls", "total", F.round("last_delta", 6).alias("last_delta"))
+    return out.select("user_id", "poll", "event_id", "total", F.round("delta", 6).alias("delta"), F.round("per_hour", 5).alias("per_hour"))
+
+
+@query("SELECT user_id, event_type, event_id % 20 AS step, arg_max(value, event_id) AS value, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL")
+def stream_late_points(spark, d):
+    points = counters.events_stream(spark, d).where("value is not null").select("user_id", "event_type", (F.col("event_id") % 20).alias("step"), "event_id", "value")
+    out = counters.run_to_table(points.repartition(3, "event_id"), "append", "points")
+    return counters.late_points(out, ["user_id", "event_type", "step"], "event_id", "value")
+
+
+@query("SELECT event_id % 6 AS step, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def stream_new_results(spark, d):
+    folder = new_path(spark, "results")
+    rows = table(spark, d, "events").select((F.col("event_id") % 6).alias("step"), "event_id", "value")
+    for step in range(6):
+        part = f"{folder}/parts/{step}"
+        rows.where(F.col("step") == step).drop("step").coalesce(1).write.option("ignoreNullFields", "false").json(part)
+        rename_only_file(spark, part, ".json", f"{folder}/inbox/step-{step}.json")
+    out = counters.run_to_table(counters.new_results(spark, f"{folder}/inbox", "event_id long, value double"), "append", "harvest")
+    return out.groupBy("step").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("SELECT epoch_ms(time_bucket(INTERVAL '1 hour', ts)) AS start_ms, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -54,12 +54,6 @@ def top_n_orders(spark, d):
     return table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
 
 
-@query("SELECT s_suppkey FROM supplier ORDER BY CASE WHEN s_nationkey % 2 = 0 THEN 0 ELSE 1 END, -s_acctbal, s_name LIMIT 40")
-def multi_key_top(spark, d):
-    order = (F.when(F.col("s_nationkey") % 2 == 0, 0).otherwise(1), -F.col("s_acctbal"), F.col("s_name"))
-    return table(spark, d, "supplier").orderBy(*order).select("s_suppkey").limit(40)
-
-
 @query("SELECT vec_id, round(list_sum(list_transform(embedding[1:3], lambda x: CAST(x AS DOUBLE))), 5) AS head, round(list_sum(list_transform(embedding[62:64], lambda x: CAST(x AS DOUBLE))), 5) AS tail FROM embeddings")
 def head_tail_preview(spark, d):
     head, tail = series.ends(F.transform("embedding", lambda x: x.cast("double")), 3)

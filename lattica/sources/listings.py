@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.operators.lmq import LloydMax
+from lattica.operators.order import numbered
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -44,9 +47,10 @@ def read_codec(path: str) -> LloydMax:
 
 
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, md5) of every file below a folder."""
+    """(path, size, md5) of every file below a folder; paths are relative to it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("path"), F.col("length").alias("size"), F.md5("content").alias("md5"))
+    root = re.sub(r"^file:/*", "/", path.rstrip("/"))
+    return files.select(F.replace(F.regexp_replace("path", "^file:/*", "/"), F.lit(f"{root}/"), F.lit("")).alias("path"), F.col("length").alias("size"), F.md5("content").alias("md5"))
 
 
 def write_history(rows: DataFrame, path: str, step: str = "_step") -> DataFrame:
@@ -57,4 +61,4 @@ def write_history(rows: DataFrame, path: str, step: str = "_step") -> DataFrame:
 
 def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Distinct keys in order of first appearance."""
-    return rows.groupBy(key).agg(F.min(order).alias("_at")).withColumn("place", F.row_number().over(Window.orderBy("_at"))).drop("_at")
+    return numbered(rows.groupBy(key).agg(F.min(order).alias("_at")), "_at").drop("_at")

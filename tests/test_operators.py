@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from lattica.functions import formulas
 from lattica.functions.quantize import LogCodec
 from lattica.functions.vocabulary import Vocabulary
-from lattica.operators import etl, evaluation, grids, lmq, materials, patches, series, telemetry
-from lattica.sources import chgcar, listings, zarr
+from lattica.operators import etl, evaluation, grids, lmq, materials, order, patches, promolecules, series, telemetry, transforms
+from lattica.sources import chgcar, listings, tables, zarr
 from lattica.streaming import counters
 
 
@@ -281,8 +281,15 @@ def test_manifest_history_and_shards(spark, tmp_path):
     rows = spark.createDataFrame([(3, 1.0), (None, 2.0), (1, None)], "_step long, loss double")
     m = listings.write_history(rows, str(tmp_path / "h"))
     assert tuple(m.first()) == (3, 1, 3)
-    etl.write_shards(spark.range(50).withColumn("worker", F.col("id") % 2), str(tmp_path / "s"), rows_per_file=10)
-    assert spark.read.parquet(str(tmp_path / "s")).count() == 50 and listings.file_manifest(spark, str(tmp_path / "s")).where("path like '%parquet'").count() >= 5
+    tasks = spark.range(50).select((F.col("id") % 2).alias("worker"), F.floor(F.col("id") / 7).alias("task"), "id")
+    etl.write_shards(tasks, str(tmp_path / "s"), "task", rows_per_file=10)
+    back = tables.shards(spark, str(tmp_path / "s"))
+    assert back.count() == 50 and back.groupBy("worker", "task").agg(F.countDistinct("_metadata.file_path").alias("n")).where("n > 1").count() == 0
+    assert back.groupBy("_metadata.file_path").count().where("count > 10").count() == 0
+    (tmp_path / "s" / "a").mkdir(), (tmp_path / "s" / "b").mkdir()
+    (tmp_path / "s" / "a" / "x.bin").write_text("1"), (tmp_path / "s" / "b" / "x.bin").write_text("2")
+    paths = [r.path for r in listings.file_manifest(spark, str(tmp_path / "s")).where("path like '%.bin'").orderBy("path").collect()]
+    assert paths == ["a/x.bin", "b/x.bin"]
     assert "| a |" in telemetry.markdown(spark.createDataFrame([(1,)], "a int"))
 
 
@@ -296,10 +303,11 @@ def test_stream_equals_batch_over_several_triggers(spark, tmp_path):
         (src,) = (p for p in os.listdir(tmp_path / f"in{n}") if p.endswith("parquet"))
         os.rename(tmp_path / f"in{n}" / src, tmp_path / "all" / f"{n}.parquet")
     out = counters.run_to_table(counters.counter_deltas(counters.events_stream(spark, str(tmp_path / "all"), "*.parquet")), "update", "t")
-    last = {r.user_id: r for r in out.orderBy("batch").collect()}
     for u in range(3):
         v = [r[4] for r in rows if r[2] == u]
-        assert (last[u].polls, last[u].total, last[u].last_delta) == (10, v[-1], max(0.0, v[-1] - v[-2]))
+        got = [(r.poll, r.total, r.delta) for r in out.where(F.col("user_id") == u).orderBy("poll").collect()]
+        assert got == [(i + 1, x, max(0.0, x - v[i - 1]) if i else 0.0) for i, x in enumerate(v)]
+    assert out.where("poll = 1 and per_hour <> 0").count() == 0
 
 
 def test_integrity_scan_and_tree(spark, tmp_path):
@@ -316,3 +324,82 @@ def test_integrity_scan_and_tree(spark, tmp_path):
 def test_gaps_are_clamped_at_the_ends(spark):
     df = spark.createDataFrame([(1, i, v) for i, v in enumerate([None, 2.0, None, None, 5.0, None])], "s int, i int, v double")
     assert [r.filled for r in series.fill_gaps(df, "s", "i", "v").orderBy("i").collect()] == [2, 2, 3, 4, 5, 5]
+
+
+def test_numbered_equals_a_window(spark):
+    df = spark.range(1000).select(F.col("id"), (F.col("id") * 7919 % 101).alias("k")).repartition(7)
+    want = {r.id: i + 1 for i, r in enumerate(sorted(df.collect(), key=lambda r: (r.k, -r.id)))}
+    assert {r.id: r.place for r in order.numbered(df, "k", -F.col("id")).collect()} == want
+    assert order.numbered(df.limit(0), "k").count() == 0
+
+
+def test_shards_never_split_a_task(spark):
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(1, 60, 200).tolist()
+    rows = spark.createDataFrame([(t % 3, t) for t, n in enumerate(sizes) for _ in range(n)], "worker long, task long")
+    for worker in ("worker", None):
+        got = etl.shard_bins(rows, "task", 100, worker).collect()
+        assert {(r.task, r.rows) for r in got} == set(enumerate(sizes))
+        fill = {}
+        for r in got:
+            fill[r[0], r.shard] = fill.get((r[0], r.shard), 0) + r.rows
+        assert max(fill.values()) <= 100
+
+
+def test_published_versions_are_new(spark, tmp_path):
+    df = spark.range(3)
+    assert tables.publish(df, str(tmp_path), "mats", 2, dry_run=True) == f"{tmp_path}/mats/v2" and not (tmp_path / "mats").exists()
+    path = tables.publish(df, str(tmp_path), "mats", 2)
+    assert spark.read.parquet(path).count() == 3
+    with pytest.raises(Exception, match="exists"):
+        tables.publish(df, str(tmp_path), "mats", 2)
+    with pytest.raises(ValueError):
+        tables.publish_path("x", "y", 0)
+
+
+def test_exactly_one_match(spark):
+    runs = spark.createDataFrame([("train-a",), ("train-b",)], "name string")
+    assert tables.one_match(runs, "name", "-b").first().name == "train-b"
+    for part in ("train", "none"):
+        with pytest.raises(ValueError):
+            tables.one_match(runs, "name", part)
+
+
+def test_csv_lines_and_extra_columns(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a "b", c', 2.5), (2, None, None)], "k long, s string, v double")
+    assert [r.value for r in tables.csv_lines(df, ["k", "v"]).collect()] == ["1,2.5", "2,"]
+    tables.write_csv(df, str(tmp_path / "c"), ["v", "s", "k"])
+    back = tables.read_csv(spark, str(tmp_path / "c"), "v double, s string, k long").orderBy("k").collect()
+    assert [tuple(r) for r in back] == [(2.5, 'a "b", c', 1), (None, None, 2)]
+
+
+def test_slater_screening_of_oxygen(spark):
+    got = {(r.n, r.l): (r.electrons, r.z_eff) for r in promolecules.screened(promolecules.shells(spark)).where("z = 8").collect()}
+    assert got == {(1, 0): (2, pytest.approx(7.70)), (2, 0): (2, pytest.approx(4.55)), (2, 1): (4, pytest.approx(4.55))}
+    iron = {(r.n, r.l): r.z_eff for r in promolecules.screened(promolecules.shells(spark)).where("z = 26").collect()}
+    assert iron[3, 2] == pytest.approx(6.25) and iron[4, 0] == pytest.approx(3.75)
+
+
+def test_transforms_compose(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, 4, 4, 2, rng.lognormal(size=32).tolist(), rng.lognormal(size=32).tolist()) for i in range(5)]
+    grids = spark.createDataFrame(rows, "task_id long, nx int, ny int, nz int, density array<double>, baseline array<double>")
+    codec = LogCodec(-6.0, 4.0, (8, 12))
+    error = lambda t: max(r[0] for r in transforms.round_trip(t, grids).select(transforms.relative_error(grids)).collect())
+    assert error(transforms.Direct()) < 1e-6 and error(transforms.Fourier(1.0)) < 1e-5 and error(transforms.Cutoff(1.0)) == 0
+    assert error(transforms.Coded(codec)) < 1e-4 and error(transforms.Delta(transforms.Coded(codec))) < 2e-4
+    assert error(transforms.Delta(transforms.Fourier(1.0, codec), atoms=2)) < 1e-3
+    pooled = transforms.round_trip(transforms.Pooled(transforms.Delta(transforms.Direct()), 2), grids.withColumn("baseline", F.array_repeat(F.lit(1.0), 4))).collect()
+    for r in pooled:
+        want = np.array(r.density).reshape(2, 2, 2, 2, 1, 2).mean(axis=(1, 3, 5)).repeat(2, 0).repeat(2, 1).repeat(2, 2).ravel()
+        assert np.allclose(r.approx, want, rtol=1e-5) and (r.nx, r.ny, r.nz) == (4, 4, 2)
+    assert transforms.Delta(transforms.Pooled(transforms.Direct(), 2)).name == "delta-down2-direct"
+    with pytest.raises(Exception, match="divisible"):
+        transforms.round_trip(transforms.Pooled(transforms.Direct(), 3), grids).collect()
+
+
+def test_density_loss_rejects_other_modes(spark):
+    frame = spark.createDataFrame([(1, 0, 0, 0.0)], "seq long, pos long, token long, logit double")
+    for bad in ({"mode": "x"}, {"kind": "l2"}):
+        with pytest.raises(ValueError):
+            evaluation.density_aware_loss(frame, frame, ["seq"], lambda b: b, 0, 1, weight=1.0, penalty=0.0, **bad)
