@@ -141,13 +141,44 @@ def pad_right(ids: Column, length: int) -> Column:
 
 
 def preamble(rows: DataFrame, v: Vocabulary) -> DataFrame:
-    """(task_id, nx, ny, nz, n_atoms, n_electrons) from token rows, one for each material."""
+    """(task_id, nx, ny, nz, n_atoms, n_electrons, lattice, offset) from token rows, one for each material; offset is null in the short layout."""
     ids = F.col("input_ids")
-    grid, atoms = block(ids, v, "GRID"), block(ids, v, "ATOMS")
-    out = rows.select("task_id", *[(F.get(grid, F.lit(i)) - v.int_offset).cast("long").alias(f"n{a}") for i, a in enumerate("xyz")], F.size(atoms).cast("long").alias("n_atoms"), F.aggregate(atoms, F.lit(0).cast("long"), lambda a, t: a + t - v.atom_offset + 1).alias("n_electrons"))
+    grid, atoms, bins, offset = (block(ids, v, n) for n in ("GRID", "ATOMS", "LATTICE", "OFFSET"))
+    lattice = F.transform(bins, lambda t, i: (t - v.int_offset) * F.when(i < 3, 0.05).otherwise(0.2))
+    out = rows.select(
+        "task_id",
+        *[(F.get(grid, F.lit(i)) - v.int_offset).cast("long").alias(f"n{a}") for i, a in enumerate("xyz")],
+        F.size(atoms).cast("long").alias("n_atoms"),
+        F.aggregate(atoms, F.lit(0).cast("long"), lambda a, t: a + t - v.atom_offset + 1).alias("n_electrons"),
+        lattice.alias("lattice"),
+        F.transform(offset, lambda t: t - v.int_offset).alias("offset"),
+    )
     return out.dropDuplicates(["task_id"])
 
 
+def render_blocks(rows: DataFrame, v: Vocabulary, keys: list[str], ends: int = 6) -> DataFrame:
+    """(keys, block, shown): every block of a row as text, numbers where a block holds numbers.
+
+    Positions stand in groups of nine, an atom each; of the density the count and ``ends`` ids at either end; of the padding the count. Blocks that a row lacks are left out.
+    """
+    ids = F.col("input_ids")
+    text = lambda c: F.array_join(F.transform(c, lambda t: t.cast("string")), " ")
+    whole = lambda name: text(F.transform(block(ids, v, name), lambda t: t - v.int_offset))
+    pos, dens = block(ids, v, "POS"), block(ids, v, "DENS")
+    nine = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(pos) / 9).cast("int") - 1)), lambda i: text(F.slice(pos, i * 9 + 1, 9)))
+    few = F.when(F.size(dens) <= 2 * ends, text(dens)).otherwise(F.concat(text(F.slice(dens, 1, ends)), F.lit(" .. "), text(F.slice(dens, -ends, ends))))
+    shown = {
+        "GRID": whole("GRID"),
+        "ATOMS": text(F.transform(block(ids, v, "ATOMS"), lambda t: t - v.atom_offset + 1)),
+        "POS": F.when(pos.isNotNull(), F.array_join(nine, " | ")),
+        **{n: whole(n) for n in ("SHAPE", "OFFSET", "HI")},
+        "DENS": F.concat(F.size(dens).cast("string"), F.lit(": "), few),
+        "PAD": F.size(F.filter(ids, lambda t: t == v.special("PAD"))).cast("string"),
+    }
+    listed = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("block"), c.alias("shown")) for n, c in shown.items()])).alias("_b"))
+    return listed.select(*keys, "_b.block", "_b.shown").where("shown is not null")
+
+
 def tiles(grids: DataFrame, p: int) -> DataFrame:
     """Full coverage: patches at stride p, and on each axis one that ends at the edge and gives only the cells not yet covered.
 

@@ -278,7 +278,10 @@ def iso_epoch_family(spark, d):
 
 
 @query("""WITH s AS (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN ['Na', 'Cl'] WHEN 1 THEN ['Cs', 'Pb', 'I'] WHEN 2 THEN ['O', 'Ti'] WHEN 3 THEN ['Fe'] WHEN 4 THEN ['S', 'O'] WHEN 5 THEN ['N'] WHEN 6 THEN ['Cl', 'O', 'Na'] ELSE ['Zn', 'S'] END AS e FROM part)
-    SELECT CASE p_partkey % 8 WHEN 0 THEN 'halide' WHEN 1 THEN 'halide' WHEN 2 THEN 'oxide' WHEN 3 THEN 'intermetallic' WHEN 4 THEN 'oxychalcogenide' WHEN 5 THEN 'other' WHEN 6 THEN 'oxyhalide' ELSE 'chalcogenide' END AS category, count(*) AS n FROM s GROUP BY 1""")
+    SELECT CASE WHEN NOT list_has_any(e, ['H', 'He', 'B', 'C', 'N', 'O', 'F', 'Ne', 'Si', 'P', 'S', 'Cl', 'Ar', 'Ge', 'As', 'Se', 'Br', 'Kr', 'Sb', 'Te', 'I', 'Xe', 'At', 'Rn', 'Ts', 'Og']) THEN 'intermetallic'
+      WHEN list_has_any(e, ['F', 'Cl', 'Br', 'I']) THEN CASE WHEN list_contains(e, 'O') THEN 'oxyhalide' ELSE 'halide' END
+      WHEN list_has_any(e, ['S', 'Se', 'Te']) THEN CASE WHEN list_contains(e, 'O') THEN 'oxychalcogenide' ELSE 'chalcogenide' END
+      WHEN list_contains(e, 'O') THEN 'oxide' ELSE 'other' END AS category, count(*) AS n FROM s GROUP BY 1""")
 def category_rules(spark, d):
     sets = ["Na,Cl", "Cs,Pb,I", "O,Ti", "Fe", "S,O", "N", "Cl,O,Na", "Zn,S"]
     symbols = F.split(F.get(F.array(*map(F.lit, sets)), (F.col("p_partkey") % 8).cast("int")), ",")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lattica.functions import formulas
 from lattica.functions.vocabulary import Vocabulary, lattice_fits
 from lattica.operators import etl, evaluation, grids as G, materials, patches, telemetry
-from lattica.plans.registry import VOX, grids, query, r6, sql_bin, sql_r6, table
+from lattica.plans.registry import VOX, grids, query, r6, sql_bin, sql_r6, sql_unbin, table
 
 # ---- materials: parts as materials -------------------------------------------------------------
 
@@ -164,23 +164,38 @@ def tokenize_v3(spark, d):
     return patches.tokenize(_samples(spark, d), V, default_shape=2).select("task_id", "k", F.array_join("input_ids", " ").alias("ids"))
 
 
-@query(f"WITH {_SAMPLES} SELECT task_id, CAST(k AS INTEGER) AS k, CAST(NULL AS VARCHAR) AS error, o0, o1, o2, CAST(8 AS BIGINT) AS n, true AS close FROM o")
+@query(f"""WITH {_SAMPLES}, {_DENS} SELECT task_id, CAST(k AS INTEGER) AS k, CAST(NULL AS VARCHAR) AS error, o0, o1, o2, count(*) AS n, round(sum((j + 1) * CASE WHEN rho >= 0 THEN 1 ELSE -1 END * ({sql_unbin('b', -4.13, 4.97, 20)})), 4) AS weighted FROM dn GROUP BY ALL""")
 def detokenize_roundtrip(spark, d):
-    rows = patches.tokenize(_samples(spark, d), V).withColumnsRenamed({"patch": "was", "offset": "_o"}).drop("grid", "lattice", "atoms", "coords", "shape")
+    rows = patches.tokenize(_samples(spark, d), V).drop("grid", "lattice", "atoms", "coords", "shape", "patch", "offset")
     back = patches.detokenize(rows, V)
-    close = F.forall(F.zip_with("patch", "was", lambda a, b: F.abs(a - b) <= 3e-5 * F.abs(b) + 1e-4), lambda x: x)
-    return back.select("task_id", "k", "error", *[F.get("offset", F.lit(i)).cast("long").alias(f"o{i}") for i in range(3)], F.size("patch").cast("long").alias("n"), close.alias("close"))
+    weighted = F.aggregate(F.transform("patch", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return back.select("task_id", "k", "error", *[F.get("offset", F.lit(i)).cast("long").alias(f"o{i}") for i in range(3)], F.size("patch").cast("long").alias("n"), F.round(weighted, 4).alias("weighted"))
 
 
-@query(f"WITH {_SAMPLES} SELECT task_id, CAST(k AS INTEGER) AS k, CAST(96 AS BIGINT) AS length, CAST(96 - 72 AS BIGINT) AS padding FROM o")
+def _varied(spark, d):
+    """Samples whose grid, cell, atoms and offset depend on the row."""
+    k = F.col("vec_id")
+    atoms = F.transform(F.sequence(F.lit(0).cast("long"), k % 3), lambda i: ((k * 7 + i * 31) % 94 + 1).cast("int"))
+    whole = lambda *c: F.array(*[x.cast("int") for x in c])
+    rows = table(spark, d, "embeddings").select(
+        k.alias("task_id"), whole(k % 40 + 4, k % 7 + 5, F.lit(6)).alias("grid"), F.array((k % 5 + 3).cast("double"), *map(F.lit, [4.1, 4.2, 90.0, 90.0, 120.0])).alias("lattice"), atoms.alias("atoms"),
+        whole(F.lit(2), F.lit(2), F.lit(2)).alias("shape"), whole(k % 4, k % 3, F.lit(0)).alias("offset"), F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("patch"),
+    )
+    return patches.tokenize(rows.withColumn("coords", F.array_repeat(F.lit(0.25), 3 * F.size("atoms"))), V)
+
+
+@query("SELECT vec_id AS task_id, greatest(96, CAST(52 + 10 * (vec_id % 3 + 1) AS BIGINT)) AS length, greatest(0, CAST(96 - 52 - 10 * (vec_id % 3 + 1) AS BIGINT)) AS padding FROM embeddings")
 def pad_right(spark, d):
     padded = patches.pad_right(F.col("input_ids"), 96)
-    return patches.tokenize(_samples(spark, d), V).select("task_id", "k", F.size(padded).cast("long").alias("length"), F.size(F.filter(padded, lambda x: x == 0)).cast("long").alias("padding"))
+    return _varied(spark, d).select("task_id", F.size(padded).cast("long").alias("length"), F.size(F.filter(padded, lambda x: x == 0)).cast("long").alias("padding"))
 
 
-@query("SELECT vec_id AS task_id, CAST(4 AS BIGINT) AS nx, CAST(4 AS BIGINT) AS ny, CAST(4 AS BIGINT) AS nz, CAST(2 AS BIGINT) AS n_atoms, CAST(14 AS BIGINT) AS n_electrons FROM embeddings")
+@query("""SELECT vec_id AS task_id, vec_id % 40 + 4 AS nx, vec_id % 7 + 5 AS ny, CAST(6 AS BIGINT) AS nz, vec_id % 3 + 1 AS n_atoms, CAST(list_sum(list_transform(range(0, vec_id % 3 + 1), lambda i: (vec_id * 7 + i * 31) % 94 + 1)) AS BIGINT) AS n_electrons,
+    round(CAST(vec_id % 5 + 3 AS DOUBLE), 2) AS a, CAST(120.0 AS DOUBLE) AS gamma, vec_id % 4 AS ox, vec_id % 3 AS oy, CAST(0 AS BIGINT) AS oz FROM embeddings""")
 def preamble_parse(spark, d):
-    return patches.preamble(patches.tokenize(_samples(spark, d), V), V)
+    p = patches.preamble(_varied(spark, d), V)
+    at = lambda c, i: F.get(c, F.lit(i))
+    return p.select("task_id", "nx", "ny", "nz", "n_atoms", "n_electrons", F.round(at("lattice", 0), 2).alias("a"), F.round(at("lattice", 5), 2).alias("gamma"), *[at("offset", i).cast("long").alias(f"o{x}") for i, x in enumerate("xyz")])
 
 
 @query(f"""
@@ -196,7 +211,10 @@ def tile_full_coverage(spark, d):
     return cells.join(G.unpack(grids(spark, d)), ["task_id", "ix", "iy", "iz"]).groupBy("task_id").agg(F.count("*").alias("n_cells"), r6(F.sum("rho")).alias("total"))
 
 
-@query("SELECT vec_id AS task_id, CAST(64 AS BIGINT) AS n_cells, CAST(1 AS BIGINT) AS most, CAST(0.0 AS DOUBLE) AS nmae FROM embeddings")
+@query(f"""
+    WITH {VOX}, t AS (SELECT * FROM (VALUES (0, 0), (1, 2)) AS t(o, s)), c AS (SELECT unnest(range(0, 3)) AS v),
+    cell AS (SELECT a.o + x.v AS ix, b.o + y.v AS iy, e.o + z.v AS iz, count(*) AS times FROM t a, t b, t e, c x, c y, c z WHERE x.v >= a.s AND y.v >= b.s AND z.v >= e.s GROUP BY 1, 2, 3)
+    SELECT task_id, count(*) AS n_cells, max(times) AS most, {sql_r6('sum(rho * (flat + 1))')} AS weighted, 0.0::DOUBLE AS nmae FROM vox JOIN cell USING (ix, iy, iz) GROUP BY 1""")
 def stitch_nmae(spark, d):
     p, g = 3, grids(spark, d)
     t = patches.tiles(g.select("task_id", "nx", "ny", "nz", "density"), p)
@@ -206,7 +224,8 @@ def stitch_nmae(spark, d):
     cells = t.select("task_id", flat.cast("long").alias("flat"), F.get("density", flat.cast("int")).alias("rho"))
     both = patches.stitch(cells).withColumnRenamed("density", "back").join(g, "task_id")
     off = F.aggregate(F.zip_with("back", "density", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x)
-    return both.select("task_id", "n_cells", "most", r6(off).alias("nmae"))
+    weighted = F.aggregate(F.transform("back", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return both.select("task_id", "n_cells", "most", r6(weighted).alias("weighted"), r6(off).alias("nmae"))
 
 
 @query(f"""
@@ -219,15 +238,21 @@ def ball_extract(spark, d):
     return cells.groupBy("task_id").agg(F.count("*").alias("n"), F.min("ix").alias("x0"), F.max("ix").alias("x1"), F.min("iz").alias("z0"), F.max("iz").alias("z1"), r6(F.sum("rho")).alias("total"))
 
 
-@query("SELECT * FROM (VALUES ('special', CAST(0 AS BIGINT), CAST(20 AS BIGINT)), ('atom', 20, 118), ('int', 138, 1024), ('position', 1162, 1024), ('density', 2186, 4608)) AS t(region, first, n)")
+@query("""WITH s AS (SELECT * FROM (VALUES (0, 'special', 20), (1, 'atom', 118), (2, 'int', 1024), (3, 'position', 2 * (1 << 8) + (1 << 8) + (1 << 8)), (4, 'density', 2 * (1 << 8) + (1 << 12))) AS t(i, region, n))
+    SELECT region, CAST(coalesce(sum(n) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first, CAST(n AS BIGINT) AS n FROM s""")
 def vocab_dim(spark, d):
     return V.table(spark).groupBy("region").agg(F.min("token_id").alias("first"), F.count("*").alias("n"))
 
 
-@query("SELECT vec_id AS task_id, 'special_1 special_7 int_4 int_4 int_4 special_8 special_18 int_80' AS shown FROM embeddings")
+_NINE = " || ".join(_pos("0.25") for _ in range(3)), " || ".join(_pos("0.75") for _ in range(3))
+
+
+@query(f"""WITH {_SAMPLES}, {_DENS}, b AS (SELECT task_id, CAST(k AS INTEGER) AS k, unnest([('GRID', '4 4 4'), ('ATOMS', '6 8'), ('POS', array_to_string({_NINE[0]}, ' ') || ' | ' || array_to_string({_NINE[1]}, ' ')), ('SHAPE', '2 2 2'), ('OFFSET', concat_ws(' ', o0, o1, o2)),
+      ('HI', concat_ws(' ', (o0 + 1) % 4, (o1 + 1) % 4, (o2 + 1) % 4)), ('DENS', len(dens) || ': ' || array_to_string(dens[1:3], ' ') || ' .. ' || array_to_string(dens[-3:], ' ')), ('PAD', '8')]) AS x FROM dt)
+    SELECT task_id, k, x[1] AS block, x[2] AS shown FROM b""")
 def render_tokens(spark, d):
-    rows = patches.tokenize(_samples(spark, d).where("k = 0"), V).select("task_id", "input_ids")
-    return patches.render(rows, V.table(spark), head=8)
+    rows = patches.tokenize(_samples(spark, d), V).select("task_id", "k", patches.pad_right(F.col("input_ids"), 80).alias("input_ids"))
+    return patches.render_blocks(rows, V, ["task_id", "k"], ends=3)
 
 
 # ---- preparation --------------------------------------------------------------------------------
