@@ -26,10 +26,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies, by doc_id, nulls last; rows of one id and text count once."""
-    first = chosenpath.near_duplicates(docs).where("first").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), chosenpath.text_digest(F.col("text")).alias("digest"), F.struct(*docs.columns).alias("row"))
-    kept = rows.join(first, rows["id"].eqNullSafe(first["__id"]) & (rows["digest"] == first["__digest"]), "left_semi")
-    return kept.dropDuplicates(["id", "digest"]).select("row.*")
+    first = chosenpath.near_duplicates(docs).where("first").select(chosenpath.id_key(F.col("doc_id")).alias("key"), "digest").distinct()
+    rows = docs.select(chosenpath.id_key(F.col("doc_id")).alias("key"), chosenpath.text_digest(F.col("text")).alias("digest"), F.struct(*docs.columns).alias("row"))
+    return rows.join(first, ["key", "digest"], "left_semi").dropDuplicates(["key", "digest"]).select("row.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,6 +76,11 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"), "text")
 
 
+def id_key(doc_id: Column) -> Column:
+    """An id as text, empty for a null, so that joins on it and what follows share one shuffle."""
+    return F.coalesce(doc_id.cast("string"), F.lit(""))
+
+
 def text_digest(text: Column) -> Column:
     """64-bit hash of a text; a null counts as an empty one."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
@@ -197,8 +202,7 @@ def verify(docs: DataFrame, members: DataFrame, threshold: float = 0.8, k: int =
                     o.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o), pa.int64()) for o in out], names=["rep", "links", "root"])
 
-    texts = identified(docs)
-    found = texts.join(members, texts["doc_id"].eqNullSafe(members["doc_id"]) & (texts["digest"] == members["digest"])).dropDuplicates(["rep"])
+    found = identified(docs).withColumn("key", id_key(F.col("doc_id"))).join(members.withColumn("key", id_key(F.col("doc_id"))).drop("doc_id"), ["key", "digest"]).dropDuplicates(["key", "digest"])
     rows = map_batches(found.select("text", "rep", "copies", "component", "blocks"), sets, "rep long, copies long, component long, blocks long, tokens binary")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))

@@ -283,7 +283,8 @@ def repeated_bytes(docs: DataFrame, width: int = 100, keep: tuple[str, ...] = ()
         known = known.join(several, "doc_id", "left_anti").select(texts.columns)
     found = settle(_induce(_sampled(known.select("doc_id", "text"), width), width))
     heads = found.where("held > 0").groupBy("doc_id").agg(F.collect_list(F.struct("key", "first", "last", "held")).alias("heads"))
-    compared = _compare(_contexts(known.join(heads, "doc_id").select("doc_id", "text", "heads"), width), width)
+    # `known` meets `heads` and `spans` with the same columns, so its rows are shuffled once for both.
+    compared = _compare(_contexts(known.join(heads, "doc_id").select("doc_id", "text", "heads", *keep), width), width)
     cuts = found.where("held = 0").select("doc_id", "first", "last").union(compared)
     spans = cuts.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("cuts"))
     schema = StructType.fromDDL(CUT)
@@ -307,7 +308,6 @@ def repeated_bytes(docs: DataFrame, width: int = 100, keep: tuple[str, ...] = ()
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), *b.columns[3:]], names=[*schema.names, *(f.name for f in kept_fields)])
 
-    # `known` meets `heads` and `spans` under the same plan, so its texts are shuffled once for both.
     rest = alone.withColumn("cuts", F.lit(None).cast("array<struct<first:int,last:int>>"))
     rows = known.join(spans, "doc_id", "left").unionByName(rest).select("doc_id", "text", "cuts", *(f.name for f in kept_fields))
     return map_batches(rows, cut, StructType([*schema.fields, *kept_fields]))
