@@ -34,6 +34,8 @@ REPORTS = "said says wrote writes called quoted claimed reports dit disait écri
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 WORD_RE = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 CLAUSE_RE = re.compile(r"[.!?;:\n]+")
+#: Words whose symbols a task remembers.
+REMEMBER = 50_000
 #: Weight of a seed word that the labels do not hold, and of the scopes.
 SEED_WEIGHT, NEGATED, REPORTED, TARGETED, HEAPED, SCOPE = 2.0, 0.35, 0.6, 1.5, 1.25, 4
 
@@ -128,30 +130,35 @@ class Lexicon:
 
     def __post_init__(self):
         self.kinds = {w: k for k, ws in (("report", REPORTS), ("negation", NEGATIONS), ("target", TARGETS)) for w in ws} | {w: "insult" for w in self.words} | {w: "threat" for w in THREATS if w in self.words}
-        self.cues = sorted({*(x.encode() for x in self.stems), *(x.encode() for x in self.words)})
         self.lengths = sorted({len(x) for x in self.stems})
+        self.seen: dict[str, tuple[str, float]] = {}
 
     def read(self, word: str) -> tuple[str, float]:
-        if kind := self.kinds.get(word):
-            return kind, self.words.get(word, 0.0)
-        for n in self.lengths:
-            if (weight := self.stems.get(word[:n])) is not None:
-                return "insult", weight
-        return "word", 0.0
+        """(symbol, weight) of a word; some ten thousand words are remembered."""
+        if (hit := self.seen.get(word)) is None:
+            if len(self.seen) >= REMEMBER:
+                self.seen.clear()
+            if kind := self.kinds.get(word):
+                hit = kind, self.words.get(word, 0.0)
+            else:
+                weight = next((self.stems[word[:n]] for n in self.lengths if word[:n] in self.stems), None)
+                hit = ("word", 0.0) if weight is None else ("insult", weight)
+            self.seen[word] = hit
+        return hit
 
 
 def features(text: str | None, lexicon: Lexicon, grammar: Grammar) -> tuple[float, float, float, int]:
     """(sum of clause weights, largest clause weight, sum per hundred words, number of matched clauses) of a whole text."""
-    low = (text or "").encode().lower()  # bytes.lower touches A-Z alone
-    if not any(cue in low for cue in lexicon.cues):
+    low = (text or "").encode().lower().decode()  # bytes.lower touches A-Z alone
+    words = WORD_RE.findall(low)
+    if not any(lexicon.read(w)[1] for w in set(words)):
         return 0.0, 0.0, 0.0, 0
-    total, most, n, words = 0.0, 0.0, 0, 0
-    for clause in CLAUSE_RE.split(low.decode()):
+    total, most, n = 0.0, 0.0, 0
+    for clause in CLAUSE_RE.split(low):
         read = [lexicon.read(w) for w in WORD_RE.findall(clause)]
-        words += len(read)
         if any(weight for _, weight in read) and (score := grammar.clause(read)) > 0:
             total, most, n = total + score, max(most, score), n + 1
-    return total, most, 100 * total / max(1, words), n
+    return total, most, 100 * total / len(words), n
 
 
 def held_out(doc_id: Column) -> Column:
