@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.formulas import draw
+from lattica.operators import order
 
 
 def restrict(logits: DataFrame, keys: list[str], first: int, count: int) -> DataFrame:
@@ -134,11 +135,12 @@ def summary(rows: DataFrame, column: str, *by: str) -> DataFrame:
 def bootstrap(rows: DataFrame, column: str, key: str, resamples: int, seed: int, by: str) -> DataFrame:
     """Standard errors (population) of mean, median and 99th percentile over resamples drawn by hashing, so any partitioning gives the same.
 
-    Each group's values are numbered once; every resample draws as many numbers as the group has rows.
+    Each group's values are numbered once, in ranges of groups and keys; every resample draws as many numbers as the group has rows.
     Rows: ``resamples`` times the input's, by design.
     """
-    own = Window.partitionBy(by)
-    numbered = rows.where(F.col(column).isNotNull()).select(by, F.col(column).alias("_v"), (F.row_number().over(own.orderBy(key)) - 1).cast("long").alias("_i"), F.count("*").over(own).alias("_n"))
+    placed = order.numbered(rows.where(F.col(column).isNotNull()).select(by, key, F.col(column).alias("_v")), by, key, name="_place")
+    groups = placed.groupBy(by).agg(F.min("_place").alias("_from"), F.count("*").alias("_n"))
+    numbered = placed.join(groups, by).select(by, "_v", (F.col("_place") - F.col("_from")).alias("_i"), "_n")
     draws = numbered.select(by, "_n", "_i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_rep"))
     draws = draws.withColumn("_pick", draw(F.col("_n"), F.lit(seed), F.col(by), F.col("_rep"), F.col("_i")))
     picked = draws.join(numbered.select(by, F.col("_i").alias("_pick"), "_v"), [by, "_pick"])

@@ -42,11 +42,13 @@ def equal_mass(hist: DataFrame, n_bins: int) -> DataFrame:
 def assign(values: DataFrame, column: str, boundaries: list[float], out: str = "bin") -> DataFrame:
     """Bin of each value by binary search, upper side at a boundary; repeated boundaries leave empty bins."""
     distinct = sorted(set(boundaries))
-    at = {b: boundaries.index(b) + boundaries.count(b) for b in distinct}
+    at = {b: i + 1 for i, b in enumerate(sorted(boundaries))}  # the last of equal ones
     splits = [-math.inf, *distinct, math.inf]
     placed = Bucketizer(splits=splits, inputCol="__v", outputCol="__b", handleInvalid="keep").transform(values.withColumn("__v", F.col(column).cast("double")))
-    lookup = F.array(F.lit(0), *[F.lit(at[b]) for b in distinct])
-    return placed.withColumn(out, F.get(lookup, F.col("__b").cast("int")).cast("long")).drop("__v", "__b")
+    bucket = F.col("__b").cast("int")
+    if len(distinct) < len(boundaries):
+        bucket = F.get(F.array(F.lit(0), *[F.lit(at[b]) for b in distinct]), bucket)
+    return placed.withColumn(out, bucket.cast("long")).drop("__v", "__b")
 
 
 def lloyd_step(hist: DataFrame, boundaries: list[float]) -> DataFrame:

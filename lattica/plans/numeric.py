@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lattica.functions.quantize import LogCodec
 from lattica.operators import grids as G
 from lattica.operators import lmq
+from lattica.operators import transforms as T
 from lattica.plans.registry import VOX, grids, query, r6, sql_bin, sql_r6, sql_unbin, table
 
 THREE, TWO, ONE = LogCodec.three_bytes(-4.0, 6.0), LogCodec.two_tokens(-4.0, 6.0), LogCodec.one_token(-4.0, 6.0)
@@ -183,6 +184,12 @@ SELECT task_id, round(nmae, 5) AS nmae, round(chi_sq, 5) AS chi_sq, round(hellin
 
 @query(f"WITH {_CUT}, pair AS (SELECT task_id, rho, CASE WHEN kept THEN rho ELSE 0 END AS approx FROM k), {_METRICS}")
 def metrics_all5(spark, d):
+    out = G.packed_metrics(T.round_trip(T.Cutoff(0.25), grids(spark, d)))
+    return out.select("task_id", *[F.round(c, 5).alias(c) for c in ("nmae", "chi_sq", "hellinger", "weighted_mae", "jsd")])
+
+
+@query(f"WITH {_CUT}, pair AS (SELECT task_id, rho, CASE WHEN kept THEN rho ELSE 0 END AS approx FROM k), {_METRICS}")
+def metrics_by_voxel(spark, d):
     m = G.error_metrics(G.cutoff(G.unpack(grids(spark, d)), fraction=0.25).select("task_id", "rho", "approx"), ["task_id"])
     return m.select("task_id", *[F.round(c, 5).alias(c) for c in ("nmae", "chi_sq", "hellinger", "weighted_mae", "jsd")])
 
