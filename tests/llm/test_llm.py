@@ -1,7 +1,9 @@
 """The dealt operators against brute force, exact round trips, held-out accuracy and edge cases."""
 
 import hashlib
+import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -82,6 +84,10 @@ def test_toxicity_edges(spark, edge_docs, no_docs):
     got = toxicity.score_frame(edge_docs, model).collect()
     assert len(got) == edge_docs.count() and all(0 <= r.score <= 1 for r in got)
     assert toxicity.score_frame(no_docs, toxicity.fit(no_docs, labels.limit(0))).count() == 0
+    twice = [r.score for r in toxicity.score_frame(edge_docs, model).where("doc_id = 9").collect()]
+    assert len(twice) == 2 and twice[0] == twice[1]
+    plain = {r.score for r in toxicity.score_frame(edge_docs.where("text is null or text = ''"), model).collect()}
+    assert len(plain) == 1 and plain == {model.score(0.0, 0.0, 0.0)}
     kept = toxicity.score_frame(edge_docs.select("doc_id", "text", F.struct(*edge_docs.columns).alias("row")), model, keep=("row",))
     assert kept.select("row.*").columns == edge_docs.columns
 
@@ -142,6 +148,33 @@ def test_packing_edges(spark, edge_docs, no_docs):
     assert packing.pack(no_docs, queries.word_tokenizer()).count() == 0
 
 
+def test_words_have_the_tokenizers_ids():
+    """Special casings, compositions and marks, alone and beside others, against the tokenizer on the whole text."""
+    path = queries.word_tokenizer()
+    tokenizer = packing._tokenizer(path)[0]
+    odd = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (len(chr(c).lower()) > 1 or len(chr(c).upper()) > 1 or unicodedata.normalize("NFC", chr(c)) != chr(c))]
+    rng = random.Random(1)
+    pool = [*odd, *"aAzZ .,!*'\n\t0129éÉßñ漢ǅΣς", "\u0301", "\u0307", "\u00a0", "\u3000", "<|endoftext|>", "'s", "abc***", "x,$$$"]
+    texts = [c + p for c in odd for p in ".,"] + [f"{a}{c}{b}" for c in odd for a, b in (("x", "."), (" ", " y."))] + ["".join(rng.choices(pool, k=rng.randrange(1, 12))) for _ in range(5000)]
+    for i in range(0, len(texts), 500):
+        got = packing.tokenize(texts[i : i + 500], path, 2)
+        assert all(g.tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t, g in zip(texts[i : i + 500], got, strict=True))
+    packing.forget(path)
+    assert packing._tokenizer(path)[2] == [{}, {}]
+
+
+def test_packing_remembers_a_bounded_number_of_short_words(monkeypatch):
+    path = queries.word_tokenizer()
+    tokenizer = packing._tokenizer(path)[0]
+    monkeypatch.setattr(packing, "REMEMBER", 1000)
+    packing.forget(path)
+    texts = ["漢字" * 9000, words(8000, 5).replace(" ", ""), words(4000, 6), "a " * 5000 + "end"]
+    for t in texts * 2:
+        assert packing.tokenize([t], path, 2)[0].tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
+    one, two = packing._tokenizer(path)[2]
+    assert max(map(len, [*one, *two])) <= packing.LONG and len(one) + len(two) <= 4000 + 1000  # a text's own words, and what was remembered
+
+
 def test_open_windows_are_bounded_and_best_fit():
     w = packing.OpenWindows(100, 2, 10, 0)
     for i, n in enumerate([60, 70, 25, 50, 230]):
@@ -235,6 +268,22 @@ def test_archive_round_trip_and_warc_files(spark, tmp_path):
     assert all(h.endswith("\r\n") and f"Content-Length: {len(p)}\r\n" in h for h, p in back)
 
 
+def test_archive_edges(spark, tmp_path):
+    kind = "page_id long, url string, html string, payload string, digest int, header string"
+    empty = spark.createDataFrame([], kind)
+    warc.write_archive(empty, str(tmp_path / "e"))
+    assert warc.page_rows(warc.records(spark, str(tmp_path / "e"))).count() == 0
+    long = "é" * 2_000_000
+    pages = spark.createDataFrame([(i, "u", t, "clash", 7, "h") for i, t in ((1, long), (2, long), (3, long + "x"), (4, "y" * 99), (5, "y" * 99), (6, "z" * 100), (7, "z" * 100))], kind)
+    warc.write_archive(pages, str(tmp_path / "a"))
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.page_rows(warc.records(spark, str(tmp_path / "a"))).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {
+        1: (4_000_000, sha(long), "response", None), 2: (4_000_000, sha(long), "revisit", 1), 3: (4_000_001, sha(long + "x"), "response", None), 4: (99, sha("y" * 99), "response", None),
+        5: (99, sha("y" * 99), "response", None), 6: (100, sha("z" * 100), "response", None), 7: (100, sha("z" * 100), "revisit", 6),
+    }
+
+
 def test_archive_refuses_damage(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "y" * 150)], "page_id long, url string, html string")
     warc.write_archive(pages, str(tmp_path / "a"))
