@@ -179,16 +179,3 @@ def fourier(grids: DataFrame, fraction: float) -> DataFrame:
 def minimum_image(d: Column) -> Column:
     """A fractional difference brought to [-1/2, 1/2]."""
     return d - F.rint(d)
-
-
-def promolecule(voxels: DataFrame, atoms: DataFrame, edge: float, nx: int, ny: int, nz: int, sigma: float = 0.4) -> DataFrame:
-    """Sum of atomic Gaussians at each voxel of cubic cells: (task_id, flat, rho, baseline, delta).
-
-    ``atoms``: (task_id, z, fx, fy, fz). The join is on the grid's id, so a voxel meets its own atoms
-    only, and the sums form before the shuffle.
-    """
-    frac = [F.col(i) / n for i, n in (("ix", nx), ("iy", ny), ("iz", nz))]
-    both = voxels.join(atoms, "task_id")
-    r2 = sum((F.pow(minimum_image(f - F.col(a)) * edge, F.lit(2)) for f, a in zip(frac, ("fx", "fy", "fz"), strict=True)), F.lit(0.0))
-    norm = (2 * math.pi * sigma**2) ** -1.5
-    return both.groupBy("task_id", "flat", "rho").agg(F.sum(F.col("z") * norm * F.exp(-r2 / (2 * sigma**2))).alias("baseline")).withColumn("delta", F.col("rho") - F.col("baseline"))

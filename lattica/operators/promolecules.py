@@ -7,6 +7,7 @@ shells of an element come from the filling rule, as a small table.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -49,11 +50,11 @@ def screened(table: DataFrame) -> DataFrame:
 
 
 class Model(Protocol):
-    """An atomic density: ``prepare`` may add columns (or rows) to the atoms, ``density`` is the value at distance r."""
+    """An atomic density: ``prepare`` may add columns (or rows) to the atoms, ``density`` is the value at distance r of an atom whose columns ``of`` gives."""
 
     def prepare(self, atoms: DataFrame) -> DataFrame: ...
 
-    def density(self, r: Column) -> Column: ...
+    def density(self, r: Column, of: Callable[[str], Column] = F.col) -> Column: ...
 
 
 @dataclass(frozen=True)
@@ -65,8 +66,8 @@ class Gaussian:
     def prepare(self, atoms: DataFrame) -> DataFrame:
         return atoms
 
-    def density(self, r: Column) -> Column:
-        return F.col("z") * (2 * math.pi * self.sigma**2) ** -1.5 * F.exp(-(r * r) / (2 * self.sigma**2))
+    def density(self, r: Column, of: Callable[[str], Column] = F.col) -> Column:
+        return of("z") * (2 * math.pi * self.sigma**2) ** -1.5 * F.exp(-(r * r) / (2 * self.sigma**2))
 
 
 @dataclass(frozen=True)
@@ -78,8 +79,8 @@ class Slater:
     def prepare(self, atoms: DataFrame) -> DataFrame:
         return atoms
 
-    def density(self, r: Column) -> Column:
-        z = F.col("z").cast("double")
+    def density(self, r: Column, of: Callable[[str], Column] = F.col) -> Column:
+        z = of("z").cast("double")
         a = 2.0 * F.when(z == 1, 1.0).otherwise(z - 0.30) / BOHR
         core = F.least(z, F.lit(2.0)) * F.pow(a, F.lit(3)) / (8 * math.pi) * F.exp(-a * r)
         return core + F.greatest(z - 2, F.lit(0.0)) * (2 * math.pi * self.sigma**2) ** -1.5 * F.exp(-(r * r) / (2 * self.sigma**2))
@@ -97,9 +98,9 @@ class MultiShell:
             table = table.withColumn("_top", F.max("n").over(Window.partitionBy("z"))).where("n = _top").drop("_top")
         return atoms.join(F.broadcast(table), "z")  # broadcast: some thousand rows, from a rule
 
-    def density(self, r: Column) -> Column:
-        n, a = F.col("n"), F.col("alpha")
-        norm = F.col("electrons") * F.pow(2 * a, 2 * n + 1) / (F.factorial(2 * n) * 4 * math.pi)
+    def density(self, r: Column, of: Callable[[str], Column] = F.col) -> Column:
+        n, a = of("n"), of("alpha")
+        norm = of("electrons") * F.pow(2 * a, 2 * n + 1) / (F.factorial(2 * n) * 4 * math.pi)
         return norm * F.pow(r, 2 * n - 2) * F.exp(-2 * a * r)
 
 
@@ -123,6 +124,30 @@ def baseline(voxels: DataFrame, atoms: DataFrame, cells: DataFrame, model: Model
     return both.withColumn("_r", r).groupBy("task_id", "flat", "rho").agg(F.sum(model.density(F.col("_r"))).alias("baseline"))
 
 
+def packed_baseline(grids: DataFrame, atoms: DataFrame, model: Model) -> DataFrame:
+    """Packed grids (task_id, nx, ny, nz, cell, …) with ``baseline``, an array in the grid's order, summed inside the row.
+
+    Only the atoms are shuffled; a grid's atoms are one list beside it. Grids without atoms have a baseline of zeros.
+    """
+    ready = model.prepare(atoms)
+    lists = ready.groupBy("task_id").agg(F.collect_list(F.struct(*[c for c in ready.columns if c != "task_id"])).alias("_atoms"))
+    rows = grids.join(lists, "task_id", "left")
+
+    def at(i: Column) -> Column:
+        frac = [F.floor(i / (F.col("ny") * F.col("nz"))) / F.col("nx"), F.floor(i / F.col("nz")) % F.col("ny") / F.col("ny"), i % F.col("nz") / F.col("nz")]
+        value = lambda a: model.density(distance(frac, [a[f"f{x}"] for x in "xyz"], F.col("cell")), lambda name: a[name])
+        return F.aggregate("_atoms", F.lit(0.0), lambda s, a: s + value(a))
+
+    cells = F.sequence(F.lit(0), F.col("nx") * F.col("ny") * F.col("nz") - 1)
+    known = F.transform(cells, at)
+    return rows.withColumn("baseline", F.when(F.col("_atoms").isNull(), F.transform(cells, lambda i: F.lit(0.0))).otherwise(known)).drop("_atoms")
+
+
+def cube(edge: float) -> Column:
+    """A cubic cell."""
+    return F.array(*[F.array(*[F.lit(edge if i == j else 0.0) for j in range(3)]) for i in range(3)])
+
+
 def volume(cell: Column) -> Column:
     """Volume of a cell: the magnitude of its determinant."""
     at = lambda i, j: F.get(F.get(cell, F.lit(i)), F.lit(j))

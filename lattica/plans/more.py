@@ -6,8 +6,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from lattica.operators import grids as G
 from lattica.operators import lmq, series
+from lattica.operators import promolecules as P
 from lattica.plans.numeric import _HIST, _hist
 from lattica.plans.registry import VOX, grids, query, r6, sql_r6, table
 from lattica.sources.listings import first_seen
@@ -108,8 +108,10 @@ def volume_inspect(spark, d):
     SELECT task_id, {sql_r6('sum(abs(rho - base))')} AS delta_mass, {sql_r6('sum(rho - base)')} AS delta_total FROM r GROUP BY 1""")
 def delta_density(spark, d):
     atoms = spark.createDataFrame([(6, 0.5, 0.5, 0.5)], "z int, fx double, fy double, fz double")
-    rows = G.promolecule(G.unpack(grids(spark, d)), grids(spark, d).select("task_id").crossJoin(F.broadcast(atoms)), 4.0, 4, 4, 4)  # broadcast: one atom
-    return rows.groupBy("task_id").agg(r6(F.sum(F.abs("delta"))).alias("delta_mass"), r6(F.sum("delta")).alias("delta_total"))
+    rows = P.packed_baseline(grids(spark, d).withColumn("cell", P.cube(4.0)), grids(spark, d).select("task_id").crossJoin(F.broadcast(atoms)), P.Gaussian())  # broadcast: one atom
+    delta = F.zip_with("density", "baseline", lambda a, b: a - b)
+    add = lambda values: F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+    return rows.select("task_id", r6(add(F.transform(delta, F.abs))).alias("delta_mass"), r6(add(delta)).alias("delta_total"))
 
 
 @query("SELECT CAST(l_quantity AS BIGINT) AS q, count(*) AS n, round(avg(CASE WHEN CAST(floor((ln(greatest(1e-6, least(1e5, l_extendedprice))) - ln(1e-6)) / (ln(1e5) - ln(1e-6)) * 100) AS BIGINT) > 95 THEN 1.0 ELSE 0.0 END), 6) AS share FROM lineitem GROUP BY 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lattica.functions.quantize import LogCodec
 from lattica.operators import grids as G
 from lattica.operators import lmq
+from lattica.operators import promolecules as P
 from lattica.operators import transforms as T
 from lattica.plans.registry import VOX, grids, query, r6, sql_bin, sql_r6, sql_unbin, table
 
@@ -221,7 +222,7 @@ def token_counts(spark, d):
     r AS (SELECT task_id, flat, rho, z, pow((dx - round_even(dx, 0)) * 4, 2) + pow((dy - round_even(dy, 0)) * 4, 2) + pow((dz - round_even(dz, 0)) * 4, 2) AS r2 FROM dd)
     SELECT task_id, flat, {sql_r6('sum(z * pow(2 * pi() * 0.16, -1.5) * exp(-r2 / 0.32))')} AS baseline FROM r GROUP BY 1, 2""")
 def promolecule_baseline(spark, d):
-    vox = G.unpack(grids(spark, d))
     atoms = spark.createDataFrame([(6, 0.25, 0.25, 0.25), (8, 0.75, 0.75, 0.75)], "z int, fx double, fy double, fz double")
     placed = grids(spark, d).select("task_id").crossJoin(F.broadcast(atoms))  # broadcast: two atoms
-    return G.promolecule(vox, placed, 4.0, 4, 4, 4).select("task_id", "flat", r6(F.col("baseline")).alias("baseline"))
+    rows = P.packed_baseline(grids(spark, d).withColumn("cell", P.cube(4.0)), placed, P.Gaussian())
+    return rows.select("task_id", F.posexplode("baseline").alias("flat", "b")).select("task_id", F.col("flat").cast("long").alias("flat"), r6(F.col("b")).alias("baseline"))

@@ -41,18 +41,32 @@ def _baseline(spark, d, model):
     packed = grids(spark, d)
     atoms = spark.createDataFrame(_ATOMS, "z int, fx double, fy double, fz double")
     cell = F.array(*[F.array(*map(F.lit, row)) for row in _CELL])
-    cells = packed.select("task_id", "nx", "ny", "nz", cell.alias("cell"))
-    return P.baseline(G.unpack(packed), packed.select("task_id").crossJoin(F.broadcast(atoms)), cells, model)  # broadcast: three atoms
+    placed = packed.select("task_id").crossJoin(F.broadcast(atoms))  # broadcast: three atoms
+    return P.packed_baseline(packed.withColumn("cell", cell), placed, model)
+
+
+def _by_voxel(rows):
+    return rows.select("task_id", F.posexplode("baseline").alias("flat", "baseline")).select("task_id", F.col("flat").cast("long").alias("flat"), r6(F.col("baseline")).alias("baseline"))
 
 
 @query(f"WITH {VOX}, {_FAR} SELECT task_id, flat, {sql_r6('sum(' + _GAUSS + ')')} AS baseline FROM far GROUP BY 1, 2")
 def promolecule_general_cell(spark, d):
-    return _baseline(spark, d, P.Gaussian()).select("task_id", "flat", r6(F.col("baseline")).alias("baseline"))
+    return _by_voxel(_baseline(spark, d, P.Gaussian()))
+
+
+@query(f"WITH {VOX}, {_FAR} SELECT task_id, {sql_r6('sum(b)')} AS total, {sql_r6('sum(abs(rho - b))')} AS off FROM (SELECT task_id, flat, any_value(rho) AS rho, sum({_SLATER}) AS b FROM far GROUP BY 1, 2) GROUP BY 1")
+def promolecule_by_voxel(spark, d):
+    """The same sums over voxel rows, for grids too large for one row."""
+    packed = grids(spark, d)
+    atoms = packed.select("task_id").crossJoin(F.broadcast(spark.createDataFrame(_ATOMS, "z int, fx double, fy double, fz double")))  # broadcast: three atoms
+    cell = F.array(*[F.array(*map(F.lit, row)) for row in _CELL])
+    rows = P.baseline(G.unpack(packed), atoms, packed.select("task_id", "nx", "ny", "nz", cell.alias("cell")), P.Slater())
+    return rows.groupBy("task_id").agg(r6(F.sum("baseline")).alias("total"), r6(F.sum(F.abs(F.col("rho") - F.col("baseline")))).alias("off"))
 
 
 @query(f"WITH {VOX}, {_FAR} SELECT task_id, flat, {sql_r6('sum(' + _SLATER + ')')} AS baseline FROM far GROUP BY 1, 2")
 def promolecule_slater(spark, d):
-    return _baseline(spark, d, P.Slater()).select("task_id", "flat", r6(F.col("baseline")).alias("baseline"))
+    return _by_voxel(_baseline(spark, d, P.Slater()))
 
 
 def _multishell(which: str) -> str:
@@ -62,12 +76,13 @@ def _multishell(which: str) -> str:
 
 @query(f"{_multishell('WHERE n = top')} SELECT task_id, flat, {sql_r6('b')} AS baseline FROM s")
 def promolecule_multishell(spark, d):
-    return _baseline(spark, d, P.MultiShell()).select("task_id", "flat", r6(F.col("baseline")).alias("baseline"))
+    return _by_voxel(_baseline(spark, d, P.MultiShell()))
 
 
 @query(f"{_multishell('')} SELECT task_id, {sql_r6('sum(abs(rho - b))')} AS delta_mass FROM s GROUP BY 1")
 def delta_multishell(spark, d):
-    return _baseline(spark, d, P.MultiShell(valence_only=False)).groupBy("task_id").agg(r6(F.sum(F.abs(F.col("rho") - F.col("baseline")))).alias("delta_mass"))
+    off = F.aggregate(F.zip_with("density", "baseline", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x)
+    return _baseline(spark, d, P.MultiShell(valence_only=False)).select("task_id", r6(off).alias("delta_mass"))
 
 
 # ---- encodings --------------------------------------------------------------------------------------
@@ -131,7 +146,6 @@ def fourier_coded(spark, d):
 @query(f"""{_multishell('WHERE n = top')}, p AS (SELECT task_id, rho, b * 72 AS b FROM s) SELECT task_id, round(sum(abs(rho - (b + {_signed('(rho - b)')}))) / sum(abs(rho)), 4) AS nmae, CAST(64 * 2 + 30 AS BIGINT) AS tokens FROM p GROUP BY 1""")
 def transform_delta_coded(spark, d):
     cell = F.array(*[F.array(*map(F.lit, row)) for row in _CELL])
-    rows = _baseline(spark, d, P.MultiShell()).groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("flat", "baseline"))).alias("v"))
-    based = rows.select("task_id", F.transform("v", lambda x: x["baseline"] * P.volume(cell)).alias("baseline"))
-    out = T.round_trip(T.Delta(T.Coded(_CODEC), atoms=3), grids(spark, d).join(based, "task_id"))
+    based = _baseline(spark, d, P.MultiShell()).withColumn("baseline", F.transform("baseline", lambda x: x * P.volume(cell)))
+    out = T.round_trip(T.Delta(T.Coded(_CODEC), atoms=3), based)
     return out.select("task_id", F.round(T.relative_error(out), 4).alias("nmae"), "tokens")
