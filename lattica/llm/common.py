@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -43,6 +44,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as a compressed table in the shared folder: the table, and its path for ``remove_folder``. For many small rows this takes a fraction of a checkpoint's disk."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 #: Bytes of an Arrow batch between Spark and a Python worker; Spark's own limit, 64 MB, takes several times that on both sides.
 BATCH = 8 << 20
 

@@ -369,9 +369,9 @@ def test_intervals_are_those_of_the_compact_windows(spark):
     texts = [words(n, 300 + n) for n in (49, 60, 300, 55)] + [words(60, 360)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
     of, _, key, left, centre, right = compactwindows.compact_windows([t.encode() for t in texts], 46, 5)
-    marks = spark.createDataFrame([(int(o), int(k.view(np.int64)), 0, int(c), False) for o, k, c in zip(of, key, centre, strict=True)], "doc long, key long, task int, at int, many boolean")
-    marked = docs.join(marks.groupBy("doc").agg(F.collect_list(F.struct("key", "task", "at", "many")).alias("marks")), "doc").select("doc", "text", "marks")
-    got = {(r.doc, r.key, r.at, r.at + r.low, r.at + r.low + len(r.tokens) // 4 - 1) for r in compactwindows.intervals(marked, 50, 5).collect()}
+    marks = spark.createDataFrame([(int(o), int(k.view(np.int64)), 0, int(c)) for o, k, c in zip(of, key, centre, strict=True)], "doc long, key long, task int, at int")
+    marked = docs.join(marks.groupBy("doc").agg(F.collect_list(F.struct("key", "task", "at")).alias("marks")), "doc").select("doc", "text", "marks")
+    got = {(r.doc, r.key, r.at, r.at + r.low, r.at + r.low + len(r.tokens) // 3 - 1) for r in compactwindows.intervals(marked, 50, 5).collect()}
     assert got == {(int(o), int(k.view(np.int64)), int(c), max(int(x), int(c) - 45), min(int(y), int(c) + 45)) for o, k, c, x, y in zip(of, key, centre, left, right, strict=True)}
 
 
