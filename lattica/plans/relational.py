@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import formulas
 from lattica.functions.vocabulary import Vocabulary, lattice_fits
-from lattica.operators import etl, evaluation, grids as G, materials, patches, telemetry
+from lattica.operators import etl, grids as G, materials, patches
 from lattica.plans.registry import VOX, grids, query, r6, sql_bin, sql_r6, sql_unbin, table
 
 # ---- materials: parts as materials -------------------------------------------------------------
