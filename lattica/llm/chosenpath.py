@@ -149,7 +149,7 @@ def candidates(classes: DataFrame, threshold: float = 0.8, target: float = 0.999
     runs = runs_needed(threshold, target, levels)
     nodes, found = _descend(classes.select("rep", "n", "tokens", "sketch"), runs, threshold), []
     for level in range(1, levels + 1):
-        large = settle(nodes.groupBy("path").agg(F.count("*").alias("held")).where(F.col("held") > bucket))
+        large = nodes.groupBy("path").agg(F.count("*").alias("held")).where(F.col("held") > bucket)
         if large.isEmpty():
             found.append(_bucket_pairs(nodes.repartition("path").sortWithinPartitions("path"), threshold))
             break
@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, target:
     )
     parts = components(candidates(classes, threshold, target))
     own = classes.select("rep", "name.doc_id", "name.digest", "copies", "n")
-    of = settle(parts.join(own, parts["node"] == F.col("rep")).select("rep", "doc_id", "digest", "copies", "n", "component"))
+    of = parts.join(own, parts["node"] == F.col("rep")).select("rep", "doc_id", "digest", "copies", "n", "component")
     size = of.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / shingles)).alias("blocks"))
     links = settle(verify(docs, of.drop("n").join(size, "component"), threshold, k))
     roots = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))

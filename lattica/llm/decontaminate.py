@@ -104,7 +104,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, shingle: i
     )
     counted = docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.md5(body.cast("binary"))).alias("key"), F.size(words_of(body)).cast("long").alias("n_words"))
     none = F.coalesce("hits", F.array().cast("array<struct<start:int,length:int>>")).alias("hits")
-    hit = settle(by_text.select("key", covered.cast("long").alias("n_hit"), "items", "hits"))
+    hit = by_text.select("key", covered.cast("long").alias("n_hit"), "items", "hits")
     return counted.join(hit, "key", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), none)
 
 

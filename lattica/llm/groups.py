@@ -114,15 +114,16 @@ def components(edges: DataFrame) -> DataFrame:
     their number never grows. Loops and repeated edges are harmless; no edges give no rows.
     """
     pairs = settle(_stars(edges.where("a <> b")).distinct())
-    before = None
+    before, tasks = None, 0
     while True:
         state = tuple(pairs.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
+        tasks = tasks or max(8, state[0] // 50_000)  # edges of a task; their number never grows
         if state == before:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(pairs.select("v", "v").distinct())
         before = state
         both = pairs.union(pairs.select("v", "u"))
         # Written, so that the join shuffles both sides and a node with very many neighbours can be split.
-        least = settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = settle(large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct())
+        pairs = settle(large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct().coalesce(tasks))

@@ -277,7 +277,7 @@ def repeated_bytes(docs: DataFrame, width: int = 100, keep: tuple[str, ...] = ()
     texts = docs.select("doc_id", "text", *keep) if is_long else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
     known, alone = texts.where("doc_id is not null"), texts.where("doc_id is null")
     hashed = F.xxhash64(F.coalesce("text", F.lit("")))
-    several = settle(known.groupBy("doc_id").agg(F.min(hashed).alias("a"), F.max(hashed).alias("b")).where("a <> b").select("doc_id"))
+    several = known.groupBy("doc_id").agg(F.min(hashed).alias("a"), F.max(hashed).alias("b")).where("a <> b").select("doc_id")
     if not several.isEmpty():
         alone = alone.union(known.join(several, "doc_id", "left_semi").select(texts.columns))
         known = known.join(several, "doc_id", "left_anti").select(texts.columns)
