@@ -58,7 +58,8 @@ BATCH = 8 << 20
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with batches of at most ``BATCH`` bytes; lowers the session's setting to that where it is higher."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(conf.get(name, "67108864").rstrip("b")) > BATCH:
+    number, unit = re.fullmatch(r"(-?\d+)([kmgt]?)b?", conf.get(name, "64m").lower()).groups()
+    if not 0 < int(number) << 10 * " kmgt".index(unit or " ") <= BATCH:
         conf.set(name, str(BATCH))
     return df.mapInArrow(run, schema)
 
