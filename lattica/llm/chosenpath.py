@@ -139,6 +139,15 @@ def _bucket_pairs(buckets: DataFrame, threshold: float, slack: float = 0.18, few
     return map_batches(buckets, run, "a long, b long").where("a <> b").distinct()
 
 
+def _dealt(nodes: DataFrame) -> DataFrame:
+    """The nodes with each one's rows together and in order.
+
+    Dealt by a hash of the path: a repartition by the path itself would be dropped behind a join on it,
+    and adaptive execution may then read that join's rows in other partitions than the path's.
+    """
+    return nodes.withColumn("dealt", F.xxhash64("path")).repartition("dealt").sortWithinPartitions("path").drop("dealt")
+
+
 def candidates(classes: DataFrame, threshold: float = 0.8, target: float = 0.999, bucket: int = 4096, levels: int = 3) -> DataFrame:
     """Candidate edges (a, b) between classes (rep, n, tokens, sketch).
 
@@ -149,18 +158,18 @@ def candidates(classes: DataFrame, threshold: float = 0.8, target: float = 0.999
     runs = runs_needed(threshold, target, levels)
     nodes, found = _descend(classes.select("rep", "n", "tokens", "sketch"), runs, threshold), []
     for level in range(1, levels + 1):
-        large = nodes.groupBy("path").agg(F.count("*").alias("held")).where(F.col("held") > bucket)
+        large = settle(nodes.groupBy("path").agg(F.count("*").alias("held")).where(F.col("held") > bucket))
         if large.isEmpty():
-            found.append(_bucket_pairs(nodes.repartition("path").sortWithinPartitions("path"), threshold))
+            found.append(_bucket_pairs(_dealt(nodes), threshold))
             break
-        found.append(_bucket_pairs(nodes.join(large, "path", "left_anti").repartition("path").sortWithinPartitions("path"), threshold))
+        found.append(_bucket_pairs(_dealt(nodes.join(large, "path", "left_anti")), threshold))
         rest = nodes.join(large, "path")
         if level == levels:
             blocks = F.ceil(F.col("held") / (bucket // 2))
             own = F.pmod(F.xxhash64("rep"), blocks)
             pair = lambda c: F.xxhash64("path", F.least(own, c), F.greatest(own, c))
             dealt = rest.select(F.explode(F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), pair)).alias("path"), "rep", "n", "sketch")
-            found.append(_bucket_pairs(dealt.repartition("path").sortWithinPartitions("path"), threshold))
+            found.append(_bucket_pairs(_dealt(dealt), threshold))
         else:
             nodes = settle(_descend(rest.select("path", "rep").join(classes, "rep").select("path", "rep", "n", "tokens", "sketch"), runs, threshold))
     out = found[0]
