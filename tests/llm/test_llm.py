@@ -696,6 +696,22 @@ def test_similarity_join_recall_at_the_threshold(spark):
     assert sum(got[d] == brute[d] for d in brute) >= 0.995 * len(brute)
 
 
+@pytest.mark.parametrize("partitions", [3, 50])
+def test_nodes_stay_whole_behind_the_join_on_large_ones(spark, monkeypatch, partitions):
+    """Candidates are the same however adaptive execution reads the join that sets large nodes apart."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    near = [(i, " ".join([*words(60, 40 + i // 30).split()[: i % 30], f"x{i}", *words(60, 40 + i // 30).split()[i % 30 + 1 :]])) for i in range(600)]
+    classes = chosenpath.settle(chosenpath.sketch(spark.createDataFrame(near, "doc_id long, text string").repartition(8)).withColumnRenamed("doc_id", "rep"))
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        whole = {frozenset((r.a, r.b)) for r in chosenpath.candidates(classes, bucket=10**6).collect()}
+        split = {frozenset((r.a, r.b)) for r in chosenpath.candidates(classes, bucket=40).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    nodes = lambda edges: {x for e in edges for x in e}
+    assert len(nodes(whole)) == 600 and len(nodes(split)) >= 597
+
+
 def test_runs_meet_the_target_at_every_depth():
     assert [chosenpath.runs_needed(0.8, 0.999, n) for n in (1, 2, 3)] == [7, 11, 15]
 
