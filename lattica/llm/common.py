@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -56,12 +57,28 @@ BATCH = 8 << 20
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with batches of at most ``BATCH`` bytes; lowers the session's setting to that where it is higher."""
+    """``mapInArrow`` with batches of at most ``BATCH`` bytes; lowers the session's setting to that where it is higher.
+
+    At a task's end its worker, which lives on, hands freed memory back to the system.
+    """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     number, unit = re.fullmatch(r"(-?\d+)([kmgt]?)b?", conf.get(name, "64m").lower()).groups()
     if not 0 < int(number) << 10 * " kmgt".index(unit or " ") <= BATCH:
         conf.set(name, str(BATCH))
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+
+    return df.mapInArrow(task, schema)
+
+
+def release_memory() -> None:
+    """Return what the allocators of Arrow and C keep free, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def lower_ascii(text: Column) -> Column:
