@@ -5,7 +5,7 @@ fits nowhere, the fullest window is emitted, topped up first by a cut of the doc
 is large.  What stays open at a partition's end is merged: the pieces of a few dozen partitions are
 placed anew by best fit in decreasing order.  Memory per task, whatever the input's size: one Arrow
 batch, the open windows, the ids of about a megabyte of text or of one longer text, the remembered
-words (150,000 of at most 32 letters, some 30 MB) and in the merge ``open_windows * merge_width`` windows.
+words (250,000 of at most 32 letters, some 50 MB) and in the merge ``open_windows * merge_width`` windows.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from lattica.llm.rolling import portions
 
 #: Words whose ids a task remembers, and their greatest length in letters: at most some 300 bytes each. Past that it forgets
 #: those that it has not met among the last half of them.
-REMEMBER, LONG = 150_000, 32
+REMEMBER, LONG = 250_000, 32
 #: Bytes of text that are tokenized together, beyond one text.
 TOGETHER = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
