@@ -99,6 +99,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, query_block: i
     c = candidates.select("vec_id", "terms", "weights", block("cb", n_c)).select("*", all_of("qb", n_q))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:  # a side without rows may come without columns
+            return pa.table([pa.array([], pa.int64())] * 4, names=["query_row", "query_id", "vec_id", "score"])
         right = right.sort_by("vec_id")
         q_ids, c_ids = (t.column("vec_id").to_numpy() for t in (left, right))
         numbers = left.column("query_row").to_numpy()
