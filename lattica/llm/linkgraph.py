@@ -16,6 +16,8 @@ from lattica.llm.common import lower_ascii, settle, store
 DAMPING, ROUNDS = 0.85, 20
 #: A host is blocked if its distrust is at least this and more than its trust.
 LEAST = 0.01
+#: A table of hosts is broadcast to the pages if it has at most so many rows and rules; else the join is one that adaptive execution can split at a host with very many pages.
+BROADCAST = 100_000
 #: Rounds between two checkpoints.
 STRIDE = 5
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*([^"'\s>]+)"""
@@ -94,6 +96,13 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     return score.groupBy("host").agg(*sides)
 
 
+def _with_hosts(pages: DataFrame, hosts: DataFrame, weight: Column) -> DataFrame:
+    """``pages`` left-joined with what is known of their hosts; the size of a broadcast table is counted first."""
+    hosts = settle(hosts)
+    small = (hosts.agg(F.sum(weight)).first()[0] or 0) <= BROADCAST
+    return pages.join(F.broadcast(hosts) if small else hosts.hint("merge"), "host", "left")
+
+
 def judge(pages: DataFrame, rules: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, least: float = LEAST) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust.
 
@@ -107,10 +116,10 @@ def judge(pages: DataFrame, rules: DataFrame, damping: float = DAMPING, rounds:
     placed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     listed = rules_of_hosts(placed.where("host <> ''").select("host").distinct(), rules)
     hit = F.filter("rules", lambda r: F.col("path").startswith(r["rule_path"]))
-    ruled, _ = store(placed.join(listed, "host", "left").select("page_id", "host", "path", F.get(hit, F.lit(0)).alias("hit")).select("page_id", "host", "path", "hit.rule", "hit.rule_verdict"), "urls")
+    ruled, _ = store(_with_hosts(placed, listed, F.size("rules")).select("page_id", "host", "path", F.get(hit, F.lit(0)).alias("hit")).select("page_id", "host", "path", "hit.rule", "hit.rule_verdict"), "urls")
     of = lambda verdict: F.coalesce(F.avg(F.coalesce((F.col("rule_verdict") == verdict).cast("double"), F.lit(0.0))), F.lit(0.0))
     seeds = ruled.where("host <> ''").groupBy("host").agg(of("allow").alias("trusted"), of("block").alias("blocked"))
     scores = propagate(seeds, host_edges(pages), damping, rounds)
     trust, distrust = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("trust", "distrust"))
     own = F.when((distrust >= least) & (distrust > trust), "block").otherwise("allow")
-    return ruled.join(scores, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", own).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
+    return _with_hosts(ruled, scores, F.lit(1)).select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", own).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))

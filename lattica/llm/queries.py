@@ -78,7 +78,7 @@ URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1
 
 
 def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkgraph.judge(table(spark, sf_dir, "pages"), linkgraph.rule_table(spark, URL_RULES))
+    return linkgraph.judge(table(spark, sf_dir, "pages"), linkgraph.rule_table(spark, URL_RULES)).drop("trust", "distrust")
 
 
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: The words of ``text`` in DuckDB.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_HOST = lambda url: f"translate(regexp_extract(substr({url}, instr({url}, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_RULES = ", ".join(f"('{rule}', '{rule.split('/', 1)[0]}', '/{rule.split('/', 1)[1]}', '{verdict}')" for rule, verdict in URL_RULES)
 _TEMPLATES = ", ".join(f"({i}, '{label}', {i < len(licenses.PHRASES)}, '{words}')" for i, (label, words) in enumerate([*licenses.PHRASES, *licenses.NOTICES]))
 
 ORACLE_SQL: dict[str, str] = {
@@ -154,4 +156,28 @@ ORACLE_SQL: dict[str, str] = {
         SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
                coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
         FROM dw LEFT JOIN a USING (doc_id)""",
+    "op12_url_filter": f"""
+        WITH RECURSIVE p AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN {_HOST("url")} ELSE '' END AS host,
+                                    CASE WHEN instr(url, '://') > 0 THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages),
+        rules AS (SELECT * FROM (VALUES {_RULES}) AS r(rule, rule_host, rule_path, rule_verdict)),
+        urls AS (SELECT host, path, max({{'n': length(rule), 'rule': rule, 'verdict': rule_verdict}}) AS hit FROM (SELECT DISTINCT host, path FROM p) u
+                 JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY ALL),
+        ruled AS (SELECT p.page_id, p.host, p.path, hit.rule AS rule, hit.verdict AS verdict FROM p LEFT JOIN urls USING (host, path)),
+        links AS (SELECT host, CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END AS link
+                  FROM (SELECT host, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1)) AS link FROM p)),
+        away AS (SELECT host AS src, {_HOST("link")} AS dst FROM links WHERE regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://')),
+        known AS (SELECT DISTINCT host FROM p WHERE host <> ''),
+        above AS (SELECT a.host AS low, b.host AS high FROM known a JOIN known b ON b.host = regexp_extract(a.host, '^[^.]+\\.(.+)$', 1)),
+        edges AS (SELECT src, dst, count(*) AS n FROM (SELECT src, dst FROM away WHERE src <> '' AND dst <> '' AND src <> dst
+                  UNION ALL SELECT low, high FROM above UNION ALL SELECT high, low FROM above) GROUP BY ALL),
+        shares AS (SELECT 0 AS kind, src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM edges UNION ALL SELECT 1, dst, src, n / sum(n) OVER (PARTITION BY dst) FROM edges),
+        seeds AS (SELECT k.kind, host, {1 - linkgraph.DAMPING} * avg(CASE WHEN ruled.verdict = k.verdict THEN 1.0 ELSE 0.0 END) AS given
+                  FROM ruled, (VALUES (0, 'allow'), (1, 'block')) AS k(kind, verdict) WHERE host <> '' GROUP BY ALL),
+        score AS (SELECT 0 AS i, kind, host, given AS score FROM seeds
+                  UNION ALL SELECT i, kind, host, sum(part) FROM (
+                      SELECT s.i + 1 AS i, s.kind, e.dst AS host, {linkgraph.DAMPING} * e.share * s.score AS part FROM score s JOIN shares e ON e.kind = s.kind AND e.src = s.host WHERE s.i < {linkgraph.ROUNDS}
+                      UNION ALL SELECT r.i, d.kind, d.host, d.given FROM seeds d, (SELECT DISTINCT i + 1 AS i FROM score WHERE i < {linkgraph.ROUNDS}) r) GROUP BY ALL),
+        sides AS (SELECT host, round(coalesce(sum(score) FILTER (kind = 0), 0), 9) AS trust, round(coalesce(sum(score) FILTER (kind = 1), 0), 9) AS distrust FROM score WHERE i = {linkgraph.ROUNDS} GROUP BY 1)
+        SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.verdict, CASE WHEN s.distrust >= {linkgraph.LEAST} AND s.distrust > s.trust THEN 'block' ELSE 'allow' END) AS verdict
+        FROM ruled r LEFT JOIN sides s USING (host)""",
 }

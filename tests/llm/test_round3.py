@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -189,11 +190,21 @@ def test_links_decide_hosts_without_rules(spark):
     assert judged(spark, []) == Counter()
 
 
-def test_random_graphs(spark):
+def by_sql(pages):
+    c = duckdb.connect()
+    c.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    c.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    cursor = c.execute(queries.ORACLE_SQL["op12_url_filter"])
+    return Counter(cursor.fetchall())
+
+
+@pytest.mark.parametrize("limit", [0, linkgraph.BROADCAST])
+def test_random_graphs(spark, monkeypatch, limit):
+    monkeypatch.setattr(linkgraph, "BROADCAST", limit)
     rng = random.Random(2)
     hosts = [f"{a}{b}.{c}" for a in ("", "www.", "m.") for b in ("one", "two", "example", "three") for c in ("org", "com", "net", "de")]
     pages = [(i, f"http://{rng.choice(hosts)}/{rng.choice(['de', 'fr', 'es', 'en'])}/{rng.randrange(300)}", " ".join(f'<a href="http://{rng.choice(hosts)}/x">' for _ in range(rng.randrange(4)))) for i in range(150)]
-    assert judged(spark, pages) == brute_judge(pages, queries.URL_RULES)
+    assert judged(spark, pages) == brute_judge(pages, queries.URL_RULES) == by_sql(pages)
 
 
 def test_url_query_against_brute_force(spark):
