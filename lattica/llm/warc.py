@@ -18,18 +18,31 @@ CRLF = "\r\n"
 RECORDS = "header string, payload binary"
 
 
+#: Characters that may not stand in a header line: controls, and what some readers take for a line's end.
+BREAKS = r"[\x00-\x1F\x7F\u0085\u2028\u2029]"
+
+
+def one_line(text: Column) -> Column:
+    """The text with controls and line ends percent-encoded as UTF-8."""
+    encoded = F.transform(F.split(text, ""), lambda c: F.when(c.rlike(BREAKS), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")).otherwise(c))
+    return F.when(text.rlike(BREAKS), F.array_join(encoded, "")).otherwise(text)
+
+
+def page_uri(page_id: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("<urn:page:"), F.url_encode(page_id.cast("string")), F.lit(">")), F.lit("<urn:page-without-id>"))
+
+
 def header_block(page_id: Column, url: Column, digest: Column, full_bytes: Column, stored_bytes: Column, refers_to: Column) -> Column:
     """The header lines of a response or, where ``refers_to`` is not null, of a revisit record."""
-    uri = lambda x: F.concat(F.lit("<urn:page:"), F.coalesce(x.cast("string"), F.lit("null")), F.lit(">"))
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(refers_to.isNull(), "response").otherwise("revisit")),
-        F.concat(F.lit("WARC-Record-ID: "), uri(page_id)),
+        F.concat(F.lit("WARC-Record-ID: "), page_uri(page_id)),
         F.lit("WARC-Date: 1970-01-01T00:00:00Z"),
-        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce(url, F.lit("")), r"[\r\n]", " ")),
+        F.concat(F.lit("WARC-Target-URI: "), one_line(F.coalesce(url, F.lit("")))),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), digest),
         F.concat(F.lit("WARC-Payload-Length: "), full_bytes.cast("string")),
-        F.when(refers_to.isNotNull(), F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), uri(refers_to))),
+        F.when(refers_to.isNotNull(), F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), page_uri(refers_to))),
         F.lit("Content-Type: text/html; charset=utf-8"),
         F.concat(F.lit("Content-Length: "), stored_bytes.cast("string")),
     ]
@@ -37,8 +50,8 @@ def header_block(page_id: Column, url: Column, digest: Column, full_bytes: Colum
 
 
 def header_field(header: Column, name: str) -> Column:
-    """Value of a header line, null where there is none."""
-    return F.nullif(F.regexp_extract(header, rf"(?m)^{name}: ?([^\r\n]*)", 1), F.lit(""))
+    """Value of a header line, null where there is none. Lines end in CRLF alone, as in the format."""
+    return F.nullif(F.regexp_extract(header, rf"(?:^|\r\n){name}: ?([^\r\n]*)", 1), F.lit(""))
 
 
 def write_archive(pages: DataFrame, path: str, least: int = 100) -> None:
@@ -47,8 +60,9 @@ def write_archive(pages: DataFrame, path: str, least: int = 100) -> None:
     Of records with equal payloads of at least ``least`` bytes, that with the smallest page_id is the
     response and the others revisit it; shorter ones are all responses.  A null html is an empty
     payload.  Null page_ids come after all others; rows that share the smallest page_id of their
-    payload (repeats of one record) are all responses.  An empty table gives an empty archive.
-    Extra columns are not read.
+    payload (repeats of one record) are all responses.  Controls and line ends of a url are
+    percent-encoded in its header line.  An empty table gives an empty archive.  Extra columns are
+    not read.
     """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", body.alias("payload")).withColumn("digest", F.sha2("payload", 256)).withColumn("full_bytes", F.octet_length("payload").cast("long"))
@@ -79,29 +93,39 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("digest string, header string").parquet(f"{path}/headers").join(sound, "digest")
 
 
-def page_rows(recs: DataFrame) -> DataFrame:
-    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to), parsed from the records' headers."""
+def page_rows(recs: DataFrame, page_id: str = "long") -> DataFrame:
+    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to), parsed from the records' headers; ids become of type ``page_id``.
+
+    The digest is the one by which the payload was found and checked, where ``recs`` has it, else the
+    header's. A null id stays null; one that is no value of the type stops the read. A url that was
+    null is empty, and its controls and line ends stay percent-encoded.
+    """
     h = F.col("header")
-    number = lambda name: F.regexp_extract(header_field(h, name), r"<urn:page:(-?\d+)>", 1)
+    number = lambda name: F.when(header_field(h, name).startswith("<urn:page:"), F.url_decode(F.regexp_extract(header_field(h, name), "<urn:page:([^>]*)>", 1)).cast(page_id))
+    digest = F.col("digest") if "digest" in recs.columns else F.regexp_extract(header_field(h, "WARC-Payload-Digest"), "sha256:([0-9a-f]+)", 1)
     return recs.select(
-        F.nullif(number("WARC-Record-ID"), F.lit("")).cast("long").alias("page_id"),
-        header_field(h, "WARC-Target-URI").alias("url"),
+        number("WARC-Record-ID").alias("page_id"),
+        F.coalesce(header_field(h, "WARC-Target-URI"), F.lit("")).alias("url"),
         F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.regexp_extract(header_field(h, "WARC-Payload-Digest"), "sha256:([0-9a-f]+)", 1).alias("payload_digest"),
+        digest.alias("payload_digest"),
         header_field(h, "WARC-Type").alias("record_type"),
-        F.nullif(number("WARC-Refers-To"), F.lit("")).cast("long").alias("refers_to"),
+        number("WARC-Refers-To").alias("refers_to"),
     )
 
 
 def export_warc(spark: SparkSession, archive: str, path: str, records_per_file: int = 2000) -> None:
-    """Write the archive's records as WARC files: each record ends in two CRLFs, which serve as the text writer's separator."""
+    """Write the archive's records as WARC files: each record ends in two CRLFs, which serve as the text writer's separator. Revisits have no body, an empty archive gives no records; payloads must be UTF-8, as those of ``write_archive`` are."""
     recs = records(spark, archive)
     block = F.concat(F.col("header"), F.lit(CRLF), F.when(header_field(F.col("header"), "WARC-Type") == "response", F.col("payload").cast("string")).otherwise(""))
     recs.select(block.alias("value")).write.mode("overwrite").option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(header, payload) of every record in plain WARC files, cut by Content-Length; a file is one task's unit."""
+    """(header, payload) of every record in plain WARC files, cut by Content-Length; a file is one task's unit.
+
+    An empty file has no records. A file that ends inside a record, or a header without a whole number
+    as Content-Length, stops the read with an error: what follows in the file cannot be trusted.
+    """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -110,7 +134,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 while at < len(data):
                     end = data.index(b"\r\n\r\n", at)
                     head = data[at : end + 2].decode()
-                    size = int(next(x.split(":", 1)[1] for x in head.split(CRLF) if x.lower().startswith("content-length:")))
+                    size = int(next((x.split(":", 1)[1] for x in head.split(CRLF) if x.lower().startswith("content-length:")), "missing"))
+                    if end + 4 + size > len(data) or size < 0:
+                        raise ValueError(f"a WARC file ends inside a record of {size} bytes")
                     out.append((head, data[end + 4 : end + 4 + size]))
                     at = end + 4 + size + 4
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.binary())], names=["header", "payload"])

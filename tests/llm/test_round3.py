@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import conversations, linkgraph, periodic, queries
+from lattica.llm import conversations, linkgraph, periodic, queries, warc
 from lattica.llm.common import table
 
 SMALL = "/root/testdata/sf0.001"
@@ -321,3 +321,45 @@ def test_repair_edges(spark):
     assert tuple(conversations.repair(conversations.damaged(df), known=df).first()) == (dropped, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
     strings = spark.createDataFrame([("c", 1, "user", "Hi."), ("c", 2, "assistant", "Yo.")], "conv_id string, turn int, role string, text string")
     assert tuple(conversations.repair(strings).first())[:8] == ("c", 0, 0, 0, 0, 0, 0, "KK")
+
+
+# ---- 4 archive: line ends in urls, ids of other types, damaged files
+
+
+LINE_ENDS = ["\n", "\r", "\r\n", "\u0085", "\u2028", "\u2029", "\x0b", "\x0c", "\x00"]
+
+
+def test_urls_cannot_forge_headers(spark, tmp_path):
+    body = "x" * 200
+    pages = [(i, f"http://a{end}WARC-Payload-Digest: sha256:abc{end}WARC-Refers-To: <urn:page:7>{end}WARC-Type: revisit{end}WARC-Record-ID: <urn:page:99>{end}Content-Length: 1", f"{i}{body}") for i, end in enumerate(LINE_ENDS)]
+    pages += [(50, "http://\u00e9/%41", body), (51, None, body), (None, "u", body), (52, "", None)]
+    warc.write_archive(spark.createDataFrame(pages, "page_id long, url string, html string"), str(tmp_path / "a"))
+    got = {r.page_id: r for r in warc.page_rows(warc.records(spark, str(tmp_path / "a"))).collect()}
+    for i, url, html in pages:
+        r = got[i]
+        assert r.payload_digest == hashlib.sha256((html or "").encode()).hexdigest() and r.payload_bytes == len(html or "")
+        assert (r.record_type, r.refers_to) == (("revisit", 50) if i in (51, None) else ("response", None))
+        assert not re.search(warc.BREAKS, r.url)
+    assert got[50].url == "http://\u00e9/%41" and got[51].url == "" and got[3].url.startswith("http://a%C2%85WARC")
+    warc.export_warc(spark, str(tmp_path / "a"), str(tmp_path / "w"))
+    back = {r.page_id: r for r in warc.page_rows(warc.read_warc(spark, str(tmp_path / "w") + "/part-*")).collect()}
+    assert {i: (r.payload_digest, r.record_type, r.refers_to) for i, r in back.items()} == {i: (r.payload_digest, r.record_type, r.refers_to) for i, r in got.items()}
+
+
+def test_ids_of_other_types(spark, tmp_path):
+    body = "y" * 150
+    ids = ["b>\r\n", "a b", "\u00e9", "7", ""]
+    warc.write_archive(spark.createDataFrame([(i, "u", body) for i in ids], "page_id string, url string, html string"), str(tmp_path / "s"))
+    rows = warc.page_rows(warc.records(spark, str(tmp_path / "s")), "string").collect()
+    assert {r.page_id: r.refers_to for r in rows} == {i: None if i == "" else "" for i in ids}
+
+
+def test_damaged_warc_files(spark, tmp_path):
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\n"
+    (tmp_path / "ok").write_bytes(head + b"hello\r\n\r\n")
+    (tmp_path / "none").write_bytes(b"")
+    assert [bytes(r.payload) for r in warc.read_warc(spark, str(tmp_path)).collect()] == [b"hello"]
+    for broken in (head + b"he", head.replace(b"Content-Length", b"Length") + b"hello\r\n\r\n"):
+        (tmp_path / "bad").write_bytes(broken)
+        with pytest.raises(Exception, match="ValueError"):
+            warc.read_warc(spark, str(tmp_path / "bad")).collect()
