@@ -1,28 +1,38 @@
 """Sums of atomic densities on a grid, in cells of any shape.
 
-An atom's density is a Column of its distance and charge, so a model is a few expressions; the occupied
-shells of an element come from the filling rule, as a small table.
+An atom's density is a function of its distance and charge: a Column for voxel tables, an array
+function for packed grids. The occupied shells of an element are a small table: the filling rule, and
+the elements known to depart from it.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from lattica.operators.grids import minimum_image
 
 # The Bohr radius in angstrom, and Slater's effective principal quantum numbers.
 BOHR = 0.5291772109
 EFFECTIVE_N = {1: 1.0, 2: 2.0, 3: 3.0, 4: 3.7, 5: 4.0, 6: 4.2, 7: 4.3}
+# Elements whose ground state departs from the filling rule, as (z, from shell, to shell, electrons).
+MOVED = [
+    (24, "4s", "3d", 1), (29, "4s", "3d", 1), (41, "5s", "4d", 1), (42, "5s", "4d", 1), (44, "5s", "4d", 1), (45, "5s", "4d", 1), (46, "5s", "4d", 2), (47, "5s", "4d", 1),
+    (57, "4f", "5d", 1), (58, "4f", "5d", 1), (64, "4f", "5d", 1), (78, "6s", "5d", 1), (79, "6s", "5d", 1),
+    (89, "5f", "6d", 1), (90, "5f", "6d", 2), (91, "5f", "6d", 1), (92, "5f", "6d", 1), (93, "5f", "6d", 1), (96, "5f", "6d", 1), (103, "6d", "7p", 1),
+]
 
 
 def shells(spark: SparkSession, heaviest: int = 118) -> DataFrame:
-    """(z, n, l, electrons) of the occupied shells of each element: filled in order of n + l, then n; at most 19 rows an element."""
+    """(z, n, l, electrons) of the occupied shells of each element: filled in order of n + l, then n, but for the elements in ``MOVED``; at most 19 rows an element."""
     order = sorted((n + l, n, l) for n in range(1, 9) for l in range(min(n, 4)))
     before, rows = 0, []
     for _, n, l in order:
@@ -31,7 +41,11 @@ def shells(spark: SparkSession, heaviest: int = 118) -> DataFrame:
     kinds = spark.createDataFrame(rows, "n int, l int, room int, before int")
     elements = spark.range(1, heaviest + 1).select(F.col("id").cast("int").alias("z"))
     both = elements.crossJoin(F.broadcast(kinds))  # broadcast: 26 kinds of shell
-    return both.select("z", "n", "l", F.least("room", F.col("z") - F.col("before")).alias("electrons")).where("electrons > 0")
+    ruled = both.select("z", "n", "l", F.least("room", F.col("z") - F.col("before")).alias("electrons")).where("electrons > 0")
+    shell = lambda name: (int(name[0]), "spdf".index(name[1]))
+    moves = [row for z, source, target, e in MOVED if z <= heaviest for row in ((z, *shell(source), -e), (z, *shell(target), e))]
+    known = ruled.union(spark.createDataFrame(moves, "z int, n int, l int, electrons int")) if moves else ruled
+    return known.groupBy("z", "n", "l").agg(F.sum("electrons").cast("int").alias("electrons")).where("electrons > 0")
 
 
 def screened(table: DataFrame) -> DataFrame:
@@ -50,11 +64,13 @@ def screened(table: DataFrame) -> DataFrame:
 
 
 class Model(Protocol):
-    """An atomic density: ``prepare`` may add columns (or rows) to the atoms, ``density`` is the value at distance r of an atom whose columns ``of`` gives."""
+    """An atomic density: ``prepare`` may add columns (or rows) to the atoms, ``density`` is the value at distance r of an atom of these columns, ``sample`` the same for an array of distances."""
 
     def prepare(self, atoms: DataFrame) -> DataFrame: ...
 
-    def density(self, r: Column, of: Callable[[str], Column] = F.col) -> Column: ...
+    def density(self, r: Column) -> Column: ...
+
+    def sample(self, r: np.ndarray, atom: Mapping[str, float]) -> np.ndarray: ...
 
 
 @dataclass(frozen=True)
@@ -66,8 +82,11 @@ class Gaussian:
     def prepare(self, atoms: DataFrame) -> DataFrame:
         return atoms
 
-    def density(self, r: Column, of: Callable[[str], Column] = F.col) -> Column:
-        return of("z") * (2 * math.pi * self.sigma**2) ** -1.5 * F.exp(-(r * r) / (2 * self.sigma**2))
+    def density(self, r: Column) -> Column:
+        return F.col("z") * (2 * math.pi * self.sigma**2) ** -1.5 * F.exp(-(r * r) / (2 * self.sigma**2))
+
+    def sample(self, r: np.ndarray, atom: Mapping[str, float]) -> np.ndarray:
+        return atom["z"] * (2 * math.pi * self.sigma**2) ** -1.5 * np.exp(-(r * r) / (2 * self.sigma**2))
 
 
 @dataclass(frozen=True)
@@ -79,12 +98,18 @@ class Slater:
     def prepare(self, atoms: DataFrame) -> DataFrame:
         return atoms
 
-    def density(self, r: Column, of: Callable[[str], Column] = F.col) -> Column:
-        z = of("z").cast("double")
+    def density(self, r: Column) -> Column:
+        z = F.col("z").cast("double")
         a = 2.0 * F.when(z == 1, 1.0).otherwise(z - 0.30) / BOHR
         core = F.least(z, F.lit(2.0)) * F.pow(a, F.lit(3)) / (8 * math.pi) * F.exp(-a * r)
         return core + F.greatest(z - 2, F.lit(0.0)) * (2 * math.pi * self.sigma**2) ** -1.5 * F.exp(-(r * r) / (2 * self.sigma**2))
 
+    def sample(self, r: np.ndarray, atom: Mapping[str, float]) -> np.ndarray:
+        z = float(atom["z"])
+        a = 2.0 * (1.0 if z == 1 else z - 0.30) / BOHR
+        core = min(z, 2.0) * a**3 / (8 * math.pi) * np.exp(-a * r)
+        return core + max(z - 2, 0.0) * (2 * math.pi * self.sigma**2) ** -1.5 * np.exp(-(r * r) / (2 * self.sigma**2))
+
 
 @dataclass(frozen=True)
 class MultiShell:
@@ -98,11 +123,16 @@ class MultiShell:
             table = table.withColumn("_top", F.max("n").over(Window.partitionBy("z"))).where("n = _top").drop("_top")
         return atoms.join(F.broadcast(table), "z")  # broadcast: some thousand rows, from a rule
 
-    def density(self, r: Column, of: Callable[[str], Column] = F.col) -> Column:
-        n, a = of("n"), of("alpha")
-        norm = of("electrons") * F.pow(2 * a, 2 * n + 1) / (F.factorial(2 * n) * 4 * math.pi)
+    def density(self, r: Column) -> Column:
+        n, a = F.col("n"), F.col("alpha")
+        norm = F.col("electrons") * F.pow(2 * a, 2 * n + 1) / (F.factorial(2 * n) * 4 * math.pi)
         return norm * F.pow(r, 2 * n - 2) * F.exp(-2 * a * r)
 
+    def sample(self, r: np.ndarray, atom: Mapping[str, float]) -> np.ndarray:
+        n, a = int(atom["n"]), atom["alpha"]
+        norm = atom["electrons"] * (2 * a) ** (2 * n + 1) / (math.factorial(2 * n) * 4 * math.pi)
+        return norm * r ** (2 * n - 2) * np.exp(-2 * a * r)
+
 
 def distance(frac: list[Column], at: list[Column], cell: Column) -> Column:
     """Distance to the nearest image of a point, by fractional differences brought to [-1/2, 1/2]; the rows of ``cell`` are the lattice vectors."""
@@ -125,22 +155,38 @@ def baseline(voxels: DataFrame, atoms: DataFrame, cells: DataFrame, model: Model
 
 
 def packed_baseline(grids: DataFrame, atoms: DataFrame, model: Model) -> DataFrame:
-    """Packed grids (task_id, nx, ny, nz, cell, …) with ``baseline``, an array in the grid's order, summed inside the row.
+    """Packed grids (task_id, nx, ny, nz, cell, …) with ``baseline``, an array in the grid's order, summed grid by grid in array functions.
 
-    Only the atoms are shuffled; a grid's atoms are one list beside it. Grids without atoms have a baseline of zeros.
+    Only the atoms are shuffled; a grid's atoms are one list beside it, and grids are dealt anew by
+    size, so that one small file is not one task. Grids without atoms have a baseline of zeros.
     """
     ready = model.prepare(atoms)
-    lists = ready.groupBy("task_id").agg(F.collect_list(F.struct(*[c for c in ready.columns if c != "task_id"])).alias("_atoms"))
-    rows = grids.join(lists, "task_id", "left")
-
-    def at(i: Column) -> Column:
-        frac = [F.floor(i / (F.col("ny") * F.col("nz"))) / F.col("nx"), F.floor(i / F.col("nz")) % F.col("ny") / F.col("ny"), i % F.col("nz") / F.col("nz")]
-        value = lambda a: model.density(distance(frac, [a[f"f{x}"] for x in "xyz"], F.col("cell")), lambda name: a[name])
-        return F.aggregate("_atoms", F.lit(0.0), lambda s, a: s + value(a))
-
-    cells = F.sequence(F.lit(0), F.col("nx") * F.col("ny") * F.col("nz") - 1)
-    known = F.transform(cells, at)
-    return rows.withColumn("baseline", F.when(F.col("_atoms").isNull(), F.transform(cells, lambda i: F.lit(0.0))).otherwise(known)).drop("_atoms")
+    own = [c for c in ready.columns if c != "task_id"]
+    lists = ready.groupBy("task_id").agg(F.collect_list(F.struct(*own)).alias("_atoms"))
+    rows = grids.join(lists, "task_id", "left").hint("rebalance")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = []
+            for nx, ny, nz, cell, held in zip(f.nx, f.ny, f.nz, f.cell, f["_atoms"], strict=True):
+                total, apart = np.zeros((nx, ny, nz)), {}
+                for atom in held if held is not None else ():
+                    at = (atom["fx"], atom["fy"], atom["fz"])
+                    if at not in apart:  # the shells of an atom share their distances
+                        apart = {at: distances((nx, ny, nz), at, np.stack(cell))}
+                    total += model.sample(apart[at], atom)
+                found.append(total.ravel())
+            yield f.drop(columns="_atoms").assign(baseline=found)
+
+    return rows.mapInPandas(run, StructType([*grids.schema.fields, StructField("baseline", ArrayType(DoubleType()))]))
+
+
+def distances(shape: tuple[int, int, int], at: tuple[float, float, float], cell: np.ndarray) -> np.ndarray:
+    """Of every point of a grid to the nearest image of a point."""
+    apart = [np.arange(n) / n - a for n, a in zip(shape, at, strict=True)]
+    x, y, z = (d - np.rint(d) for d in apart)
+    squares = sum((x[:, None, None] * cell[0, j] + y[:, None] * cell[1, j] + z * cell[2, j]) ** 2 for j in range(3))
+    return np.sqrt(squares)
 
 
 def cube(edge: float) -> Column:

@@ -1,8 +1,9 @@
 """Encodings of packed grids that compose: each takes (task_id, nx, ny, nz, density) and gives it back approximately.
 
 ``encode`` adds a column ``code`` and drops ``density``; ``decode`` turns ``code`` into ``density`` again.
-Wrappers change the grid, hand it to the encoding inside, and undo the change.  All but the Fourier
-transform are expressions inside a row: no shuffle and no Python.
+Wrappers change the grid, hand it to the encoding inside, and undo the change.  There is no shuffle;
+the Fourier transform and the decoding of a cutoff are array functions on batches of grids, all else is
+expressions inside a row.
 """
 
 from __future__ import annotations
@@ -13,13 +14,20 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from lattica.functions.quantize import LogCodec
 from lattica.operators.grids import kept_count
 
 
+#: Voxels that a decoding task puts into one batch, or one grid's if that has more.
+VOXELS = 1 << 21
+
+
 class Transform(Protocol):
     name: str
 
@@ -96,9 +104,25 @@ class Cutoff:
         return grids.withColumn("code", F.slice(ranked, 1, kept_count(_size(), self.fraction).cast("int"))).drop("density")
 
     def decode(self, encoded: DataFrame) -> DataFrame:
-        held = F.map_from_entries(F.transform("code", lambda e: F.struct(e["i"], -e["v"])))
-        cells = F.sequence(F.lit(0), _size().cast("int") - 1)
-        return encoded.withColumn("_held", held).withColumn("density", F.transform(cells, lambda i: F.coalesce(F.try_element_at(F.col("_held"), i), F.lit(0.0)))).drop("code", "_held")
+        """The kept values put in their places, one array operation a grid."""
+        names = [*(c for c in encoded.columns if c != "code"), "density"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                sizes = np.prod([whole.column(f"n{a}").to_numpy().astype(np.int64) for a in "xyz"], axis=0)
+                cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // VOXELS, prepend=-1))  # slices of some VOXELS
+                for first, last in zip(cuts, [*cuts[1:], len(sizes)], strict=True):
+                    b, starts = whole.slice(first, last - first), np.cumsum([0, *sizes[first:last]])
+                    code = b.column("code")
+                    entries = code.flatten()
+                    counts = pc.fill_null(pc.list_value_length(code), 0).to_numpy()
+                    out = np.zeros(starts[-1])
+                    out[entries.field("i").to_numpy() + np.repeat(starts[:-1], counts)] = -entries.field("v").to_numpy()
+                    density = pa.ListArray.from_arrays(starts.astype(np.int32), out)
+                    yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:-1]), density], names=names)
+
+        fields = [encoded.schema[c] for c in names[:-1]]
+        return encoded.mapInArrow(run, StructType([*fields, StructField("density", ArrayType(DoubleType()))]))
 
     def tokens(self, encoded: DataFrame) -> Column:
         return F.size("code") * (self.per_value + 3)

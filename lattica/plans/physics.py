@@ -11,9 +11,12 @@ from lattica.operators import transforms as T
 from lattica.plans.numeric import _CUT, _DFT
 from lattica.plans.registry import VOX, grids, query, r6, sql_bin, sql_r6, sql_unbin, table
 
-#: The shells of every element up to 50, by the filling rule, in SQL.
-_SHELLS = """sub AS (SELECT n, l, 4 * l + 2 AS room, CAST(coalesce(sum(4 * l + 2) OVER (ORDER BY n + l, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM range(1, 9) a(n), range(0, 4) b(l) WHERE l < n),
-shell AS (SELECT z, n, l, least(room, z - before) AS e FROM range(1, 51) c(z), sub WHERE z > before),
+# The outer shells of the elements up to 50 that depart from the filling rule, as (z, n, l, electrons).
+_OUTER = "(24, 3, 2, 5), (24, 4, 0, 1), (29, 3, 2, 10), (29, 4, 0, 1), (41, 4, 2, 4), (41, 5, 0, 1), (42, 4, 2, 5), (42, 5, 0, 1), (44, 4, 2, 7), (44, 5, 0, 1), (45, 4, 2, 8), (45, 5, 0, 1), (46, 4, 2, 10), (46, 5, 0, 0), (47, 4, 2, 10), (47, 5, 0, 1)"
+#: The shells of every element up to 50, in SQL: the rule, where no outer shell is listed.
+_SHELLS = f"""sub AS (SELECT n, l, 4 * l + 2 AS room, CAST(coalesce(sum(4 * l + 2) OVER (ORDER BY n + l, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM range(1, 9) a(n), range(0, 4) b(l) WHERE l < n),
+own AS (SELECT * FROM (VALUES {_OUTER}) AS t(z, n, l, e)),
+shell AS (SELECT z, n, l, least(room, z - before) AS e FROM range(1, 51) c(z), sub WHERE z > before AND NOT EXISTS (SELECT 1 FROM own WHERE own.z = c.z AND own.n = sub.n AND own.l = sub.l) UNION ALL SELECT z, n, l, e FROM own WHERE e > 0),
 scr AS (SELECT t.z, t.n, t.l, t.e, t.z - sum(CASE WHEN o.n > t.n THEN 0.0 WHEN o.n = t.n AND (t.l < 2 AND o.l < 2 OR t.l >= 2 AND o.l = t.l) THEN CASE WHEN t.n = 1 THEN 0.30 ELSE 0.35 END * (o.e - CASE WHEN o.l = t.l THEN 1 ELSE 0 END)
   WHEN t.l < 2 THEN CASE WHEN o.n = t.n - 1 THEN 0.85 * o.e WHEN o.n < t.n OR o.l > 1 THEN 1.0 * o.e ELSE 0.0 END WHEN o.n < t.n OR o.l < t.l THEN 1.0 * o.e ELSE 0.0 END)::DOUBLE AS zeff
   FROM shell t JOIN shell o ON o.z = t.z GROUP BY t.z, t.n, t.l, t.e),
