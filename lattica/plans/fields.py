@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lattica.operators import bricks as B
+from lattica.operators import pencils
+from lattica.plans.numeric import _DFT
+from lattica.plans.physics import _INVERSE
 from lattica.plans.registry import VOX, grids, query, r6, sql_r6, table
 from lattica.sources import arrays
 from lattica.sources.scratch import new_path
@@ -51,3 +55,41 @@ def array_group_by_id(spark, d):
     """A filter on the id reaches the source: no chunk of another group is opened."""
     read = arrays.read_groups(spark, _groups(spark, d, 3), "task_id string, density array<double>", groups=64)
     return read.where(F.col("task_id").isin("mp-3", "mp-77", "mp-191")).select("task_id", F.size("density").cast("long").alias("cells"))
+
+
+# ---- bricks -----------------------------------------------------------------------------------------
+
+
+def _bricks(spark, d, side=2):
+    return B.from_packed(grids(spark, d), side)
+
+
+@query(f"""WITH {VOX}, o AS (SELECT vec_id AS task_id, vec_id % 4 AS ox, vec_id // 4 % 4 AS oy FROM embeddings),
+c AS (SELECT task_id, rho, (ix - ox + 4) % 4 AS x, (iy - oy + 4) % 4 AS y, (iz - 3 + 4) % 4 AS z FROM vox JOIN o USING (task_id))
+SELECT task_id, {sql_r6('sum(rho)')} AS total, {sql_r6('sum(rho * (9 * x + 3 * y + z))')} AS moment FROM c WHERE x < 3 AND y < 3 AND z < 3 GROUP BY 1""")
+def brick_patches(spark, d):
+    """Periodic patches cut from bricks of two cells a side and their halos."""
+    corners = table(spark, d, "embeddings").select(F.col("vec_id").alias("task_id"), (F.col("vec_id") % 4).cast("int").alias("ox"), (F.floor(F.col("vec_id") / 4) % 4).cast("int").alias("oy"), F.lit(3).alias("oz"))
+    cut = B.cut(_bricks(spark, d), corners, 3)
+    moment = F.aggregate(F.transform("patch", lambda x, i: x * i), F.lit(0.0), lambda s, x: s + x)
+    return cut.select("task_id", r6(F.aggregate("patch", F.lit(0.0), lambda s, x: s + x)).alias("total"), r6(moment).alias("moment"))
+
+
+@query(f"WITH {VOX} SELECT task_id, flat, {sql_r6('rho')} AS rho FROM vox")
+def brick_stitch(spark, d):
+    """Full coverage by tiles of three cells, put together again as bricks."""
+    back = B.stitched(B.tiled(_bricks(spark, d), 3), 3, 2)
+    return B.to_packed(back).select("task_id", F.posexplode("density").alias("flat", "rho")).select("task_id", F.col("flat").cast("long").alias("flat"), r6(F.col("rho")).alias("rho"))
+
+
+@query(f"WITH {VOX} SELECT task_id, ix // 2 AS ix, iy // 2 AS iy, iz // 2 AS iz, {sql_r6('avg(rho)')} AS rho FROM vox GROUP BY ALL")
+def brick_pool(spark, d):
+    pooled = B.pool(_bricks(spark, d), 2)
+    return pooled.select("task_id", *(F.col(f"b{a}").cast("long").alias(f"i{a}") for a in "xyz"), r6(F.get("brick", F.lit(0))).alias("rho"))
+
+
+@query(f"WITH {_DFT}, {_INVERSE.format('l')} SELECT task_id, round(sum(abs(rho - back)) / sum(abs(rho)), 4) AS nmae FROM w GROUP BY 1")
+def pencil_lowpass(spark, d):
+    """The Fourier low pass of grids in bricks, axis by axis."""
+    parts = _bricks(spark, d)
+    return B.relative_error(parts, pencils.lowpass(parts, 0.25)).select("task_id", F.round("nmae", 4).alias("nmae"))
