@@ -11,12 +11,12 @@ import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lattica.operators import patches as P
+from lattica.operators.grouped import Columns, by_group, each_row
 
 SIZES, PLACE = ["nx", "ny", "nz"], ["bx", "by", "bz"]
 _PLACED = "nx int, ny int, nz int, side int, bx int, by int, bz int"
@@ -43,15 +43,13 @@ def from_voxels(voxels: DataFrame, sizes: DataFrame, side: int) -> DataFrame:
 def from_packed(grids: DataFrame, side: int) -> DataFrame:
     """Bricks of grids that still fit a row."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for task_id, *n, density in f.itertuples(index=False):
-                grid, out = np.asarray(density, float).reshape(n), []
-                for b in itertools.product(*(range(-(-size // side)) for size in n)):
-                    out.append((task_id, *n, side, *b, grid[tuple(slice(side * i, side * (i + 1)) for i in b)].ravel()))
-                yield pd.DataFrame(out, columns=["task_id", *SIZES, "side", *PLACE, "brick"])
+    def run(task_id: object, nx: int, ny: int, nz: int, density: np.ndarray) -> Iterator[tuple]:
+        n = (nx, ny, nz)
+        grid = np.asarray(density, float).reshape(n)
+        for b in itertools.product(*(range(-(-size // side)) for size in n)):
+            yield task_id, *n, side, *b, grid[tuple(slice(side * i, side * (i + 1)) for i in b)].ravel()
 
-    return grids.select("task_id", *SIZES, "density").mapInPandas(run, _typed(grids, f"{_PLACED}, brick array<double>"))
+    return each_row(grids.select("task_id", *SIZES, "density"), run, _typed(grids, f"{_PLACED}, brick array<double>"))
 
 
 def from_groups(groups: DataFrame, side: int) -> DataFrame:
@@ -62,15 +60,15 @@ def from_groups(groups: DataFrame, side: int) -> DataFrame:
 def to_packed(bricks: DataFrame) -> DataFrame:
     """(task_id, nx, ny, nz, density) for grids that fit a row."""
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        n = tuple(int(x) for x in f[SIZES].iloc[0])
+    def run(c: Columns) -> Iterator[tuple]:
+        n = tuple(c[x][0] for x in SIZES)
         grid = np.zeros(n)
-        for side, bx, by, bz, brick in f[["side", *PLACE, "brick"]].itertuples(index=False):
+        for side, bx, by, bz, brick in zip(*(c[x] for x in ("side", *PLACE, "brick")), strict=True):
             b = (bx, by, bz)
             grid[tuple(slice(side * i, side * (i + 1)) for i in b)] = np.reshape(brick, sides(n, side, b))
-        return pd.DataFrame([(f["task_id"].iloc[0], *n, grid.ravel())], columns=["task_id", *SIZES, "density"])
+        yield c["task_id"][0], *n, grid.ravel()
 
-    return bricks.groupBy("task_id").applyInPandas(run, _typed(bricks, "nx int, ny int, nz int, density array<double>"))
+    return by_group(bricks.select("task_id", *SIZES, "side", *PLACE, "brick"), ["task_id"], run, _typed(bricks, "nx int, ny int, nz int, density array<double>"))
 
 
 def shares(n: int, side: int, low: int, high: int, b: int) -> list[tuple[int, int, int, int]]:
@@ -92,32 +90,27 @@ _AT, _LONG = ["px", "py", "pz"], ["dx", "dy", "dz"]
 def _joined(pieces: DataFrame, low: int, high: int, name: str) -> DataFrame:
     """The pieces of each brick, with halos of that width, put together; cells that no piece gives are NaN. A group is one brick."""
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        head = f.iloc[0]
-        n, side, b = tuple(int(x) for x in head[SIZES]), int(head["side"]), tuple(int(x) for x in head[PLACE])
+    def run(c: Columns) -> Iterator[tuple]:
+        n, side, b = tuple(c[x][0] for x in SIZES), c["side"][0], tuple(c[x][0] for x in PLACE)
         out = np.full(tuple(s + low + high for s in sides(n, side, b)), np.nan)
-        for px, py, pz, dx, dy, dz, piece in f[[*_AT, *_LONG, "piece"]].itertuples(index=False):
+        for px, py, pz, dx, dy, dz, piece in zip(*(c[x] for x in (*_AT, *_LONG, "piece")), strict=True):
             out[px : px + dx, py : py + dy, pz : pz + dz] = np.reshape(piece, (dx, dy, dz))
-        return pd.DataFrame([(head["task_id"], *n, side, *b, out.ravel())], columns=["task_id", *SIZES, "side", *PLACE, name])
+        yield c["task_id"][0], *n, side, *b, out.ravel()
 
-    return pieces.groupBy("task_id", *PLACE).applyInPandas(run, _typed(pieces, f"{_PLACED}, {name} array<double>"))
+    return by_group(pieces, ["task_id", *PLACE], run, _typed(pieces, f"{_PLACED}, {name} array<double>"))
 
 
 def with_halo(bricks: DataFrame, low: int, high: int) -> DataFrame:
     """Bricks with ``low`` more cells before and ``high`` after them on each axis (column ``halo``), by one exchange of borders."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for task_id, nx, ny, nz, side, bx, by, bz, brick in f.itertuples(index=False):
-                n, b, out = (nx, ny, nz), (bx, by, bz), []
-                cells = np.reshape(brick, sides(n, side, b))
-                for parts in itertools.product(*(shares(size, side, low, high, i) for size, i in zip(n, b, strict=True))):
-                    piece = cells[tuple(slice(a, z) for _, a, z, _ in parts)]
-                    out.append((task_id, *n, side, *(p[0] for p in parts), *(p[3] for p in parts), *piece.shape, piece.ravel()))
-                yield pd.DataFrame(out, columns=["task_id", *SIZES, "side", *PLACE, *_AT, *_LONG, "piece"])
+    def run(task_id: object, nx: int, ny: int, nz: int, side: int, bx: int, by: int, bz: int, brick: np.ndarray) -> Iterator[tuple]:
+        n, b = (nx, ny, nz), (bx, by, bz)
+        cells = np.reshape(brick, sides(n, side, b))
+        for parts in itertools.product(*(shares(size, side, low, high, i) for size, i in zip(n, b, strict=True))):
+            piece = cells[tuple(slice(a, z) for _, a, z, _ in parts)]
+            yield task_id, *n, side, *(p[0] for p in parts), *(p[3] for p in parts), *piece.shape, piece.ravel()
 
-    ordered = bricks.select("task_id", *SIZES, "side", *PLACE, "brick")
-    return _joined(ordered.mapInPandas(run, _typed(bricks, _PIECE)), low, high, "halo")
+    return _joined(each_row(bricks.select("task_id", *SIZES, "side", *PLACE, "brick"), run, _typed(bricks, _PIECE)), low, high, "halo")
 
 
 def cut(bricks: DataFrame, corners: DataFrame, p: int) -> DataFrame:
@@ -132,18 +125,14 @@ def cut(bricks: DataFrame, corners: DataFrame, p: int) -> DataFrame:
     dealt = keyed.join(lists, ["task_id", *PLACE]).withColumn("part", F.pmod(F.xxhash64(*names), "lists")).groupBy("task_id", *PLACE, "part").agg(F.collect_list(F.struct(*names)).alias("asked"))
     rows = with_halo(bricks, 0, p - 1).join(dealt, ["task_id", *PLACE]).select("task_id", *SIZES, "side", *PLACE, "halo", "asked")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for task_id, nx, ny, nz, side, bx, by, bz, halo, asked in f.itertuples(index=False):
-                cells = np.reshape(halo, tuple(s + p - 1 for s in sides((nx, ny, nz), side, (bx, by, bz))))
-                out = []
-                for want in asked:
-                    at = [want[f"o{a}"] - side * b for a, b in zip("xyz", (bx, by, bz), strict=True)]
-                    out.append((task_id, nx, ny, nz, *(want[c] for c in names), cells[tuple(slice(x, x + p) for x in at)].ravel()))
-                yield pd.DataFrame(out, columns=["task_id", *SIZES, *names, "patch"])
+    def run(task_id: object, nx: int, ny: int, nz: int, side: int, bx: int, by: int, bz: int, halo: np.ndarray, asked: list[dict]) -> Iterator[tuple]:
+        cells = np.reshape(halo, tuple(s + p - 1 for s in sides((nx, ny, nz), side, (bx, by, bz))))
+        for want in asked:
+            at = [want[f"o{a}"] - side * b for a, b in zip("xyz", (bx, by, bz), strict=True)]
+            yield task_id, nx, ny, nz, *(want[c] for c in names), cells[tuple(slice(x, x + p) for x in at)].ravel()
 
     schema = StructType([*_typed(bricks, "nx int, ny int, nz int").fields, *(corners.schema[c] for c in names), *StructType.fromDDL("patch array<double>").fields])
-    return rows.mapInPandas(run, schema)
+    return each_row(rows, run, schema)
 
 
 def tiled(bricks: DataFrame, p: int) -> DataFrame:
@@ -155,31 +144,23 @@ def tiled(bricks: DataFrame, p: int) -> DataFrame:
 def stitched(tiles: DataFrame, p: int, side: int) -> DataFrame:
     """Bricks of the tiles' own cells (from sx, sy, sz on in each patch): a tile gives a piece to each brick that it meets."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for task_id, nx, ny, nz, ox, oy, oz, sx, sy, sz, patch in f.itertuples(index=False):
-                n, o, s, cells = (nx, ny, nz), (ox, oy, oz), (sx, sy, sz), np.reshape(patch, (p, p, p))
-                spans = [[(b, max(a + q, side * b), min(a + p, side * (b + 1))) for b in range((a + q) // side, (a + p - 1) // side + 1)] for a, q in zip(o, s, strict=True)]
-                for parts in itertools.product(*spans):
-                    piece = cells[tuple(slice(a - at, z - at) for (_, a, z), at in zip(parts, o, strict=True))]
-                    out.append((task_id, *n, side, *(b for b, _, _ in parts), *(a - side * b for b, a, _ in parts), *piece.shape, piece.ravel()))
-            yield pd.DataFrame(out, columns=["task_id", *SIZES, "side", *PLACE, *_AT, *_LONG, "piece"])
+    def run(task_id: object, nx: int, ny: int, nz: int, ox: int, oy: int, oz: int, sx: int, sy: int, sz: int, patch: np.ndarray) -> Iterator[tuple]:
+        o, s, cells = (ox, oy, oz), (sx, sy, sz), np.reshape(patch, (p, p, p))
+        spans = [[(b, max(a + q, side * b), min(a + p, side * (b + 1))) for b in range((a + q) // side, (a + p - 1) // side + 1)] for a, q in zip(o, s, strict=True)]
+        for parts in itertools.product(*spans):
+            piece = cells[tuple(slice(a - at, z - at) for (_, a, z), at in zip(parts, o, strict=True))]
+            yield task_id, nx, ny, nz, side, *(b for b, _, _ in parts), *(a - side * b for b, a, _ in parts), *piece.shape, piece.ravel()
 
     ordered = tiles.select("task_id", *SIZES, "ox", "oy", "oz", "sx", "sy", "sz", "patch")
-    return _joined(ordered.mapInPandas(run, _typed(tiles, _PIECE)), 0, 0, "brick")
+    return _joined(each_row(ordered, run, _typed(tiles, _PIECE)), 0, 0, "brick")
 
 
 def _rescaled(bricks: DataFrame, change: Callable[[np.ndarray, tuple[int, ...], int], np.ndarray], size: Callable[[int], int]) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for task_id, nx, ny, nz, side, bx, by, bz, brick in f.itertuples(index=False):
-                n, b = (nx, ny, nz), (bx, by, bz)
-                out.append((task_id, *(size(x) for x in n), size(side), *b, change(np.reshape(brick, sides(n, side, b)), n, side).ravel()))
-            yield pd.DataFrame(out, columns=["task_id", *SIZES, "side", *PLACE, "brick"])
-
-    return bricks.select("task_id", *SIZES, "side", *PLACE, "brick").mapInPandas(run, _typed(bricks, f"{_PLACED}, brick array<double>"))
+    def run(task_id: object, nx: int, ny: int, nz: int, side: int, bx: int, by: int, bz: int, brick: np.ndarray) -> Iterator[tuple]:
+        n, b = (nx, ny, nz), (bx, by, bz)
+        yield task_id, *(size(x) for x in n), size(side), *b, change(np.reshape(brick, sides(n, side, b)), n, side).ravel()
+
+    return each_row(bricks.select("task_id", *SIZES, "side", *PLACE, "brick"), run, _typed(bricks, f"{_PLACED}, brick array<double>"))
 
 
 def pool(bricks: DataFrame, factor: int) -> DataFrame:

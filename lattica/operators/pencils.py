@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.operators.bricks import _PLACED, PLACE, SIZES, _typed, sides
 from lattica.operators.grids import kept_count
+from lattica.operators.grouped import Columns, by_group, each_row
 
 _SPECTRUM = f"{_PLACED}, re array<double>, im array<double>"
 
@@ -22,28 +22,26 @@ _SPECTRUM = f"{_PLACED}, re array<double>, im array<double>"
 def _along(rows: DataFrame, axis: int, change: Callable[[np.ndarray, int], np.ndarray], whole: Callable[[tuple[int, ...]], tuple[int, ...]]) -> DataFrame:
     """``change`` applied to the lines along an axis; ``whole`` gives the full shape of what comes in from that of the grid. A group is one pencil."""
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        head = f.iloc[0]
-        n, side, b = tuple(int(x) for x in head[SIZES]), int(head["side"]), [int(x) for x in head[PLACE]]
+    def run(c: Columns) -> Iterator[tuple]:
+        n, side, b = tuple(c[x][0] for x in SIZES), c["side"][0], [c[x][0] for x in PLACE]
         shape = whole(n)
         mine = list(sides(shape, side, tuple(b)))
         mine[axis] = shape[axis]
         lines = np.empty(mine, complex)
-        for place, re, im in zip(f[PLACE[axis]], f["re"], f["im"], strict=True):
+        for place, re, im in zip(c[PLACE[axis]], c["re"], c["im"], strict=True):
             spot = [slice(None)] * 3
             spot[axis] = slice(side * place, side * (place + 1))
             part = lines[tuple(spot)]
             part[...] = np.reshape(re, part.shape) if im is None else np.reshape(re, part.shape) + 1j * np.reshape(im, part.shape)
-        lines, out = change(lines, n[axis]), []
+        lines = change(lines, n[axis])
         for place in range(-(-lines.shape[axis] // side)):
             spot = [slice(None)] * 3
             spot[axis] = slice(side * place, side * (place + 1))
             part, b[axis] = lines[tuple(spot)], place
-            out.append((head["task_id"], *n, side, *b, part.real.ravel(), part.imag.ravel()))
-        return pd.DataFrame(out, columns=["task_id", *SIZES, "side", *PLACE, "re", "im"])
+            yield c["task_id"][0], *n, side, *b, part.real.ravel(), part.imag.ravel()
 
     across = [c for i, c in enumerate(PLACE) if i != axis]
-    return rows.groupBy("task_id", *across).applyInPandas(run, _typed(rows, _SPECTRUM))
+    return by_group(rows, ["task_id", *across], run, _typed(rows, _SPECTRUM))
 
 
 def _half(n: tuple[int, ...]) -> tuple[int, ...]:
@@ -82,23 +80,20 @@ def _limits(spectra: DataFrame, fraction: float) -> DataFrame:
     """
     placed = spectra.select("task_id", *SIZES, "side", *PLACE)
 
-    def shells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for task_id, nx, ny, nz, side, *b in f.itertuples(index=False):
-                g2, many = np.unique(_squares((nx, ny, nz), side, tuple(b))[0], return_counts=True)
-                yield pd.DataFrame({"task_id": task_id, "size": nx * ny * (nz // 2 + 1), "g2": g2, "many": many})
+    def shells(task_id: object, nx: int, ny: int, nz: int, side: int, *b: int) -> Iterator[tuple]:
+        for g2, many in zip(*(x.tolist() for x in np.unique(_squares((nx, ny, nz), side, b)[0], return_counts=True)), strict=True):
+            yield task_id, nx * ny * (nz // 2 + 1), g2, many
 
-    counts = placed.mapInPandas(shells, _typed(spectra, "size long, g2 long, many long")).groupBy("task_id", "size", "g2").agg(F.sum("many").alias("many"))
+    counts = each_row(placed, shells, _typed(spectra, "size long, g2 long, many long")).groupBy("task_id", "size", "g2").agg(F.sum("many").alias("many"))
     run = counts.withColumn("upto", F.sum("many").over(Window.partitionBy("task_id").orderBy("g2"))).withColumn("kept", kept_count(F.col("size"), fraction))
     shell = run.where("upto >= kept and upto - many < kept").select("task_id", F.col("g2").alias("last_g2"), (F.col("kept") - F.col("upto") + F.col("many")).alias("room"))
 
-    def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for task_id, nx, ny, nz, side, bx, by, bz, last, room in f.itertuples(index=False):
-                g2, flat = _squares((nx, ny, nz), side, (bx, by, bz))
-                yield pd.DataFrame({"task_id": task_id, "last_g2": last, "room": room, "flat": flat[g2 == last]})
+    def members(task_id: object, nx: int, ny: int, nz: int, side: int, bx: int, by: int, bz: int, last: int, room: int) -> Iterator[tuple]:
+        g2, flat = _squares((nx, ny, nz), side, (bx, by, bz))
+        for at in flat[g2 == last].tolist():
+            yield task_id, last, room, at
 
-    tied = placed.join(shell, "task_id").mapInPandas(members, _typed(spectra, "last_g2 long, room long, flat long"))
+    tied = each_row(placed.join(shell, "task_id"), members, _typed(spectra, "last_g2 long, room long, flat long"))
     ranked = tied.withColumn("rank", F.row_number().over(Window.partitionBy("task_id").orderBy("flat")))
     return ranked.where("rank = room").select("task_id", "last_g2", F.col("flat").alias("last_flat"))
 
@@ -108,18 +103,13 @@ def lowest(spectra: DataFrame, fraction: float, single: bool = True) -> DataFram
     if not 0 < fraction <= 1:
         raise ValueError("fraction must be in (0, 1]")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for task_id, nx, ny, nz, side, bx, by, bz, re, im, last, end in f.itertuples(index=False):
-                g2, flat = (x.ravel() for x in _squares((nx, ny, nz), side, (bx, by, bz)))
-                keep = (g2 < last) | ((g2 == last) & (flat <= end))
-                parts = [np.where(keep, np.asarray(x, np.float32).astype(float) if single else x, 0.0) for x in (re, im)]
-                out.append((task_id, nx, ny, nz, side, bx, by, bz, *parts))
-            yield pd.DataFrame(out, columns=["task_id", *SIZES, "side", *PLACE, "re", "im"])
+    def run(task_id: object, nx: int, ny: int, nz: int, side: int, bx: int, by: int, bz: int, re: np.ndarray, im: np.ndarray, last: int, end: int) -> Iterator[tuple]:
+        g2, flat = (x.ravel() for x in _squares((nx, ny, nz), side, (bx, by, bz)))
+        keep = (g2 < last) | ((g2 == last) & (flat <= end))
+        yield task_id, nx, ny, nz, side, bx, by, bz, *(np.where(keep, x.astype(np.float32).astype(float) if single else x, 0.0) for x in (re, im))
 
     rows = spectra.join(_limits(spectra, fraction), "task_id").select("task_id", *SIZES, "side", *PLACE, "re", "im", "last_g2", "last_flat")
-    return rows.mapInPandas(run, _typed(spectra, _SPECTRUM))
+    return each_row(rows, run, _typed(spectra, _SPECTRUM))
 
 
 def lowpass(bricks: DataFrame, fraction: float, single: bool = True) -> DataFrame:
