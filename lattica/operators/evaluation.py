@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.formulas import draw
 from lattica.operators import order
+from lattica.operators.selection import quantiles, wide
 
 
 def restrict(logits: DataFrame, keys: list[str], first: int, count: int) -> DataFrame:
@@ -67,14 +69,16 @@ def pair_errors(pairs: DataFrame, value: Callable[[Column, Column], Column], a:
     pred = F.when(good, value(F.col("pred_a") - a[0], F.col("pred_b") - b[0])).otherwise(0.0)
     rows = pairs.select(*by, F.abs(true).alias("_size"), F.abs(pred - true).alias("_off"), (~good).alias("_bad"))
     scale = F.avg("_size")
-    return rows.groupBy(*by).agg(
+    off = wide(quantiles(rows, list(by), "_off", [0.5, 0.99]), list(by), {0.5: "_p50", 0.99: "_p99"})
+    off = off.select(*(F.col(c).alias(f"_of_{c}") for c in by), "_p50", "_p99")
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by], F.lit(True))
+    sums = rows.groupBy(*by).agg(
         F.count("*").alias("n_voxels"),
         scale.alias("mean_abs_true"),
         F.try_divide(F.avg("_off"), scale).alias("nmae_mean"),
-        F.try_divide(F.percentile("_off", F.lit(0.5)), scale).alias("nmae_median"),
-        F.try_divide(F.percentile("_off", F.lit(0.99)), scale).alias("nmae_p99"),
         F.count_if("_bad").alias("n_bad"),
     )
+    return sums.join(off, same, "left").select(*by, "n_voxels", "mean_abs_true", "nmae_mean", *(F.try_divide(F.col(c), F.col("mean_abs_true")).alias(n) for c, n in (("_p50", "nmae_median"), ("_p99", "nmae_p99"))), "n_bad")
 
 
 def density_aware_loss(

@@ -10,6 +10,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators.selection import quantiles, wide
+
 
 def fine_bin(value: Column, low: float = 1e-6, high: float = 1e5, bins: int = 1_000_000) -> Column:
     """Index of a magnitude's bin on a grid even in its logarithm; what lies outside goes to the end bins."""
@@ -161,3 +163,10 @@ def quantizer_errors(hist: DataFrame, boundaries: list[float]) -> DataFrame:
     points = placed.groupBy("bin").agg((F.sum(F.col("centre") * F.col("n")) / F.sum("n")).alias("_p"))
     off = placed.select(F.col("bin"), "centre", "n").join(points, "bin").withColumn("_d", F.abs(F.col("centre") - F.col("_p")))
     return off.agg((F.sum(F.col("_d") * F.col("n")) / F.sum("n")).alias("mae"), F.sqrt(F.sum(F.col("_d") * F.col("_d") * F.col("n")) / F.sum("n")).alias("rmse"))
+
+
+def log_range(rows: DataFrame, keys: list[str], value: str | Column, low: float = 0.0001, high: float = 0.9999, padding: float = 1.0, least: float = 0.0) -> DataFrame:
+    """(keys, log_min, log_max): decimal logarithms of two exact quantiles of the magnitudes above ``least``, widened by ``padding``; ``high=1`` takes the greatest, as coefficients of a transform need."""
+    size = F.abs(F.col(value) if isinstance(value, str) else value)
+    found = wide(quantiles(rows.select(*keys, size.alias("_size")).where(F.col("_size") > least), keys, "_size", [low, high]), keys, {low: "_low", high: "_high"})
+    return found.select(*keys, (F.log10("_low") - padding).alias("log_min"), (F.log10("_high") + padding).alias("log_max"))

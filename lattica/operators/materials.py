@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.formulas import ball_length, cube_length, shell_counts
-from lattica.operators.order import numbered
+from lattica.operators.selection import order_statistics, quantiles
 
 BALL_RADII = (75, 86, 100, 138, 153)
 
@@ -41,13 +41,10 @@ def fit_fraction(mats: DataFrame, lengths: list[str], budgets: list[int]) -> Dat
 
 
 def nearest_rank(df: DataFrame, column: str, percents: list[int]) -> DataFrame:
-    """(p, value) at row floor(n p / 100), from 0 and at most n - 1, of the sorted non-null values.
-
-    Places come from ranges of the sorted values, so no task holds them all.
-    """
+    """(p, value) at row floor(n p / 100), from 0 and at most n - 1, of the sorted non-null values, found by narrowing brackets without a sort."""
     known = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value"))
-    asked = known.agg(F.count("*").alias("n")).select(F.explode(F.array(*[F.struct(F.lit(p).alias("p"), (F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1) + 1).alias("at")) for p in percents])).alias("a")).select("a.p", "a.at")
-    return numbered(known, "value").join(F.broadcast(asked), F.col("place") == F.col("at")).select("p", "value")  # broadcast: a row for each percentage
+    asked = known.agg(F.count("*").alias("n")).select(F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1).alias("rank")) for p in percents])).alias("a")).select("a.p", "a.rank")
+    return order_statistics(known, [], "value", asked).join(asked, "rank").select("p", F.col("value").cast(df.schema[column].dataType).alias("value"))
 
 
 def corpus_totals(shapes: DataFrame, patch: int) -> DataFrame:
@@ -56,11 +53,11 @@ def corpus_totals(shapes: DataFrame, patch: int) -> DataFrame:
     tiles = F.floor(F.col("nx") / patch) * F.floor(F.col("ny") / patch) * F.floor(F.col("nz") / patch)
     room = lambda c: F.greatest(F.col(c) - patch + 1, F.lit(0))
     offsets = room("nx") * room("ny") * room("nz")
-    return shapes.agg(
+    median = quantiles(shapes, [], v, [0.5]).select(F.col("value").alias("median"))
+    totals = shapes.agg(
         F.count("*").alias("n"),
         F.sum(v).alias("voxels"),
         F.avg(v).alias("mean"),
-        F.percentile(v, F.lit(0.5)).alias("median"),
         F.max(v).alias("largest"),
         F.sum(tiles).alias("disjoint"),
         F.max(tiles).alias("most_disjoint"),
@@ -68,6 +65,7 @@ def corpus_totals(shapes: DataFrame, patch: int) -> DataFrame:
         F.max(offsets).alias("most_offsets"),
         F.avg((v <= patch**3).cast("double")).alias("small"),
     )
+    return totals.join(F.broadcast(median), F.lit(True), "left")  # broadcast: one row
 
 
 def upsert(current: DataFrame, incoming: DataFrame, key: str, replace_split: str | None = None) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lattica.operators import bricks as B
-from lattica.operators import pencils
+from lattica.operators import lmq, pencils, selection
 from lattica.plans.numeric import _DFT
 from lattica.plans.physics import _INVERSE
 from lattica.plans.registry import VOX, grids, query, r6, sql_r6, table
 from lattica.sources import arrays
-from lattica.sources.scratch import new_path
+from lattica.sources.scratch import checkpointed, new_path
 
 
 def _groups(spark, d, version):
@@ -93,3 +93,25 @@ def pencil_lowpass(spark, d):
     """The Fourier low pass of grids in bricks, axis by axis."""
     parts = _bricks(spark, d)
     return B.relative_error(parts, pencils.lowpass(parts, 0.25)).select("task_id", F.round("nmae", 4).alias("nmae"))
+
+
+# ---- order statistics -------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_DFT}, c AS (SELECT abs(re) AS m FROM s UNION ALL SELECT abs(im) FROM s), v AS (SELECT abs(rho) AS m FROM vox WHERE abs(rho) > 0)
+SELECT 'density' AS channel, round(log10(quantile_cont(m, 0.0001)) - 1, 6) AS log_min, round(log10(quantile_cont(m, 0.9999)) + 1, 6) AS log_max FROM v
+UNION ALL SELECT 'fourier', round(log10(quantile_cont(m, 0.0001)) - 1, 6), round(log10(max(m)) + 1, 6) FROM c WHERE m > 1e-9""")
+def channel_ranges(spark, d):
+    """Ranges of the two channels of a codec: of values by quantiles, of coefficients up to their greatest, as the first one stands far above all others."""
+    packed = grids(spark, d)
+    spectra = pencils.spectrum(B.from_packed(packed, 4))
+    parts = checkpointed(spectra.select(F.explode(F.concat("re", "im")).alias("m")))  # read by each pass
+    of = lambda rows, name, **more: lmq.log_range(rows, [], "m", **more).select(F.lit(name).alias("channel"), F.round("log_min", 6).alias("log_min"), F.round("log_max", 6).alias("log_max"))
+    return of(packed.select(F.explode("density").alias("m")), "density").union(of(parts, "fourier", high=1.0, least=1e-9))
+
+
+@query("""WITH v AS (SELECT l_linestatus, quantile_cont(l_extendedprice, [0.0, 0.001, 0.25, 0.5, 0.9, 0.999, 1.0]) AS v FROM lineitem GROUP BY 1)
+SELECT l_linestatus, CAST(unnest([0.0, 0.001, 0.25, 0.5, 0.9, 0.999, 1.0]) AS DOUBLE) AS q, round(CAST(unnest(v) AS DOUBLE), 4) AS price FROM v""")
+def price_quantiles(spark, d):
+    """Exact quantiles of few large groups by narrowing brackets."""
+    return selection.quantiles(table(spark, d, "lineitem"), ["l_linestatus"], "l_extendedprice", [0.0, 0.001, 0.25, 0.5, 0.9, 0.999, 1.0]).select("l_linestatus", "q", F.round("value", 4).alias("price"))

@@ -65,9 +65,7 @@ def fp16_unsigned(spark, d):
     SELECT l_returnflag, round(log10(quantile_cont(abs(l_discount), 0.0001)) - 0.05, 6) AS log_min, round(log10(quantile_cont(abs(l_discount), 0.9999)) + 0.05, 6) AS log_max
     FROM lineitem WHERE abs(l_discount) > 0 GROUP BY 1""")
 def fp16_range_fit(spark, d):
-    size = F.abs("l_discount")
-    p = lambda q: F.log10(F.percentile(size, F.lit(q)))
-    return table(spark, d, "lineitem").where(size > 0).groupBy("l_returnflag").agg(F.round(p(0.0001) - 0.05, 6).alias("log_min"), F.round(p(0.9999) + 0.05, 6).alias("log_max"))
+    return lmq.log_range(table(spark, d, "lineitem"), ["l_returnflag"], "l_discount", padding=0.05).select("l_returnflag", F.round("log_min", 6).alias("log_min"), F.round("log_max", 6).alias("log_max"))
 
 
 _BINS = 4096

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lattica.functions import formulas
 from lattica.functions.vocabulary import Vocabulary, lattice_fits
 from lattica.operators import etl, grids as G, materials, patches
+from lattica.operators.selection import quantiles
 from lattica.plans.registry import VOX, grids, query, r6, sql_bin, sql_r6, sql_unbin, table
 
 # ---- materials: parts as materials -------------------------------------------------------------
@@ -79,8 +80,7 @@ def max_p_search(spark, d):
 @query(f"WITH {_MATS}, p AS (SELECT [0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0] AS qs, quantile_cont(greatest(nx, ny, nz), [0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]) AS vs FROM mats) SELECT CAST(unnest(qs) AS DOUBLE) AS q, round(CAST(unnest(vs) AS DOUBLE), 6) + 0.0 AS max_dim FROM p")
 def dim_percentiles(spark, d):
     qs = [0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
-    one = _mats(spark, d).agg(F.percentile(F.greatest("nx", "ny", "nz"), F.array(*map(F.lit, qs))).alias("v"))
-    return one.select(F.posexplode("v").alias("i", "v")).select(F.get(F.array(*map(F.lit, qs)), F.col("i")).alias("q"), r6(F.col("v")).alias("max_dim"))
+    return quantiles(_mats(spark, d), [], F.greatest("nx", "ny", "nz"), qs).select("q", r6(F.col("value")).alias("max_dim"))
 
 
 @query("SELECT CAST(floor(p_retailprice / 50) * 50 AS DOUBLE) AS low, count(*) AS n FROM part GROUP BY 1")
