@@ -8,16 +8,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lattica.operators.scans import count_so_far, last_known, next_known, row_before, scan
+
 
 def fill_gaps(rows: DataFrame, series: str, index: str, value: str) -> DataFrame:
     """Linear interpolation over the index inside each series, the nearest value at its edges; ``filled``."""
-    own = Window.partitionBy(series).orderBy(index)
-    before, after = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(0, Window.unboundedFollowing)
-    known = F.when(F.col(value).isNotNull(), F.col(index))
-    x0, x1 = F.last(known, ignorenulls=True).over(before), F.first(known, ignorenulls=True).over(after)
-    y0, y1 = F.last(value, ignorenulls=True).over(before), F.first(value, ignorenulls=True).over(after)
+    point = F.when(F.col(value).isNotNull(), F.struct(F.col(index).alias("x"), F.col(value).alias("y")))
+    known = scan(rows, series, [index], _before=last_known(series, point), _after=next_known(series, point))
+    x0, y0, x1, y1 = (F.col(c) for c in ("_before.x", "_before.y", "_after.x", "_after.y"))
     inside = y0 + (y1 - y0) * F.try_divide(F.col(index) - x0, x1 - x0)
-    return rows.withColumn("filled", F.coalesce(F.col(value).cast("double"), inside, y0.cast("double"), y1.cast("double")))
+    return known.withColumn("filled", F.coalesce(F.col(value).cast("double"), inside, y0.cast("double"), y1.cast("double"))).drop("_before", "_after")
 
 
 def interpolate_quantiles(hist: DataFrame, quantiles: list[float]) -> DataFrame:
@@ -42,9 +42,8 @@ def log_histogram(values: Column, weight: Column, low: float, high: float, bins:
 
 def segments(rows: DataFrame, series: str, order: list[str], value: str) -> DataFrame:
     """Add ``starts`` (the value differs from the one before, or there is none) and ``segment``, the run's number from 1, in the order of each series."""
-    own = Window.partitionBy(series).orderBy(*order)
-    marked = rows.withColumn("starts", F.row_number().over(own).eqNullSafe(F.lit(1)) | ~F.col(value).eqNullSafe(F.lag(value).over(own)))
-    return marked.withColumn("segment", F.count_if("starts").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = scan(rows, series, order, _last=row_before(series, F.col(value))).withColumn("starts", F.col("_last").isNull() | ~F.col(value).eqNullSafe(F.col("_last.value")))
+    return scan(marked.drop("_last"), series, order, segment=count_so_far(series, F.col("starts")))
 
 
 def ends(array: Column, k: int) -> tuple[Column, Column]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.formulas import state_name
+from lattica.operators.scans import count_so_far, first_of, greatest_so_far, row_before, scan
 
 
 def project_history(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -16,28 +17,28 @@ def project_history(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys).where(reduce(lambda a, b: a | b, named))
 
 
-def running_max(rows: DataFrame, run: str, ts: str, value: str) -> DataFrame:
-    """(run, ts, value, so_far), nulls of value or time dropped."""
-    w = Window.partitionBy(run).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.where(F.col(value).isNotNull() & F.col(ts).isNotNull()).select(run, ts, value, F.max(value).over(w).alias("so_far"))
+def running_max(rows: DataFrame, run: str, order: list[str], value: str) -> DataFrame:
+    """(run, order, value, so_far, …), nulls of value or time (the first of ``order``) dropped."""
+    return scan(rows.where(F.col(value).isNotNull() & F.col(order[0]).isNotNull()), run, order, so_far=greatest_so_far(run, F.col(value)))
 
 
-def jumps(rows: DataFrame, run: str, ts: str, counter: str) -> DataFrame:
-    """Rows where a counter exceeds its last non-null value."""
-    w = Window.partitionBy(run).orderBy(ts)
-    return rows.where(F.col(counter).isNotNull()).withColumn("before", F.lag(counter).over(w)).where(F.col(counter) > F.col("before"))
+def jumps(rows: DataFrame, run: str, order: list[str], counter: str) -> DataFrame:
+    """Rows where a counter exceeds its last non-null value, ``before``."""
+    known = scan(rows.where(F.col(counter).isNotNull()), run, order, before=row_before(run, F.col(counter)))
+    return known.withColumn("before", F.col("before.value")).where(F.col(counter) > F.col("before"))
 
 
-def running_count(rows: DataFrame, run: str, ts: str) -> DataFrame:
-    return rows.withColumn("upto", F.row_number().over(Window.partitionBy(run).orderBy(ts)).cast("long"))
+def running_count(rows: DataFrame, run: str, order: list[str], condition: Column | None = None, name: str = "upto") -> DataFrame:
+    """The number of rows up to each, or of those that meet a condition."""
+    return scan(rows, run, order, **{name: count_so_far(run, F.lit(True) if condition is None else condition)})
 
 
-def poll(rows: DataFrame, run: str, ts: str, total: str) -> DataFrame:
-    """delta since the last poll (0 at first, never negative), elapsed hours, and the total's hourly rate (0 within half a minute)."""
-    w = Window.partitionBy(run).orderBy(ts)
-    hours = (F.col(ts).cast("double") - F.min(F.col(ts).cast("double")).over(Window.partitionBy(run))) / 3600
-    out = rows.withColumn("delta", F.greatest(F.lit(0), F.col(total) - F.coalesce(F.lag(total).over(w), F.col(total)))).withColumn("hours", hours)
-    return out.withColumn("per_hour", F.when(F.col("hours") * 60 <= 0.5, 0.0).otherwise(F.col(total) / F.col("hours")))
+def poll(rows: DataFrame, run: str, order: list[str], total: str) -> DataFrame:
+    """delta since the last poll (0 at first, never negative), elapsed hours, and the total's hourly rate (0 within half a minute); the time is the first of ``order``."""
+    at = F.col(order[0]).cast("double")
+    known = scan(rows, run, order, _last=row_before(run, F.col(total)), _began=first_of(run, at))
+    out = known.withColumn("delta", F.greatest(F.lit(0), F.col(total) - F.coalesce("_last.value", total))).withColumn("hours", (at - F.col("_began")) / 3600)
+    return out.withColumn("per_hour", F.when(F.col("hours") * 60 <= 0.5, 0.0).otherwise(F.col(total) / F.col("hours"))).drop("_last", "_began")
 
 
 def latest(rows: DataFrame, run: str, step: str, value: str) -> DataFrame:

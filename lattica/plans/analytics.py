@@ -183,30 +183,29 @@ def history_project(spark, d):
     return telemetry.project_history(rows, ["_step", "step", "value"])
 
 
-@query(f"WITH {_EV} SELECT user_id, event_id, step, max(step) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS so_far FROM ev WHERE step IS NOT NULL")
+@query(f"WITH {_EV} SELECT user_id, event_id, step, max(step) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS so_far FROM ev WHERE step IS NOT NULL")
 def running_max_step(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return _events(spark, d).where("step is not null").select("user_id", "event_id", "step", F.max("step").over(w).alias("so_far"))
+    return telemetry.running_max(_events(spark, d), "user_id", ["ts", "event_id"], "step").select("user_id", "event_id", "step", "so_far")
 
 
-@query(f"WITH {_EV}, l AS (SELECT *, lag(step) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM ev WHERE step IS NOT NULL) SELECT user_id, event_id, step, before FROM l WHERE step > before")
+@query(f"WITH {_EV}, l AS (SELECT *, lag(step) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM ev WHERE step IS NOT NULL) SELECT user_id, event_id, step, before FROM l WHERE step > before")
 def preempt_jumps(spark, d):
-    return telemetry.jumps(_events(spark, d), "user_id", "ts", "step").select("user_id", "event_id", "step", "before")
+    return telemetry.jumps(_events(spark, d), "user_id", ["ts", "event_id"], "step").select("user_id", "event_id", "step", "before")
 
 
-@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS upto FROM events WHERE event_type = 'error'")
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS upto FROM events WHERE event_type = 'error'")
 def event_cumcount(spark, d):
-    return telemetry.running_count(table(spark, d, "events").where("event_type = 'error'"), "user_id", "ts").select("user_id", "event_id", "upto")
+    return telemetry.running_count(table(spark, d, "events").where("event_type = 'error'"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "upto")
 
 
 @query("""
-    WITH e AS (SELECT user_id, event_id, ts, count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS total FROM events),
-    p AS (SELECT *, greatest(0, total - coalesce(lag(total) OVER (PARTITION BY user_id ORDER BY ts), total)) AS delta, (epoch(ts) - min(epoch(ts)) OVER (PARTITION BY user_id)) / 3600.0::DOUBLE AS hours FROM e)
+    WITH e AS (SELECT user_id, event_id, ts, count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS total FROM events),
+    p AS (SELECT *, greatest(0, total - coalesce(lag(total) OVER (PARTITION BY user_id ORDER BY ts, event_id), total)) AS delta, (epoch(ts) - min(epoch(ts)) OVER (PARTITION BY user_id)) / 3600.0::DOUBLE AS hours FROM e)
     SELECT user_id, event_id, total, delta, round(CASE WHEN hours * 60 <= 0.5 THEN 0 ELSE total / hours END, 4) AS per_hour FROM p""")
 def poll_delta_rate(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    e = table(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.count_if(F.col("event_type") == "error").over(w).alias("total"))
-    return telemetry.poll(e, "user_id", "ts", "total").select("user_id", "event_id", "total", "delta", F.round("per_hour", 4).alias("per_hour"))
+    e = table(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    totals = telemetry.running_count(e, "user_id", ["ts", "event_id"], F.col("event_type") == "error", "total")
+    return telemetry.poll(totals, "user_id", ["ts", "event_id"], "total").select("user_id", "event_id", "total", "delta", F.round("per_hour", 4).alias("per_hour"))
 
 
 @query("SELECT user_id, arg_max(value, ts) AS latest, epoch_us(max(ts)) AS at FROM events WHERE value IS NOT NULL GROUP BY 1")
