@@ -16,14 +16,17 @@ from lattica.streaming import counters
 
 
 @query("""
-    WITH c AS (SELECT * FROM (VALUES (8, 8, 8), (8, 12, 0), (15, 0, 0)) AS t(b0, b1, b2)), p AS (SELECT unnest([10, 14, 16, 19]) AS p), x AS (SELECT b0, b1, b2, p, CASE WHEN b1 = 0 THEN 1 WHEN b2 = 0 THEN 2 ELSE 3 END AS k FROM c, p)
-    SELECT CAST(b0 AS INTEGER) AS b0, CAST(b1 AS INTEGER) AS b1, CAST(p AS INTEGER) AS p, CAST(300 + k * p * p * p AS BIGINT) AS context, 300 + k * p * p * p <= 8192 AS fits FROM x""")
+    WITH m AS (SELECT CAST(p_size AS BIGINT) AS n_atoms, 40 + p_partkey % 60 AS nx FROM part), c AS (SELECT * FROM (VALUES (8, 8, 3), (8, 12, 2), (15, 0, 1)) AS t(b0, b1, k)), p AS (SELECT unnest([10, 14, 16, 19]) AS p),
+    x AS (SELECT b0, b1, p, nx, 36 + 10 * n_atoms + k * p * p * p AS context FROM m, c, p)
+    SELECT CAST(b0 AS INTEGER) AS b0, CAST(b1 AS INTEGER) AS b1, CAST(p AS INTEGER) AS p, count(*) AS n, count(*) FILTER (context <= 8192 AND p <= nx) AS fits, CAST(max(context) AS BIGINT) AS longest FROM x GROUP BY ALL""")
 def sweep_config_grid(spark, d):
+    """The materials that each combination of codec and patch size fits: the length within the context, the patch within the grid."""
     codecs = spark.createDataFrame([(8, 8, 3), (8, 12, 2), (15, 0, 1)], "b0 int, b1 int, k int")
     sizes = spark.createDataFrame([(p,) for p in (10, 14, 16, 19)], "p int")
-    both = codecs.crossJoin(F.broadcast(sizes))  # two tables of a few rows
-    context = (F.lit(300) + F.col("k") * F.col("p") * F.col("p") * F.col("p")).cast("long")
-    return both.select("b0", "b1", "p", context.alias("context"), (context <= 8192).alias("fits"))
+    mats = table(spark, d, "part").select(F.col("p_size").cast("long").alias("n_atoms"), (F.col("p_partkey") % 60 + 40).alias("nx"))
+    rows = mats.join(F.broadcast(codecs.join(F.broadcast(sizes))))  # twelve configurations
+    context = 36 + 10 * F.col("n_atoms") + (F.col("k") * F.col("p") * F.col("p") * F.col("p")).cast("long")
+    return rows.groupBy("b0", "b1", "p").agg(F.count("*").alias("n"), F.count_if((context <= 8192) & (F.col("p") <= F.col("nx"))).alias("fits"), F.max(context).alias("longest"))
 
 
 _FRACS = (0.05, 0.25, 1.0)

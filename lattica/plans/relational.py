@@ -91,18 +91,22 @@ def fixed_width_histogram(spark, d):
 _BALL = "WITH a AS (SELECT unnest(range(-10, 11)) AS v), p AS (SELECT x.v AS dx, y.v AS dy, z.v AS dz, x.v * x.v + y.v * y.v + z.v * z.v AS r2 FROM a x, a y, a z)"
 
 
-@query(f"{_BALL}, n AS (SELECT unnest(range(0, 101)) AS n) SELECT n AS r2, count(p.r2) AS points FROM n LEFT JOIN p ON p.r2 <= n.n GROUP BY 1")
+@query(f"{_BALL} SELECT CAST(p_partkey AS BIGINT) AS p_partkey, count(p.r2) AS points FROM part LEFT JOIN p ON p.r2 <= p_size GROUP BY 1")
 def ball_counts(spark, d):
+    """Lattice points in a ball for each part, whose size is the squared radius: running counts of shells, looked up."""
     from pyspark.sql import Window
 
     shells = patches.ball_points(spark, 100).groupBy("r2").agg(F.count("*").alias("c"))
     every = spark.range(101).select(F.col("id").alias("r2")).join(shells, "r2", "left")
-    return every.select("r2", F.sum(F.coalesce("c", F.lit(0))).over(Window.orderBy("r2").rowsBetween(Window.unboundedPreceding, 0)).alias("points"))
+    upto = every.select("r2", F.sum(F.coalesce("c", F.lit(0))).over(Window.orderBy("r2").rowsBetween(Window.unboundedPreceding, 0)).alias("points"))  # a row for each squared radius
+    return table(spark, d, "part").join(F.broadcast(upto), F.col("p_size") == F.col("r2")).select(F.col("p_partkey").cast("long").alias("p_partkey"), "points")
 
 
-@query(f"{_BALL} SELECT row_number() OVER (ORDER BY r2, dy, dx, dz) - 1 AS place, dx, dy, dz, r2 FROM p WHERE r2 <= 30")
+@query(f"{_BALL}, o AS (SELECT row_number() OVER (ORDER BY r2, dy, dx, dz) - 1 AS place, dx, dy, dz FROM p WHERE r2 <= 5), {VOX} SELECT task_id, place, {sql_r6('rho')} AS rho FROM o JOIN vox ON ix = 1 + dx AND iy = 2 + dy AND iz = 3 + dz")
 def ball_offsets_order(spark, d):
-    return patches.ball_points(spark, 30)
+    """The cells of a ball around a point of every grid, each with its place in the ball's order."""
+    centres = grids(spark, d).select("task_id", "nx", "ny", "nz", F.lit(1).alias("cx"), F.lit(2).alias("cy"), F.lit(3).alias("cz"))
+    return patches.extract_ball(G.unpack(grids(spark, d)), centres, patches.ball_points(spark, 5)).select("task_id", "place", r6(F.col("rho")).alias("rho"))
 
 
 # ---- patches ------------------------------------------------------------------------------------
@@ -238,10 +242,15 @@ def ball_extract(spark, d):
     return cells.groupBy("task_id").agg(F.count("*").alias("n"), F.min("ix").alias("x0"), F.max("ix").alias("x1"), F.min("iz").alias("z0"), F.max("iz").alias("z1"), r6(F.sum("rho")).alias("total"))
 
 
-@query("""WITH s AS (SELECT * FROM (VALUES (0, 'special', 20), (1, 'atom', 118), (2, 'int', 1024), (3, 'position', 2 * (1 << 8) + (1 << 8) + (1 << 8)), (4, 'density', 2 * (1 << 8) + (1 << 12))) AS t(i, region, n))
-    SELECT region, CAST(coalesce(sum(n) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first, CAST(n AS BIGINT) AS n FROM s""")
+@query("""WITH s AS (SELECT * FROM (VALUES (0, 'special', 20), (1, 'atom', 118), (2, 'int', 1024), (3, 'position', 2 * (1 << 8) + (1 << 8) + (1 << 8)), (4, 'density', 2 * (1 << 8) + (1 << 12))) AS t(i, region, n)),
+    r AS (SELECT region, CAST(coalesce(sum(n) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first, n FROM s),
+    t AS (SELECT (l_partkey * 37 + l_orderkey * 11 + l_linenumber) % (SELECT sum(n) FROM s) AS id FROM lineitem)
+    SELECT region, count(*) AS tokens, CAST(min(id - first) AS BIGINT) AS low, CAST(max(id - first) AS BIGINT) AS high FROM t JOIN r ON id >= first AND id < first + n GROUP BY 1""")
 def vocab_dim(spark, d):
-    return V.table(spark).groupBy("region").agg(F.min("token_id").alias("first"), F.count("*").alias("n"))
+    """Tokens counted by the vocabulary's regions, with the least and greatest place in each."""
+    ids = table(spark, d, "lineitem").select(((F.col("l_partkey") * 37 + F.col("l_orderkey") * 11 + F.col("l_linenumber")) % V.size).alias("token_id"))
+    named = ids.groupBy("token_id").agg(F.count("*").alias("c")).join(F.broadcast(V.table(spark)), "token_id")  # a row for each token of the vocabulary
+    return named.groupBy("region").agg(F.sum("c").alias("tokens"), F.min("index").alias("low"), F.max("index").alias("high"))
 
 
 _NINE = " || ".join(_pos("0.25") for _ in range(3)), " || ".join(_pos("0.75") for _ in range(3))
