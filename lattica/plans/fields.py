@@ -9,7 +9,7 @@ from lattica.operators import lmq, pencils, selection
 from lattica.plans.numeric import _DFT
 from lattica.plans.physics import _INVERSE
 from lattica.plans.registry import VOX, grids, query, r6, sql_r6, table
-from lattica.sources import arrays
+from lattica.sources import arrays, manifested
 from lattica.sources.scratch import checkpointed, new_path
 
 
@@ -115,3 +115,17 @@ SELECT l_linestatus, CAST(unnest([0.0, 0.001, 0.25, 0.5, 0.9, 0.999, 1.0]) AS DO
 def price_quantiles(spark, d):
     """Exact quantiles of few large groups by narrowing brackets."""
     return selection.quantiles(table(spark, d, "lineitem"), ["l_linestatus"], "l_extendedprice", [0.0, 0.001, 0.25, 0.5, 0.9, 0.999, 1.0]).select("l_linestatus", "q", F.round("value", 4).alias("price"))
+
+
+# ---- files with a manifest --------------------------------------------------------------------------
+
+
+@query("""SELECT count(*) FILTER (o_totalprice <= 300000) AS n_rows, min(o_orderkey) FILTER (o_totalprice <= 300000) AS first, max(o_orderkey) FILTER (o_totalprice <= 300000) AS last, count(*) FILTER (o_totalprice > 300000) AS rejects,
+    array_to_string(list(o_orderkey ORDER BY o_orderkey) FILTER (o_totalprice > 300000)[1:50], ',') AS reject_ids, round(sum(o_totalprice) FILTER (o_totalprice <= 300000), 2) AS total FROM orders""")
+def manifested_write(spark, d):
+    """Orders in sorted files, those beyond a price as rejects: the manifest, and the total of what its files hold."""
+    path, rows = new_path(spark, "sorted"), table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    manifested.write_sorted(rows, path, "o_orderkey", reject=F.col("o_totalprice") > 300000)
+    about = manifested.manifest(spark, path).select(F.col("rows").alias("n_rows"), "first", "last", "rejects", F.array_join("reject_ids", ",").alias("reject_ids"))
+    held = manifested.read_sorted(spark, path, rows.schema).agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return about.join(F.broadcast(held))  # one row each
