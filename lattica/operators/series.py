@@ -62,24 +62,25 @@ def status_counts(rows: DataFrame, by: list[str], kinds: dict[str, Column]) -> D
     return rows.groupBy(*by).agg(*[F.count_if(c).alias(name) for name, c in kinds.items()])
 
 
-def walk_tree(docs: DataFrame, column: str, children: str = "children") -> DataFrame:
-    """(key, depth, name, leaf) of every node in nested JSON documents, to any depth; a document is one row of work."""
+def walk_tree(docs: DataFrame, column: str, children: str = "children", deepest: int = 100) -> DataFrame:
+    """(key, depth, name, leaf, path) of every node in nested JSON documents: a recursive query over variants, level by level.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
-        for f in frames:
-            out = []
-            for key, text in zip(f["key"], f["doc"], strict=True):
-                stack = [(0, json.loads(text))] if text else []
-                while stack:
-                    depth, node = stack.pop()
-                    below = node.get(children) or []
-                    out.append((key, depth, node.get("name"), not below))
-                    stack += [(depth + 1, x) for x in reversed(below)]
-            yield pd.DataFrame(out, columns=["key", "depth", "name", "leaf"])
-
-    return docs.select(F.col("key").cast("long").alias("key"), F.col(column).alias("doc")).mapInPandas(run, "key long, depth int, name string, leaf boolean")
+    ``path`` has the places of a node and those above it. A null document has no nodes; more than
+    ``deepest`` levels are an error. The session's limits on recursion are set to that, and rows are not limited.
+    """
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(deepest + 1))
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    given = docs.select(F.col("key").cast("long").alias("key"), F.parse_json(column).alias("node")).where("node is not null")
+    return spark.sql(
+        """WITH RECURSIVE tree(key, depth, path, node) AS (
+               SELECT key, 0, '', node FROM {given}
+               UNION ALL
+               SELECT tree.key, tree.depth + 1, concat(tree.path, '/', CAST(below.pos AS STRING)), below.value
+               FROM tree, LATERAL variant_explode(try_variant_get(tree.node, :children, 'variant')) AS below)
+           SELECT key, depth, try_variant_get(node, '$.name', 'string') AS name, try_variant_get(node, :first, 'variant') IS NULL AS leaf, path FROM tree""",
+        args={"children": f"$.{children}", "first": f"$.{children}[0]"}, given=given,
+    )
 
 
 def parquet_integrity(spark: SparkSession, path: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.formulas import state_name
@@ -62,10 +63,34 @@ def job_table(jobs: DataFrame, tasks: DataFrame) -> DataFrame:
     return jobs.join(worst, "job_id", "left").select("job_id", state_name(F.col("state")).alias("state"), F.coalesce("_p", F.lit(0)).cast("long").alias("preemptions"), F.coalesce("_f", F.lit(0)).cast("long").alias("failures"))
 
 
-def trajectories(rows: DataFrame, keys: list[str], step: str, values: list[str]) -> DataFrame:
-    """Parallel arrays by key, in step order."""
-    lists = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(step, *values))).alias("_l"))
-    return lists.select(*keys, *[F.col(f"_l.{c}").alias(f"{c}s") for c in (step, *values)])
+def trajectories(rows: DataFrame, keys: list[str], step: str, values: list[str], size: int = 10_000) -> DataFrame:
+    """Parallel arrays by key, in step order, in blocks of at most ``size`` steps (``block`` counts them from 0): a table function that holds one block of one key."""
+    kinds = [rows.schema[c].dataType.simpleString() for c in (step, *values)]
+    names = [f"{c}s" for c in (step, *values)]
+    schema = ", ".join([*(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys), "block int", *(f"{n} array<{t}>" for n, t in zip(names, kinds, strict=True))])
+    given = rows.select(*keys, step, *values)
+    at = len(keys)
+
+    class Blocks:
+        def __init__(self):
+            self.key, self.held, self.block = (), [], 0
+
+        def _made(self) -> tuple:
+            made = (*self.key, self.block, *(list(c) for c in zip(*self.held, strict=True)))
+            self.held, self.block = [], self.block + 1
+            return made
+
+        def eval(self, row: Row) -> Iterator[tuple]:
+            self.key = tuple(row[:at])
+            self.held.append(tuple(row[at:]))
+            if len(self.held) == size:
+                yield self._made()
+
+        def terminate(self) -> Iterator[tuple]:
+            if self.held:
+                yield self._made()
+
+    return F.udtf(Blocks, returnType=schema)(given.asTable().partitionBy(*keys).orderBy(step))
 
 
 def finite(c: Column) -> Column:

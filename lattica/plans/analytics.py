@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import formulas
 from lattica.functions.quantize import LogCodec
-from lattica.operators import evaluation, grids as G, telemetry
+from lattica.operators import evaluation, grids as G, series, telemetry
 from lattica.plans.registry import VOX, grids, query, r6, sql_bin, sql_r6, sql_unbin, table
 from lattica.sources.scratch import new_path, rename_only_file
 from lattica.streaming import counters
@@ -244,10 +244,26 @@ def run_state_lookup(spark, d):
     return runs.join(jobs, F.concat(F.lit("/team/"), F.col("name")) == F.col("job"), "left").select("c_custkey", "state")
 
 
-@query("SELECT user_id, event_type, array_to_string(list(event_id ORDER BY event_id), ',') AS steps, count(value) AS n FROM events GROUP BY 1, 2")
+@query("""WITH r AS (SELECT *, (row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1) // 4 AS block FROM events)
+    SELECT user_id, event_type, CAST(block AS INTEGER) AS block, array_to_string(list(event_id ORDER BY event_id), ',') AS steps, count(value) AS n FROM r GROUP BY 1, 2, 3""")
 def trajectory_arrays(spark, d):
-    t = telemetry.trajectories(table(spark, d, "events"), ["user_id", "event_type"], "event_id", ["value"])
-    return t.select("user_id", "event_type", F.array_join("event_ids", ",").alias("steps"), F.size(F.filter("values", lambda v: v.isNotNull())).cast("long").alias("n"))
+    """Arrays in blocks of four steps."""
+    t = telemetry.trajectories(table(spark, d, "events"), ["user_id", "event_type"], "event_id", ["value"], size=4)
+    return t.select("user_id", "event_type", "block", F.array_join("event_ids", ",").alias("steps"), F.size(F.filter("values", lambda v: v.isNotNull())).cast("long").alias("n"))
+
+
+@query("""WITH k AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)
+    SELECT user_id, 0 AS depth, 'user-' || user_id AS name, false AS leaf, count(*) AS n FROM k GROUP BY 1
+    UNION ALL SELECT user_id, 1, event_type, false, 1 FROM k UNION ALL SELECT user_id, 2, 'e' || event_id, true, 1 FROM events""")
+def tree_walk(spark, d):
+    """Each user's events as a JSON tree of kinds and events, walked node by node; ``n`` counts the children of the root."""
+    e = table(spark, d, "events")
+    kinds = e.groupBy("user_id", "event_type").agg(F.collect_list(F.struct(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("name"))).alias("children"))
+    docs = kinds.groupBy("user_id").agg(F.collect_list(F.struct(F.col("event_type").alias("name"), "children")).alias("children"))
+    text = F.to_json(F.struct(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("name"), "children"))
+    nodes = series.walk_tree(docs.select(F.col("user_id").alias("key"), text.alias("doc")), "doc")
+    under = nodes.where("depth = 1").groupBy("key").agg(F.count("*").alias("n"))
+    return nodes.join(under, "key").select(F.col("key").alias("user_id"), "depth", "name", "leaf", F.when(F.col("depth") == 0, F.col("n")).otherwise(1).alias("n"))
 
 
 @query("WITH j AS (SELECT 'v6e-' || (1 << (p_partkey % 5 + 2)) AS chip, p_size / 4.0 AS hours, p_partkey % 2 = 0 AS pre FROM part) SELECT chip, round(sum(CAST(regexp_extract(chip, 'v6e-(\\d+)', 1) AS INTEGER) * hours * CASE WHEN pre THEN 1.15 ELSE 2.83 END), 3) AS cost FROM j GROUP BY 1")
