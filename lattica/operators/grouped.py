@@ -70,24 +70,24 @@ def by_group(rows: DataFrame, keys: list[str], run: Callable[[Columns], Iterator
     """``run`` gets the columns of each group and gives rows of ``schema``. A task sorts its rows, with spilling, and holds one group at a time; keys are not null."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[Columns]:
-        held: list[pa.RecordBatch] = []
-
-        def whole() -> Columns:
-            t = pa.Table.from_batches(held)
-            return {name: _plain(t.column(name)) for name in t.column_names}
-
+        held: Columns | None = None
         for b in batches:
             if not b.num_rows:
                 continue
+            columns = {name: _plain(pa.chunked_array([c])) for name, c in zip(b.schema.names, b.columns, strict=True)}
             cuts = _cuts(b, keys)
-            goes_on = bool(held) and all(held[-1].column(k)[-1] == b.column(k)[0] for k in keys)
+            goes_on = held is not None and all(held[k][-1] == columns[k][0] for k in keys)
             for first, last in zip(cuts, [*cuts[1:], b.num_rows], strict=True):
-                if held and not (goes_on and first == 0):
-                    yield whole()
-                    held = []
-                held.append(b.slice(first, last - first))
-        if held:
-            yield whole()
+                part = {name: c[first:last] for name, c in columns.items()}
+                if goes_on and first == 0:
+                    for name, c in part.items():
+                        held[name] += c
+                    continue
+                if held is not None:
+                    yield held
+                held = part
+        if held is not None:
+            yield held
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
