@@ -49,6 +49,14 @@ def shifted_earth_mover(dist: DataFrame, tokens: DataFrame, keys: list[str], rec
     return earth_mover(both, [*keys, "pos"], recon(F.col("bin")), recon(F.col("_bin")))
 
 
+def predicted_cells(dist: DataFrame, tokens: DataFrame, keys: list[str], recon: Callable[[Column], Column], first: int, count: int) -> DataFrame:
+    """(keys, pos, true, pred, emd) of (keys, pos, bin, p): the value of the next position's token, its bin clipped to the range, the mean decoder's value, and the distance between the distribution and it."""
+    ahead = next_tokens(tokens, keys).where("target is not null").withColumn("_bin", F.greatest(F.lit(0), F.least(F.lit(count - 1), F.col("target") - first)))
+    both = dist.join(ahead.select(*keys, "pos", "_bin"), [*keys, "pos"])
+    here, there = recon(F.col("bin")), recon(F.col("_bin"))
+    return both.groupBy(*keys, "pos").agg(F.first(there).alias("true"), F.sum(F.col("p") * here).alias("pred"), F.sum(F.col("p") * F.abs(here - there)).alias("emd"))
+
+
 def voxel_pairs(tokens: DataFrame, predicted: DataFrame, keys: list[str], a: tuple[int, int], b: tuple[int, int]) -> DataFrame:
     """(keys, pos, true_a, true_b, pred_a, pred_b) wherever the two tokens after a position are a pair of ranges ``a`` and ``b`` ([low, high) each).
 
@@ -81,32 +89,44 @@ def pair_errors(pairs: DataFrame, value: Callable[[Column, Column], Column], a:
     return sums.join(off, same, "left").select(*by, "n_voxels", "mean_abs_true", "nmae_mean", *(F.try_divide(F.col(c), F.col("mean_abs_true")).alias(n) for c, n in (("_p50", "nmae_median"), ("_p99", "nmae_p99"))), "n_bad")
 
 
-def density_aware_loss(
-    logits: DataFrame, tokens: DataFrame, keys: list[str], recon: Callable[[Column], Column], first: int, count: int, *, weight: float, penalty: float, mode: str = "add", kind: str = "l1", density_only: bool = False, by: tuple[str, ...] = ()
-) -> DataFrame:
-    """Cross entropy plus ``weight`` times the density error of each position, averaged over weighted positions.
+def position_losses(logits: DataFrame, tokens: DataFrame, keys: list[str], recon: Callable[[Column], Column], first: int, count: int, penalty: float) -> DataFrame:
+    """(keys, pos, ce, l1, emd, dense, weight): what every loss of a position is made of, in one pass over the logits.
 
     ``logits``: (keys, pos, token, logit); ``tokens``: (keys, pos, token, weight), weight null counts as 1. A position's target is
-    the next token, so a sequence's last position takes no part. ``kind``: ``l1`` compares the expected value
-    with the target's, ``emd`` takes the expected distance to it; ids outside [first, first + count) have the value ``penalty``. ``mode``
-    ``replace`` drops the cross entropy where the target is a density id, ``density_only`` everywhere, and then divides by the weight of density positions.
+    the next token, so a sequence's last position takes no part. ``ce``: cross entropy; ``l1``: the expected value against the
+    target's; ``emd``: the expected distance to it; ids outside [first, first + count) have the value ``penalty``; ``dense``: whether the target is inside.
     """
-    if mode not in ("add", "replace") or kind not in ("l1", "emd"):
-        raise ValueError("mode is add or replace, kind is l1 or emd")
     value = lambda t: F.when((t >= first) & (t < first + count), recon(t - first)).otherwise(F.lit(float(penalty)))
     ahead = next_tokens(tokens, keys).where("target is not null").select(*keys, "pos", "target", F.coalesce("weight", F.lit(1.0)).alias("_w"))
     own = Window.partitionBy(*keys, "pos")
-    rows = logits.join(ahead, [*keys, "pos"]).withColumn("_e", F.exp(F.col("logit") - F.max("logit").over(own))).withColumn("_top", F.max("logit").over(own))
+    rows = logits.join(ahead, [*keys, "pos"]).withColumn("_top", F.max("logit").over(own)).withColumn("_e", F.exp(F.col("logit") - F.col("_top")))
     here, there = value(F.col("token")), value(F.col("target"))
-    mean = F.sum(F.col("_e") * here) / F.sum("_e")
-    off = F.abs(mean - F.first(there)) if kind == "l1" else F.sum(F.col("_e") * F.abs(here - there)) / F.sum("_e")
-    ce = F.ln(F.sum("_e")) + F.first("_top") - F.max(F.when(F.col("token") == F.col("target"), F.col("logit")))
-    dense = (F.first("target") >= first) & (F.first("target") < first + count)
-    each = rows.groupBy(*keys, "pos").agg(ce.alias("_ce"), off.alias("_off"), dense.alias("_dense"), F.first("_w").alias("_w"))
-    kept = F.lit(0.0) if density_only else F.when(F.col("_dense"), 0.0).otherwise(F.col("_ce")) if mode == "replace" else F.col("_ce")
-    loss = kept + weight * F.when(F.col("_dense"), F.col("_off")).otherwise(0.0)
-    share = F.when(F.col("_dense"), F.col("_w")).otherwise(0.0) if density_only else F.col("_w")
-    return each.groupBy(*by).agg((F.sum(loss * F.col("_w")) / F.greatest(F.sum(share), F.lit(1.0))).alias("loss"), F.count("*").alias("positions"))
+    return rows.groupBy(*keys, "pos").agg(
+        (F.ln(F.sum("_e")) + F.first("_top") - F.max(F.when(F.col("token") == F.col("target"), F.col("logit")))).alias("ce"),
+        F.abs(F.sum(F.col("_e") * here) / F.sum("_e") - F.first(there)).alias("l1"),
+        (F.sum(F.col("_e") * F.abs(here - there)) / F.sum("_e")).alias("emd"),
+        ((F.first("target") >= first) & (F.first("target") < first + count)).alias("dense"),
+        F.first("_w").alias("weight"),
+    )
+
+
+def mean_loss(*, factor: float, mode: str = "add", kind: str = "l1", density_only: bool = False) -> Column:
+    """Aggregate over ``position_losses``: cross entropy plus ``factor`` times the density error (``l1`` or ``emd``), averaged over weighted positions.
+
+    ``mode`` ``replace`` drops the cross entropy where the target is a density id, ``density_only`` everywhere, and then divides by the weight of density positions.
+    """
+    if mode not in ("add", "replace") or kind not in ("l1", "emd"):
+        raise ValueError("mode is add or replace, kind is l1 or emd")
+    kept = F.lit(0.0) if density_only else F.when(F.col("dense"), 0.0).otherwise(F.col("ce")) if mode == "replace" else F.col("ce")
+    loss = kept + factor * F.when(F.col("dense"), F.col(kind)).otherwise(0.0)
+    share = F.when(F.col("dense"), F.col("weight")).otherwise(0.0) if density_only else F.col("weight")
+    return F.sum(loss * F.col("weight")) / F.greatest(F.sum(share), F.lit(1.0))
+
+
+def density_aware_loss(logits: DataFrame, tokens: DataFrame, keys: list[str], recon: Callable[[Column], Column], first: int, count: int, *, weight: float, penalty: float, mode: str = "add", kind: str = "l1", density_only: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, loss, positions): ``mean_loss`` of ``position_losses`` for each group."""
+    loss = mean_loss(factor=weight, mode=mode, kind=kind, density_only=density_only)
+    return position_losses(logits, tokens, keys, recon, first, count, penalty).groupBy(*by).agg(loss.alias("loss"), F.count("*").alias("positions"))
 
 
 def cross_entropy(logits: DataFrame, keys: list[str], token: str = "token", logit: str = "logit", target: str = "target") -> DataFrame:

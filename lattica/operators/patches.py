@@ -241,7 +241,7 @@ def tokenize_ball(samples: DataFrame, v: Vocabulary) -> DataFrame:
 
 
 def detokenize_ball(rows: DataFrame, v: Vocabulary) -> DataFrame:
-    """Add grid, atoms, coords, r2_max, center, bounds and patch of ball rows."""
+    """Add grid, atoms, coords, r2_max, center, bounds, patch and ``error`` (null if well formed, else the first fault) of ball rows."""
     names = ("GRID", "ATOMS", "POS", "RADIUS", "CENTER", "BOUNDS", "DENS")
     whole = lambda name: F.transform(f"_{name}", lambda t: t - v.int_offset)
     out = _with_blocks(rows, v, names).withColumns({
@@ -253,4 +253,17 @@ def detokenize_ball(rows: DataFrame, v: Vocabulary) -> DataFrame:
         "bounds": whole("BOUNDS"),
         "patch": _coded_block("DENS", v.density, v.density_offset),
     })
+    sized = lambda c, n: F.coalesce(F.size(c), F.lit(-1)) != n
+    faults = [
+        (F.coalesce(F.get("_ids", F.lit(0)), F.lit(-1)) != v.special("BOS"), "no BOS"),
+        (F.coalesce(F.try_element_at("_ids", F.lit(-1)), F.lit(-1)) != v.special("EOS"), "no EOS"),
+        (sized("grid", 3), "grid"),
+        (F.col("atoms").isNull() | ~F.forall("atoms", lambda z: z.between(1, 118)), "atoms"),
+        (F.col("coords").isNull() | (F.size("coords") != 3 * F.size("atoms")), "positions"),
+        (F.coalesce(F.col("r2_max"), F.lit(-1)) < 0, "radius"),
+        (sized("center", 3), "center"),
+        (sized("bounds", 6), "bounds"),
+        (F.col("patch").isNull(), "density"),
+    ]
+    out = out.withColumn("error", reduce(lambda c, f: c.when(f[0], f[1]), faults, F))
     return out.drop("_ids", *[f"_{n}" for n in names])

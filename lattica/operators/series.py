@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.operators.scans import count_so_far, last_known, next_known, row_before, scan
+from lattica.sources.arrays import store
 
 
 def fill_gaps(rows: DataFrame, series: str, index: str, value: str) -> DataFrame:
@@ -84,30 +90,39 @@ def walk_tree(docs: DataFrame, column: str, children: str = "children", deepest:
 
 
 def parquet_integrity(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, md5, row_groups, rows, bad_groups, error) of every Parquet file below a folder, each read in full."""
+    """(path, size, md5, row_groups, rows, bad_groups, error) of every Parquet file below a folder, each read in full.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-        import io
-
-        import pyarrow.parquet as pq
+    Files, empty ones too, are listed by name on the driver, as Spark's own readers do, and dealt to tasks; a task reads the bytes of one in blocks and its rows in
+    batches, so it holds a block and a batch, whatever the file's size. A file that is no Parquet has no row groups.
+    """
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for name, content in zip(f["path"], f["content"], strict=True):
-                body, groups, rows, bad, error = bytes(content), 0, 0, 0, None
+            yield pd.DataFrame([_integrity(p) for p in f["path"]], columns=["path", "size", "md5", "row_groups", "rows", "bad_groups", "error"])
+
+    system, root = store(re.sub("^file:/*", "/", path))
+    scheme = path[: len(path) - len(root)] if path.endswith(root) else ""
+    files = [(scheme + f.path,) for f in system.get_file_info(fs.FileSelector(root, recursive=True)) if f.is_file and f.path.endswith(".parquet")]
+    return spark.createDataFrame(files, "path string").repartition("path").mapInPandas(run, "path string, size long, md5 string, row_groups int, rows long, bad_groups int, error string")
+
+
+def _integrity(path: str, block: int = 4 << 20) -> tuple:
+    """The facts of one file."""
+    system, at = store(re.sub("^file:/*", "/", path))
+    digest, size, groups, rows, bad, error = hashlib.md5(), 0, 0, 0, 0, None
+    with system.open_input_stream(at) as f:
+        while part := f.read(block):
+            digest.update(part)
+            size += len(part)
+    try:
+        with system.open_input_file(at) as f:
+            file = pq.ParquetFile(f)
+            groups = file.num_row_groups
+            for g in range(groups):
                 try:
-                    file = pq.ParquetFile(io.BytesIO(body))
-                    groups = file.num_row_groups
-                    for g in range(groups):
-                        try:
-                            rows += file.read_row_group(g).num_rows
-                        except Exception as e:  # any fault of a row group counts it as bad
-                            bad, error = bad + 1, str(e)[:200]
-                except Exception as e:  # not a Parquet file at all
-                    error = str(e)[:200]
-                out.append((name.rsplit("/", 1)[-1], len(body), hashlib.md5(body).hexdigest(), groups, rows, bad, error))
-            yield pd.DataFrame(out, columns=["path", "size", "md5", "row_groups", "rows", "bad_groups", "error"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
-    return files.select("path", "content").mapInPandas(run, "path string, size long, md5 string, row_groups int, rows long, bad_groups int, error string")
+                    rows += sum(b.num_rows for b in file.iter_batches(row_groups=[g]))
+                except (pa.ArrowException, OSError) as e:  # a fault inside a row group counts it as bad
+                    bad, error = bad + 1, str(e)[:200]
+    except (pa.ArrowException, OSError) as e:  # not a Parquet file
+        error = str(e)[:200]
+    return path.rsplit("/", 1)[-1], size, digest.hexdigest(), groups, rows, bad, error

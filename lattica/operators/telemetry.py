@@ -125,12 +125,15 @@ def cost(chips: Column, hours: Column, preemptible: Column) -> Column:
     return chips * hours * F.when(preemptible, 1.15).otherwise(2.83)
 
 
-def snapshot_rows(doc: DataFrame, column: str) -> DataFrame:
-    """Rows of a nested state document: a map from job id to struct becomes (job_id, fields)."""
-    return doc.select(F.explode(column).alias("job_id", "_s")).select("job_id", "_s.*")
-
-
-def markdown(df: DataFrame) -> str:
-    """A small result as a pipe table; for reports, so the rows come to the driver."""
-    rows = [[("" if v is None else str(v)) for v in r] for r in df.collect()]
-    return "\n".join("| " + " | ".join(r) + " |" for r in [df.columns, ["---"] * len(df.columns), *rows])
+def markdown_lines(df: DataFrame) -> DataFrame:
+    """(line) of a pipe table for each row: nulls are empty, bars in a value are escaped, a line end with the blanks around it becomes one space."""
+    cell = lambda c: F.coalesce(F.regexp_replace(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), r"\s*[\r\n]+\s*", " "), F.lit(""))
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in df.columns]), F.lit(" |")).alias("line"))
+
+
+def markdown(df: DataFrame, most: int = 1000) -> str:
+    """A report of at most ``most`` rows as a pipe table; more are an error, told by one row beyond."""
+    rows = [r.line for r in markdown_lines(df).limit(most + 1).collect()]
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows; write markdown_lines instead")
+    return "\n".join(["| " + " | ".join(df.columns) + " |", "| " + " | ".join(["---"] * len(df.columns)) + " |", *rows])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from lattica.functions.quantize import LogCodec
@@ -75,9 +73,22 @@ _MODES = [(mode, kind, only) for mode in ("add", "replace") for kind in ("l1", "
     x AS (SELECT seq % 2 AS part, mode, kind, density_only, w, dense, (CASE WHEN density_only OR mode = 'replace' AND dense THEN 0 ELSE ce END) + 0.7 * CASE WHEN dense THEN CASE kind WHEN 'l1' THEN l1 ELSE emd END ELSE 0 END AS loss FROM c, m)
     SELECT part, mode, kind, density_only, round(sum(loss * w) / greatest(sum(CASE WHEN density_only AND NOT dense THEN 0 ELSE w END), 1), 5) AS loss, count(*) AS positions FROM x GROUP BY ALL""")
 def density_aware_losses(spark, d):
+    """All modes from one pass over the logits."""
     logits, tokens = _logits(spark, d).withColumn("part", F.col("seq") % 2), _tokens(spark, d).withColumn("part", F.col("seq") % 2)
-    each = [
-        evaluation.density_aware_loss(logits, tokens, ["part", "seq"], lambda b: b * 0.5, FIRST, COUNT, weight=0.7, penalty=PENALTY, mode=m, kind=k, density_only=o, by=("part",)).select("part", F.lit(m).alias("mode"), F.lit(k).alias("kind"), F.lit(o).alias("density_only"), F.round("loss", 5).alias("loss"), "positions")
-        for m, k, o in _MODES
-    ]
-    return reduce(lambda a, b: a.unionByName(b), each)
+    each = evaluation.position_losses(logits, tokens, ["part", "seq"], lambda b: b * 0.5, FIRST, COUNT, PENALTY)
+    modes = [F.struct(F.lit(m).alias("mode"), F.lit(k).alias("kind"), F.lit(o).alias("density_only"), F.round(evaluation.mean_loss(factor=0.7, mode=m, kind=k, density_only=o), 5).alias("loss")) for m, k, o in _MODES]
+    return each.groupBy("part").agg(F.array(*modes).alias("modes"), F.count("*").alias("positions")).select("part", F.inline("modes"), "positions")
+
+
+@query(f"""
+    WITH {VOX}, {_TOK}, l AS (SELECT task_id // 16 AS seq, task_id % 16 AS pos, flat - {FIRST} AS bin, exp(rho * 20 - max(rho * 20) OVER (PARTITION BY task_id)) AS e FROM vox WHERE flat >= {FIRST} AND flat < {FIRST + COUNT}),
+    p AS (SELECT *, e / (sum(e) OVER (PARTITION BY seq, pos) + 1e-12) AS p FROM l),
+    c AS (SELECT p.seq, p.pos, any_value(greatest(0, least({COUNT - 1}, target - {FIRST})) * 0.5::DOUBLE) AS t, sum(p * bin * 0.5::DOUBLE) AS m, sum(p * abs(bin * 0.5::DOUBLE - greatest(0, least({COUNT - 1}, target - {FIRST})) * 0.5::DOUBLE)) AS emd
+          FROM p JOIN nxt ON nxt.seq = p.seq AND nxt.pos = p.pos WHERE target IS NOT NULL GROUP BY 1, 2)
+    SELECT seq, count(*) AS n_cells, {sql_r6('avg(abs(t - m))')} AS mae, {sql_r6('avg(abs(t - m)) / greatest(avg(abs(t)), 1e-30)')} AS nmae, {sql_r6('avg(emd)')} AS mean_emd, {sql_r6('avg(emd) / greatest(avg(abs(t)), 1e-30)')} AS nemd FROM c GROUP BY 1""")
+def material_errors_emd(spark, d):
+    """Errors of the mean decoder and of the whole distribution, for each sequence."""
+    dist = evaluation.restrict(_logits(spark, d), ["seq", "pos"], FIRST, COUNT)
+    cells = evaluation.predicted_cells(dist, _tokens(spark, d), ["seq"], lambda b: b * 0.5, FIRST, COUNT)
+    out = evaluation.material_errors(cells, "seq", "true", "pred", "emd")
+    return out.select("seq", "n_cells", *[r6(F.col(c)).alias(c) for c in ("mae", "nmae", "mean_emd", "nemd")])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import re
 
 import numpy as np
@@ -10,12 +11,16 @@ from pyspark.sql import functions as F
 
 from lattica.operators.lmq import LloydMax
 from lattica.operators.order import numbered
+from lattica.sources.arrays import store
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(idx, id): non-blank lines of a text listing, in order."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.transform(F.split("value", "\n"), F.trim), lambda x: x != "")).alias("idx", "id"))
-    return rows.select(F.col("idx").cast("long").alias("idx"), "id")
+    """(idx, id): non-blank lines of a text listing, or of the files of a folder by name, numbered from 0 in their order.
+
+    A large listing is split: lines are ordered by file, start of their split and place in it.
+    """
+    lines = spark.read.text(path).select(F.trim("value").alias("id"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_line"))
+    return numbered(lines.where("id <> ''"), "_file", "_start", "_line", name="idx").select((F.col("idx") - 1).alias("idx"), "id")
 
 
 def read_split(spark: SparkSession, path: str, split: str, listing: DataFrame) -> DataFrame:
@@ -41,11 +46,22 @@ def read_job_log(spark: SparkSession, path: str, prefix: str = "I20") -> DataFra
 
 
 def read_codec(path: str) -> LloydMax:
-    """A fitted quantizer from a numpy archive; small, so the driver reads it."""
-    with np.load(path) as z:
+    """A fitted quantizer from a numpy archive on any file system; small, so the driver reads it."""
+    system, at = store(path)
+    with system.open_input_file(at) as f, np.load(io.BytesIO(f.read())) as z:
         return LloydMax(z["boundaries"].astype(float).tolist(), z["recon_points"].astype(float).tolist(), float(z["clip_max"]))
 
 
+def write_codec(codec: LloydMax, path: str) -> None:
+    """A fitted quantizer as a numpy archive; its size is the number of bins."""
+    system, at = store(path)
+    body = io.BytesIO()
+    np.savez(body, boundaries=codec.boundaries, recon_points=codec.recon, clip_max=codec.clip_max)
+    system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(at) as f:
+        f.write(body.getvalue())
+
+
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(path, size, md5) of every file below a folder; paths are relative to it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -66,6 +66,15 @@ def publish(rows: DataFrame, root: str, name: str, version: int, dry_run: bool =
     return path
 
 
+def latest_version(spark: SparkSession, root: str, name: str) -> int:
+    """The highest version under which a table was published, from the names of its folders."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{root.rstrip('/')}/{name}")
+    found = files.select(F.regexp_extract("path", rf"/{name}/v(\d+)/", 1).cast("int").alias("v")).agg(F.max("v")).first()[0]
+    if found is None:
+        raise ValueError(f"{name} was never published below {root}")
+    return found
+
+
 def copy_report(files: DataFrame, copied: DataFrame) -> DataFrame:
     """(path, bytes, status): ok where the copy has the same size, else error, for each (path, size) of ``files``."""
     there = copied.select("path", F.col("size").alias("_there"))
