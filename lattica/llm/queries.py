@@ -106,7 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _HOST = lambda url: f"translate(regexp_extract(substr({url}, instr({url}, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _RULES = ", ".join(f"('{rule}', '{rule.split('/', 1)[0]}', '/{rule.split('/', 1)[1]}', '{verdict}')" for rule, verdict in URL_RULES)
-_TEMPLATES = ", ".join(f"({i}, '{label}', {i < len(licenses.PHRASES)}, '{words}')" for i, (label, words) in enumerate([*licenses.PHRASES, *licenses.NOTICES]))
+_TEMPLATES = ", ".join(f"({i}, '{label}', {base}, {k}, '{words}')" for i, label, base, k, words in licenses.listed())
 
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": """
@@ -138,19 +138,19 @@ ORACLE_SQL: dict[str, str] = {
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 20""",
     "op9_licenses": f"""
         WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-        t AS (SELECT * FROM (VALUES {_TEMPLATES}) AS t(template, label, base, words)),
-        tp AS (SELECT template, label, base, len(string_split(words, ' ')) - 1 AS pairs, string_split(words, ' ') AS w FROM t),
-        tg AS (SELECT template, label, base, pairs, p - 1 AS place, w[p] AS a, w[p + 1] AS b FROM (SELECT *, unnest(range(1, pairs + 1)) AS p FROM tp)),
-        dg AS (SELECT doc_id, p - 1 AS spot, w[p] AS a, w[p + 1] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS p FROM dw WHERE len(w) > 1)),
-        v AS (SELECT doc_id, template, label, base, pairs, place, spot, unnest(CASE WHEN base THEN [0] ELSE range(-{licenses.DRIFT}, {licenses.DRIFT} + 1) END) AS shift FROM dg JOIN tg USING (a, b)),
-        f AS (SELECT doc_id, template, label, base, pairs, spot - place + shift AS diagonal, place, min(spot) AS spot FROM v GROUP BY ALL),
+        t AS (SELECT * FROM (VALUES {_TEMPLATES}) AS t(template, label, base, k, words)),
+        tp AS (SELECT template, label, base, k, string_split(words, ' ') AS w FROM t),
+        tg AS (SELECT template, label, base, k, len(w) - k + 1 AS pairs, p - 1 AS place, w[p : p + k - 1] AS gram FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM tp)),
+        dg AS (SELECT doc_id, k, p - 1 AS spot, w[p : p + k - 1] AS gram FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM dw, (SELECT DISTINCT k FROM t) WHERE len(w) >= k)),
+        v AS (SELECT doc_id, template, label, base, k, pairs, place, spot, unnest(CASE WHEN base THEN [0] ELSE range(-{licenses.DRIFT}, {licenses.DRIFT} + 1) END) AS shift FROM dg JOIN tg USING (k, gram)),
+        f AS (SELECT doc_id, template, label, base, k, pairs, spot - place + shift AS diagonal, place, min(spot) AS spot FROM v GROUP BY ALL),
         o AS (SELECT *, coalesce(max(spot) OVER (PARTITION BY doc_id, template, diagonal ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS behind FROM f),
-        s AS (SELECT doc_id, template, label, base, pairs, diagonal, count(*) AS matched, min(spot) AS start, max(spot) + 2 AS fin FROM o WHERE spot > behind GROUP BY ALL),
-        m AS (SELECT doc_id, template, label, base, pairs, start, max({{'matched': matched, 'neg': -fin}}) AS m FROM s
+        s AS (SELECT doc_id, template, label, base, k, pairs, diagonal, count(*) AS matched, min(spot) AS start, max(spot + k) AS fin FROM o WHERE spot > behind GROUP BY ALL),
+        m AS (SELECT doc_id, template, label, base, k, pairs, start, max({{'matched': matched, 'neg': -fin}}) AS m FROM s
               WHERE CASE WHEN base THEN matched = pairs ELSE round(matched / CAST(pairs AS DOUBLE), 6) >= {licenses.COVER} END GROUP BY ALL),
-        b AS (SELECT doc_id, template, label, base, pairs, start, -m.neg AS fin, round(m.matched / CAST(pairs AS DOUBLE), 6) AS share FROM m),
+        b AS (SELECT doc_id, template, label, base, k, pairs, start, -m.neg AS fin, round(m.matched / CAST(pairs AS DOUBLE), 6) AS share FROM m),
         g AS (SELECT * FROM b WHERE base OR NOT EXISTS (SELECT 1 FROM b o WHERE o.doc_id = b.doc_id AND NOT o.base AND o.start < b.fin AND b.start < o.fin
-              AND (o.share > b.share OR o.share = b.share AND (o.pairs > b.pairs OR o.pairs = b.pairs AND (o.template < b.template OR o.template = b.template AND o.start < b.start))))),
+              AND (o.k > b.k OR o.k = b.k AND (o.share > b.share OR o.share = b.share AND (o.pairs > b.pairs OR o.pairs = b.pairs AND (o.template < b.template OR o.template = b.template AND o.start < b.start)))))),
         a AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
                      string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM g GROUP BY 1)
         SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,

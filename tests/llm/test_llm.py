@@ -594,10 +594,11 @@ def brute_licenses(text):
     for label, phrase in licenses.PHRASES:
         p = phrase.split()
         base += [(label, i) for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
-    for number, (label, notice) in enumerate(licenses.NOTICES):
-        t = notice.split()
-        places = list(zip(t, t[1:], strict=False))
-        hits = [(i, j) for i in range(len(w) - 1) for j, pair in enumerate(places) if pair == (w[i], w[i + 1])]
+    known = [(label, text, 2) for label, text in licenses.NOTICES] + [(label, text, 4) for label, text in licenses.TEXTS]
+    for number, (label, notice, k) in enumerate(known):
+        t = split_words(notice)
+        places = [t[j : j + k] for j in range(len(t) - k + 1)]
+        hits = [(i, j) for i in range(len(w) - k + 1) for j, gram in enumerate(places) if gram == w[i : i + k]]
         for d in {i - j + x for i, j in hits for x in range(-licenses.DRIFT, licenses.DRIFT + 1)}:
             last, chain = -1, []
             for j in range(len(places)):
@@ -606,14 +607,29 @@ def brute_licenses(text):
                     chain += [min(spots)] if min(spots) > last else []
                     last = max(last, min(spots))
             if round(len(chain) / len(places), 6) >= licenses.COVER:
-                notices.append((round(len(chain) / len(places), 6), len(places), -number, -chain[0], -(chain[-1] + 2), label))
+                notices.append(((k, round(len(chain) / len(places), 6), len(places), -number), -chain[0], -(chain[-1] + k), label))
     best = {}
     for n in notices:
-        best[n[2], n[3]] = max(n, best.get((n[2], n[3]), n))
-    kept = [n for n in best.values() if not any(o[:4] > n[:4] and -o[3] < -n[4] and -n[3] < -o[4] for o in best.values())]
+        best[n[0][3], n[1]] = max(n, best.get((n[0][3], n[1]), n))
+    kept = [n for n in best.values() if not any(o[:2] > n[:2] and -o[1] < -n[2] and -n[1] < -o[2] for o in best.values())]
     starts = [i for _, i in base]
     names = lambda x: ",".join(sorted(set(x)))
-    return len(base), min(starts, default=None), max(starts, default=None), names(x for x, _ in base), names([x for x, _ in base] + [n[5] for n in kept]), max([1.0] * bool(base) + [n[0] for n in kept], default=0.0)
+    return len(base), min(starts, default=None), max(starts, default=None), names(x for x, _ in base), names([x for x, _ in base] + [n[3] for n in kept]), max([1.0] * bool(base) + [n[0][1] for n in kept], default=0.0)
+
+
+def test_full_license_texts(spark):
+    texts = {label: text for label, text in licenses.TEXTS}
+    holder = texts["bsd-3-clause"].replace("the copyright holder nor", "the Example Institute of Technology nor")
+    bare = texts["bsd-2-clause"].replace("1. ", "* ").replace("2. ", "* ")
+    cases = [(label, f"{words(9, i)} {text}\n{words(9, i + 50)}", None) for i, (label, text) in enumerate(licenses.TEXTS)]
+    cases += [("bsd-3-clause", holder, None), ("bsd-2-clause", bare, None), ("bsd", "* Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", None), ("agpl,lgpl", texts["agpl"] + words(20, 1) + texts["lgpl"], None), ("bsd-3-clause,mit", texts["mit"] + "\n" + texts["bsd-3-clause"], None)]
+    cases += [(label, f"// SPDX-License-Identifier: {line}", None) for label, line in [("mit", "MIT"), ("apache", "Apache-2.0"), ("gpl", "GPL-2.0-or-later"), ("lgpl", "LGPL-2.1"), ("bsd-2-clause", "BSD-2-Clause"), ("bsd-3-clause", "BSD-3-Clause"), ("mpl", "MPL-2.0"), ("agpl", "AGPL-3.0-only")]]
+    cases += [("", "SPDX-License-Identifier: Elastic-2.0", None), ("", " ".join(texts["mit"].split()[25:80]), None), ("", "in the hope that it will be useful but without any warranty", None)]
+    docs = spark.createDataFrame([(i, t, x) for i, (_, t, x) in enumerate(cases)], "doc_id long, text string, label string")
+    got = {r.doc_id: tuple(r)[2:8] for r in licenses.scan(docs).collect()}
+    assert got == {i: brute_licenses(t) for i, (_, t, _) in enumerate(cases)}
+    method = lambda i: ",".join(x for x in got[i][4].split(",") if x not in got[i][3].split(",") or x in cases[i][0].split(","))
+    assert [(label, method(i)) for i, (label, _, _) in enumerate(cases) if method(i) != label] == []
 
 
 def test_license_spans_are_verified(spark):
@@ -621,7 +637,7 @@ def test_license_spans_are_verified(spark):
     apache, bsd, cc, mit = licenses.NOTICES[1][1], licenses.NOTICES[2][1], licenses.NOTICES[3][1], licenses.NOTICES[12][1]
     texts = [
         "by 4 by 4 by 4 by 4 by 4 by 4", "under the under the under the under the gnu", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY 4.0 and licensed under CC BY-SA 4.0", cc, "apache license " * 6, "mit license " * 50,
-        apache.replace("software", "software program and code"), apache.replace(" or agreed to in writing", ""), " ".join(reversed(bsd.split())), mit + " " + bsd, bsd[:60] + " x y z u v w " + bsd[60:], None, "", *licenses.PHRASES[0], *[t for _, t in licenses.NOTICES],
+        apache.replace("software", "software program and code"), apache.replace(" or agreed to in writing", ""), " ".join(reversed(bsd.split())), mit + " " + bsd, bsd[:60] + " x y z u v w " + bsd[60:], None, "", *licenses.PHRASES[0], *[t for _, t in licenses.NOTICES], *[t for _, t in licenses.TEXTS],
     ]
     for i in range(200):  # notices with words lost, added, doubled and moved
         t = licenses.NOTICES[int(rng.integers(len(licenses.NOTICES)))][1].split()
