@@ -13,6 +13,7 @@ by hashing, near ones by comparing what shares a run; neither makes a row for ea
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import map_batches, remove_folder, settle, store
+from lattica.llm.common import map_batches, partitions, remove_folder, settle, store
 from lattica.llm.groups import components, contract, whole_groups
 from lattica.llm.rolling import BASE, INVERSE, U64, chunks, mix, portions, powers, shingles
 
@@ -28,10 +29,12 @@ from lattica.llm.rolling import BASE, INVERSE, U64, chunks, mix, portions, power
 FUNCTIONS = 3
 #: Lower bits of a token's key hold its place, so that equal upper bits tie alike in every batch.
 PLACE = U64((1 << 32) - 1)
-#: Windows of a signature that one task compares; of more, each task takes as many beside COMMON ones that all of them take.
-CROWD, COMMON = 8192, 1024
+#: A signature of over twice so many windows is a crowd: its different intervals stand once, in blocks of this size, any two of which meet in a task.
+CROWD = 8192
 #: Runs shared by at most so many rows are compared in all pairs at once; groups with larger ones are matched by hashes around a gap.
 FEW = 24
+#: Kept for callers that set it; a crowd's tasks need no common windows any more.
+COMMON = 1024
 #: Values of the bytes of a token's hash in an interval.
 BYTES = np.array([1, 1 << 8, 1 << 16], np.uint32)
 #: A near passage shares a run of twice so many tokens at the same distance from the centre.
@@ -112,28 +115,39 @@ def windows(texts: DataFrame, words: int = 50, k: int = 5) -> DataFrame:
 
 
 def shared(signed: DataFrame) -> DataFrame:
-    """The rows (key, doc, at) whose key has more than one doc. A task holds one doc's rows of the key that a batch cuts."""
+    """The rows (key, doc, at) whose key has more than one doc, and whether it has over ``2 * CROWD`` rows (``crowd``). A task holds up to that many rows of the key that a batch cuts, and one doc's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, open_key = None, None  # the last key's rows while it has one doc, and that key once it has several
-        for b in batches:
-            rows = [c.to_numpy() for c in b.columns]
-            if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        held, open_key = [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.int32)], None  # the last key's rows, and that key once it is known to be a crowd
+
+        def cut(rows: list[np.ndarray], last: bool) -> pa.RecordBatch | None:
+            nonlocal held, open_key
             key, doc, at = rows
             if not len(key):
-                continue
+                return None
             new = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])))
             key, doc, at = key[new], doc[new], at[new]
             start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            several = doc[start] != doc[np.append(start[1:], len(key)) - 1]
+            size = np.diff(np.append(start, len(key)))
+            several = doc[start] != doc[start + size - 1]
             several[0] |= key[0] == open_key
-            keep = np.repeat(several, np.diff(np.append(start, len(key))))
-            held = None if several[-1] else [x[start[-1] :] for x in (key, doc, at)]
-            open_key = key[-1] if several[-1] else None
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, doc, at)], names=["key", "doc", "at"])
+            crowd = several & (size > 2 * CROWD)
+            crowd[0] |= key[0] == open_key
+            open_key = key[-1] if crowd[-1] else None
+            n = len(key) if last or crowd[-1] else int(start[-1])
+            held = [x[n:] for x in (key, doc, at)]
+            keep = np.repeat(several, size)[:n]
+            return pa.RecordBatch.from_arrays([pa.array(x[:n][keep]) for x in (key, doc, at, np.repeat(crowd, size))], names=["key", "doc", "at", "crowd"])
+
+        for b in batches:
+            out = cut([np.concatenate(x) for x in zip(held, (c.to_numpy() for c in b.columns), strict=True)], False)
+            if out is not None:
+                yield out
+        out = cut(held, True)
+        if out is not None:
+            yield out
 
-    return map_batches(signed.repartition("key").sortWithinPartitions("key", "doc", "at"), run, WINDOWS)
+    return map_batches(signed.repartition("key").sortWithinPartitions("key", "doc", "at"), run, f"{WINDOWS}, crowd boolean")
 
 
 INTERVALS = "key long, task int, doc long, at int, low int, tokens binary"
@@ -175,7 +189,7 @@ def intervals(marked: DataFrame, words: int, k: int) -> DataFrame:
     return map_batches(marked, run, INTERVALS)
 
 
-#: kind 0: docs a and b share a passage; 1: words [start, end) of a do; 2: one task's holder a of the passage hashed b, from word ``start``.
+#: kind 0: docs a and b share a passage; 1: words [start, end) of a do (of a crowd: of every holder of the interval b, counted from its centre).
 FOUND = "kind int, a long, b long, start int, end int"
 
 
@@ -193,7 +207,8 @@ def _by_gap(m: np.ndarray, whole: np.ndarray, group: np.ndarray, owner: np.ndarr
 
     Two windows in which one stretch differs agree in what stands left of it and in what stands right of
     it. So each window is hashed once for every place of a gap of ``width - need`` tokens, or of one
-    less, as the other text has it if a word more or less caused it.
+    less, as the other text has it if a word more or less caused it; and once for each way to leave the
+    gap's tokens out at both edges.
     """
     n, gap = len(m), width - need
     value = mix(m.astype(U64) + U64(0x51ED270B))
@@ -207,11 +222,15 @@ def _by_gap(m: np.ndarray, whole: np.ndarray, group: np.ndarray, owner: np.ndarr
         own = sums[rows]
         seed = group[rows]
         twice, who = np.concatenate((rows, rows)), owner[np.concatenate((rows, rows))]
-        for a in range(need + 1):
-            left = (own[:, s + a] - own[:, s]) * back[s]
-            right = [(own[:, s + a + g + need - a] - own[:, s + a + g]) * back[s + a + g] for g in (gap, gap - 1)]
-            left = left * U64(0xD6E8FEB86659FD93) + seed
-            name = np.concatenate([left + r for r in right])
+        for a in range(need + gap):
+            if a > need:  # differences at both edges
+                cut = s + a - need
+                names = [(own[:, cut + need] - own[:, cut]) * back[cut] + seed] * 2
+            else:
+                left = (own[:, s + a] - own[:, s]) * back[s]
+                left = left * U64(0xD6E8FEB86659FD93) + seed
+                names = [left + (own[:, s + a + g + need - a] - own[:, s + a + g]) * back[s + a + g] for g in (gap, gap - 1)]
+            name = np.concatenate(names)
             order = np.argsort(name)
             name = name[order]
             new = np.concatenate(([True], name[1:] != name[:-1]))
@@ -228,15 +247,14 @@ def _by_gap(m: np.ndarray, whole: np.ndarray, group: np.ndarray, owner: np.ndarr
                     yield p[keep], q[keep], s
 
 
-def match(group: np.ndarray, doc: np.ndarray, low: np.ndarray, tokens: list[np.ndarray], width: int, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def match(group: np.ndarray, doc: np.ndarray, low: np.ndarray, tokens: list[np.ndarray], width: int, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Match the intervals of each group.
 
     Returns linked rows (x, y), which of a row's windows of ``width`` tokens (by start, from
-    ``width - 1`` before the centre) were matched with another document, and the hash of each window
-    (0 where the interval has none). Windows match if ``need`` of their tokens agree at the same
-    distance from the centre or one beside it; where many rows share a run, those that differ must also
-    stand together. In the end every two rows of a group that match are
-    linked, if not to each other, then through others.
+    ``width - 1`` before the centre) were matched with another document. Windows match if ``need`` of
+    their tokens agree at the same distance from the centre or one beside it; where many rows share a run, those
+    that differ must also stand together, or at the edges. In the end every two rows of a group that
+    match are linked, if not to each other, then through others.
     """
     n, span = len(doc), 2 * width - 1
     size = np.array([len(t) for t in tokens], np.int64)
@@ -329,11 +347,11 @@ def match(group: np.ndarray, doc: np.ndarray, low: np.ndarray, tokens: list[np.n
     if n:
         matched |= matched[one][of]
     cat = lambda v: np.concatenate([*v, np.zeros(0, np.int64)]).astype(np.int64)
-    return cat(x), cat(y), matched, name
+    return cat(x), cat(y), matched
 
 
 def matches(rows: DataFrame, words: int, k: int, threshold: float) -> DataFrame:
-    """Links, repeated stretches of words and, for signatures that several tasks share, one holder of each passage (FOUND)."""
+    """Links and repeated stretches of words (FOUND)."""
     width = words - k + 1
     need = int(np.ceil(2 * threshold / (1 + threshold) * width))
 
@@ -347,40 +365,55 @@ def matches(rows: DataFrame, words: int, k: int, threshold: float) -> DataFrame:
                 part = t.slice(int(starts[a]), int(ends[z - 1] - starts[a]))
                 group = np.repeat(np.arange(z - a), size[a:z])
                 a = z
-                key, doc, at, low, task = (part.column(c).to_numpy() for c in ("key", "doc", "at", "low", "task"))
+                doc, at, low = (part.column(c).to_numpy() for c in ("doc", "at", "low"))
+                named = part.column("name").to_numpy() if "name" in part.column_names else np.zeros(len(doc), np.int64)
                 tokens = [np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, 3) @ BYTES for x in part.column("tokens")]
-                x, y, matched, name = match(group, doc, low, tokens, width, need)
+                x, y, matched = match(group, doc, low, tokens, width, need)
                 edge = np.unique(np.stack((np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])), axis=1), axis=0)
                 step = np.diff(np.pad(matched, ((0, 0), (1, 1))).astype(np.int8), axis=1)
                 r, s = np.nonzero(step == 1)
                 e = np.nonzero(step == -1)[1]
                 first = at[r] - (width - 1)
-                h, c = np.nonzero((name != 0) & (task >= 0)[:, None])
-                hub = mix(name[h, c] ^ mix(key[h].view(U64)))
-                one = np.unique(hub ^ mix(group[h].astype(U64)), return_index=True)[1]  # one holder of each in every task's group
-                h, c, hub = h[one], c[one], hub[one]
                 columns = [
-                    np.repeat([0, 1, 2], [len(edge), len(r), len(h)]).astype(np.int32),
-                    np.concatenate((edge[:, 0], doc[r], doc[h])),
-                    np.concatenate((edge[:, 1], np.zeros(len(r), np.int64), hub.view(np.int64))),
-                    np.concatenate((np.zeros(len(edge)), first + s, at[h] - (width - 1) + c)).astype(np.int32),
-                    np.concatenate((np.zeros(len(edge)), first + e - 1 + words, at[h] - (width - 1) + c + words)).astype(np.int32),
+                    np.repeat([0, 1], [len(edge), len(r)]).astype(np.int32),
+                    np.concatenate((edge[:, 0], doc[r])),
+                    np.concatenate((edge[:, 1], named[r])),
+                    np.concatenate((np.zeros(len(edge)), first + s)).astype(np.int32),
+                    np.concatenate((np.zeros(len(edge)), first + e - 1 + words)).astype(np.int32),
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=["kind", "a", "b", "start", "end"])
 
-    return map_batches(rows.repartition("key", "task").sortWithinPartitions("key", "task"), run, FOUND)
+    return map_batches((rows.repartition(partitions(rows.sparkSession), "key", "task") if "name" in rows.columns else rows.repartition("key", "task")).sortWithinPartitions("key", "task"), run, FOUND)
 
 
-def _dealt(marks: DataFrame) -> DataFrame:
-    """(key, doc, at, task): the tasks of each window, -1 for the one that has a signature alone. Signatures of many windows go to several, with some that all of them take."""
-    crowds = marks.groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > 2 * CROWD)
-    if crowds.isEmpty():
-        return marks.select("*", F.lit(-1).alias("task"))
-    tasks = F.ceil(F.col("held") / CROWD).cast("int")
-    common = F.pmod(F.xxhash64("doc"), F.col("held")) < COMMON
-    own = F.array(F.pmod(F.xxhash64("doc", F.lit(1)), tasks).cast("int"))
-    chosen = F.when(F.col("held").isNull(), F.array(F.lit(-1))).when(common, F.sequence(F.lit(0), tasks - 1)).otherwise(own)
-    return marks.join(crowds, "key", "left").select("key", "doc", "at", F.explode(chosen).alias("task"))
+def _dealt(once: DataFrame) -> DataFrame:
+    """(key, name, doc, at, low, tokens, task): the tasks of each different interval of a crowd. Up to ``2 * CROWD`` of a signature share a task; more are dealt into blocks, any two of which meet."""
+    held = once.groupBy("key").agg(F.count("*").alias("held"))
+    blocks = F.when(F.col("held") > 2 * CROWD, F.ceil(F.col("held") / CROWD)).otherwise(1).cast("int")
+    own, n = F.pmod("name", "n").cast("int"), F.col("n")
+    others = F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda j: j != own), lambda j: F.least(own, j) * n + F.greatest(own, j))
+    tasks = F.when(n == 1, F.array(F.lit(0))).otherwise(others)
+    return once.join(held.select("key", blocks.alias("n")), "key").select(*once.columns, F.explode(tasks).alias("task"))
+
+
+def _crowded(each: DataFrame, words: int, k: int, threshold: float) -> DataFrame:
+    """FOUND of the intervals (key, doc, at, low, tokens, name) of crowds.
+
+    Equal intervals, of the same ``name``, stand as one in the comparison; where several documents hold
+    one, it has no document of its own, and they are linked to its name.
+    """
+    least, most = F.min("doc"), F.max("doc")
+    once = each.groupBy("key", "name").agg((least < most).alias("several"), F.when(least == most, least).otherwise(F.col("name")).alias("doc"), F.lit(0).alias("at"), F.first("low").alias("low"), F.first("tokens").alias("tokens"))
+    once = settle(once)
+    met = settle(matches(_dealt(once.drop("several")), words, k, threshold))
+    near = met.where("kind = 1").groupBy(F.col("b").alias("name")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    whole = F.array(F.struct(F.col("low").alias("start"), (F.col("low") + F.octet_length("tokens") / 3 + k - 1).cast("int").alias("end")))
+    known = once.join(near, "name", "left").select("name", "several", F.when(F.col("several"), whole).otherwise(F.col("spans")).alias("spans")).where("spans is not null")
+    row = lambda kind, b, start, end: F.struct(F.lit(kind).alias("kind"), F.col("doc").alias("a"), b.alias("b"), start.alias("start"), end.alias("end"))
+    spans = F.transform("spans", lambda x: row(1, F.lit(0).cast("long"), F.col("at") + x["start"], F.col("at") + x["end"]))
+    to_name = F.when(F.col("several"), F.array(row(0, F.col("name"), F.lit(0), F.lit(0)))).otherwise(F.expr("array()"))
+    told = each.select("doc", "at", "name").join(known, "name").select(F.explode(F.concat(spans, to_name)).alias("x")).select("x.*")
+    return met.where("kind = 0").union(told.distinct())
 
 
 def _only(texts: DataFrame, holders: DataFrame, broadcast: int = 500_000) -> DataFrame:
@@ -395,8 +428,8 @@ def substring_duplicates(docs: DataFrame, words: int = 50, k: int = 5, threshold
     counted by shingles that agree in place, after at most one word more or less on either side of
     the common shingle. ``class_id``: smallest doc_id that links lead to; ``n_links``: other
     documents of that class. Verbatim passages are always found; near ones if one of ``FUNCTIONS``
-    hashes agrees, and, of signatures with over ``2 * CROWD`` windows, if the two meet in one task, as
-    each does with some thousand windows that all tasks hold.
+    hashes agrees. In signatures with over ``2 * CROWD`` windows equal intervals stand as one, and any
+    two that differ meet in a task, so the cost grows with the square of the different ones.
 
     A document without repeated passages is its own class. Exact copies of enough words are linked;
     null texts and shorter ones have no passages. Repeated rows count once and are all returned; a
@@ -409,22 +442,35 @@ def substring_duplicates(docs: DataFrame, words: int = 50, k: int = 5, threshold
     first = ids.groupBy("tid").agg(F.min("doc_id").alias("doc_id"))
     rows, rows_path = store(shared(windows(texts, words, k)), "windows")
     whole = F.col("key").bitwiseAND(F.lit(7)) == 7
-    holders = settle(rows.where(~whole).select(F.col("doc").alias("tid")).distinct().join(first, "tid"))
-    marks = _dealt(rows.where(~whole)).groupBy(F.col("doc").alias("tid")).agg(F.collect_list(F.struct("key", "task", "at")).alias("marks")).join(holders, "tid")
-    held = _only(texts, holders).join(marks, ["doc_id", "tid"]).dropDuplicates(["tid"]).select("tid", "text", "marks")
-    found, found_path = store(matches(intervals(held, words, k), words, k, threshold), "passages")
-
-    hubs = found.where("kind = 2")
-    meet = hubs.join(hubs.groupBy("b").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least < most"), "b")
-    links = found.where("kind = 0").select("a", "b").union(meet.select("a", F.col("least").alias("b")))
+    marks = rows.where(~whole).select("key", F.lit(-1).alias("task"), "doc", "at", "crowd")
+    paths, parts = [rows_path], []
+
+    def intervals_of(part: DataFrame) -> DataFrame:
+        holders = settle(part.select(F.col("doc").alias("tid")).distinct().join(first, "tid"))
+        lists = part.groupBy(F.col("doc").alias("tid")).agg(F.collect_list(F.struct("key", "task", "at")).alias("marks")).join(holders, "tid")
+        held = _only(texts, holders).join(lists, ["doc_id", "tid"]).dropDuplicates(["tid"]).select("tid", "text", "marks")
+        return intervals(held, words, k)
+
+    def keep(part: DataFrame, name: str) -> DataFrame:
+        kept, path = store(part, name)
+        paths.append(path)
+        return kept
+
+    if not marks.where("crowd").isEmpty():
+        each = keep(intervals_of(marks.where("crowd")).drop("task").withColumn("name", F.xxhash64("key", "low", "tokens")), "crowds")
+        parts.append(keep(_crowded(each, words, k, threshold), "passages"))
+    parts.append(keep(matches(intervals_of(marks.where("not crowd")), words, k, threshold), "passages"))
+    found = functools.reduce(DataFrame.union, parts)
+
+    links = found.where("kind = 0").select("a", "b")
     copied = ids.join(rows.where(whole).select(F.col("key").alias("name"), F.col("doc").alias("doc_id"), F.col("at").alias("n")), "doc_id").where(F.col("tid").bitwiseOR(F.lit(7)) == F.col("name"))
     copies = copied.groupBy("tid").agg(F.max("n").alias("n"), F.count("*").alias("held")).where("held > 1")
-    spans = found.where("kind = 1").select(F.col("a").alias("tid"), "start", "end").union(meet.select("a", "start", "end")).union(copies.select("tid", F.lit(0), "n"))
+    spans = found.where("kind = 1").select(F.col("a").alias("tid"), "start", "end").union(copies.select("tid", F.lit(0), "n"))
     spans = spans.groupBy("tid").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
     linked = components(links)
     named = spans.join(linked, F.col("tid") == F.col("node"), "left").select("tid", F.coalesce("component", "tid").alias("component"), "spans")
     member = settle(ids.join(named, "tid"))
-    for path in (rows_path, found_path):
+    for path in paths:
         remove_folder(docs.sparkSession, path)
     classes = member.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count_distinct("doc_id").alias("held"))
     known = member.join(classes, "component").select("doc_id", "tid", "class_id", (F.col("held") - 1).alias("n_links"), "spans")
