@@ -44,3 +44,20 @@ def test_cutoff_of_grids_of_many_sizes(spark, monkeypatch):
         want = np.zeros(len(d))
         want[kept] = d[kept]
         assert r.approx == want.tolist()
+
+
+def test_few_grids_at_a_time_are_python_objects(spark, monkeypatch):
+    """The sums that a task holds while it works do not grow with the rows of a batch."""
+
+    class Held(promolecules.Gaussian):
+        def sample(self, r, atom):
+            import sys
+
+            return np.full(r.shape, float(len(sys._getframe(1).f_locals["found"])))
+
+    monkeypatch.setattr(promolecules, "SLICE", 1 << 13, raising=False)
+    packed = spark.range(2000).coalesce(1).selectExpr("id AS task_id", "4 AS nx", "4 AS ny", "4 AS nz", "transform(sequence(1, 64), x -> double(x)) AS density").withColumn("cell", promolecules.cube(4.0))
+    atoms = packed.selectExpr("task_id", "6 AS z", "0.5D AS fx", "0.5D AS fy", "0.5D AS fz")
+    rows = promolecules.packed_baseline(packed, atoms, Held())
+    n, most, sizes = rows.agg(F.count("*"), F.max(F.array_max("baseline")), F.min(F.size("baseline"))).first()
+    assert n == 2000 and most < 100 and sizes == 64
