@@ -75,3 +75,15 @@ def test_snapshot_survives_a_stop(spark, tmp_path):
     for row in sorted(r for rows in batches for r in rows):
         want[row[2]] = row
     assert sorted(map(tuple, files.read().collect())) == sorted(want.values()) and len(files.complete()) <= 3
+
+
+def test_runs_share_state(spark, tmp_path, monkeypatch):
+    """Many runs make few calls to the state: the groups of state are at most ``PARTS``, and one of runs without an id."""
+    monkeypatch.setattr(ordered, "PARTS", 2)
+    rows = [(i, START + dt.timedelta(hours=i % 7), i % 50 if i % 50 else None, float(i % 11)) for i in range(500)]
+    write(spark, rows[:300], str(tmp_path / "in"))
+    write(spark, rows[300:], str(tmp_path / "in"))
+    write(spark, [(9999, START + dt.timedelta(hours=1000), -1, 0.0)], str(tmp_path / "in"))
+    out = counters.run_to_table(ordered.ordered_deltas(read(spark, str(tmp_path / "in")), "12 hours"), "append", "ordered")
+    got = {(r.user_id, r.event_id): (r.poll, r.total, r.delta, pytest.approx(r.per_hour)) for r in out.collect()}
+    assert got == loop(rows)
