@@ -4,13 +4,14 @@ Each partition keeps a fixed number of open windows.  A document is placed where
 fits nowhere, the fullest window is emitted, topped up first by a cut of the document where its gap
 is large.  What stays open at a partition's end is merged: the pieces of a few dozen partitions are
 placed anew by best fit in decreasing order.  Memory per task, whatever the input's size: one Arrow
-batch, the open windows, the ids of about a megabyte of text or of one longer text, the remembered
-words (250,000 of at most 32 letters, some 50 MB) and in the merge ``open_windows * merge_width`` windows.
+batch, the open windows, the ids of about four megabytes of text or of one longer text, the remembered
+words (500,000 of at most 32 letters, some 100 MB) and in the merge ``open_windows * merge_width`` windows.
 """
 
 from __future__ import annotations
 
 import bisect
+import re
 import string
 import zlib
 from collections.abc import Iterator
@@ -19,6 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +31,9 @@ from lattica.llm.rolling import portions
 
 #: Words whose ids a task remembers, and their greatest length in letters: at most some 300 bytes each. Past that it forgets
 #: those that it has not met among the last half of them.
-REMEMBER, LONG = 250_000, 32
+REMEMBER, LONG = 500_000, 32
 #: Bytes of text that are tokenized together, beyond one text.
-TOGETHER = 1 << 20
+TOGETHER = 4 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "part"]
 
@@ -80,6 +82,25 @@ def _learn(words: list[str], tokenizer: Tokenizer, ends: np.ndarray, known: dict
             known[w] = np.array(e.ids, "<u4").tobytes()
 
 
+#: A comma or full stop that was set apart from what is no letter or digit; the tokenizer keeps marks that touch together.
+TORN = re.compile(r"[\W_] [,.] ")
+
+
+def _spread(text: str) -> str:
+    """The text, with blanks for line ends; where its ids stay the same, in lower case and with commas and full stops apart from the words before them, so that fewer different words are met.
+
+    That is so in Latin-1, whose letters are lower-cased one by one and are composed already, if each
+    such mark follows a letter or digit and no special token stands there, which knows its case.
+    """
+    text = text.replace("\n", " ")
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    apart = text.lower().replace(", ", " , ").replace(". ", " . ")
+    return text if "<|" in text or TORN.search(apart) else apart
+
+
 def tokenize(texts: list[str], path: str, end: int) -> list[np.ndarray]:
     """Ids of each text, then ``end``.
 
@@ -88,8 +109,9 @@ def tokenize(texts: list[str], path: str, end: int) -> list[np.ndarray]:
     """
     tokenizer, ends, memory = _tokenizer(path)
     known, before = memory
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    words = set().union(*split)
+    split = pc.split_pattern(pa.array([_spread(t) for t in texts], pa.large_string()), " ")
+    coded = split.flatten().dictionary_encode()
+    words = coded.dictionary.to_pylist()
     if len(known) + len(words) > REMEMBER // 2:
         before, known = memory[:] = known, {}
     here, new = {}, []
@@ -100,12 +122,19 @@ def tokenize(texts: list[str], path: str, end: int) -> list[np.ndarray]:
             here[w] = ids
     _learn(new, tokenizer, ends, here)
     known.update(here)
-    last = np.array([end], "<u4").tobytes()
-    out = [np.frombuffer(b"".join([*map(here.__getitem__, ws), last]), "<u4") for ws in split]
     for w in new:
         if len(w) > LONG:
             del known[w]
-    return out
+    bodies = [here[w] for w in words]
+    held = np.frombuffer(b"".join(bodies), "<u4")
+    size = np.fromiter(map(len, bodies), np.int64, len(bodies)) // 4
+    first, code = np.cumsum(size) - size, coded.indices.to_numpy()
+    n = size[code]
+    upto = np.concatenate(([0], np.cumsum(n)))
+    bound = upto[split.offsets.to_numpy()]
+    ids = held[np.arange(upto[-1]) + np.repeat(first[code] - upto[:-1], n)]
+    last = np.array([end], "<u4")
+    return [np.concatenate((ids[i:j], last)) for i, j in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
 
 
 def forget(path: str) -> None:
