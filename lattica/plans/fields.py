@@ -136,11 +136,11 @@ def manifested_write(spark, d):
 
 @query(f"WITH {VOX} SELECT CAST(task_id AS BIGINT) AS task_id, flat, {sql_r6('rho')} AS rho FROM vox")
 def volumetric_text(spark, d):
-    """Every embedding as a text file of a crystal and its grid, read back value by value."""
+    """Every embedding as the text of a crystal and its grid, many to a file, read back value by value."""
     path = new_path(spark, "volumes")
-    head = "label\n 1.0\n 4 0 0\n 0 4 0\n 0 0 4\n C O\n 1 1\nDirect\n 0 0 0\n 0.5 0.5 0.5\n\n 4 4 4\n"
+    head = "\n 1.0\n 4 0 0\n 0 4 0\n 0 0 4\n C O\n 1 1\nDirect\n 0 0 0\n 0.5 0.5 0.5\n\n 4 4 4\n"
     inner = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda r: F.get("density", ((r % 4) * 16 + F.floor(r / 4) % 4 * 4 + F.floor(r / 16)).cast("int")).cast("string"))
     lines = F.transform(F.sequence(F.lit(1), F.lit(61), F.lit(5)), lambda i: F.array_join(F.slice(inner, i, F.lit(5)), " "))
-    grids(spark, d).select("task_id", F.concat(F.lit(head), F.array_join(lines, "\n")).alias("value")).write.partitionBy("task_id").text(path)
-    rows = chgcar.read_voxels(spark, f"{path}/*")
-    return rows.select(F.regexp_extract("path", r"task_id=(\d+)", 1).cast("long").alias("task_id"), "flat", r6(F.col("rho")).alias("rho"))
+    grids(spark, d).select(F.concat(F.lit("volume "), F.col("task_id").cast("string"), F.lit(head), F.array_join(lines, "\n")).alias("value")).write.text(path)
+    rows = chgcar.read_voxels(spark, path, title=r"^volume (\d+)$")
+    return rows.select(F.col("title").cast("long").alias("task_id"), "flat", r6(F.col("rho")).alias("rho"))

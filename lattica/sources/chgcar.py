@@ -45,27 +45,38 @@ def read_chgcar(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA)
 
 
-def read_voxels(spark: SparkSession, path: str) -> DataFrame:
+def read_voxels(spark: SparkSession, path: str, title: str | None = None) -> DataFrame:
     """(path, nx, ny, nz, flat, ix, iy, iz, rho) of every grid point, from files of any size: each split of a file is one task's work.
 
     Spark's text source cuts a file at any line. Lines and numbers are counted in each split; sums over
     the splits before (a row for each split) give every line its number and every value its place in the
     file, and so in the grid. Values beyond the grid's size, such as what follows it, are left out.
+
+    With ``title``, a pattern of first lines, a file may hold many volumes, one after another, each from a
+    line that matches it to the next; what its first group holds is then another column, ``title``.
+    Equal titles stand for different volumes; lines before the first title belong to none.
     """
-    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.filter(F.split("value", r"\s+"), lambda x: x != "").alias("parts"))
-    here = Window.partitionBy("path", "split").orderBy("at")
-    counted = text.withColumn("line", F.row_number().over(here)).withColumn("upto", F.sum(F.size("parts")).over(here))
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.filter(F.split("value", r"\s+"), lambda x: x != "").alias("parts"), (F.when(F.col("value").rlike(title), F.regexp_extract("value", title, 1)) if title else F.lit(None).cast("string")).alias("title"))
+    file = Window.partitionBy("path", "split").orderBy("at")
+    here = Window.partitionBy("path", "split", "nth").orderBy("at")  # the nth volume that begins in the split; 0: the one that goes on
+    counted = text.withColumn("nth", F.count("title").over(file)).withColumn("line", F.row_number().over(here)).withColumn("upto", F.sum(F.size("parts")).over(here))
     counted = checkpointed(counted.drop("at"))
-    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    sums = counted.groupBy("path", "split").agg(F.max("line").alias("lines"), F.max("upto").alias("values"))
-    shift = sums.select("path", "split", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("lines"), F.coalesce(F.sum("values").over(before), F.lit(0)).alias("values"))
-    placed = counted.join(shift, ["path", "split"]).select("path", "parts", (F.col("lines") + F.col("line") - 1).alias("line"), (F.col("values") + F.col("upto") - F.size("parts")).alias("place"))
-    atoms = placed.where("line = 6").select("path", F.aggregate("parts", F.lit(0).cast("long"), lambda n, x: n + x.try_cast("long")).alias("atoms"))
-    sized = placed.join(atoms, "path").where((F.col("line") >= F.col("atoms") + 8) & (F.size("parts") > 0)).groupBy("path").agg(F.min_by(F.struct("parts", "place"), "line").alias("head"))
+    begun = F.when(F.col("nth") > 0, F.struct("split", "nth", "title"))
+    sums = counted.groupBy("path", "split", "nth").agg(F.max("line").alias("lines"), F.max("upto").alias("values"), F.max("title").alias("title")).withColumn("begun", begun)
+    splits = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    open_ = sums.groupBy("path", "split").agg(F.max("begun").alias("begun")).select("path", "split", F.last("begun", ignorenulls=True).over(splits).alias("open"))
+    none = F.struct(F.lit(0).cast("long").alias("split"), F.lit(0).cast("long").alias("nth"), F.lit(None).cast("string").alias("title"))
+    of = sums.join(open_, ["path", "split"]).withColumn("of", F.coalesce("begun", "open", none)).where("of.nth > 0" if title else "true").withColumn("volume", F.concat_ws(":", "path", "of.split", "of.nth"))
+    before = Window.partitionBy("volume").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    shift = of.select("path", "split", "nth", "volume", F.col("of.title").alias("title"), F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("lines"), F.coalesce(F.sum("values").over(before), F.lit(0)).alias("values"))
+    placed = counted.drop("title").join(shift, ["path", "split", "nth"]).select("volume", "path", "title", "parts", (F.col("lines") + F.col("line") - 1).alias("line"), (F.col("values") + F.col("upto") - F.size("parts")).alias("place"))
+    atoms = placed.where("line = 6").select("volume", F.aggregate("parts", F.lit(0).cast("long"), lambda n, x: n + x.try_cast("long")).alias("atoms"))
+    sized = placed.join(atoms, "volume").where((F.col("line") >= F.col("atoms") + 8) & (F.size("parts") > 0)).groupBy("volume").agg(F.min_by(F.struct("parts", "place"), "line").alias("head"))
     side = lambda i: F.get("head.parts", F.lit(i)).try_cast("int")
-    shape = sized.select("path", side(0).alias("nx"), side(1).alias("ny"), side(2).alias("nz"), (F.col("head.place") + F.size("head.parts")).alias("start"))
-    rows = placed.join(shape, "path").where("place >= start").select("path", "nx", "ny", "nz", (F.col("place") - F.col("start")).alias("first"), F.posexplode("parts").alias("i", "text"))
+    shape = sized.select("volume", side(0).alias("nx"), side(1).alias("ny"), side(2).alias("nz"), (F.col("head.place") + F.size("head.parts")).alias("start"))
+    named = ["path", "title"] if title else ["path"]
+    rows = placed.join(shape, "volume").where("place >= start").select(*named, "nx", "ny", "nz", (F.col("place") - F.col("start")).alias("first"), F.posexplode("parts").alias("i", "text"))
     nx, ny, nz, rank = F.col("nx"), F.col("ny"), F.col("nz"), F.col("rank")
     cells = rows.withColumn("rank", F.col("first") + F.col("i")).where(rank < nx.cast("long") * ny * nz)
     cells = cells.withColumns({"ix": rank % nx, "iy": F.floor(rank / nx) % ny, "iz": F.floor(rank / (nx * ny))})
-    return cells.select("path", "nx", "ny", "nz", ((F.col("ix") * ny + F.col("iy")) * nz + F.col("iz")).alias("flat"), "ix", "iy", "iz", F.col("text").try_cast("double").alias("rho"))
+    return cells.select(*named, "nx", "ny", "nz", ((F.col("ix") * ny + F.col("iy")) * nz + F.col("iz")).alias("flat"), "ix", "iy", "iz", F.col("text").try_cast("double").alias("rho"))
