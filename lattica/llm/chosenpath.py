@@ -148,6 +148,10 @@ def _dealt(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("dealt", F.xxhash64("path")).repartition("dealt").sortWithinPartitions("path").drop("dealt")
 
 
+#: Up to so many keys, which were counted, go to every executor in place of a shuffle of what they are joined to.
+SENT = 2_000_000
+
+
 def candidates(classes: DataFrame, threshold: float = 0.8, target: float = 0.999, bucket: int = 4096, levels: int = 3) -> DataFrame:
     """Candidate edges (a, b) between classes (rep, n, tokens, sketch).
 
@@ -162,6 +166,7 @@ def candidates(classes: DataFrame, threshold: float = 0.8, target: float = 0.999
         if large.isEmpty():
             found.append(_bucket_pairs(_dealt(nodes), threshold))
             break
+        large = F.broadcast(large) if large.count() <= SENT else large  # at most one in ``bucket`` rows of the nodes, which are so shuffled once, by ``_dealt``
         found.append(_bucket_pairs(_dealt(nodes.join(large, "path", "left_anti")), threshold))
         rest = nodes.join(large, "path")
         if level == levels:
@@ -211,7 +216,11 @@ def verify(docs: DataFrame, members: DataFrame, threshold: float = 0.8, k: int =
                     o.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o), pa.int64()) for o in out], names=["rep", "links", "root"])
 
-    found = identified(docs).withColumn("key", id_key(F.col("doc_id"))).join(members.withColumn("key", id_key(F.col("doc_id"))).drop("doc_id"), ["key", "digest"]).dropDuplicates(["key", "digest"])
+    members = settle(members.withColumn("key", id_key(F.col("doc_id"))).drop("doc_id"))
+    texts, name = identified(docs).withColumn("key", id_key(F.col("doc_id"))), F.xxhash64("key", "digest").alias("name")
+    if members.count() <= SENT:  # other texts are left out before the shuffle
+        texts = texts.withColumn("name", name).join(F.broadcast(members.select(name)), "name", "left_semi").drop("name")
+    found = texts.join(members, ["key", "digest"]).dropDuplicates(["key", "digest"])
     rows = map_batches(found.select("text", "rep", "copies", "component", "blocks"), sets, "rep long, copies long, component long, blocks long, tokens binary")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))

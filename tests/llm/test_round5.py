@@ -1,8 +1,10 @@
-"""Words met in several forms are learned once, with the tokenizer's own ids."""
+"""Words met in several forms are learned once; what is left out of a join is not shuffled first."""
 
 import itertools
 
-from lattica.llm import packing, queries
+from test_llm import words
+
+from lattica.llm import chosenpath, packing, queries
 
 
 def test_forms_of_a_word_are_learned_once():
@@ -20,3 +22,25 @@ def test_marks_that_touch_stay_together():
     packing.forget(path)
     for t, got in zip(texts, packing.tokenize(texts, path, 2), strict=True):
         assert got.tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 2], t
+
+
+def test_nodes_and_texts_are_not_shuffled_to_be_left_out(spark, monkeypatch):
+    """Large nodes leave the others, and texts without candidates the join, before any shuffle; with many of either the rows are the same."""
+    plans, map_batches = [], chosenpath.map_batches
+    monkeypatch.setattr(chosenpath, "map_batches", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or map_batches(df, *a))
+    base = words(120, 7).split()
+    texts = [" ".join([*base[:i], "new", *base[i + 1 :]]) for i in range(0, 60, 2)] + [words(100, 100 + i) for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(tuple(r) for r in chosenpath.near_duplicates(docs).collect())
+    candidates = chosenpath.candidates
+    monkeypatch.setattr(chosenpath, "candidates", lambda c, threshold, target: candidates(c, threshold, target, bucket=8))
+    for sent in (chosenpath.SENT, 0):
+        plans.clear()
+        monkeypatch.setattr(chosenpath, "SENT", sent)
+        assert sorted(tuple(r) for r in chosenpath.near_duplicates(docs).collect()) == want
+        lines = [line for p in plans for line in p.splitlines()]
+        if sent:
+            assert all(any("BroadcastHashJoin" in x and kind in x for x in lines) for kind in ("LeftAnti", "LeftSemi"))
+            assert not any("SortMergeJoin" in x and "LeftAnti" in x for x in lines)
+        else:
+            assert not any("LeftSemi" in x for x in lines)
