@@ -410,9 +410,10 @@ def _crowded(each: DataFrame, words: int, k: int, threshold: float) -> DataFrame
     whole = F.array(F.struct(F.col("low").alias("start"), (F.col("low") + F.octet_length("tokens") / 3 + k - 1).cast("int").alias("end")))
     known = once.join(near, "name", "left").select("name", "several", F.when(F.col("several"), whole).otherwise(F.col("spans")).alias("spans")).where("spans is not null")
     row = lambda kind, b, start, end: F.struct(F.lit(kind).alias("kind"), F.col("doc").alias("a"), b.alias("b"), start.alias("start"), end.alias("end"))
-    spans = F.transform("spans", lambda x: row(1, F.lit(0).cast("long"), F.col("at") + x["start"], F.col("at") + x["end"]))
+    spans = F.flatten(F.transform("ats", lambda at: F.transform("spans", lambda x: row(1, F.lit(0).cast("long"), at + x["start"], at + x["end"]))))
     to_name = F.when(F.col("several"), F.array(row(0, F.col("name"), F.lit(0), F.lit(0)))).otherwise(F.expr("array()"))
-    told = each.select("doc", "at", "name").join(known, "name").select(F.explode(F.concat(spans, to_name)).alias("x")).select("x.*")
+    holders = each.groupBy("doc", "name").agg(F.collect_set("at").alias("ats"))  # a text may hold an interval at many places
+    told = holders.join(known, "name").select(F.explode(F.concat(spans, to_name)).alias("x")).select("x.*")
     return met.where("kind = 0").union(told.distinct())
 
 

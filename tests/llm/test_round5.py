@@ -2,9 +2,11 @@
 
 import itertools
 
+from pyspark.sql import functions as F
+
 from test_llm import words
 
-from lattica.llm import chosenpath, packing, queries
+from lattica.llm import chosenpath, compactwindows, packing, queries
 
 
 def test_forms_of_a_word_are_learned_once():
@@ -44,3 +46,14 @@ def test_nodes_and_texts_are_not_shuffled_to_be_left_out(spark, monkeypatch):
             assert not any("SortMergeJoin" in x and "LeftAnti" in x for x in lines)
         else:
             assert not any("LeftSemi" in x for x in lines)
+
+
+def test_a_text_that_holds_an_interval_at_many_places_joins_once(spark):
+    tokens = bytes(range(138))
+    rows = [(9, d, 50 + 7 * i, -20, tokens) for d in (1, 2) for i in range(500)]
+    each = spark.createDataFrame(rows, "key long, doc long, at int, low int, tokens binary").withColumn("name", F.xxhash64("key", "low", "tokens"))
+    crowded = compactwindows._crowded(each, 50, 5, 0.8)
+    found = crowded.collect()
+    assert sorted((r.a, r.start, r.end) for r in found if r.kind == 1) == sorted((d, at - 20, at + 30) for _, d, at, *_ in rows)
+    assert sorted(r.a for r in found if r.kind == 0) == [1, 2] and len({r.b for r in found if r.kind == 0}) == 1
+    assert "collect_set(at" in crowded._jdf.queryExecution().optimizedPlan().toString()
