@@ -13,12 +13,11 @@ by hashing, near ones by comparing what shares a run; neither makes a row for ea
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import map_batches, partitions, remove_folder, settle, store
@@ -396,11 +395,17 @@ def _dealt(once: DataFrame) -> DataFrame:
     return once.join(held.select("key", blocks.alias("n")), "key").select(*once.columns, F.explode(tasks).alias("task"))
 
 
-def _crowded(each: DataFrame, words: int, k: int, threshold: float) -> DataFrame:
-    """FOUND of the intervals (key, doc, at, low, tokens, name) of crowds.
+def _stretch(start: Column, end: Column) -> Column:
+    """Words [start, end) as one number, which sorts alike: Spark hashes sets of numbers, but compares structs pair by pair."""
+    return F.shiftleft(start.cast("long"), 32) + end
+
+
+def _told(each: DataFrame, words: int, k: int, threshold: float) -> DataFrame:
+    """(a, b, stretches) of the intervals (key, doc, at, low, tokens, name) of crowds: links from doc a to b, if not null, and repeated stretches of a, as ``_stretch`` has them.
 
     Equal intervals, of the same ``name``, stand as one in the comparison; where several documents hold
-    one, it has no document of its own, and they are linked to its name.
+    one, it has no document of its own, and they are linked to its name. A text has one row for each
+    interval it holds, at however many places.
     """
     least, most = F.min("doc"), F.max("doc")
     once = each.groupBy("key", "name").agg((least < most).alias("several"), F.when(least == most, least).otherwise(F.col("name")).alias("doc"), F.lit(0).alias("at"), F.first("low").alias("low"), F.first("tokens").alias("tokens"))
@@ -409,12 +414,23 @@ def _crowded(each: DataFrame, words: int, k: int, threshold: float) -> DataFrame
     near = met.where("kind = 1").groupBy(F.col("b").alias("name")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     whole = F.array(F.struct(F.col("low").alias("start"), (F.col("low") + F.octet_length("tokens") / 3 + k - 1).cast("int").alias("end")))
     known = once.join(near, "name", "left").select("name", "several", F.when(F.col("several"), whole).otherwise(F.col("spans")).alias("spans")).where("spans is not null")
-    row = lambda kind, b, start, end: F.struct(F.lit(kind).alias("kind"), F.col("doc").alias("a"), b.alias("b"), start.alias("start"), end.alias("end"))
-    spans = F.flatten(F.transform("ats", lambda at: F.transform("spans", lambda x: row(1, F.lit(0).cast("long"), at + x["start"], at + x["end"]))))
-    to_name = F.when(F.col("several"), F.array(row(0, F.col("name"), F.lit(0), F.lit(0)))).otherwise(F.expr("array()"))
     holders = each.groupBy("doc", "name").agg(F.collect_set("at").alias("ats"))  # a text may hold an interval at many places
-    told = holders.join(known, "name").select(F.explode(F.concat(spans, to_name)).alias("x")).select("x.*")
-    return met.where("kind = 0").union(told.distinct())
+    stretches = F.flatten(F.transform("ats", lambda at: F.transform("spans", lambda x: _stretch(at + x["start"], at + x["end"]))))
+    told = holders.join(known, "name").select(F.col("doc").alias("a"), F.when(F.col("several"), F.col("name")).alias("b"), F.array_distinct(stretches).alias("stretches"))
+    return met.where("kind = 0").select("a", "b", F.expr("cast(array() as array<bigint>)").alias("stretches")).union(told)
+
+
+def _crowded(each: DataFrame, words: int, k: int, threshold: float) -> DataFrame:
+    """What ``_told`` gives, as FOUND: a row for each link and each different stretch. To look at small groups; the operator keeps the lists."""
+    told = _told(each, words, k, threshold)
+    links = told.where("b is not null").select(F.lit(0).alias("kind"), "a", "b", F.lit(0).alias("start"), F.lit(0).alias("end")).distinct()
+    spans = told.select("a", F.explode("stretches").alias("x")).distinct()
+    return links.union(spans.select(F.lit(1), "a", F.lit(0).cast("long"), *_ends(F.col("x"))))
+
+
+def _ends(stretch: Column) -> tuple[Column, Column]:
+    """Start and end of what ``_stretch`` made."""
+    return F.shiftright(stretch, 32).cast("int").alias("start"), stretch.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("end")
 
 
 def _only(texts: DataFrame, holders: DataFrame, broadcast: int = 500_000) -> DataFrame:
@@ -444,7 +460,7 @@ def substring_duplicates(docs: DataFrame, words: int = 50, k: int = 5, threshold
     rows, rows_path = store(shared(windows(texts, words, k)), "windows")
     whole = F.col("key").bitwiseAND(F.lit(7)) == 7
     marks = rows.where(~whole).select("key", F.lit(-1).alias("task"), "doc", "at", "crowd")
-    paths, parts = [rows_path], []
+    paths = [rows_path]
 
     def intervals_of(part: DataFrame) -> DataFrame:
         holders = settle(part.select(F.col("doc").alias("tid")).distinct().join(first, "tid"))
@@ -457,24 +473,26 @@ def substring_duplicates(docs: DataFrame, words: int = 50, k: int = 5, threshold
         paths.append(path)
         return kept
 
-    if not marks.where("crowd").isEmpty():
-        each = keep(intervals_of(marks.where("crowd")).drop("task").withColumn("name", F.xxhash64("key", "low", "tokens")), "crowds")
-        parts.append(keep(_crowded(each, words, k, threshold), "passages"))
-    parts.append(keep(matches(intervals_of(marks.where("not crowd")), words, k, threshold), "passages"))
-    found = functools.reduce(DataFrame.union, parts)
-
+    found = keep(matches(intervals_of(marks.where("not crowd")), words, k, threshold), "passages")
     links = found.where("kind = 0").select("a", "b")
     copied = ids.join(rows.where(whole).select(F.col("key").alias("name"), F.col("doc").alias("doc_id"), F.col("at").alias("n")), "doc_id").where(F.col("tid").bitwiseOR(F.lit(7)) == F.col("name"))
     copies = copied.groupBy("tid").agg(F.max("n").alias("n"), F.count("*").alias("held")).where("held > 1")
-    spans = found.where("kind = 1").select(F.col("a").alias("tid"), "start", "end").union(copies.select("tid", F.lit(0), "n"))
-    spans = spans.groupBy("tid").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    none = F.lit(None).cast("array<long>")
+    spans = found.where("kind = 1").select(F.col("a").alias("tid"), _stretch(F.col("start"), F.col("end")).alias("one"), none.alias("many"))
+    spans = spans.union(copies.select("tid", F.col("n").cast("long"), none))
+    if not marks.where("crowd").isEmpty():
+        each = keep(intervals_of(marks.where("crowd")).drop("task").withColumn("name", F.xxhash64("key", "low", "tokens")), "crowds")
+        told = keep(_told(each, words, k, threshold), "told")
+        links = links.union(told.where("b is not null").select("a", "b"))
+        spans = spans.union(told.where("size(stretches) > 0").select("a", F.lit(None).cast("long"), "stretches"))
+    spans = spans.groupBy("tid").agg(F.sort_array(F.array_distinct(F.concat(F.collect_set("one"), F.flatten(F.collect_list("many"))))).alias("spans"))
     linked = components(links)
     named = spans.join(linked, F.col("tid") == F.col("node"), "left").select("tid", F.coalesce("component", "tid").alias("component"), "spans")
     member = settle(ids.join(named, "tid"))
     for path in paths:
         remove_folder(docs.sparkSession, path)
     classes = member.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count_distinct("doc_id").alias("held"))
-    known = member.join(classes, "component").select("doc_id", "tid", "class_id", (F.col("held") - 1).alias("n_links"), "spans")
+    known = member.join(classes, "component").select("doc_id", "tid", "class_id", (F.col("held") - 1).alias("n_links"), F.transform("spans", lambda x: F.struct(*_ends(x))).alias("spans"))
     return every.select("doc_id", "tid").join(known, ["doc_id", "tid"], "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans")
     )

@@ -57,3 +57,29 @@ def test_a_text_that_holds_an_interval_at_many_places_joins_once(spark):
     assert sorted((r.a, r.start, r.end) for r in found if r.kind == 1) == sorted((d, at - 20, at + 30) for _, d, at, *_ in rows)
     assert sorted(r.a for r in found if r.kind == 0) == [1, 2] and len({r.b for r in found if r.kind == 0}) == 1
     assert "collect_set(at" in crowded._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_places_of_an_interval_in_a_text_stay_in_a_list(spark, monkeypatch):
+    """Two texts repeat a line 300 times: what is found for a crowd takes a row for each text and interval, not for each place, and nothing is exploded by place."""
+    stored, store = [], compactwindows.store
+
+    def counted(df, name):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        out = store(df, name)
+        stored.append((name, out[0].count(), "Generate explode" in plan))
+        return out
+
+    monkeypatch.setattr(compactwindows, "store", counted)
+    line = words(10, 51) + " "
+    docs = [(i, f"{words(60, 60 + i)} {line * 300}{words(60, 70 + i)}") for i in range(2)] + [(2, words(60, 80)), (3, f"{words(55, 60)} other")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {}
+    for crowd in (8192, 16):
+        stored.clear()
+        monkeypatch.setattr(compactwindows, "CROWD", crowd)
+        got = compactwindows.substring_duplicates(frame).withColumn("n", compactwindows.covered_words(F.col("spans"))).collect()
+        found[crowd] = sorted((r.doc_id, r.class_id, r.n_links, r.n, [tuple(s) for s in r.spans]) for r in got)
+    assert found[16] == found[8192]
+    assert [x[:3] for x in found[16]] == [(0, 0, 2), (1, 0, 2), (2, 2, 0), (3, 0, 2)] and all(len(x[4]) > 250 and x[3] >= 3000 for x in found[16][:2])
+    assert {name for name, *_ in stored} >= {"windows", "crowds"}
+    assert all(count < 100 and not made for name, count, made in stored if name not in ("windows", "crowds"))
